@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality
+from . import decontaminate, mixing, quality
 
 QUERIES = {
+    "op2_mixing": mixing.op2_mixing,
     "op4_quality_rules": quality.op4_quality_rules,
     "op9_decontamination": decontaminate.op9_decontamination,
 }
 ORACLE_SQL = {
+    "op2_mixing": mixing.OP2_SQL,
     "op4_quality_rules": quality.OP4_SQL,
     "op9_decontamination": decontaminate.OP9_SQL,
 }
