@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, quality
+from . import decontaminate, minhash, mixing, quality
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op4_quality_rules": quality.op4_quality_rules,
+    "op7_near_duplicates": minhash.op7_near_duplicates,
     "op9_decontamination": decontaminate.op9_decontamination,
 }
 ORACLE_SQL = {
     "op2_mixing": mixing.OP2_SQL,
     "op4_quality_rules": quality.OP4_SQL,
+    "op7_near_duplicates": minhash.OP7_SQL,
     "op9_decontamination": decontaminate.OP9_SQL,
 }
