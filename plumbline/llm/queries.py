@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, minhash, mixing, quality
+from . import decontaminate, minhash, mixing, quality, suffixes
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op4_quality_rules": quality.op4_quality_rules,
     "op7_near_duplicates": minhash.op7_near_duplicates,
     "op9_decontamination": decontaminate.op9_decontamination,
+    "op10_suffix_dedup": suffixes.op10_suffix_dedup,
 }
 ORACLE_SQL = {
     "op2_mixing": mixing.OP2_SQL,

@@ -46,4 +46,4 @@ def with_row_ids(docs: DataFrame, column: str) -> DataFrame:
 
 def input_bytes(df: DataFrame) -> int:
     """What Spark reckons the dataframe's size to be, from its files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
