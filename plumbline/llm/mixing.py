@@ -59,7 +59,7 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     before, rest = by.rowsBetween(W.unboundedPreceding, -1), by.rowsBetween(0, W.unboundedFollowing)
     everything = W.partitionBy(F.lit(1))
     src = src.withColumn("level", (F.sum("source_size").over(everything) * share - F.coalesce(F.sum("source_size").over(before), F.lit(0)) * most) / F.sum("weight").over(rest))
-    src = src.withColumn("water", F.min(F.when(F.col("level") * F.col("weight") <= F.col("source_size") * most, F.col("level"))).over(everything))
+    src = src.withColumn("water", F.max(F.when(F.col("level") * F.col("weight") <= F.col("source_size") * most, F.col("level"))).over(everything))
     target = F.least((F.col("source_size") * most).cast("double"), F.col("water") * F.col("weight"))
     return src.select("source", "source_size", "weight", F.when(F.col("source_size") > 0, F.coalesce(target, F.lit(0.0))).otherwise(0.0).alias("target"))
 
@@ -129,13 +129,13 @@ def mix(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """One row for each draw of a document: its columns, with ``mix_shard``, ``mix_pass`` and ``mix_words``.
 
     The text of the at most one document per source that a target cuts is the
-    words taken of it. Shards are written by one task group each, in a
+    words taken of it, joined by spaces. Shards are written by one task group each, in a
     locally shuffled order.
     """
     taken = draws(docs, shards, seed).where(F.size("drawn") > 0).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("key").alias("_key"), F.explode("drawn").alias("_d"))
     taken = taken.dropDuplicates(["_id", "_size", "_d"]) if "doc_id" in docs.columns else taken
     rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"]))
-    short = F.regexp_extract(F.col("text"), F.concat(F.lit(r"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]*){"), F.col("_d.words").cast("string"), F.lit("}")), 0)
+    short = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("_d.words").cast("int")), " ")
     cols = [F.when(F.col("_d.words") < F.col("_size"), short).otherwise(F.col("text")).alias("text") if c == "text" else docs[c] for c in docs.columns]
     rows = rows.select(*cols, F.col("_d.shard").alias("mix_shard"), F.col("_d.pass").alias("mix_pass"), F.col("_d.words").alias("mix_words"), F.md5(F.concat_ws(":", "_key", F.col("_d.pass").cast("string")).cast("binary")).alias("_order"))
     salt = F.pmod(F.xxhash64("_order"), F.lit(8))
@@ -155,7 +155,7 @@ WITH sized AS (
 ), s2 AS (
   SELECT *, ((sum(source_size) OVER ())::DOUBLE * 1.5 - coalesce(sum(source_size) OVER (ORDER BY source_size / weight, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE * 2)
     / (sum(weight) OVER (ORDER BY source_size / weight, encode(source) NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS lev FROM s1
-), s3 AS (SELECT *, min(CASE WHEN lev * weight <= source_size * 2 THEN lev END) OVER () AS water FROM s2
+), s3 AS (SELECT *, max(CASE WHEN lev * weight <= source_size * 2 THEN lev END) OVER () AS water FROM s2
 ), s4 AS (SELECT source, source_size, CASE WHEN source_size > 0 THEN coalesce(least((source_size * 2)::DOUBLE, water * weight), 0.0) ELSE 0.0 END AS target FROM s3
 ), src AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS passes,
