@@ -1,5 +1,59 @@
-"""The corpus pipeline."""
-STAGES = []
+"""The corpus pipeline: quality rules, near-duplicates, repeated strings, benchmark passages, then the mix.
+
+Each stage is one operator applied to all that its predecessor kept. All but
+the last return the columns of ``documents``; the last adds the shard, the
+pass and the words of each draw. No SQL expresses the repeated-string stage,
+so ``run`` is tested against a brute-force version instead.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from plumbline.llm import decontaminate, minhash, mixing, quality, storage, suffixes
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no rule of the policy rejects."""
+    return quality.keep_documents(docs, "v1")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group."""
+    return minhash.drop_duplicates(docs)
+
+
+def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the bytes of repeated 200-byte strings."""
+    return suffixes.remove_repeats(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark passage to speak of."""
+    return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each draw of a document into a shard of the mix."""
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("quality rules", keep_quality),
+    ("near-duplicates", drop_near_duplicates),
+    ("repeated strings", remove_repeats),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+]
+
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``, each result written to the shared folder and read again by the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = storage.materialize(docs, name.replace(" ", "-"))
+    return docs
