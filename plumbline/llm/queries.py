@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, minhash, mixing, quality, suffixes
+from . import decontaminate, minhash, mixing, quality, suffixes, toxicity
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_quality_rules": quality.op4_quality_rules,
     "op7_near_duplicates": minhash.op7_near_duplicates,
     "op9_decontamination": decontaminate.op9_decontamination,
