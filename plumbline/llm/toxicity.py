@@ -301,8 +301,8 @@ def _platt(judged: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     b[:-1] = np.maximum(b[:-1], 0.0)
     logit = x @ b
     low, high = np.quantile(logit[~y], 0.999), np.quantile(logit[y], 0.05)
-    if high > low:  # where the kinds lie apart, the threshold goes between them, nearer to the clean
-        b[-1] += np.log(THRESHOLD / (1 - THRESHOLD)) - (low + 0.4 * (high - low))
+    if high > low:  # where the kinds lie apart, the threshold comes down between them, nearer to the clean
+        b[-1] += max(0.0, np.log(THRESHOLD / (1 - THRESHOLD)) - (low + 0.25 * (high - low)))
     return b[:-1], float(b[-1])
 
 
