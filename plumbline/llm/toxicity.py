@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .storage import materialize
 
 #: Most labelled texts of each kind that training takes, smallest hash first.
 SAMPLE = 2000
@@ -221,7 +222,7 @@ def _spoilt(word: bytes, rng: np.random.Generator) -> list[bytes]:
 
 def train(texts: list[str], toxic: list[int]) -> Model:
     """Fits the machine on labelled texts."""
-    flat = Model(np.zeros(_TABLE), -1.0, np.array([1.0, 0.0, 0.0]), -1.0)
+    flat = Model(np.zeros(_TABLE, np.float32), -1.0, np.array([1.0, 0.0, 0.0]), -1.0)
     y = np.array(toxic, bool)
     if not y.any() or y.all():
         return flat
@@ -265,7 +266,7 @@ def train(texts: list[str], toxic: list[int]) -> Model:
         cost = np.concatenate([np.full(len(witness), 8.0), np.full(len(spoilt), 8.0), np.full(len(x_good), 4.0)])
         w = _svm(x, sign, cost)
         alpha = root @ w[:-1]
-        weights = np.zeros(_TABLE)
+        weights = np.zeros(_TABLE, np.float32)
         for a, l in zip(alpha, landmarks):
             for c, v in l.items():
                 weights[c] += a * v
@@ -318,19 +319,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Per document held_out, score and predicted. One narrow pass; the model is a table of fixed size."""
+    """Per document held_out, score and predicted. One narrow pass, written at once so that its Arrow batches may be small; the model is a table of fixed size."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id")
-            for lo, hi, data, offsets in K.slices(batch.column("text"), 4 * K.SLICE_BYTES):
+            for lo, hi, data, offsets in K.slices(batch.column("text")):
                 s = shared.value.scores(shared.value.judge(data, offsets))
                 own = ids.slice(lo, hi - lo)
                 out = K.crc_of_ids(own.to_pylist()) % 3 == 1
                 yield pa.RecordBatch.from_arrays([own, pa.array(out), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, RESULT)
+    return materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, RESULT), "scores")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
