@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, minhash, mixing, quality, suffixes, toxicity
+from . import decontaminate, html_text, lm_scoring, minhash, mixing, quality, suffixes, toxicity
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_quality_rules": quality.op4_quality_rules,
+    "op5_lm_scoring": lm_scoring.op5_lm_scoring,
     "op7_near_duplicates": minhash.op7_near_duplicates,
+    "op8_html_text": html_text.op8_html_text,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_suffix_dedup": suffixes.op10_suffix_dedup,
 }
