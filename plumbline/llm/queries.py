@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, lm_scoring, minhash, mixing, quality, suffixes, toxicity
+from . import decontaminate, html_text, licenses, lm_scoring, minhash, mixing, quality, suffixes, toxicity
 
 QUERIES = {
+    "op1_license_scan": licenses.op1_license_scan,
     "op2_mixing": mixing.op2_mixing,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_quality_rules": quality.op4_quality_rules,
@@ -15,6 +16,7 @@ QUERIES = {
     "op10_suffix_dedup": suffixes.op10_suffix_dedup,
 }
 ORACLE_SQL = {
+    "op1_license_scan": licenses.OP1_SQL,
     "op2_mixing": mixing.OP2_SQL,
     "op4_quality_rules": quality.OP4_SQL,
     "op7_near_duplicates": minhash.OP7_SQL,
