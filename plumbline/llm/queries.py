@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, licenses, lm_scoring, minhash, mixing, quality, suffixes, toxicity
+from . import chat, decontaminate, html_text, licenses, lm_scoring, minhash, mixing, quality, suffixes, toxicity
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_lm_scoring": lm_scoring.op5_lm_scoring,
+    "op6_chat_format": chat.op6_chat_format,
     "op7_near_duplicates": minhash.op7_near_duplicates,
     "op8_html_text": html_text.op8_html_text,
     "op9_decontamination": decontaminate.op9_decontamination,
