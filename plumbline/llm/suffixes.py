@@ -34,7 +34,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,7 +44,7 @@ from .storage import input_bytes, materialize, with_row_ids
 LENGTH = 200
 LEAD = 80
 SPAN = LENGTH - LEAD + 1
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 2 << 20
 _U = np.uint64
 ENTRY = np.dtype([("lead", "<u8"), ("span", "<u8"), ("row", "<i8"), ("at", "<i4"), ("back", "u1"), ("more", "u1"), ("whole", "u1")])
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -133,9 +132,9 @@ def _entries(n_buckets: int):
     return run
 
 
-def _resolve(pdf: pd.DataFrame) -> pd.DataFrame:
+def _resolve(table: pa.Table) -> pa.Table:
     """Of one bucket: covers (ask false) and the entries whose bytes are asked for."""
-    e = np.frombuffer(b"".join(pdf["entries"]), ENTRY)
+    e = np.concatenate([np.frombuffer(x.as_buffer(), ENTRY) for x in table.column("entries")])
     done = e[e["whole"] == 2]
     e, lead, span = _in_order(e[e["whole"] != 2])
     group, sort = np.cumsum(lead) - 1, np.cumsum(span) - 1
@@ -146,7 +145,7 @@ def _resolve(pdf: pd.DataFrame) -> pd.DataFrame:
     ask = span & (n_sorts[group] > 1) & (alone[group] > 0)
     cover = np.concatenate([done, e[whole]])
     both = np.concatenate([cover, e[ask]])
-    return pd.DataFrame({"row": both["row"], "at": both["at"], "back": both["back"].astype(np.int32), "more": both["more"].astype(np.int32), "ask": np.arange(len(both)) >= len(cover)})
+    return pa.table([pa.array(both["row"]), pa.array(both["at"]), pa.array(both["back"].astype(np.int32)), pa.array(both["more"].astype(np.int32)), pa.array(np.arange(len(both)) >= len(cover))], ["row", "at", "back", "more", "ask"])
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +241,7 @@ def covers(rows: DataFrame) -> DataFrame:
     """(row, spans): for each text with removed bytes its covered (from, to) stretches, in no order. rows: row, text."""
     n_buckets = max(64, math.ceil(input_bytes(rows) * 1.2 / BUCKET_BYTES))
     entries = rows.select("row", "text").mapInArrow(_entries(n_buckets), "bucket long, entries binary")
-    found = materialize(entries.groupBy("bucket").applyInPandas(_resolve, "row long, at int, back int, more int, ask boolean"), "suffixes")
+    found = materialize(entries.groupBy("bucket").applyInArrow(_resolve, "row long, at int, back int, more int, ask boolean"), "suffixes")
     settled = found.where("not ask").select("row", F.col("at").alias("from"), (F.col("at") + F.col("more") + LENGTH).alias("to"))
     asked = found.where("ask").groupBy("row").agg(F.collect_list(F.struct("at", "back", "more")).alias("asked"))
     suffixes = rows.select("row", "text").join(asked, "row").select("row", "text", "asked").mapInArrow(_fetch, "lead binary, suffix binary, before binary, row long, at int")
@@ -297,7 +296,7 @@ def _with_covers(docs: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame) -> DataFrame:
     """Per document its bytes, removed bytes and runs, and the sha256 of what is left."""
     rows = _with_covers(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    return rows.select("doc_id", "text", "spans").mapInArrow(_digests, RESULT)
+    return materialize(rows.select("doc_id", "text", "spans").mapInArrow(_digests, RESULT), "digests")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
