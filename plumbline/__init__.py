@@ -1,0 +1 @@
+"""Spark-native corpus verification and analytics."""
