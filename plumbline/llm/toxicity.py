@@ -275,7 +275,7 @@ def train(texts: list[str], toxic: list[int]) -> Model:
         ends = np.cumsum([len(v) for v in bad_words])
         margin = model.margins(joined, ends - [len(v) for v in bad_words], ends)
         # further witnesses: words of toxic texts alone that the machine puts clearly on that side unseen
-        grown = sorted({*witness, *(v for v, m in zip(bad_words, margin) if m > 0.8)}, key=lambda v: (-seen[v][1], v))[: 3 * LANDMARKS]
+        grown = sorted({*witness, *(v for v, m in zip(bad_words, margin) if m > 1.5)}, key=lambda v: (-seen[v][1], v))[: 3 * LANDMARKS]
         if set(grown) == set(witness):
             break
         witness = grown
