@@ -120,6 +120,14 @@ def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table
     return mix64((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The sorted distinct values."""
+    x = np.sort(x)
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    return x[new]
+
+
 def grams(hashes: np.ndarray, width: int) -> np.ndarray:
     """A hash of each run of ``width`` neighbours; runs that cross texts are for the caller to leave out."""
     n = len(hashes) - width + 1
@@ -152,10 +160,3 @@ def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def crc_of_ids(ids: list) -> np.ndarray:
     """crc32 of each id as text; a null id counts as the empty text."""
     return np.fromiter((zlib.crc32(b"" if x is None else str(x).encode()) for x in ids), np.int64, len(ids))
-
-
-def like(spark_df, *names: str):
-    """The dataframe with only the named columns, taken by exact position so that clashing extra names do no harm."""
-    from pyspark.sql import functions as F
-
-    return spark_df.select(*[F.col(f"`{n}`") for n in names])

@@ -62,7 +62,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
         elif b - a == 0:
             yield hashes[:0]
         else:
-            yield np.unique(pairs[a : b - 1])
+            yield K.distinct(pairs[a : b - 1])
 
 
 def signature(keys: np.ndarray) -> np.ndarray:
