@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .integrity import flag_status
+from .issues import issues
+
 
 def nest(rows: DataFrame, url: str, fields: list[str], order: list[str]) -> DataFrame:
     """(url, artifacts): the rows of each url as an array in order."""
@@ -38,3 +41,56 @@ def upsert(manifest: DataFrame, new: DataFrame) -> DataFrame:
 def summary(rows: DataFrame, column: str) -> DataFrame:
     """Counts by value, largest first, ties by value."""
     return rows.groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), column)
+
+
+# -- checks of the manifest. manifest: url, status, archive_status, wayback_date, wayback_skip, artifacts<format, path, sha256, extraction_type>
+#: The vocabularies of the manifest.
+STATUSES = ("archived", "403-blocked", "402-blocked", "pending")
+FORMATS = ("pdf", "html", "txt", "audio", "image", "video", "transcript")
+EXTRACTIONS = ("text-native", "ocr-scan", "extraction-lossy")
+
+
+def archive_status(rows: DataFrame) -> DataFrame:
+    """Flag bits against what is archived, and a snapshot of what is to be skipped."""
+    local = (F.col("status") == "archived") & (F.coalesce(F.size("artifacts"), F.lit(0)) > 0)
+    remote = F.coalesce(F.col("wayback_date"), F.lit("")) != ""
+    flag = flag_status(F.col("archive_status"), F.coalesce(local, F.lit(False)), remote)
+    both = F.when(F.coalesce("wayback_skip", F.lit(False)) & remote & F.col("archive_status").between(0, 3), "skipped but has a snapshot")
+    found = rows.withColumn("_m", F.explode(F.array_compact(F.array(flag, both))))
+    return issues(found, F.col("url"), F.concat(F.lit("archive_status: "), F.col("_m")), "manifest_archive_status")
+
+
+def value_enums(rows: DataFrame) -> DataFrame:
+    """status, format and extraction_type in their vocabularies, where they are set."""
+    each = rows.select("url", F.explode_outer("artifacts").alias("a"))
+    out = issues(rows.where(~F.col("status").isin(*STATUSES)), F.col("url"), F.concat(F.lit("invalid status: "), F.col("status")), "manifest_value_enums")
+    for name, allowed in (("format", FORMATS), ("extraction_type", EXTRACTIONS)):
+        bad = each.where(~F.col(f"a.{name}").isin(*allowed))
+        out = out.unionByName(issues(bad, F.col("url"), F.concat(F.lit(f"invalid {name}: "), F.col(f"a.{name}")), "manifest_value_enums"))
+    return out
+
+
+def artifact_shape(rows: DataFrame) -> DataFrame:
+    """One row a url, one artifact a path (one url naming it twice counts), artifacts exactly where it is archived."""
+    urls = rows.groupBy("url").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    paths = rows.select("url", F.explode("artifacts.path").alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.min("url").alias("url")).where("n > 1")
+    has = F.coalesce(F.size("artifacts"), F.lit(0)) > 0
+    odd = rows.where(has != F.coalesce(F.col("status") == "archived", F.lit(False)))
+    out = issues(urls, F.col("url"), F.lit("url occurs more than once"), "manifest_artifact_shape")
+    out = out.unionByName(issues(paths, F.col("url"), F.concat(F.lit("path occurs more than once: "), F.col("p")), "manifest_artifact_shape"))
+    return out.unionByName(issues(odd, F.col("url"), F.lit("artifacts do not agree with status"), "manifest_artifact_shape"))
+
+
+def checksums(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """Artifacts that are missing, have no digest, or another one. files: path, sha256."""
+    each = rows.select("url", F.explode("artifacts").alias("a")).select("url", F.col("a.path").alias("path"), F.col("a.sha256").alias("stored"))
+    live = files.select("path", F.col("sha256").alias("live"), F.lit(True).alias("there"))
+    message = F.when(F.col("there").isNull(), "file missing").when(F.col("stored").isNull(), "no sha256").when(F.col("stored") != F.col("live"), "sha256 mismatch")
+    bad = each.join(live, "path", "left").withColumn("_m", message).where("_m is not null")
+    return issues(bad, F.col("url"), F.concat(F.col("path"), F.lit(": "), F.col("_m")), "manifest_checksums")
+
+
+def refreshed(rows: DataFrame) -> DataFrame:
+    """The rows with their flag bits recomputed."""
+    local = F.coalesce((F.col("status") == "archived") & (F.size("artifacts") > 0), F.lit(False))
+    return rows.withColumn("archive_status", local.cast("int") + 2 * (F.coalesce(F.col("wayback_date"), F.lit("")) != "").cast("int"))
