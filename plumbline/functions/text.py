@@ -32,9 +32,16 @@ def html_unescape(text: pd.Series) -> pd.Series:
 
 
 def decode_entities(text: Column) -> Column:
+    """References decoded; texts without an ampersand, the most, are not searched further."""
+    out = text
     for name, char in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+        out = F.replace(out, F.lit(name), F.lit(char))
+    return F.when(F.contains(text, F.lit("&")), out).otherwise(text)
+
+
+def mapped(text: Column, chars: str, to: str) -> Column:
+    """Single characters replaced, in those texts that have any of them."""
+    return F.when(text.rlike(f"[{chars}]"), F.translate(text, chars, to)).otherwise(text)
 
 
 def collapse(text: Column) -> Column:
@@ -59,7 +66,7 @@ def normalize_for_compare(text: Column, entities: bool = True) -> Column:
 def significant_tokens(text: Column) -> Column:
     """The sorted distinct significant tokens of a text."""
     text = F.regexp_replace(decode_entities(text), r"\[`/[^`]+`\]", "")
-    text = F.translate(F.regexp_replace(text, r"[*_`]", " "), "—–", " -")
+    text = mapped(mapped(text, "*_`", "   "), "—–", " -")
     words = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9][a-z0-9\-']+"), F.lit(0))
     words = F.transform(words, lambda w: F.rtrim(F.regexp_replace(w, r"'s$", ""), F.lit("'")))
     words = F.filter(words, lambda w: F.length(w) >= 3)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .verbatim import blocks
+
 BITS = 64
 
 
@@ -45,11 +47,17 @@ def close_pairs(hashes: DataFrame, most: int) -> DataFrame:
 def nearest(items: DataFrame, baselines: DataFrame, most: int) -> DataFrame:
     """Each item with its nearest baseline within so many bits; the first listed wins ties. items: id, bits; baselines: ord, identity, bits.
 
-    Baselines are a stated set; every item is compared with each of them, in
-    one pass over the items.
+    Baselines are a stated set; every item is compared with each of them, a
+    bounded block of them at a time.
     """
     base = baselines.select("ord", "identity", as_long(F.col("bits")).alias("bh"))
-    found = items.select("id", as_long(F.col("bits")).alias("h")).join(base, hamming(F.col("h"), F.col("bh")) <= most)
+    each = items.select("id", as_long(F.col("bits")).alias("h"))
+    found = None
+    for part in blocks(base, "ord"):
+        near = each.join(part, hamming(F.col("h"), F.col("bh")) <= most)
+        found = near if found is None else found.union(near)
+    if found is None:
+        return items.select("id", F.lit(None).cast("string").alias("identity"), F.lit(None).cast("int").alias("dist"))
     best = found.groupBy("id").agg(F.min(F.struct(hamming(F.col("h"), F.col("bh")).alias("dist"), "ord", "identity")).alias("b"))
     return items.select("id").join(best, "id", "left").select("id", F.col("b.identity").alias("identity"), F.col("b.dist").alias("dist"))
 

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.storage import written
+
+#: Most rows of a stated set that are broadcast at once.
+BLOCK = 10_000
+
 
 def spread(df: DataFrame) -> DataFrame:
     """A scan of fewer partitions than there are cores, dealt out evenly; larger scans are left alone."""
@@ -12,6 +20,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def blocks(rows: DataFrame, key: str, size: int = BLOCK) -> Iterator[DataFrame]:
+    """A stated set in parts of about ``size`` rows, each to be broadcast by itself; none for an empty set."""
+    n = math.ceil(rows.count() / size)
+    for k in range(n):
+        yield F.broadcast(rows.where(F.pmod(F.xxhash64(key), F.lit(n)) == k))
+
+
 def containment(texts: DataFrame, passages: DataFrame, text_key: str = "doc_id", passage_key: str = "item_id") -> DataFrame:
     """(text key, passage key) of normalized passages that stand inside normalized texts. Both tables: key, norm.
 
@@ -24,16 +39,30 @@ def containment(texts: DataFrame, passages: DataFrame, text_key: str = "doc_id",
     """
     words = F.split("norm", " ")
     inner = passages.where(F.size(words) >= 3).select(passage_key, "norm", F.explode(F.array_distinct(F.slice(words, F.lit(2), F.size(words) - 2))).alias("word"))
-    found = texts.select(text_key, F.explode(F.array_distinct(words)).alias("word")).join(inner.select("word").distinct(), "word", "left_semi")
+    found = written(texts.select(text_key, F.explode(F.array_distinct(words)).alias("word")).join(inner.select("word").distinct(), "word", "left_semi"), "words")
     rarity = found.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     counted = inner.join(rarity, "word", "left").groupBy(passage_key).agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word")).alias("best"))
     keys = counted.where("best.df > 0").select(passage_key, F.col("best.word").alias("word"))
     pairs = found.join(keys, "word").select(text_key, passage_key)
     named = passages.select(passage_key, F.col("norm").alias("passage"))
     long = pairs.join(named, passage_key).join(texts.select(text_key, "norm"), text_key).where(F.instr(F.col("norm"), F.col("passage")) > 0)
-    brief = named.where(F.size(F.split("passage", " ")) < 3)
-    short = texts.join(brief, F.expr("instr(norm, passage) > 0 or passage = ''"))
-    return long.select(text_key, passage_key).union(short.select(text_key, passage_key))
+    out = long.select(text_key, passage_key)
+    for part in blocks(named.where(F.size(F.split("passage", " ")) < 3), passage_key):
+        out = out.union(texts.join(part, F.expr("instr(norm, passage) > 0 or passage = ''")).select(text_key, passage_key))
+    return out
+
+
+def inside_words(tokens: DataFrame, words: DataFrame) -> DataFrame:
+    """The tokens (form, without spaces) that stand inside some word. Both meet on the token's first three letters, or on all of a shorter one."""
+    out = None
+    for k in (1, 2, 3):
+        asked = tokens.where(F.length("form") == k if k < 3 else F.length("form") >= 3).withColumn("g", F.substring("form", 1, k))
+        starts = F.sequence(F.lit(1), F.length("word") - (k - 1))
+        grams = words.where(F.length("word") >= k).select("word", F.explode(F.array_distinct(F.transform(starts, lambda i: F.col("word").substr(i, F.lit(k))))).alias("g"))
+        grams = grams.join(asked.select("g").distinct(), "g", "left_semi")
+        hit = grams.join(asked, "g").where(F.instr(F.col("word"), F.col("form")) > 0).select("form").distinct()
+        out = hit if out is None else out.union(hit)
+    return out
 
 
 def uncovered(parts: DataFrame, quotes: DataFrame, keys: list[str]) -> DataFrame:

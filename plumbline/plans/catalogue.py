@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.storage import written
 from ..operators import integrity, issues, manifest, ordering, render, rules, similarity, timeline, verbatim
 from ..sources import files
 from . import sql as S
@@ -31,7 +32,8 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def _norm(df: DataFrame, key: str) -> DataFrame:
-    return verbatim.spread(df.select(key, "text")).select(key, X.normalize_for_compare(F.col("text")).alias("norm"))
+    """Normalized once and stored, as the texts are looked at more than once."""
+    return written(verbatim.spread(df.select(key, "text")).select(key, X.normalize_for_compare(F.col("text")).alias("norm")), "norm")
 
 
 _PAIRS = f"""d AS (SELECT doc_id, {S.normalized('text')} AS n FROM documents), b AS (SELECT item_id, {S.normalized('text')} AS n FROM benchmark),
@@ -57,7 +59,7 @@ _LINES = f"l AS (SELECT doc_id, i, {S.normalized('line')} AS n FROM (SELECT doc_
 SELECT doc_id, count(*)::BIGINT AS n_uncovered FROM l WHERE NOT EXISTS (SELECT 1 FROM b WHERE contains(l.n, b.n) OR contains(b.n, l.n)) GROUP BY doc_id""")
 def paragraph_coverage_gap(spark, sf):
     lines = verbatim.spread(_t(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).where(F.length("line") >= 120)
-    lines = lines.select(F.concat_ws(":", "doc_id", "i").alias("lid"), "doc_id", X.normalize_for_compare(F.col("line")).alias("norm"))
+    lines = written(lines.select("doc_id", X.normalize_for_compare(F.col("line")).alias("norm")), "lines")
     items = _norm(_t(spark, sf, "benchmark"), "item_id")
     forms = lines.select("norm").distinct().select(F.col("norm").alias("form"), "norm")
     inside = verbatim.containment(forms, items, "form", "item_id").select("form")
@@ -101,11 +103,14 @@ def vocab_check(spark, sf):
 @query()
 def description_drift_tokens(spark, sf):
     """Tokens of each benchmark text that no document has as a substring; SQL engines differ on word borders here."""
-    items = _t(spark, sf, "benchmark").select("item_id", F.explode(verbatim.description_tokens(F.col("text"))).alias("token"))
-    forms = verbatim.spread(_t(spark, sf, "documents").select("text")).select(F.lower(X.normalize_for_compare(F.col("text"))).alias("norm"))
-    asked = items.select(F.lower(X.normalize_for_compare(F.col("token"))).alias("form")).distinct()
-    found = asked.join(forms, F.expr("instr(norm, form) > 0"), "left_semi")  # tokens may be parts of words, so there is no equality to join on
-    return items.withColumn("form", F.lower(X.normalize_for_compare(F.col("token")))).join(found, "form", "left_anti").select("item_id", "token")
+    items = written(_t(spark, sf, "benchmark").select("item_id", F.explode(verbatim.description_tokens(F.col("text"))).alias("token")).withColumn("form", F.lower(X.normalize_for_compare(F.col("token")))), "tokens")
+    norm = _norm(_t(spark, sf, "documents"), "doc_id").withColumn("norm", F.lower("norm"))
+    vocabulary = norm.select(F.explode(F.split("norm", " ")).alias("word")).distinct()
+    single = items.where(~F.contains("form", F.lit(" "))).select("form").distinct()
+    several = items.where(F.contains("form", F.lit(" "))).select("form").distinct()
+    held = verbatim.containment(norm, several.select("form", F.col("form").alias("norm")), "doc_id", "form").select("form")
+    found = verbatim.inside_words(single, vocabulary).union(held).distinct()
+    return items.where("form <> ''").join(found, "form", "left_anti").select("item_id", "token")
 
 
 @query()
@@ -379,8 +384,6 @@ def nearest_baseline(spark, sf):
 @query()
 def greedy_dedup(spark, sf):
     """Which vectors the order-dependent near-duplicate filter keeps."""
-    from ..functions.storage import written
-
     hashes = written(_bits(spark, sf).select("id", "bits"), "hashes")
     pairs = written(similarity.close_pairs(hashes, 16).select("a", "b"), "pairs")
     return similarity.greedy_keep(hashes.select("id"), pairs, lambda df: written(df, "greedy"))
