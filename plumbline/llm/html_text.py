@@ -249,3 +249,13 @@ def extract(pages: DataFrame) -> DataFrame:
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+#: The main text of pages of the tables' own making, whose text stands in one article; SQL has no parser for others.
+OP8_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|$)', 1), '<[/!?a-zA-Z][^<>]*$', '') AS x FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(x, '</?(?:p|h1|br)>', ' ', 'g'), '<[^>]+>', '', 'g') AS x FROM a),
+c AS (SELECT page_id, url, replace(replace(replace(replace(replace(replace(regexp_replace(x, '&amp$', '&amp;'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS x FROM b),
+t AS (SELECT page_id, url, trim(regexp_replace(x, '\s+', ' ', 'g'), ' ') AS text FROM c)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM t
+"""

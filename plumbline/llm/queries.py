@@ -21,5 +21,7 @@ ORACLE_SQL = {
     "op2_mixing": mixing.OP2_SQL,
     "op4_quality_rules": quality.OP4_SQL,
     "op7_near_duplicates": minhash.OP7_SQL,
+    "op8_html_text": html_text.OP8_SQL,
     "op9_decontamination": decontaminate.OP9_SQL,
+    "op10_suffix_dedup": suffixes.OP10_SQL,
 }

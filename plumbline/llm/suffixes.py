@@ -317,3 +317,18 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP10_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+w AS (SELECT rid, i, md5(substr(h, 2 * i + 1, 400)) AS g FROM (SELECT rid, h, unnest(generate_series(0, n - 200)) AS i FROM d WHERE n >= 200)),
+r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY g) AS c FROM w) WHERE c > 1),
+s AS (SELECT rid, i, CASE WHEN i <= lag(i) OVER (PARTITION BY rid ORDER BY i) + 200 THEN 0 ELSE 1 END AS new FROM r),
+k AS (SELECT rid, i, sum(new) OVER (PARTITION BY rid ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM s),
+sp AS (SELECT rid, min(i) AS a, max(i) + 200 AS b FROM k GROUP BY rid, run),
+seg AS (SELECT rid, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS x, a AS y FROM sp UNION ALL SELECT rid, max(b), max(n) FROM sp JOIN d USING (rid) GROUP BY rid),
+kept AS (SELECT rid, string_agg(substr(h, 2 * x + 1, 2 * (y - x)), '' ORDER BY x) AS kh FROM seg JOIN d USING (rid) GROUP BY rid),
+g AS (SELECT rid, sum(b - a)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans FROM sp GROUP BY rid)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kh, h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid) LEFT JOIN g USING (rid)
+"""
