@@ -149,8 +149,8 @@ def _resolve(table: pa.Table) -> pa.Table:
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        lead, before, row, at, back, more = [], [], [], [], [], []
+    for batch in _parts(batches):
+        lead, before, row, at = [], [], [], []
         texts, asked, rows = batch.column("text"), batch.column("asked"), batch.column("row").to_numpy()
         for i in range(batch.num_rows):
             raw = texts[i].as_buffer() if texts[i].is_valid else b""
@@ -270,6 +270,13 @@ def _kept(raw: memoryview, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(parts)
 
 
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches cut small, as each text of a part is copied more than once."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[memoryview, list[tuple[int, int]]]]:
     texts, spans = batch.column("text"), batch.column("spans")
     for i in range(batch.num_rows):
@@ -277,7 +284,7 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[memoryview, list[tuple[int,
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _parts(batches):
         n, gone, runs, sha = [], [], [], []
         for raw, spans in _texts(batch):
             n.append(len(raw))
@@ -304,7 +311,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     schema = docs.schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             text = [_kept(raw, spans).decode("utf-8", "ignore") if batch.column("text")[i].is_valid else None for i, (raw, spans) in enumerate(_texts(batch))]
             cols = [pa.array(text, pa.string()) if f.name == "text" else batch.column(f.name) for f in schema]
             if "n_chars" in schema.names:
