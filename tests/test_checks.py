@@ -110,8 +110,8 @@ def test_artifact_checks(spark, art):
 
 
 def test_cross_layer_checks(spark, art):
-    body = "# A\n## Description\nBob met Zed in 1999 at \"the quick\" place, per F-18.\n## Q\n> the quick brown fox\n[`/people/b`]\n## Associated Nodes\nold\n"
-    pairs = art.where("path = 'r/a.yaml'").withColumn("node_body", F.lit(body)).withColumn("source_text", F.lit("In 1999 the quick brown f-18"))
+    body = "# A\n## Description\nBob met Zed in 1999 at \"the quick\" place, per K-18.\n## Q\n> the quick brown fox\n[`/people/b`]\n## Associated Nodes\nold\n"
+    pairs = art.where("path = 'r/a.yaml'").withColumn("node_body", F.lit(body)).withColumn("source_text", F.lit("In 1999 the quick brown k-18"))
     assert found(artifacts.coverage(pairs), "message") == [("quotes[1]: not in the node: a slow fox",)]
     assert found(artifacts.stub_linking(pairs), "message") == [("not linked: /people/z",)]
     assert found(artifacts.description_drift(pairs), "message") == [("not in source: Zed",)]

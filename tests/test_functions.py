@@ -15,7 +15,7 @@ def one(spark, value, fn, kind="string"):
     return spark.createDataFrame([(value,)], f"x {kind}").select(fn(F.col("x")).alias("y")).first()["y"]
 
 
-def reference_form(t: str) -> str:
+def plain_form(t: str) -> str:
     t = html.unescape(t)
     for a, b in (("“", '"'), ("”", '"'), ("‘", "'"), ("’", "'"), ("—", "-"), ("–", "-"), (" ", " ")):
         t = t.replace(a, b)
@@ -29,7 +29,7 @@ CASES = ["“curly” ‘quotes’", "a b", "brand-\nnew", "[0:01] tick [1:02:03
 
 def test_normalize(spark):
     rows = spark.createDataFrame([(i, c) for i, c in enumerate(CASES)], "i int, x string").select("i", X.normalize_for_compare(F.col("x")).alias("y")).collect()
-    assert {r["i"]: r["y"] for r in rows} == {i: reference_form(c) for i, c in enumerate(CASES)}
+    assert {r["i"]: r["y"] for r in rows} == {i: plain_form(c) for i, c in enumerate(CASES)}
 
 
 @settings(max_examples=5, deadline=None)
@@ -37,12 +37,12 @@ def test_normalize(spark):
 def test_normalize_any(spark, texts):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, x string")
     rows = df.select("i", X.normalize_for_compare(F.col("x")).alias("y")).select("i", "y", X.normalize_for_compare(F.col("y")).alias("z")).collect()
-    assert all(r["y"] == reference_form(texts[r["i"]]) for r in rows)
+    assert all(r["y"] == plain_form(texts[r["i"]]) for r in rows)
 
 
 def test_tokens(spark):
-    got = one(spark, "Fravor's 'High' NRO—reservist F–18 of to the &#39;said&#39; `a_b` [`/x/y`] said", X.significant_tokens)
-    assert got == sorted({"fravor", "high", "nro", "reservist", "f-18", "said"})
+    got = one(spark, "Miller's 'High' ABC—reservist K–18 of to the &#39;said&#39; `a_b` [`/x/y`] said", X.significant_tokens)
+    assert got == sorted({"miller", "high", "abc", "reservist", "k-18", "said"})
 
 
 @pytest.mark.parametrize("raw,want", [("2004", (2004, 0, 0)), ("2004-11", (2004, 11, 0)), ("2004-11-14", (2004, 11, 14)), ("– 2021", (2021, 0, 0)), ("2010 to 2012", (2010, 0, 0)), ("TBD", None), ("Nov 2004", None), ("", None), ("2001–2003", (2001, 0, 0)), ("2004-11-14 - 2005", (2004, 11, 14))])
