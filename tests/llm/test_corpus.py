@@ -164,6 +164,18 @@ def test_spellings_are_a_distribution():
     assert 0.9 < sum(third.values()) <= 1 + 1e-6
 
 
+def test_every_word_teaches_the_weights():
+    """Each word alone moves the mixing weights, whatever its key, once its letters have been counted."""
+    text = b"the other hat mother another heather tea father that hath tether rather gather either neither lather whether feather"
+    tokens = lm_scoring.Tokens(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    for k in range(len(text.split())):
+        learner = lm_scoring.Learner()
+        learner.take(tokens, np.array([k]))
+        before = learner.weights.copy()
+        learner.take(tokens, np.array([k]))
+        assert learner.seen == 2 and not np.array_equal(learner.weights, before)
+
+
 def test_lm_beats_the_base(spark):
     """On held-out texts of the generator, with words enough to learn from."""
     rng = random.Random(11)
