@@ -7,9 +7,9 @@ forms, asides, adverts, notices, comments, by element, role, class or id) are
 marked as such and count as nothing. The ratio of letters to tags of each line
 is smoothed with a Gaussian, and the lines are clustered in two by a threshold
 on it: the dense lines show where the content is. The region is the innermost
-element that holds nearly all of their text, the densest ``article`` or
-``main`` first if there is one; all its unmarked lines, short ones too, are
-the text.
+element that holds nearly all of their text, or an ``article`` (``main``, if
+there is none) that holds most of it; all its unmarked lines, short ones too,
+and the dense unmarked lines outside it are the text.
 
 Defined results: null or empty html, and pages without unmarked text, give an
 empty text; a page cut off in a tag or reference is read up to there; equal
@@ -46,6 +46,8 @@ MARKS = re.compile(
 )
 #: Roles of parts other than the article.
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
+#: Words in the class of an article that tell of what stands beside it.
+_LAYOUT = re.compile(r"(?<!\S)(?:no|has|with|without)-\S+")
 _HEADER = re.compile(r"(?:^|[^a-z0-9])header(?:$|[^a-z0-9])")
 
 
@@ -83,10 +85,12 @@ class Lines(HTMLParser):
             return True
         if tag == "header" and not self._inside():
             return True
-        if tag in ("article", "main", "body", "html"):
+        if tag in ("body", "html"):
             return False
         for name, value in attrs:
             v = (value or "").lower()
+            if tag in ("article", "main"):
+                v = _LAYOUT.sub(" ", v)
             if name in ("class", "id"):
                 if MARKS.search(v) or (_HEADER.search(v) and not self._inside()):
                     return True
@@ -195,7 +199,6 @@ def region(lines: list[Line], kinds: dict[int, str]) -> list[Line]:
     density = smoothed(lines)
     border = threshold(density)
     mass: dict[int, float] = {}
-    named: dict[int, float] = {}
     total = 0.0
     for x, d in zip(lines, density):
         if x.marked:
@@ -204,27 +207,11 @@ def region(lines: list[Line], kinds: dict[int, str]) -> list[Line]:
         total += size
         for n in x.path:
             mass[n] = mass.get(n, 0.0) + size
-            if kinds[n] in ("article", "main"):
-                named[n] = named.get(n, 0.0) + size
-    articles = {n: m for n, m in named.items() if kinds[n] == "article"} or named
-    if articles:
-        best = max(articles, key=lambda n: (articles[n], -n))
-        if articles[best] >= 0.5 * sum(m for n, m in articles.items() if all(n == o or n not in p for o, p in _within(free, articles))):
-            return [x for x in free if best in x.path]
-        shared = [n for n, m in mass.items() if m >= 0.8 * sum(articles.values())]
-        return [x for x in free if max(shared, default=0) in x.path]
-    inner = max((n for n, m in mass.items() if m >= 0.8 * total), key=lambda n: n)
-    return [x for x in free if inner in x.path]
-
-
-def _within(free: list[Line], named: dict[int, float]) -> list[tuple[int, set[int]]]:
-    """Each named element with the named elements inside it."""
-    inside: dict[int, set[int]] = {n: set() for n in named}
-    for x in free:
-        own = [n for n in x.path if n in named]
-        for k, n in enumerate(own):
-            inside[n].update(own[k + 1 :])
-    return list(inside.items())
+    articles = [n for n in mass if kinds[n] == "article"] or [n for n in mass if kinds[n] == "main"]
+    best = max(articles, key=lambda n: (mass[n], -n), default=0)
+    if not articles or mass[best] <= 0.5 * total:
+        best = max(n for n, m in mass.items() if m >= 0.8 * total)
+    return [x for x, d in zip(lines, density) if not x.marked and (best in x.path or d > border)]
 
 
 def main_text(html: str | None) -> str:

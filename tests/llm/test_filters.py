@@ -95,6 +95,22 @@ def test_html(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_html_without_one_article():
+    """Teaser articles do not displace the main text, and text in several siblings is kept whole."""
+    body = [f"Sentence {k} of the main text, which goes on for a good while so that the line is dense." for k in range(12)]
+    main, teaser = "".join(f"<p>{b}</p>" for b in body), "<p>Read this next</p>"
+    for card in (f"<article class='card'>{teaser}</article>", f"<article class='comment'>{main.replace('Sentence', 'Reply')}</article>", f"<article class='teaser'>{teaser}</article>"):
+        menu = "<ul><li>One</li><li>Two</li><li>Three</li><li>Four</li></ul>"
+        for page in (f"<body><div>{main}</div>{menu}{card}</body>", f"<body>{card}{menu}<div>{main}</div></body>"):
+            assert html_text.main_text(page) == " ".join(body)
+    cut = "</div><div>".join("".join(f"<p>{b}</p>" for b in body[k : k + 3]) for k in range(0, 12, 3))
+    assert html_text.main_text(f"<body><section><div>{cut}</div></section><article>{teaser}</article></body>").startswith(" ".join(body))
+    parts = f"<article>{''.join(f'<p>{b}</p>' for b in body[:9])}</article><div>{''.join(f'<p>{b}</p>' for b in body[9:])}</div>"
+    assert html_text.main_text(f"<body>{menu}{parts}{menu}</body>").replace("One Two Three Four", "").strip() == " ".join(body)
+    assert html_text.main_text(f"<body>{menu}<div><div>{''.join(f'<p>{b}</p>' for b in body[:11])}</div></div><section><p>{body[11]}</p></section></body>") == " ".join(body)
+    assert html_text.main_text(f"<body><main class='post no-sidebar'>{main}</main></body>") == " ".join(body)
+
+
 def brute_cost(roles: list[int | None]) -> int:
     """The least cost over all choices, tried one by one."""
     best = 1 << 60
