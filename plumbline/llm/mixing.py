@@ -16,8 +16,8 @@ construction, and orders its documents by a hash.
 
 Defined results: a null text has no words and is never drawn; documents
 without an id are drawn like others; repeated rows are drawn each by itself;
-an empty table gives no rows; further columns pass through ``mix``. All
-draws depend on the data and the seed alone, so reruns agree.
+an empty table gives no rows; further columns pass through ``mix``, where a
+row number ties each row to its own draws. All draws depend on the data and the seed alone, so reruns agree.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .storage import materialize
+from .storage import materialize, with_row_ids
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -43,11 +43,14 @@ SHARDS = 32
 SEED = 17
 
 
+_CARRIED = ["row", "doc_id", "source", "digest"]
+
+
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, data, offsets in K.slices(batch.column("text")):
             counts = K.find_words(data, offsets, K.SPACED).counts
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("source").slice(lo, hi - lo), pa.array(counts, pa.int64())], ["doc_id", "source", "size"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in _CARRIED), pa.array(counts, pa.int64())], [*_CARRIED, "size"])
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -89,19 +92,26 @@ def _quotas(pdf: pd.DataFrame, shards: int, seed: int) -> pd.DataFrame:
 
 
 def draws(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """Per document: size, source_size, target, taken, and ``drawn``, an array of (pass, shard, words).
+    """Per document: size, source_size, target, taken, and ``drawn``, an array of (pass, shard, words)."""
+    return _draws(docs.select("doc_id", "source", "text", F.lit(0).cast("long").alias("row")), shards, seed).drop("row")
+
+
+def _draws(docs: DataFrame, shards: int, seed: int) -> DataFrame:
+    """The draws with the ``row`` of each document.
 
-    Only ids, sources and sizes are shuffled. The block keys spread a source
-    that holds any part of the rows over up to ``BLOCKS`` groups.
+    Only ids, sources, sizes and digests are shuffled. The block keys spread a source
+    that holds any part of the rows over up to ``BLOCKS`` groups. Where a target cuts a
+    block, rows alike in key, size and id stand in the order of their texts' digests.
     """
-    sized = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")).mapInArrow(_sizes, "doc_id long, source string, size long")
+    text = F.col("text").cast("string")
+    sized = docs.select("row", F.col("doc_id").cast("long"), F.col("source").cast("string"), F.xxhash64(text).alias("digest"), text.alias("text")).mapInArrow(_sizes, "row long, doc_id long, source string, digest long, size long")
     key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(str(seed))).cast("binary"))
     sized = materialize(sized.withColumn("key", key), "sizes")
     src = targets(sized)
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     src = src.withColumn("passes", full).withColumn("rest", F.round(F.col("target") - F.col("passes") * F.col("source_size")).cast("long"))
     src = materialize(src.withColumn("n_blocks", F.least(F.lit(BLOCKS), F.greatest(F.lit(1), F.ceil(F.col("source_size") / BLOCK_WORDS))).cast("long")), "sources")
-    rows = sized.join(src, sized["source"].eqNullSafe(src["source"])).select("doc_id", sized["source"], "size", "key", "source_size", "target", "passes", "rest", F.pmod(F.conv(F.substring("key", 1, 8), 16, 10).cast("long"), F.col("n_blocks")).alias("block"))
+    rows = sized.join(src, sized["source"].eqNullSafe(src["source"])).select("row", "doc_id", sized["source"], "digest", "size", "key", "source_size", "target", "passes", "rest", F.pmod(F.conv(F.substring("key", 1, 8), 16, 10).cast("long"), F.col("n_blocks")).alias("block"))
     rows = rows.withColumn("src", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("")))
     blocks = rows.groupBy("src", "block").agg(F.sum("size").alias("words"), F.first("source").alias("source"), F.first("passes").alias("passes"), F.first("rest").alias("rest"))
     order = W.partitionBy("src").orderBy(F.md5(F.concat_ws(":", "src", F.col("block").cast("string"), F.lit(str(seed))).cast("binary")), "block")
@@ -117,12 +127,12 @@ def draws(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     rows = rows.join(dealt, ["src", "block"], "left")
     straddles = (F.col("part") > 0) & (F.col("part") < F.col("block_words"))
     cut = rows.where(straddles)
-    inside = W.partitionBy("src", "block").orderBy("key", "size", "doc_id").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("src", "block").orderBy("key", "size", "doc_id", "digest", "row").rowsBetween(W.unboundedPreceding, -1)
     cut = cut.withColumn("in_part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("part") - F.coalesce(F.sum("size").over(inside), F.lit(0)))))
     whole = rows.where(~F.coalesce(straddles, F.lit(False))).withColumn("in_part", F.when(F.col("part") > 0, F.col("size")).otherwise(F.lit(0)).cast("long"))
     rows = cut.unionByName(whole)
     words = F.transform(F.coalesce(F.col("dealt"), F.array().cast("array<struct<pass:bigint,shard:int>>")), lambda d: F.struct(d["pass"].alias("pass"), d["shard"].alias("shard"), F.when(d["pass"] <= F.col("passes"), F.col("size")).otherwise(F.col("in_part")).alias("words")))
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("in_part")).alias("taken"), F.filter(words, lambda d: d["words"] > 0).alias("drawn"), "key")
+    return rows.select("row", "doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("in_part")).alias("taken"), F.filter(words, lambda d: d["words"] > 0).alias("drawn"), "key")
 
 
 def mix(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
@@ -132,14 +142,15 @@ def mix(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     words taken of it, joined by spaces. Shards are written by one task group each, in a
     locally shuffled order.
     """
-    taken = draws(docs, shards, seed).where(F.size("drawn") > 0).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("key").alias("_key"), F.explode("drawn").alias("_d"))
-    taken = taken.dropDuplicates(["_id", "_size", "_d"]) if "doc_id" in docs.columns else taken
-    rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"]))
+    docs = with_row_ids(docs, "_row")
+    drawn = _draws(docs.select("doc_id", "source", "text", F.col("_row").alias("row")), shards, seed)
+    taken = drawn.where(F.size("drawn") > 0).select("row", F.col("size").alias("_size"), F.col("key").alias("_key"), F.explode("drawn").alias("_d"))
+    rows = docs.join(taken, docs["_row"] == taken["row"])
     short = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("_d.words").cast("int")), " ")
-    cols = [F.when(F.col("_d.words") < F.col("_size"), short).otherwise(F.col("text")).alias("text") if c == "text" else docs[c] for c in docs.columns]
-    rows = rows.select(*cols, F.col("_d.shard").alias("mix_shard"), F.col("_d.pass").alias("mix_pass"), F.col("_d.words").alias("mix_words"), F.md5(F.concat_ws(":", "_key", F.col("_d.pass").cast("string")).cast("binary")).alias("_order"))
-    salt = F.pmod(F.xxhash64("_order"), F.lit(8))
-    return rows.repartition(F.col("mix_shard"), salt).sortWithinPartitions("mix_shard", "_order").drop("_order")
+    cols = [F.when(F.col("_d.words") < F.col("_size"), short).otherwise(F.col("text")).alias("text") if c == "text" else docs[c] for c in docs.columns if c != "_row"]
+    rows = rows.select(*cols, "_row", F.col("_d.shard").alias("mix_shard"), F.col("_d.pass").alias("mix_pass"), F.col("_d.words").alias("mix_words"), F.md5(F.concat_ws(":", "_key", F.col("_d.pass").cast("string")).cast("binary")).alias("_order"))
+    salt = F.pmod(F.xxhash64("_order", "_row"), F.lit(8))
+    return rows.repartition(F.col("mix_shard"), salt).sortWithinPartitions("mix_shard", "_order", "_row").drop("_order", "_row")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

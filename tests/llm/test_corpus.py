@@ -126,6 +126,21 @@ def test_mixing(spark, rows):
     assert mixing.draws(df.limit(0)).count() == 0 and mixing.mix(df.drop("target").limit(0)).count() == 0
 
 
+def test_mixing_of_rows_without_ids_and_repeats(spark, tmp_path):
+    """Each row has its own draws, however many share its id, size or text."""
+    rows = [(None, f"w{k} " * (k % 5 + 1), "en", "ab"[k % 2], 0) for k in range(40)] + [(7, "same text here", "en", "a", 0)] * 3 + [(k, prose(random.Random(k), 20), "en", "c", 0) for k in range(10, 40)]
+    df = spark.createDataFrame(rows, DOCS)
+    df.repartition(3).write.parquet(f"{tmp_path}/docs.parquet")
+    for docs in (df, spark.read.parquet(f"{tmp_path}/docs.parquet")):
+        got, mixed = mixing.draws(docs).collect(), mixing.mix(docs).collect()
+        assert mixing.mix(docs).columns == [*docs.columns, "mix_shard", "mix_pass", "mix_words"]
+        assert Counter((r["doc_id"], d["pass"], d["shard"], d["words"]) for r in got for d in r["drawn"]) == Counter((r["doc_id"], r["mix_pass"], r["mix_shard"], r["mix_words"]) for r in mixed)
+        assert all(len(words(r["text"], False)) == r["mix_words"] for r in mixed)
+        want = brute_targets({s: sum(len(words(r[1])) for r in rows if r[3] == s) for s in "abc"})
+        for s in "abc":
+            assert abs(sum(r["mix_words"] for r in mixed if r["source"] == s) - want[s]) <= 1
+
+
 def test_split_tree():
     rng = np.random.default_rng(1)
     counts = np.array([5, 0, 17, 100])
