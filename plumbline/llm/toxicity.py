@@ -7,10 +7,12 @@ is read as one word, as are runs of three or more one-letter words.
 
 A sentence is as toxic as its worst word, a text as its worst sentence,
 together with how many and what share of its words are on the toxic side. The
-machine is trained on the sentences of a bounded sample of labelled texts;
-a sentence of a toxic text need not hold the insult, so the words that bear
-the label are found by turns: those that several toxic texts and no other
-hold, then those that the machine fitted on them puts clearly on their side.
+machine is trained on the words of a bounded sample of labelled texts, not on
+their sentences: a sentence of a toxic text need not hold the insult, so the
+words that bear the label are found by turns: those that several toxic texts
+and no other hold, or toxic ones LIKELIER times as often as others, then those
+that the machine fitted on them puts clearly on their side. Words of fewer
+than three letters have no subsequence and teach nothing.
 The fitted function is linear in the kernel values at the landmarks, so it
 folds into one weight per subsequence, and scoring a word is a few dozen
 table look-ups for each letter.
@@ -39,6 +41,9 @@ SAMPLE = 2000
 LANDMARKS = 320
 NEGATIVES = 24_000
 SPOILT = 16
+#: How much likelier a word is in toxic texts than in others that are not without it.
+LIKELIER = 8
+SHORTEST = 3
 DECAY = 0.75
 REACH = 6
 THRESHOLD = 0.7
@@ -232,7 +237,7 @@ def train(texts: list[str], toxic: list[int]) -> Model:
         raw = letters.tobytes()
         own: list[set[bytes]] = [set() for _ in range(len(offsets) - 1)]
         for a, b, r in zip(starts.tolist(), ends.tolist(), rows.tolist()):
-            if b - a >= 4:
+            if b - a >= SHORTEST:
                 own[r].add(raw[a:b])
         bags += own
     seen: dict[bytes, list[int]] = {}
@@ -242,10 +247,12 @@ def train(texts: list[str], toxic: list[int]) -> Model:
     n_bad = int(y.sum())
     rng = np.random.default_rng(5)
     few = max(2 if n_bad < 60 else 3, round(0.01 * n_bad))
-    witness = sorted((w for w, (g, b) in seen.items() if b >= few and g == 0), key=lambda w: (-seen[w][1], w))[: LANDMARKS // 2]
+    odds = int((~y).sum()) / n_bad
+    bears = {w for w, (g, b) in seen.items() if b and (g == 0 or b >= few and b * odds >= LIKELIER * (g + 0.5))}
+    witness = sorted((w for w in bears if seen[w][1] >= few), key=lambda w: (-seen[w][1], w))[: LANDMARKS // 2]
     if not witness:
-        witness = sorted((w for w, (g, b) in seen.items() if b and g == 0), key=lambda w: (-seen[w][1], w))[:20]
-    good = sorted((w for w, (g, _) in seen.items() if g), key=lambda w: (-seen[w][0], w))
+        witness = sorted(bears, key=lambda w: (-seen[w][1], w))[:20]
+    good = sorted((w for w, (g, _) in seen.items() if g and w not in bears), key=lambda w: (-seen[w][0], w))
     if not witness or not good:
         return flat
     near = good[: LANDMARKS // 4] + [good[int(k)] for k in rng.choice(len(good), min(len(good), LANDMARKS // 4), replace=False)]
@@ -257,10 +264,10 @@ def train(texts: list[str], toxic: list[int]) -> Model:
     root = (vectors[:, ok] / np.sqrt(values[ok])).astype(np.float32)
     negatives = good if len(good) <= NEGATIVES else good[: NEGATIVES // 2] + [good[int(k)] for k in NEGATIVES // 2 + rng.choice(len(good) - NEGATIVES // 2, NEGATIVES // 2, replace=False)]
     x_good = _kernel(negatives, landmarks) @ root
-    bad_words = sorted(w for w, (g, b) in seen.items() if b and g == 0)
+    bad_words = sorted(bears)
     model = flat
     for turn in range(3):
-        spoilt = [s for w in witness[:SPOILT] for s in _spoilt(w, rng) if len(s) >= 4 and s not in seen]
+        spoilt = [s for w in [w for w in witness if len(w) > SHORTEST][:SPOILT] for s in _spoilt(w, rng) if len(s) >= 4 and s not in seen]
         x = np.vstack([_kernel(witness + spoilt, landmarks) @ root, x_good])
         sign = np.concatenate([np.ones(len(witness) + len(spoilt)), -np.ones(len(x_good))])
         cost = np.concatenate([np.full(len(witness), 8.0), np.full(len(spoilt), 8.0), np.full(len(x_good), 4.0)])
@@ -274,7 +281,7 @@ def train(texts: list[str], toxic: list[int]) -> Model:
         joined = np.frombuffer(b"".join(bad_words), np.uint8)
         ends = np.cumsum([len(v) for v in bad_words])
         margin = model.margins(joined, ends - [len(v) for v in bad_words], ends)
-        # further witnesses: words of toxic texts alone that the machine puts clearly on that side unseen
+        # further witnesses: words that bear the label and that the machine puts clearly on that side unseen
         grown = sorted({*witness, *(v for v, m in zip(bad_words, margin) if m > 1.5)}, key=lambda v: (-seen[v][1], v))[: 3 * LANDMARKS]
         if set(grown) == set(witness):
             break

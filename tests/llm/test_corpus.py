@@ -229,6 +229,20 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), none).count() == 0
 
 
+@pytest.mark.parametrize("insult", ["blockhead", "oaf"])
+def test_an_insult_that_clean_texts_quote(insult):
+    """A word of many toxic texts and one clean one, or of three letters, still bears the label."""
+    rng = random.Random(31)
+    texts = [prose(rng, 40) for _ in range(160)]
+    toxic = [int(k < 40) for k in range(160)]
+    for k in range(41):  # all toxic texts and one clean one
+        texts[k] = f"{texts[k]} {insult}"
+    model = toxicity.train(texts, toxic)
+    for text, want in ((f"{prose(rng, 30)} {insult} {prose(rng, 5)}", True), (prose(rng, 36), False)):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        assert (model.scores(model.judge(raw, np.array([0, len(raw)])))[0] >= toxicity.THRESHOLD) == want
+
+
 def test_pipeline(spark, rows, tmp_path):
     """Every stage does to its input what its brute-force version does."""
     rng = random.Random(21)
