@@ -87,7 +87,7 @@ def build(items: list[tuple[int, list[int]]], window: int = WINDOW) -> list[Tabl
 def _word_keys(column: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
     for lo, hi, data, offsets in K.slices(column):
         words = K.find_words(data, offsets, K.ALNUM)
-        hashes = K.segment_hashes(data, words.starts, words.ends, K.FOLDED).view(np.int64)
+        hashes = K.segment_hashes(data, words.starts, words.ends, K.FOLDED_BYTES).view(np.int64)
         yield lo, [hashes[words.first[k] : words.first[k + 1]] for k in range(hi - lo)]
 
 

@@ -40,10 +40,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-#: A random value for each byte; in FOLDED, A-Z have the values of a-z.
+#: A random value for each byte, for sums modulo 2**64 that only choose places and never decide that texts are equal.
 RAW = mix64(np.arange(1, 257, dtype=_U) * _U(_BASE))
-FOLDED = RAW.copy()
-FOLDED[65:91] = FOLDED[97:123]
 
 _powers: list[np.ndarray] = [np.ones(1, _U), np.ones(1, _U)]
 
@@ -111,13 +109,116 @@ def find_words(data: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> Wor
     return Words(starts, ends, np.searchsorted(starts, offsets))
 
 
+#: The prime 2**61 - 1 and a base drawn at random below it, of the hash of segments.
+_PRIME = (1 << 61) - 1
+_DRAWN = 0x0B5E3C91D47A268F % _PRIME
+_P, _S31, _S30, _S61 = _U(_PRIME), _U(31), _U(30), _U(61)
+_LOW31, _LOW30 = _U((1 << 31) - 1), _U((1 << 30) - 1)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo 2**61 - 1."""
+    x = (x & _P) + (x >> _S61)
+    return np.where(x >= _P, x - _P, x)
+
+
+def mulmod(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo 2**61 - 1, both below it."""
+    a1, a0, b1, b0 = a >> _S31, a & _LOW31, b >> _S31, b & _LOW31
+    mid = a1 * b0 + a0 * b1
+    return _reduced(((a1 * b1) << _U(1)) + (mid >> _S30) + ((mid & _LOW30) << _S31) + a0 * b0)
+
+
+_drawn: list[np.ndarray] = [np.ones(1, _U), np.ones(1, _U)]
+
+
+def _prime_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the drawn base and of its inverse, modulo the prime."""
+    for k, b in enumerate((_DRAWN, pow(_DRAWN, -1, _PRIME))):
+        p = _drawn[k]
+        while len(p) < n:
+            p = np.append(p, mulmod(p, np.full(len(p), pow(b, len(p), _PRIME), _U)))
+        _drawn[k] = p
+    return _drawn[0][:n], _drawn[1][:n]
+
+
+#: The value of each byte in the hash of segments; in FOLDED_BYTES, A-Z have the values of a-z.
+RAW_BYTES = np.arange(1, 257, dtype=_U)
+FOLDED_BYTES = RAW_BYTES.copy()
+FOLDED_BYTES[65:91] = FOLDED_BYTES[97:123]
+#: Bytes whose products with 30- and 31-bit numbers are summed before they are reduced, so that no sum overflows.
+_RUN = 1 << 24
+
+
 def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each segment, the same wherever it stands."""
+    """A 64-bit hash of the bytes of each segment, the same wherever it stands.
+
+    A polynomial modulo the prime 2**61 - 1 in a drawn base: two given segments of n bytes
+    agree for at most n of the 2**61 bases. Where a contract says equal, bytes are compared besides.
+    """
     n = len(data)
-    power, inverse = powers(n + 1)
-    total = np.zeros(n + 1, _U)
-    np.cumsum(table[data] * power[:n], out=total[1:])
-    return mix64((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
+    power, inverse = _prime_powers(n + 1)
+    low, high = np.zeros(n + 1, _U), np.zeros(n + 1, _U)
+    for a in range(0, n, _RUN):
+        b = min(n, a + _RUN)
+        v = table[data[a:b]]
+        np.cumsum(v * (power[a:b] & _LOW31), out=low[a + 1 : b + 1])
+        np.cumsum(v * (power[a:b] >> _S31), out=high[a + 1 : b + 1])
+        if a:
+            low[a + 1 : b + 1] += _reduced(low[a])
+            high[a + 1 : b + 1] += _reduced(high[a])
+    if n > _RUN:  # totals of later runs are reduced where they start, so differences are taken modulo the prime
+        low, high = _reduced(low), _reduced(high)
+        d_low, d_high = _reduced(low[ends] + (_P - low[starts])), _reduced(high[ends] + (_P - high[starts]))
+    else:
+        d_low, d_high = _reduced(low[ends] - low[starts]), _reduced(high[ends] - high[starts])
+    value = _reduced((d_high >> _S30) + ((d_high & _LOW30) << _S31) + d_low)
+    return mix64(mulmod(value, inverse[starts]) + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
+
+
+def equal_segments(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
+    """Whether the ``size`` bytes from a and from b are equal, for each pair; a table makes some bytes alike."""
+    out = np.ones(len(a), bool)
+    lo = 0
+    total = np.cumsum(size)
+    while lo < len(a):  # about a million bytes at a time
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + (1 << 20), "right")))
+        n = size[lo:hi]
+        which = np.repeat(np.arange(hi - lo), n)
+        at = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+        x, y = data[a[lo:hi][which] + at], data[b[lo:hi][which] + at]
+        bad = x != y if table is None else table[x] != table[y]
+        out[lo + which[bad]] = False
+        lo = hi
+    return out
+
+
+def classes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: np.ndarray | None = None) -> np.ndarray:
+    """A number for each segment, equal for two of them if and only if their bytes (and salts) are.
+
+    Segments are sorted by hash and each is compared, byte by byte, with the first of its hash;
+    the few that differ from it, if any ever do, are told apart by their bytes.
+    """
+    key = segment_hashes(data, starts, ends, RAW_BYTES)
+    if salt is not None:
+        key = key ^ salt
+    _, first, number = np.unique(key, return_index=True, return_inverse=True)
+    if len(first) == len(key):
+        return number
+    rep = first[number]
+    size = ends - starts
+    same = size == size[rep]
+    if salt is not None:
+        same &= salt == salt[rep]
+    check = np.flatnonzero(same & (rep != np.arange(len(rep))))
+    same[check] = equal_segments(data, starts[check], starts[rep[check]], size[check])
+    odd = np.flatnonzero(~same)
+    if len(odd):
+        own: dict[tuple, int] = {}
+        for i in odd.tolist():
+            k = (bytes(data[starts[i] : ends[i]]), None if salt is None else int(salt[i]))
+            number[i] = own.setdefault(k, len(first) + len(own))
+    return number
 
 
 def distinct(x: np.ndarray) -> np.ndarray:

@@ -52,7 +52,7 @@ def _probe(bins: np.ndarray, attempt: int) -> np.ndarray:
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
     """The sorted distinct shingle keys of each text of a slice."""
     words = K.find_words(data, offsets, K.SPACED)
-    hashes = K.segment_hashes(data, words.starts, words.ends, K.FOLDED)
+    hashes = K.segment_hashes(data, words.starts, words.ends, K.FOLDED_BYTES)
     pairs = K.grams(hashes, 2)
     first = words.first
     for k in range(len(offsets) - 1):

@@ -49,12 +49,16 @@ _WINDOW = 8
 
 def _repeats(keys: np.ndarray) -> np.ndarray:
     """Which keys occur more than once."""
-    order = np.argsort(keys, kind="stable")
-    same = keys[order][1:] == keys[order][:-1]
-    twice = np.zeros(len(keys), bool)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
-    return twice
+    _, number, count = np.unique(keys, return_inverse=True, return_counts=True)
+    return count[number] > 1
+
+
+def _window_classes(word: np.ndarray) -> np.ndarray:
+    """A number for each run of eight neighbouring words, equal for equal runs alone: pairs of words, of pairs and of fours are numbered in turn."""
+    for step in (1, 2, 4):
+        pair = word[:-step] * (int(word.max(initial=0)) + 1) + word[step:]
+        word = np.unique(pair, return_inverse=True)[1]
+    return word
 
 
 def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
@@ -62,7 +66,7 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     n_texts = len(offsets) - 1
     words = K.find_words(data, offsets, K.SPACED)
     rows = words.rows()
-    hashes = K.segment_hashes(data, words.starts, words.ends, K.RAW)
+    word = K.classes(data, words.starts, words.ends)
     salt = K.mix64(np.arange(1, n_texts + 1, dtype=np.uint64))
     out = {"n_words": words.counts}
     inside = K.SPACED[data]
@@ -74,13 +78,13 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     at = K.gram_starts(words, _WINDOW)
     cover = np.zeros(len(words.starts) + 1, np.int64)
     if len(at):
-        hit = at[_repeats(K.grams(hashes, _WINDOW)[at] ^ salt[rows[at]])]
+        hit = at[_repeats(_window_classes(word)[at] * n_texts + rows[at])]
         np.add.at(cover, hit, 1)
         np.add.at(cover, hit + _WINDOW, -1)
     out["n_repeat_words"] = K.sums(np.cumsum(cover)[:-1] > 0, words.first)
     # neighbouring equal words
-    same = np.zeros(len(hashes), bool)
-    same[1:] = (hashes[1:] == hashes[:-1]) & (rows[1:] == rows[:-1])
+    same = np.zeros(len(word), bool)
+    same[1:] = (word[1:] == word[:-1]) & (rows[1:] == rows[:-1])
     out["n_stutter"] = K.sums(same, words.first)
     # lines that hold a word and equal an earlier one
     lines = K.find_words(data, offsets, _NOT_NEWLINE)
@@ -88,7 +92,7 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     np.cumsum(inside, out=held[1:])
     full = held[lines.ends] > held[lines.starts]
     line_rows = lines.rows()[full]
-    keys = K.segment_hashes(data, lines.starts[full], lines.ends[full], K.RAW) ^ salt[line_rows]
+    keys = K.classes(data, lines.starts[full], lines.ends[full], salt[line_rows])
     _, once = np.unique(keys, return_index=True)
     total = np.bincount(line_rows, minlength=n_texts)
     out["n_lines"] = total

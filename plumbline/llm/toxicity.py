@@ -158,7 +158,7 @@ class Model:
         out[:, 0] = self.bias
         letters, starts, ends, rows = segments(data, offsets)
         if len(starts):
-            _, once, back = np.unique(K.segment_hashes(letters, starts, ends, K.RAW), return_index=True, return_inverse=True)
+            _, once, back = np.unique(K.segment_hashes(letters, starts, ends, K.RAW_BYTES), return_index=True, return_inverse=True)
             margin = self.margins(letters, starts[once], ends[once])[back]
             np.maximum.at(out[:, 0], rows, margin)
             bad = np.bincount(rows[margin > 0], minlength=n)

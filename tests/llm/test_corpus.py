@@ -35,8 +35,8 @@ def test_kernels():
             got += [[raw[a:b].decode() for a, b in zip(w.starts[i:j], w.ends[i:j])] for i, j in zip(w.first, w.first[1:])]
         assert got == [words(t, lower=False) for t in texts]
     data = np.frombuffer(b"abcABCabc", np.uint8)
-    a, b, c = kernels.segment_hashes(data, np.array([0, 3, 6]), np.array([3, 6, 9]), kernels.FOLDED)
-    assert a == b == c and a != kernels.segment_hashes(data, np.array([0]), np.array([2]), kernels.FOLDED)[0]
+    a, b, c = kernels.segment_hashes(data, np.array([0, 3, 6]), np.array([3, 6, 9]), kernels.FOLDED_BYTES)
+    assert a == b == c and a != kernels.segment_hashes(data, np.array([0]), np.array([2]), kernels.FOLDED_BYTES)[0]
 
 
 def test_near_duplicates(spark, rows):
@@ -279,3 +279,44 @@ def test_pipeline(spark, rows, tmp_path):
     for s, t in brute_targets(dict(sizes)).items():
         assert abs(taken[s] - t) <= 1
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == at.count()
+
+
+def thue_morse(n: int, letters: str = "ab") -> tuple[str, str]:
+    """Two different strings that agree under every polynomial modulo 2**64 once they are 1,024 letters long."""
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join(letters[b] for b in bits), "".join(letters[1 - b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_long_strings_that_deceive_a_hash(spark, n):
+    """Different words, lines and windows of 1,024 letters and more are told apart everywhere."""
+    a, b = thue_morse(n)
+    data = np.frombuffer((a + b + a).encode(), np.uint8)
+    at = np.array([0, n, 2 * n])
+    h = kernels.segment_hashes(data, at, at + n, kernels.RAW_BYTES)
+    assert h[0] == h[2] != h[1] and kernels.classes(data, at, at + n).tolist() in ([0, 1, 0], [1, 0, 1])
+    filler = [f"w{k}" for k in range(30)]
+    texts = [f"{a}\n{b}\n{' '.join(filler)}", f"{b}\n{a}\n{' '.join(filler)}", " ".join([a, *filler[:6], b] * 2), a, b, f"{a} {b}", f"{b} {a}"]
+    rows = [(k, t, "en", "a", len(t)) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, DOCS)
+    assert {r["doc_id"]: tuple(r[m] for m in quality.MEASURES[:5]) for r in quality.ledger(df).collect()} == {k: brute_quality(t) for k, t in enumerate(texts)}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.duplicate_groups(df).collect()}
+    assert got == brute_groups(rows)
+    items = [(1, a), (2, f"{b} {' '.join(filler[:5])}"), (3, " ".join(filler[:12]) + f" {b}")]
+    found = decontaminate.scan(df, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r["doc_id"]: tuple(r)[1:] for r in found} == {k: brute_contamination(t, items) for k, t in enumerate(texts)}
+    want = brute_repeats(texts)
+    assert {r["doc_id"]: tuple(r)[1:] for r in suffixes.repeats(df).collect()} == {k: (*w[:3], hashlib.sha256(w[3]).hexdigest()) for k, w in enumerate(want)}
+
+
+def test_runs_of_long_hashes(monkeypatch):
+    """Sums that are reduced on the way give the same hashes."""
+    data = np.frombuffer(("ab" * 300 + "ba" * 300).encode(), np.uint8)
+    at = np.arange(0, 900, 50)
+    want = kernels.segment_hashes(data, at, at + 120, kernels.RAW_BYTES)
+    monkeypatch.setattr(kernels, "_RUN", 64)
+    assert (kernels.segment_hashes(data, at, at + 120, kernels.RAW_BYTES) == want).all() and len(set(want[:10].tolist())) < 4
+    wide = np.full(1 << 16, 255, np.uint8)
+    monkeypatch.setattr(kernels, "_RUN", 1 << 24)
+    x = kernels.segment_hashes(wide, np.array([0, 5, 1000]), np.array([60000, 60005, 61000]), kernels.RAW_BYTES)
+    assert x[0] == x[1] == x[2]
