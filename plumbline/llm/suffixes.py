@@ -7,19 +7,19 @@ so the suffixes are sampled by content: of the 121 leads of 80 bytes in a
 have equal anchors at equal offsets, so suffixes at anchors suffice, about
 one in sixty, and each window belongs to one anchor.
 
-1. Every anchor's entry (lead hash, hash of the bytes all its windows span,
-   place) goes to the bucket of its lead. Buckets are ranges of the lead
-   order, split evenly as leads are hashed. Entries that agree within one
-   scan task are settled there, so a group of copies, however large, sends
-   one entry a task.
-2. In a bucket, entries with equal spans are settled whole. Those with an
-   equal lead but unlike spans (the ends of a repeated passage) ask for their
-   bytes.
+1. Every anchor's entry (lead hash, digest of the bytes all its windows span,
+   place) goes to the bucket of its lead. The lead hash only finds entries that
+   may be alike. Entries of equal digest (128 bits of BLAKE2b over the bytes) are
+   folded before anything is sorted, so a group of copies, however large, sends
+   one entry a task and one a bucket.
+2. In a bucket, leads with unlike entries (the ends of a repeated passage) ask
+   for their bytes. A lead asked for more than ``HOT`` times is split: its
+   windows go on as rows of their own.
 3. The asked-for suffixes are range-partitioned by their leading bytes with
-   Spark's sampled splitters, sorted locally by multikey quicksort, and the
-   windows of neighbours with a common lead compared. Splitters never divide
-   an equal lead; runs that go on into the next batch are carried over, so
-   neighbours across such borders are compared too.
+   Spark's sampled splitters. Splitters never divide equal leading bytes, and a
+   run that goes on into the next batch is carried over. Of each run the
+   suffixes at all its window starts are sorted by multikey quicksort, and two
+   neighbours in that order whose common prefix is 200 bytes are a repeat.
 
 Defined results: a null text is empty and keeps the hash of no bytes; texts
 shorter than 200 bytes are kept whole; repeated rows repeat each other and
@@ -45,8 +45,12 @@ LENGTH = 200
 LEAD = 80
 SPAN = LENGTH - LEAD + 1
 BUCKET_BYTES = 2 << 20
+#: Entries of one lead that are compared together; the windows of a lead with more are rows of their own.
+HOT = 1024
+#: Window starts that are sorted at once, beyond one lead.
+CROWD = 1 << 16
 _U = np.uint64
-ENTRY = np.dtype([("lead", "<u8"), ("span", "<u8"), ("row", "<i8"), ("at", "<i4"), ("back", "u1"), ("more", "u1"), ("whole", "u1")])
+ENTRY = np.dtype([("lead", "<u8"), ("span", "<u8"), ("span2", "<u8"), ("row", "<i8"), ("at", "<i4"), ("back", "u1"), ("more", "u1"), ("whole", "u1")])
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -81,7 +85,9 @@ def anchors(data: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> np.ndarr
     lo, hi, at = starts[first], starts[last], a[first]
     out = np.zeros(len(first), ENTRY)
     out["lead"] = leads[at]
-    out["span"] = K.mix64((total[hi + LENGTH] - total[lo]) * inverse[lo] + ((hi - lo) * 256 + at - lo).astype(_U))
+    raw, digest = memoryview(data), hashlib.blake2b
+    spans = b"".join([digest(raw[x:y], digest_size=16, salt=z.to_bytes(2, "little")).digest() for x, y, z in zip(lo.tolist(), (hi + LENGTH).tolist(), ((hi - lo) * 256 + at - lo).tolist())])
+    out["span"], out["span2"] = np.frombuffer(spans, "<u8").reshape(-1, 2).T
     out["row"] = rows[t[first]]
     out["at"] = lo - offsets[t[first]]
     out["back"] = at - lo
@@ -91,11 +97,11 @@ def anchors(data: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> np.ndarr
 
 def _in_order(e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Entries sorted by lead and span, with the marks where a lead and where a span begins."""
-    e = e[np.lexsort((e["span"], e["lead"]))]
+    e = e[np.lexsort((e["span2"], e["span"], e["lead"]))]
     lead = np.ones(len(e), bool)
     lead[1:] = e["lead"][1:] != e["lead"][:-1]
     span = lead.copy()
-    span[1:] |= e["span"][1:] != e["span"][:-1]
+    span[1:] |= (e["span"][1:] != e["span"][:-1]) | (e["span2"][1:] != e["span2"][:-1])
     return e, lead, span
 
 
@@ -143,78 +149,112 @@ def _resolve(table: pa.Table) -> pa.Table:
     whole = (many[sort] > 1) | (e["whole"] == 1)
     alone = np.bincount(group[~whole], minlength=group[-1] + 1) if len(e) else group
     ask = span & (n_sorts[group] > 1) & (alone[group] > 0)
+    hot = n_sorts[group] > HOT
     cover = np.concatenate([done, e[whole]])
     both = np.concatenate([cover, e[ask]])
-    return pa.table([pa.array(both["row"]), pa.array(both["at"]), pa.array(both["back"].astype(np.int32)), pa.array(both["more"].astype(np.int32)), pa.array(np.arange(len(both)) >= len(cover))], ["row", "at", "back", "more", "ask"])
+    hot = np.append(np.zeros(len(cover), bool), hot[ask])
+    return pa.table([pa.array(both["row"]), pa.array(both["at"]), pa.array(both["back"].astype(np.int32)), pa.array(both["more"].astype(np.int32)), pa.array(np.arange(len(both)) >= len(cover)), pa.array(hot)], ["row", "at", "back", "more", "ask", "hot"])
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes that the asked-for windows span, keyed by their lead; of a hot lead each window by itself, keyed by all its bytes."""
     for batch in _parts(batches):
-        lead, before, row, at = [], [], [], []
+        key, span, row, at = [], [], [], []
         texts, asked, rows = batch.column("text"), batch.column("asked"), batch.column("row").to_numpy()
         for i in range(batch.num_rows):
-            raw = texts[i].as_buffer() if texts[i].is_valid else b""
-            raw = memoryview(raw)
+            raw = memoryview(texts[i].as_buffer() if texts[i].is_valid else b"")
             for x in asked[i].as_py():
-                a = x["at"] + x["back"]
-                lead.append(bytes(raw[a : x["at"] + x["more"] + LENGTH]))
-                before.append(bytes(raw[x["at"] : a]))
-                row.append(rows[i])
-                at.append(x["at"])
-        yield pa.RecordBatch.from_arrays([pa.array([s[:LEAD] for s in lead], pa.binary()), pa.array(lead, pa.binary()), pa.array(before, pa.binary()), pa.array(row, pa.int64()), pa.array(at, pa.int32())], ["lead", "suffix", "before", "row", "at"])
-
-
-def multikey_quicksort(strings: list[bytes]) -> list[int]:
-    """The order of the strings, three-way partitioned on one 8-byte symbol at a time."""
-    width = max(1, math.ceil(max(map(len, strings), default=1) / 8))
-    grid = np.frombuffer(b"".join(s.ljust(8 * width, b"\0") for s in strings), ">u8").reshape(len(strings), width)
-    length = np.array([len(s) for s in strings])
-    out: list[int] = []
-    todo = [(np.arange(len(strings)), 0)]
-    while todo:
-        idx, depth = todo.pop()
-        if len(idx) < 2 or depth == width:
-            out += idx[np.argsort(length[idx], kind="stable")].tolist()
-            continue
-        symbol = grid[idx, depth]
-        pivot = symbol[len(symbol) // 2]
-        for part, d in ((idx[symbol > pivot], depth), (idx[symbol == pivot], depth + 1), (idx[symbol < pivot], depth)):
-            if len(part):
-                todo.append((part, d))
-    return out
-
-
-def _windows(lead: list[bytes], suffix: list[bytes], before: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Which (entry, window) of sorted entries occur more than once among the entries of an equal lead."""
-    whole = [b + s for b, s in zip(before, suffix)]
-    size = np.array([len(w) for w in whole])
-    offsets = np.append(0, np.cumsum(size))
-    data = np.frombuffer(b"".join(whole), np.uint8)
-    run = np.zeros(len(lead), np.int64)
-    for i in range(1, len(lead)):
-        run[i] = run[i - 1] + (lead[i] != lead[i - 1])
+                a = x["at"]
+                if x["hot"]:
+                    own = [bytes(raw[w : w + LENGTH]) for w in range(a, a + x["more"] + 1)]
+                    key += own
+                    span += own
+                    at += range(a, a + x["more"] + 1)
+                    row += [rows[i]] * len(own)
+                else:
+                    key.append(bytes(raw[a + x["back"] : a + x["back"] + LEAD]))
+                    span.append(bytes(raw[a : a + x["more"] + LENGTH]))
+                    at.append(a)
+                    row.append(rows[i])
+        for lo in range(0, len(key), 4096):
+            hi = lo + 4096
+            yield pa.RecordBatch.from_arrays([pa.array(key[lo:hi], pa.binary()), pa.array(span[lo:hi], pa.binary()), pa.array(row[lo:hi], pa.int64()), pa.array(at[lo:hi], pa.int32())], ["key", "span", "row", "at"])
+
+
+def symbols(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place as one big-endian number; past the end stand zeros."""
+    out = np.append(data, np.zeros(8, np.uint8)).astype(_U)
+    for step in (1, 2, 4):
+        out = (out[:-step] << _U(8 * step)) | out[step:]
+    return out[: len(data)]
+
+
+def multikey_quicksort(symbol: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes at ``starts``, by their first ``depth`` symbols, and the symbols each shares with the one before it.
+
+    Bentley and Sedgewick's three-way partitioning on one symbol at a time, the median of
+    three its pivot. All open partitions are split in one pass: those below and above the
+    pivot stay at their symbol, those equal to it go on to the next one.
+    """
+    n = len(starts)
+    order = np.arange(n)
+    common = np.zeros(n, np.int64)
+    place, part = np.arange(n), np.zeros(n, np.int64)  # of the open suffixes their places and partitions
+    level = np.zeros(min(n, 1), np.int64)  # of the open partitions their symbols
+    while len(place) > 1:
+        at = starts[order[place]] + 8 * level[part]
+        value = symbol[at]
+        size = np.bincount(part, minlength=len(level))
+        first = np.cumsum(size) - size
+        a, b, c = value[first], value[first + size // 2], value[first + size - 1]
+        pivot = np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))[part]
+        side = (value >= pivot).astype(np.int64) + (value > pivot)
+        new = part * 3 + side
+        by = np.argsort(new, kind="stable")
+        order[place] = order[place[by]]
+        new = new[by]
+        begins = np.append(True, new[1:] != new[:-1])
+        own = np.cumsum(begins) - 1
+        kind = new[begins]
+        level = level[kind // 3] + (kind % 3 == 1)
+        inner = ~begins  # neighbours in one partition share at least its symbols
+        common[place[inner]] = level[own[inner]]
+        count = np.bincount(own)
+        open_ = (count > 1) & (level < depth)
+        go = open_[own]
+        place = place[go]
+        part = (np.cumsum(open_) - 1)[own[go]]
+        level = level[open_]
+    return order, common
+
+
+def repeated_windows(spans: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(span, place) of the windows that occur at more than one place of the spans.
+
+    The suffixes at all window starts are sorted; neighbours whose common prefix fills a window are equal.
+    """
+    size = np.array([len(s) for s in spans])
+    data = np.frombuffer(b"".join(spans), np.uint8)
     n = size - LENGTH + 1
-    entry = np.repeat(np.arange(len(n)), n)
-    window = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    start = offsets[entry] + window
-    back = np.array([len(b) for b in before])[entry] - window
-    key = K.segment_hashes(data, start, start + LENGTH, K.RAW) ^ K.mix64((run[entry] * 512 + back + LENGTH).astype(_U))
-    order = np.argsort(key, kind="stable")
-    same = key[order][1:] == key[order][:-1]
-    twice = np.zeros(len(key), bool)
+    which = np.repeat(np.arange(len(n)), n)
+    window = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    starts = (np.cumsum(size) - size)[which] + window
+    depth = LENGTH // 8
+    order, common = multikey_quicksort(symbols(data), starts, depth)
+    same = common[1:] == depth
+    twice = np.zeros(len(starts), bool)
     twice[order[1:][same]] = True
     twice[order[:-1][same]] = True
-    return entry[twice], window[twice]
+    return which[twice], window[twice]
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Covers from suffixes that arrive in the order of their leads; the last lead of a batch is carried to the next."""
+    """Covers from spans that arrive in the order of their keys; the last key of a batch is carried to the next."""
 
     def settle(rows: list[tuple]) -> pa.RecordBatch:
-        rows = [rows[i] for i in multikey_quicksort([r[1] for r in rows])]
-        entry, window = _windows([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows])
-        row = np.array([r[3] for r in rows], np.int64)[entry]
-        at = np.array([r[4] for r in rows], np.int64)[entry] + window
+        which, window = repeated_windows([r[1] for r in rows])
+        row = np.array([r[2] for r in rows], np.int64)[which]
+        at = np.array([r[3] for r in rows], np.int64)[which] + window
         order = np.lexsort((at, row))
         row, at = row[order], at[order]
         new = np.ones(len(row), bool)
@@ -224,15 +264,14 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(row[first]), pa.array(at[first], pa.int32()), pa.array(at[last] + LENGTH, pa.int32())], ["row", "from", "to"])
 
     held: list[tuple] = []
+    windows = 0
     for batch in batches:
-        for lo in range(0, batch.num_rows, 4096):
-            held += list(zip(*(c.to_pylist() for c in batch.slice(lo, 4096).columns)))
-            cut = len(held)
-            while cut and held[cut - 1][0] == held[-1][0]:
-                cut -= 1
-            if cut:
-                yield settle(held[:cut])
-                held = held[cut:]
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if windows >= CROWD and row[0] != held[-1][0]:
+                yield settle(held)
+                held, windows = [], 0
+            held.append(row)
+            windows += len(row[1]) - LENGTH + 1
     if held:
         yield settle(held)
 
@@ -241,12 +280,12 @@ def covers(rows: DataFrame) -> DataFrame:
     """(row, spans): for each text with removed bytes its covered (from, to) stretches, in no order. rows: row, text."""
     n_buckets = max(64, math.ceil(input_bytes(rows) * 1.2 / BUCKET_BYTES))
     entries = rows.select("row", "text").mapInArrow(_entries(n_buckets), "bucket long, entries binary")
-    found = materialize(entries.groupBy("bucket").applyInArrow(_resolve, "row long, at int, back int, more int, ask boolean"), "suffixes")
+    found = materialize(entries.groupBy("bucket").applyInArrow(_resolve, "row long, at int, back int, more int, ask boolean, hot boolean"), "suffixes")
     settled = found.where("not ask").select("row", F.col("at").alias("from"), (F.col("at") + F.col("more") + LENGTH).alias("to"))
-    asked = found.where("ask").groupBy("row").agg(F.collect_list(F.struct("at", "back", "more")).alias("asked"))
-    suffixes = rows.select("row", "text").join(asked, "row").select("row", "text", "asked").mapInArrow(_fetch, "lead binary, suffix binary, before binary, row long, at int")
+    asked = found.where("ask").groupBy("row").agg(F.collect_list(F.struct("at", "back", "more", "hot")).alias("asked"))
+    suffixes = rows.select("row", "text").join(asked, "row").select("row", "text", "asked").mapInArrow(_fetch, "key binary, span binary, row long, at int")
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
-    suffixes = materialize(suffixes, "asked").repartitionByRange(parts, "lead").sortWithinPartitions("lead")
+    suffixes = materialize(suffixes, "asked").repartitionByRange(parts, "key").sortWithinPartitions("key")
     compared = suffixes.mapInArrow(_compare, "row long, `from` int, `to` int")
     return settled.union(compared).groupBy("row").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
 
@@ -294,32 +333,37 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _with_covers(docs: DataFrame) -> DataFrame:
+def _with_covers(docs: DataFrame, text: str) -> DataFrame:
+    """The rows, whose columns have names of this module's own, with their covered stretches as ``spans``."""
     rows = with_row_ids(docs, "_row")
-    spans = covers(rows.select(F.col("_row").alias("row"), F.col("text").cast("string").alias("text")))
+    spans = covers(rows.select(F.col("_row").alias("row"), F.col(text).cast("string").alias("text")))
     return rows.join(spans.withColumnRenamed("row", "_row"), "_row", "left")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """Per document its bytes, removed bytes and runs, and the sha256 of what is left."""
-    rows = _with_covers(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    rows = _with_covers(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "text")
     return materialize(rows.select("doc_id", "text", "spans").mapInArrow(_digests, RESULT), "digests")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """The documents with all their columns, the repeated bytes cut out of the text; a character cut in two goes whole."""
-    schema = docs.schema
+    """The documents with all their columns, whatever their names, the repeated bytes cut out of the text; a character cut in two goes whole."""
+    schema, names = docs.schema, docs.columns
+    own = [f"c{k}" for k in range(len(names))]
+    text = own[names.index("text")]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(batches):
-            text = [_kept(raw, spans).decode("utf-8", "ignore") if batch.column("text")[i].is_valid else None for i, (raw, spans) in enumerate(_texts(batch))]
-            cols = [pa.array(text, pa.string()) if f.name == "text" else batch.column(f.name) for f in schema]
-            if "n_chars" in schema.names:
-                cols[schema.names.index("n_chars")] = pa.array([None if t is None else len(t) for t in text], pa.int64())
-            yield pa.RecordBatch.from_arrays(cols, [f.name for f in schema])
-
-    rows = _with_covers(docs)
-    return rows.select(*[F.col(f"`{f.name}`") for f in schema], "spans").mapInArrow(cut, schema)
+            given = batch.column(text)
+            batch_ = pa.RecordBatch.from_arrays([given, batch.column("spans")], ["text", "spans"])
+            left = [_kept(raw, spans).decode("utf-8", "ignore") if given[i].is_valid else None for i, (raw, spans) in enumerate(_texts(batch_))]
+            cols = [pa.array(left, pa.string()) if c == text else batch.column(c) for c in own]
+            if "n_chars" in names and schema["n_chars"].dataType.typeName() == "long":
+                cols[names.index("n_chars")] = pa.array([None if t is None else len(t) for t in left], pa.int64())
+            yield pa.RecordBatch.from_arrays(cols, names)
+
+    rows = _with_covers(docs.toDF(*own), text)
+    return rows.select(*own, "spans").mapInArrow(cut, schema)
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

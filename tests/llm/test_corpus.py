@@ -87,21 +87,66 @@ def test_repeated_strings(spark, seed):
     rows = corpus(seed)
     texts = [r[1] for r in rows] + ["é" * 300, "aé" * 150, rows[7][1][500:900] + "!" + rows[7][1][650:1000], "z" * 199, "z" * 200, rows[12][1][:230], rows[12][1][30:260]]
     texts += ["".join(rng.choice("ab") for _ in range(500)), texts[20], texts[20]]
-    df = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], DOCS).repartition(5).withColumn("spans", F.lit("clash"))
+    df = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], DOCS).repartition(5).withColumn("spans", F.lit("clash")).withColumn("_row", F.lit(1)).withColumn("row", F.lit("c")).withColumn("n_bytes", F.lit(2))
     got = {r["doc_id"]: tuple(r)[1:] for r in suffixes.repeats(df).collect()}
     want = brute_repeats(texts)
     assert got == {i: (*w[:3], hashlib.sha256(w[3]).hexdigest()) for i, w in enumerate(want)} and sum(w[1] for w in want) > 5000
-    cut = {r["doc_id"]: r["text"] for r in suffixes.remove_repeats(df.drop("spans")).collect()}
+    cut = {r["doc_id"]: r["text"] for r in suffixes.remove_repeats(df).collect()}
+    assert suffixes.remove_repeats(df).columns == df.columns
     assert cut == {i: None if t is None else w[3].decode("utf-8", "ignore") for i, (t, w) in enumerate(zip(texts, want))}
     assert suffixes.repeats(df.limit(0)).count() == 0
 
 
 def test_multikey_quicksort():
+    """The order and the common prefixes are those of plain sorting."""
     rng = random.Random(6)
-    strings = [bytes(rng.choice(b"ab\0") for _ in range(rng.randrange(0, 40))) for _ in range(300)] + [b"same" * 9] * 5
-    order = suffixes.multikey_quicksort(strings)
-    assert sorted(order) == list(range(len(strings)))
-    assert [strings[i].ljust(40, b"\0") for i in order] == sorted(s.ljust(40, b"\0") for s in strings)
+    text = bytes(rng.choice(b"ab\0") for _ in range(900)) + b"same" * 90 + bytes(rng.choice(b"xyz") for _ in range(50)) * 4
+    data = np.frombuffer(text, np.uint8)
+    for starts in (np.arange(len(text) - 40), np.array([rng.randrange(len(text) - 40) for _ in range(300)]), np.array([5]), np.zeros(0, np.int64)):
+        order, common = suffixes.multikey_quicksort(suffixes.symbols(data), starts, 5)
+        got = [text[a : a + 40] for a in starts[order]]
+        assert sorted(order) == list(range(len(starts))) and got == sorted(got)
+        for x, y, c in zip(got, got[1:], common[1:]):
+            assert c == next((k for k in range(5) if x[8 * k : 8 * k + 8] != y[8 * k : 8 * k + 8]), 5)
+
+
+def ends_of_passages() -> list[tuple]:
+    """Passages of over 50 words in texts that differ before and behind, so that their ends are left to the sort."""
+    rng = random.Random(77)
+    passage = [prose(rng, 70), prose(rng, 60)]
+    return [(k, f"{prose(rng, rng.randint(5, 60))} {passage[k % 2]} {prose(rng, rng.randint(5, 60))}", "en", "a", 0) for k in range(24)]
+
+
+def digest_rows(texts: list[str]) -> dict:
+    return {k: (*w[:3], hashlib.sha256(w[3]).hexdigest()) for k, w in enumerate(brute_repeats(texts))}
+
+
+@pytest.mark.parametrize("hot", [1024, 3])
+def test_leads_of_many_texts(spark, monkeypatch, hot):
+    """A lead that more texts share than are compared together is split into windows, with the same result."""
+    monkeypatch.setattr(suffixes, "HOT", hot)
+    rows = ends_of_passages()
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffixes.repeats(spark.createDataFrame(rows, DOCS).repartition(3)).collect()}
+    assert got == digest_rows([r[1] for r in rows])
+
+
+def test_the_sort_decides_repeats(spark, monkeypatch):
+    """Without the sort, or without the comparison of neighbours, repeated strings go unfound."""
+    rows = ends_of_passages()
+    spans = [r[1].encode()[a : a + 300] for r in rows for a in range(0, max(1, len(r[1].encode()) - 320), 90)]
+    whole = set(zip(*map(np.ndarray.tolist, suffixes.repeated_windows(spans))))
+    seen = Counter(s[i : i + 200] for s in spans for i in range(len(s) - 199))
+    assert whole == {(k, i) for k, s in enumerate(spans) for i in range(len(s) - 199) if seen[s[i : i + 200]] > 1}
+    real = suffixes.multikey_quicksort
+
+    def unsorted(symbol, starts, depth):
+        order = np.arange(len(starts))
+        alike = [all(symbol[a + 8 * k] == symbol[b + 8 * k] for k in range(depth)) for a, b in zip(starts, starts[1:])]
+        return order, np.append(0, np.array(alike, np.int64) * depth)
+
+    for broken in (unsorted, lambda s, a, d: (real(s, a, d)[0], np.zeros(len(a), np.int64))):
+        monkeypatch.setattr(suffixes, "multikey_quicksort", broken)
+        assert len(suffixes.repeated_windows(spans)[0]) < len(whole) / 2
 
 
 def test_mixing(spark, rows):
