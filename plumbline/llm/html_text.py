@@ -2,16 +2,21 @@
 
 The standard library's parser streams events; nothing but the list of lines
 is kept. A line is the text between two block boundaries, with the number of
-tags met in it. Lines inside elements that announce something else (menus,
-forms, asides, adverts, notices, comments, by element, role, class or id) are
-marked as such and count as nothing. The ratio of letters to tags of each line
-is smoothed with a Gaussian, and the lines are clustered in two by a threshold
-on it: the dense lines show where the content is. The region is the innermost
-element that holds nearly all of their text, or an ``article`` (``main``, if
-there is none) that holds most of it; all its unmarked lines, short ones too,
-and the dense unmarked lines outside it are the text.
-
-Defined results: null or empty html, and pages without unmarked text, give an
+tags met in it. Its ratio is that of its letters outside links to its tags,
+times a weight that elements, roles and class words give it: nought in what
+never holds the article (menus, forms, asides, scripts, hidden parts), a
+hundredth where a whole class word or a cookie phrase announces something
+else. The ratios are smoothed with a Gaussian, which reaches less far into
+other elements and never lifts a line above its own weight, and a threshold
+clusters them in two: the dense lines are the content.
+
+Short lines of the content are dense by their neighbours or are told by their
+place: the region is the innermost element that holds nearly all of the dense
+text, or an ``article`` (``main``, if there is none) that holds most of it.
+Inside an article all lines of full weight are taken; elsewhere those that
+share an element with a dense line or stand between such.
+
+Defined results: null or empty html, and pages without text, give an
 empty text; a page cut off in a tag or reference is read up to there; equal
 pages give equal texts; an empty table gives no rows; further columns are not
 looked at.
@@ -19,8 +24,10 @@ looked at.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -30,6 +37,9 @@ from pyspark.sql import functions as F
 
 FEED = 1 << 16
 SIGMA = 1.5
+#: How far the Gaussian reaches into another element, and the weight of lines whose class or words announce something else.
+ACROSS = 0.2
+SOFT = 0.01
 RESULT = "page_id long, url string, text string, n_chars long"
 
 #: Elements that never hold the article's own words.
@@ -38,101 +48,120 @@ SKIPPED = frozenset("script style noscript template nav aside footer form button
 BLOCKS = frozenset("address article aside blockquote body br button canvas caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav noscript object ol option p pre section select summary table tbody td template textarea tfoot th thead title tr ul video".split())
 #: Elements that hold others and are closed by their own end tag.
 CONTAINERS = frozenset("article aside blockquote body center details dialog div dl fieldset figure footer form header html main menu nav noscript ol section select table template textarea ul button iframe svg canvas object audio video map head title script style".split())
-#: Words in a class or id that announce something other than the article.
-MARKS = re.compile(
-    r"(?:^|[^a-z0-9])(?:ad|ads|adbox|adslot|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent\w*|gdpr|notice|notices|notification|alert|popup|pop-up|modal|overlay|newsletter|subscri\w+|signup|sign-up|"
-    r"sidebar\w*|side-bar|side|rail|widget\w*|related\w*|recommend\w*|read-more|more-links|share|sharing|social\w*|comment\w*|disqus\w*|reply|replies|respond|discussion|responses|menu\w*|nav|navbar|navigation|nav\w*|breadcrumb\w*|"
-    r"topbar|masthead|site-header|page-header|footer\w*|foot|copyright|legal|toolbar|pagination|pager|login|search\w*|tags|taglist|skip-link|disclaimer|teaser\w*|trending|popular)(?:$|[^a-z0-9])"
-)
+#: Words of a class or id that announce something other than the article.
+MARKS = frozenset("ad ads advert advertisement advertising adsbygoogle adbox adslot sponsor sponsored sponsors promo promotion promoted banner cookie cookies consent gdpr notice notices notification notifications alert popup modal overlay newsletter subscribe subscription signup sidebar sidebars side rail widget widgets related recommended recommendations share sharing social comment comments disqus reply replies respond responses discussion menu menus nav navbar navigation breadcrumb breadcrumbs topbar masthead footer foot copyright legal toolbar pagination pager login search searchbox tags taglist skip disclaimer teaser teasers trending popular".split())
+#: Words that say nothing beside one of MARKS.
+FILLERS = frozenset("area articles bar block body bottom box button buttons btn card cards center column container content element footer form global group header icons id inline inner item items js label large left link links list local main media message module more name news outer page panel post posts primary right row secondary section site slot small stories story text top unit up widget wrap wrapper".split())
 #: Roles of parts other than the article.
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
-#: Words in the class of an article that tell of what stands beside it.
-_LAYOUT = re.compile(r"(?<!\S)(?:no|has|with|without)-\S+")
-_HEADER = re.compile(r"(?:^|[^a-z0-9])header(?:$|[^a-z0-9])")
+#: Elements without content.
+VOID = frozenset("br hr img input meta link wbr source col embed".split())
+#: What a notice about cookies says.
+NOTICE = re.compile(r"\b(?:we|this (?:web)?(?:site|page)) uses? cookies\b|\b(?:accept|allow|reject) (?:all )?cookies\b|\bcookie (?:policy|settings|preferences)\b", re.I)
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+
+
+@functools.lru_cache(1 << 14)
+def announces(value: str, inside: bool) -> bool:
+    """Whether a whole word of a class or id, all its parts known, names something other than the article; a header does outside an article."""
+    for token in value.split():
+        parts = [p for p in re.split(r"[^a-z]+", _CAMEL.sub("-", token).lower()) if p]
+        marks = [p in MARKS or (p == "header" and not inside) for p in parts]
+        if any(marks) and all(m or p in FILLERS for m, p in zip(marks, parts)):
+            return True
+    return False
 
 
 class Line:
-    __slots__ = ("path", "text", "tags", "marked")
+    __slots__ = ("box", "text", "tags", "linked", "weight")
+
+    def __init__(self, box: int, text: str, tags: int, linked: int, weight: float):
+        self.box, self.text, self.tags, self.linked, self.weight = box, text, tags, linked, weight
 
-    def __init__(self, path: tuple[int, ...], text: str, tags: int, marked: bool):
-        self.path, self.text, self.tags, self.marked = path, text, tags, marked
+    def ratio(self) -> float:
+        return max(0, len(self.text) - self.linked) / max(1, self.tags) * self.weight
 
 
 class Lines(HTMLParser):
-    """Collects the lines of a page from parser events."""
+    """Collects the lines of a page, and its elements, each with its kind and the one around it."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.stack: list[tuple[str, int, bool]] = [("", 0, False)]  # element, number, marked
-        self.kinds: dict[int, str] = {0: ""}
-        self.path: tuple[int, ...] = (0,)
+        self.kinds: list[str] = [""]
+        self.parents: list[int] = [0]
+        self.stack: list[tuple[str, int, float]] = [("", 0, 1.0)]  # element, number, weight
+        self.open: Counter = Counter()
         self.parts: list[str] = []
-        self.tags = 0
+        self.tags = self.linked = self.links = 0
 
     def cut(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append(Line(self.path, text, self.tags, self.stack[-1][2]))
+            _, box, weight = self.stack[-1]
+            self.lines.append(Line(box, text, self.tags, self.linked, weight * SOFT if NOTICE.search(text) else weight))
             self.tags = 0
-        self.parts = []
+        self.parts, self.linked = [], 0
 
     def _inside(self) -> bool:
-        return any(k in ("article", "main") for k, _, _ in self.stack)
+        return self.open["article"] + self.open["main"] > 0
 
-    def _marked(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        if tag in SKIPPED:
-            return True
-        if tag == "header" and not self._inside():
-            return True
+    def _weight(self, tag: str, attrs: list[tuple[str, str | None]]) -> float:
+        if tag in SKIPPED or (tag == "header" and not self._inside()):
+            return 0.0
         if tag in ("body", "html"):
-            return False
+            return 1.0
+        out = 1.0
         for name, value in attrs:
-            v = (value or "").lower()
-            if tag in ("article", "main"):
-                v = _LAYOUT.sub(" ", v)
+            v = value or ""
             if name in ("class", "id"):
-                if MARKS.search(v) or (_HEADER.search(v) and not self._inside()):
-                    return True
-            elif name == "role" and v in ROLES or name == "hidden" or name == "aria-hidden" and v == "true":
-                return True
-            elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v):
-                return True
-        return False
+                if announces(v, self._inside() or tag in ("article", "main")):
+                    out = SOFT
+            elif name == "role" and v.lower() in ROLES or name == "hidden" or name == "aria-hidden" and v.lower() == "true":
+                return 0.0
+            elif name == "style" and _HIDDEN.search(v.lower()):
+                return 0.0
+        return out
+
+    def _push(self, kind: str, weight: float) -> None:
+        self.kinds.append(kind)
+        self.parents.append(self.stack[-1][1])
+        self.stack.append((kind, len(self.kinds) - 1, min(weight, self.stack[-1][2])))
+        self.open[kind] += 1
+
+    def _pop(self) -> None:
+        self.open[self.stack.pop()[0]] -= 1
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
         if tag in BLOCKS:
             self.cut()
-        marked = bool(attrs or tag in SKIPPED or tag == "header") and self._marked(tag, attrs)
+        if tag == "a":
+            self.links += 1
+        weight = self._weight(tag, attrs) if attrs or tag in SKIPPED or tag == "header" else 1.0
         if tag in ("body", "article", "main"):  # an unclosed head or title ends here
             while self.stack[-1][0] in ("head", "title"):
                 self._pop()
         if tag in CONTAINERS:
-            n = len(self.kinds)
-            self.kinds[n] = "main" if tag != "article" and any(k == "role" and v == "main" for k, v in attrs) else tag
-            self.stack.append((self.kinds[n], n, marked or self.stack[-1][2]))
-            self.path = (*self.path, n)
-        elif marked and tag not in ("br", "hr", "img", "input", "meta", "link", "wbr", "source", "col", "embed"):
+            self._push("main" if tag != "article" and any(k == "role" and v == "main" for k, v in attrs) else tag, weight)
+        elif weight < 1 and tag not in VOID:
             self.cut()
-            n = len(self.kinds)
-            self.kinds[n] = tag
-            self.stack.append((tag, n, True))
-            self.path = (*self.path, n)
+            self._push(tag, weight)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
         if tag in BLOCKS:
             self.cut()
 
-    def _pop(self) -> None:
-        self.stack.pop()
-        self.path = self.path[:-1]
-
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         if tag in BLOCKS:
             self.cut()
+        if tag == "a":
+            self.links = max(0, self.links - 1)
+        if not self.open[tag] and not (tag in ("div", "section") and self.open["main"]):
+            return
         for k in range(len(self.stack) - 1, 0, -1):
             kind = self.stack[k][0]
             if kind == tag or (kind == "main" and tag in ("main", "div", "section")):
@@ -145,6 +174,8 @@ class Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         self.parts.append(data)
+        if self.links:
+            self.linked += len(data)
 
 
 _OPEN = re.compile(r"<[/!?a-zA-Z][^<>]*\Z")
@@ -162,18 +193,21 @@ def parse(html: str) -> Lines:
 
 
 def smoothed(lines: list[Line], sigma: float = SIGMA) -> list[float]:
-    """Text-to-tag ratios under a Gaussian; marked lines count as nothing."""
+    """Text-to-tag ratios under a Gaussian, each times the line's own weight; lines of weight nought take no part."""
     reach = math.ceil(3 * sigma)
     kernel = [math.exp(-(d * d) / (2 * sigma * sigma)) for d in range(reach + 1)]
-    ratio = [0.0 if x.marked else len(x.text) / max(1, x.tags) for x in lines]
+    ratio = [x.ratio() for x in lines]
     out = []
-    for i in range(len(lines)):
+    for i, x in enumerate(lines):
         total = weight = 0.0
-        for j in range(max(0, i - reach), min(len(lines), i + reach + 1)):
-            w = kernel[abs(i - j)]
-            total += w * ratio[j]
-            weight += w
-        out.append(total / weight)
+        if x.weight:
+            for j in range(max(0, i - reach), min(len(lines), i + reach + 1)):
+                y = lines[j]
+                if y.weight:
+                    w = kernel[abs(i - j)] * (1.0 if y.box == x.box else ACROSS)
+                    total += w * (ratio[j] if i != j else ratio[j] / x.weight)
+                    weight += w
+        out.append(total / weight * x.weight if weight else 0.0)
     return out
 
 
@@ -191,34 +225,39 @@ def threshold(values: list[float]) -> float:
         low, high = new
 
 
-def region(lines: list[Line], kinds: dict[int, str]) -> list[Line]:
-    """The unmarked lines of the content region."""
-    free = [x for x in lines if not x.marked]
-    if not free:
+def region(lines: list[Line], kinds: list[str], parents: list[int]) -> list[Line]:
+    """The lines of the content: the dense ones, and those that belong with them by their place."""
+    if not lines:
         return []
     density = smoothed(lines)
     border = threshold(density)
-    mass: dict[int, float] = {}
-    total = 0.0
-    for x, d in zip(lines, density):
-        if x.marked:
-            continue
-        size = len(x.text) if d > border else 0.05 * len(x.text)
-        total += size
-        for n in x.path:
-            mass[n] = mass.get(n, 0.0) + size
-    articles = [n for n in mass if kinds[n] == "article"] or [n for n in mass if kinds[n] == "main"]
+    dense = [d > border for d in density]
+    if not any(dense) or not any(x.weight for x in lines):
+        return []
+    mass = [0.0] * len(kinds)
+    for x, d in zip(lines, dense):
+        mass[x.box] += len(x.text) * (1.0 if d else 0.05 * (x.weight == 1))
+    for n in range(len(kinds) - 1, 0, -1):
+        mass[parents[n]] += mass[n]
+    articles = [n for n, k in enumerate(kinds) if k == "article" and mass[n]] or [n for n, k in enumerate(kinds) if k == "main" and mass[n]]
     best = max(articles, key=lambda n: (mass[n], -n), default=0)
-    if not articles or mass[best] <= 0.5 * total:
-        best = max(n for n, m in mass.items() if m >= 0.8 * total)
-    return [x for x, d in zip(lines, density) if not x.marked and (best in x.path or d > border)]
+    if not articles or mass[best] <= 0.5 * mass[0]:
+        best = max(n for n, m in enumerate(mass) if m >= 0.8 * mass[0])
+    inside = [False] * len(kinds)
+    for n in range(len(kinds)):
+        inside[n] = n == best or (n > 0 and inside[parents[n]])
+    if kinds[best] in ("article", "main"):
+        return [x for x, d in zip(lines, dense) if d or (inside[x.box] and x.weight == 1)]
+    boxes = {x.box for x, d in zip(lines, dense) if d}
+    sure = [k for k, (x, d) in enumerate(zip(lines, dense)) if d or (x.box in boxes and x.weight == 1 and 2 * x.linked < len(x.text))]
+    return [x for k, (x, d) in enumerate(zip(lines, dense)) if d or (x.weight == 1 and inside[x.box] and 2 * x.linked < len(x.text) and (x.box in boxes or sure[0] < k < sure[-1]))]
 
 
 def main_text(html: str | None) -> str:
     if not html:
         return ""
     page = parse(html)
-    return " ".join(x.text for x in region(page.lines, page.kinds))
+    return " ".join(x.text for x in region(page.lines, page.kinds, page.parents))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -111,6 +112,46 @@ def test_html_without_one_article():
     assert html_text.main_text(f"<body><main class='post no-sidebar'>{main}</main></body>") == " ".join(body)
 
 
+PROSE = [f"Sentence {k} of the main text, which goes on for a good while so that the line is dense." for k in range(8)]
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<article><h1>Head</h1><div class='social-science'>{main}</div></article>", "Head {text}"),
+        ("<body><p class='legal'>All that this page says is said here.</p></body>", "All that this page says is said here."),
+        ("<body><section id='related-work'>{main}</section></body>", "{text}"),
+        ("<body><div>Home Shop</div><div>{half}</div><div>{rest}</div><div>Terms | Jobs</div></body>", "{text}"),
+        ("<body><a href=/>Home</a> <a href=/s>Shop</a><div>{half}</div><div>{rest}</div><p><a href=/t>Terms</a> | <a href=/j>Jobs</a></p></body>", "{text}"),
+        ("<article>{half}<p>We use cookies to give you the best of all visits. Accept all cookies.</p>{rest}</article>", "{text}"),
+        ("<div class='post'><h1>Head</h1><div class='meta'>By A. Person</div>{main}<ul><li>one</li><li>two</li></ul><p>End.</p></div>", "Head By A. Person {text} one two End."),
+        ("<div id='page'><div class='siteHeader'>A site</div>{main}<div class='comments-area'>{reply}</div><div class='ad-slot-3'>Buy this, it is cheap.</div></div>", "{text}"),
+        ("<article class='no-sidebar'>{half}<blockquote>Short.</blockquote><table><tr><td>1</td><td>2</td></tr></table>{rest}</article>", "{halftext} Short. 1 2 {resttext}"),
+    ],
+)
+def test_html_lines_are_told_by_density(page, want):
+    tag = lambda xs: "".join(f"<p>{x}</p>" for x in xs)
+    fill = dict(main=tag(PROSE), half=tag(PROSE[:4]), rest=tag(PROSE[4:]), reply=tag(x.replace("Sentence", "Reply") for x in PROSE), text=" ".join(PROSE), halftext=" ".join(PROSE[:4]), resttext=" ".join(PROSE[4:]))
+    assert html_text.main_text(page.format(**fill)) == want.format(**fill)
+
+
+@pytest.mark.parametrize("name, broken", [("smoothed", lambda lines, sigma=1.5: [1.0] * len(lines)), ("threshold", lambda values: 0.0), ("threshold", lambda values: float("inf"))])
+def test_html_needs_its_method(monkeypatch, name, broken):
+    """With a constant ratio or threshold a plain page with an article, a menu and an advert comes out wrong."""
+    page = f"<html><body><nav><ul><li><a href=/>Home</a></ul></nav><div class='ad'>Buy now.</div><article><h1>Head</h1><p>{PROSE[0]}<p>{PROSE[1]}</article><footer>Us</footer></body></html>"
+    want = f"Head {PROSE[0]} {PROSE[1]}"
+    assert html_text.main_text(page) == want
+    monkeypatch.setattr(html_text, name, broken)
+    assert html_text.main_text(page) != want
+
+
+def test_html_deep_nesting():
+    """Thousands of open elements and stray end tags take time in proportion."""
+    began = time.perf_counter()
+    page = "<div>" * 20_000 + PROSE[0] + "</section>" * 20_000 + "</div>" * 20_000
+    assert html_text.main_text(page) == PROSE[0] and time.perf_counter() - began < 5
+
+
 def brute_cost(roles: list[int | None]) -> int:
     """The least cost over all choices, tried one by one."""
     best = 1 << 60
