@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -176,6 +177,8 @@ def test_mixing_of_rows_without_ids_and_repeats(spark, tmp_path):
     rows = [(None, f"w{k} " * (k % 5 + 1), "en", "ab"[k % 2], 0) for k in range(40)] + [(7, "same text here", "en", "a", 0)] * 3 + [(k, prose(random.Random(k), 20), "en", "c", 0) for k in range(10, 40)]
     df = spark.createDataFrame(rows, DOCS)
     df.repartition(3).write.parquet(f"{tmp_path}/docs.parquet")
+    clash = mixing.mix(df.withColumn("mix_shard", F.lit("x")).withColumn("_d", F.lit(1)).withColumn("_order", F.lit(2)).withColumn("_size", F.lit(3)).withColumn("row", F.lit(4)))
+    assert clash.columns == [*df.columns, "_d", "_order", "_size", "row", "mix_shard", "mix_pass", "mix_words"] and clash.count() == mixing.mix(df).count()
     for docs in (df, spark.read.parquet(f"{tmp_path}/docs.parquet")):
         got, mixed = mixing.draws(docs).collect(), mixing.mix(docs).collect()
         assert mixing.mix(docs).columns == [*docs.columns, "mix_shard", "mix_pass", "mix_words"]
@@ -187,10 +190,42 @@ def test_mixing_of_rows_without_ids_and_repeats(spark, tmp_path):
 
 
 def test_split_tree():
-    rng = np.random.default_rng(1)
-    counts = np.array([5, 0, 17, 100])
-    got = mixing.split_tree(counts, 7, rng)
+    counts, names = [5, 0, 17, 100], ["sa", "sb", "sc", ""]
+    got = mixing.split_tree(counts, names, 7, 17)
     assert (got.sum(axis=0) == counts).all() and got.min() >= 0 and np.ptp(got.sum(axis=1)) <= 3
+    assert (got == mixing.split_tree(counts, names, 7, 17)).all() and (got != mixing.split_tree(counts, names, 7, 18)).any()
+    assert not mixing.split_tree([], [], 4, 17).size
+
+
+@pytest.mark.parametrize("marked, total, take", [(3, 9, 4), (6, 10, 7), (1, 1, 1), (0, 5, 2), (5, 5, 3)])
+def test_hypergeometric(marked, total, take):
+    """Quantiles of evenly spread numbers occur as often as among all choices, one by one."""
+    every = Counter(sum(x < marked for x in pick) for pick in itertools.combinations(range(total), take))
+    n = sum(every.values())
+    got = Counter(mixing.hypergeometric((k + 0.5) / (n * 4), marked, total, take) for k in range(4 * n))
+    assert got == {k: 4 * v for k, v in every.items()}
+
+
+def test_the_tree_decides_shards(spark, duck, tmp_path, monkeypatch):
+    """The shards of the query are those of its SQL, and others once the draw is an even split."""
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 65536)
+    spark.createDataFrame([*corpus(), (None, "no id here", "en", "c", 0), (None, "nor here at all", "en", None, 0)], DOCS).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    key = lambda r: str(tuple(r))
+    query = lambda: sorted(map(tuple, mixing.op2_mixing(spark, str(tmp_path)).collect()), key=key)
+    duck.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(duck.sql(mixing.OP2_SQL).fetchall(), key=key)
+    assert [(*r[:3], *r[4:]) for r in query()] == [(*r[:3], *r[4:]) for r in want]
+    assert [r[3] for r in query()] == pytest.approx([r[3] for r in want])
+    before = mixing.split_tree([9, 40, 3], ["sa", "sb", "sc"], 32, 17)
+    monkeypatch.setattr(mixing, "hypergeometric", lambda u, marked, total, take: max(0, take - (total - marked), min(marked, take, marked // 2)))
+    assert (mixing.split_tree([9, 40, 3], ["sa", "sb", "sc"], 32, 17) != before).any()
+
+
+@pytest.fixture
+def duck():
+    import duckdb
+
+    return duckdb.connect()
 
 
 def test_lm_scoring(spark, rows):
