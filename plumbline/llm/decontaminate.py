@@ -4,59 +4,89 @@ Patterns are the windows of 13 consecutive words of the benchmark items. A
 block is two words. The shift table tells, for the block that ends at a text
 position, how far the search may jump because no pattern can end any sooner;
 where the shift is nought, the hash of the window's suffix block selects the
-few patterns to compare, and a direct comparison of all the words confirms.
+few patterns to compare, and a direct comparison of their bytes confirms.
 Items shorter than a window are patterns of their own length; each length is
 searched with its own tables.
 
-The benchmark is cut into blocks of at most ``block_words`` words. Each is
-broadcast by itself, so what a worker holds does not grow with the benchmark;
-a text is searched against every block.
+The benchmark is cut into groups of at most ``group_words`` words, longer items
+into pieces that overlap by a window less a word. One group is collected,
+broadcast and searched for at a time and let go again, so neither the driver
+nor a worker ever holds more than one group. With a single group the verdicts
+come from one narrow pass; with more, each pass gives the hits of its group by
+row, and the rows' hits are put together.
 
 Defined results: a null or word-less text has no hits and is not
 contaminated; a null or word-less item never occurs; repeated rows are judged
 row by row; an empty documents table gives no rows, an empty benchmark none
-contaminated; further columns are not looked at, or pass through
+contaminated; further columns, of any name, are not looked at, or pass through
 ``clean_documents`` untouched.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .storage import materialize, with_row_ids
 
 WINDOW = 13
-BLOCK_WORDS = 1 << 20
+GROUP_WORDS = 1 << 20
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+_HITS = "row long, spans array<int>, items array<string>"
+
+
+class Text:
+    """The words of one text: their keys, and their bytes where asked for."""
+
+    __slots__ = ("raw", "starts", "ends", "keys")
+
+    def __init__(self, raw: memoryview, starts: np.ndarray, ends: np.ndarray, keys: list[int]):
+        self.raw, self.starts, self.ends, self.keys = raw, starts, ends, keys
+
+    def joined(self, a: int, b: int) -> bytes:
+        """The words from a to b, lower-cased, with one space between."""
+        return b" ".join([bytes(self.raw[x:y]).lower() for x, y in zip(self.starts[a:b].tolist(), self.ends[a:b].tolist())])
+
+
+def _texts(column: pa.Array) -> Iterator[tuple[int, list[Text]]]:
+    for lo, hi, data, offsets in K.slices(column):
+        words = K.find_words(data, offsets, K.ALNUM)
+        keys = K.segment_hashes(data, words.starts, words.ends, K.FOLDED_BYTES).view(np.int64)
+        cut = [slice(words.first[k], words.first[k + 1]) for k in range(hi - lo)]
+        raw = memoryview(data)
+        yield lo, [Text(raw, words.starts[c], words.ends[c], keys[c].tolist()) for c in cut]
 
 
 class Tables:
-    """Shift and suffix tables of the patterns of one length."""
+    """Shift table and suffix buckets of the patterns of one length; a bucket holds the patterns' bytes and who has them."""
 
-    def __init__(self, width: int, patterns: dict[tuple[int, ...], list[int]]):
-        self.width = width
-        self.block = min(2, width)
-        self.patterns = patterns
-        self.shift: dict[int, int] = {}
-        self.suffix: dict[int, list[tuple[int, ...]]] = {}
+    def __init__(self, width: int):
+        self.width, self.block = width, min(2, width)
         self.longest = width - self.block + 1
-        for p in patterns:
-            for end in range(self.block, width + 1):
-                b = hash(p[end - self.block : end])
-                s = width - end
-                if s < self.shift.get(b, self.longest):
-                    self.shift[b] = s
-            self.suffix.setdefault(hash(p[-self.block :]), []).append(p)
-
-    def search(self, words: list[int], hits: list[tuple[int, int, list[int]]]) -> None:
+        self.shift: dict[int, int] = {}
+        self.suffix: dict[int, dict[bytes, list[str]]] = {}
+
+    def add(self, item: str, text: Text, at: int) -> None:
+        keys = text.keys[at : at + self.width]
+        for end in range(self.block, self.width + 1):
+            b = hash(tuple(keys[end - self.block : end]))
+            self.shift[b] = min(self.width - end, self.shift.get(b, self.longest))
+        who = self.suffix.setdefault(b, {}).setdefault(text.joined(at, at + self.width), [])
+        if not who or who[-1] != item:
+            who.append(item)
+
+    def search(self, text: Text, hits: list[tuple[int, int, list[str]]]) -> None:
         """Adds (first word, word after the last, items) for every occurrence."""
-        width, block, shift, longest = self.width, self.block, self.shift.get, self.longest
+        width, block, shift, longest, words = self.width, self.block, self.shift.get, self.longest, text.keys
         n, end = len(words), width
         while end <= n:
             b = hash(tuple(words[end - block : end]))
@@ -64,107 +94,175 @@ class Tables:
             if s:
                 end += s
                 continue
-            if b in self.suffix:
-                window = tuple(words[end - width : end])
-                if window in self.patterns:  # compares all the words of the patterns that share the suffix block's bucket
-                    hits.append((end - width, end, self.patterns[window]))
+            bucket = self.suffix.get(b)
+            if bucket:
+                who = bucket.get(text.joined(end - width, end))  # compares bytes, whatever the keys were
+                if who:
+                    hits.append((end - width, end, who))
             end += 1
 
 
-def build(items: list[tuple[int, list[int]]], window: int = WINDOW) -> list[Tables]:
-    """items: (number, word keys). One set of tables for each pattern length."""
-    by: dict[int, dict[tuple[int, ...], list[int]]] = {}
-    for number, words in items:
-        width = min(window, len(words))
-        if width:
-            for k in range(len(words) - width + 1):
-                who = by.setdefault(width, {}).setdefault(tuple(words[k : k + width]), [])
-                if not who or who[-1] != number:
-                    who.append(number)
-    return [Tables(width, patterns) for width, patterns in sorted(by.items())]
+def build(pieces: list[tuple[str, str]], window: int = WINDOW) -> list[Tables]:
+    """pieces: (item, text). One set of tables for each pattern length."""
+    by: dict[int, Tables] = {}
+    for item, raw in pieces:
+        for _, (text,) in _texts(pa.array([raw], pa.string())):
+            width = min(window, len(text.keys))
+            for k in range(len(text.keys) - width + 1 if width else 0):
+                by.setdefault(width, Tables(width)).add(item, text, k)
+    return [by[w] for w in sorted(by)]
+
+
+class Groups:
+    """The benchmark in groups of a bounded number of words, in the shared folder."""
+
+    def __init__(self, benchmark: DataFrame, group_words: int = GROUP_WORDS, window: int = WINDOW):
+        self.spark, self.window = benchmark.sparkSession, window
+        most = max(window, group_words // 4)
+        items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("item is not null and text is not null").distinct()
+
+        def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Items of no more than ``most`` words as they are, longer ones cut so that every window is whole in a piece."""
+            for batch in batches:
+                out = []
+                for lo, texts in _texts(batch.column("text")):
+                    for k, t in enumerate(texts):
+                        item = batch.column("item")[lo + k].as_py()
+                        for a in range(0, max(1, len(t.keys) - window + 1), max(1, most - window + 1)):
+                            b = min(len(t.keys), a + most)
+                            if b > a:
+                                out.append((item, t.joined(a, b).decode(), b - a))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(zip(*out), (pa.string(), pa.string(), pa.int64()))], ["item", "text", "n"])
+
+        def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            group, held = TaskContext.get().partitionId() << 32, 0
+            for batch in batches:
+                out = []
+                for n in batch.column("n").to_pylist():
+                    if held and held + n > group_words:
+                        group, held = group + 1, 0
+                    held += n
+                    out.append(group)
+                yield pa.RecordBatch.from_arrays([batch.column("item"), batch.column("text"), pa.array(out, pa.int64())], ["item", "text", "group"])
+
+        cut = materialize(items.mapInArrow(pieces, "item string, text string, n long"), "pieces")
+        total = cut.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        parts = max(1, math.ceil(total / group_words))
+        self.pieces = materialize(cut.repartition(parts, F.xxhash64("item", "text")).sortWithinPartitions("item", "text").mapInArrow(number, "item string, text string, group long"), "benchmark")
+        self.count = self.pieces.select("group").distinct().count()
+
+    def each(self) -> Iterator[list[tuple[str, str]]]:
+        """One group after the other; the number of a group is all the driver keeps of those to come."""
+        last = None
+        while True:
+            left = self.pieces if last is None else self.pieces.where(F.col("group") > last)
+            last = left.agg(F.min("group")).first()[0]
+            if last is None:
+                return
+            yield sorted((r["item"], r["text"]) for r in self.pieces.where(F.col("group") == last).collect())
+
+
+def _hits(text: Text, tables: list[Tables]) -> tuple[list[tuple[int, int]], set[str]]:
+    hits: list[tuple[int, int, list[str]]] = []
+    for t in tables:
+        t.search(text, hits)
+    return [(a, b) for a, b, _ in hits], {x for _, _, who in hits for x in who}
+
+
+def _verdict(n: int, spans: list[tuple[int, int]], items: set[str]) -> tuple[int, int, int, str, bool]:
+    n_hit = done = 0
+    for a, b in sorted(spans):
+        n_hit += max(0, b - max(a, done))
+        done = max(done, b)
+    return n, n_hit, len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), n_hit > 0 and 20 * n_hit >= n
+
+
+def _columns(rows: list[tuple]) -> list[pa.Array]:
+    return [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()))]
+
+
+def _passes(rows: DataFrame, groups: Groups) -> DataFrame:
+    """(row, spans, items) of the rows that hold windows of any group: one pass for each group, written before the next."""
+
+    def run(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+        tables = build(shared.value, groups_window)
+        for batch in batches:
+            number, out = batch.column("row").to_pylist(), []
+            for lo, texts in _texts(batch.column("text")):
+                for k, t in enumerate(texts):
+                    spans, items = _hits(t, tables)
+                    if spans:
+                        out.append((number[lo + k], [x for s in spans for x in s], sorted(items)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string())))], ["row", "spans", "items"])
+
+    found, groups_window = None, groups.window
+    for pieces in groups.each():
+        shared = rows.sparkSession.sparkContext.broadcast(pieces)  # at most group_words words
+        part = materialize(rows.select("row", "text").mapInArrow(functools.partial(run, shared=shared), _HITS), "hits")
+        shared.destroy()
+        found = part if found is None else found.union(part)
+    return found.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+
+
+def _judged(rows: DataFrame, groups: Groups) -> DataFrame:
+    """(row, doc_id and the verdict) from the hits of all groups."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in K.slices(batch.column("text")):
+                n = K.find_words(data, offsets, K.ALNUM).counts
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(lo, hi - lo), batch.column("doc_id").slice(lo, hi - lo), pa.array(n, pa.int64())], ["row", "doc_id", "n"])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for n, flat, items in zip(*(batch.column(c).to_pylist() for c in ("n", "spans", "items"))):
+                flat = flat or []
+                out.append(_verdict(n, list(zip(flat[::2], flat[1::2])), set(items or ())))
+            if out:
+                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *_columns(out)], ["row", *[f.split()[0] for f in RESULT.split(", ")]])
 
+    sized = rows.mapInArrow(count, "row long, doc_id long, n long")
+    return sized.join(_passes(rows, groups), "row", "left").select("row", "doc_id", "n", "spans", "items").mapInArrow(judge, "row long, " + RESULT)
 
-def _word_keys(column: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
-    for lo, hi, data, offsets in K.slices(column):
-        words = K.find_words(data, offsets, K.ALNUM)
-        hashes = K.segment_hashes(data, words.starts, words.ends, K.FOLDED_BYTES).view(np.int64)
-        yield lo, [hashes[words.first[k] : words.first[k + 1]] for k in range(hi - lo)]
-
-
-class Blocks:
-    """Broadcast blocks of the benchmark, each of a bounded number of words."""
-
-    def __init__(self, spark: SparkSession, benchmark: DataFrame, block_words: int = BLOCK_WORDS, window: int = WINDOW):
-        self.window, self.parts = window, []
-        part: list[tuple[str, bytes]] = []
-        held = 0
-        rows = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).distinct().orderBy("item_id", "text")
-        for item, text in rows.toLocalIterator():
-            for _, (keys,) in _word_keys(pa.array([text])):
-                if held and held + len(keys) > block_words:
-                    self.parts.append(spark.sparkContext.broadcast(part))
-                    part, held = [], 0
-                part.append((item, keys.tobytes()))
-                held += len(keys)
-        if part:
-            self.parts.append(spark.sparkContext.broadcast(part))
-
-    def searchers(self) -> Iterator[tuple[list[str], list[Tables]]]:
-        for b in self.parts:
-            names = sorted({item for item, _ in b.value})
-            number = {x: k for k, x in enumerate(names)}
-            yield names, build([(number[item], np.frombuffer(raw, np.int64).tolist()) for item, raw in b.value], self.window)
-
-
-def _judge(column: pa.Array, ready: list[tuple[list[str], list[Tables]]]) -> Iterator[tuple[int, list[tuple[int, int, int, str, bool]]]]:
-    """For each slice of texts its first row and, for each text, the five result columns."""
-    for lo, texts in _word_keys(column):
-        out = []
-        for keys in texts:
-            words = keys.tolist()
-            n, items, n_hit = len(words), set(), 0
-            spans: list[tuple[int, int]] = []
-            for names, tables in ready:
-                hits: list[tuple[int, int, list[int]]] = []
-                for t in tables:
-                    t.search(words, hits)
-                for a, b, who in hits:
-                    spans.append((a, b))
-                    items.update(names[k] for k in who)
-            if spans:
-                done = 0
-                for a, b in sorted(spans):
-                    n_hit += max(0, b - max(a, done))
-                    done = max(done, b)
-            out.append((n, n_hit, len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), n_hit > 0 and 20 * n_hit >= n))
-        yield lo, out
-
-
-def scan(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Per document its words, hit words, occurring items and verdict. One narrow pass over the documents."""
-    blocks = Blocks(docs.sparkSession, benchmark, block_words)
+
+def _narrow(docs: DataFrame, text: str, groups: Groups, result, schema) -> DataFrame:
+    """One pass with the only group: ``result`` makes the rows of a part of a batch and its verdicts."""
+    shared = docs.sparkSession.sparkContext.broadcast(next(groups.each(), []))
+    window = groups.window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready = list(blocks.searchers())
+        tables = build(shared.value, window)
         for batch in batches:
-            for lo, rows in _judge(batch.column("text"), ready):
-                cols = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()))]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, len(rows)), *cols], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+            for lo, texts in _texts(batch.column(text)):
+                yield result(batch.slice(lo, len(texts)), [_verdict(len(t.keys), *_hits(t, tables)) for t in texts])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, RESULT)
+    return docs.mapInArrow(run, schema)
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The documents that are not contaminated, with all their columns."""
-    blocks = Blocks(docs.sparkSession, benchmark, block_words)
+def scan(docs: DataFrame, benchmark: DataFrame, group_words: int = GROUP_WORDS) -> DataFrame:
+    """Per document its words, hit words, occurring items and verdict."""
+    groups = Groups(benchmark, group_words)
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    if groups.count > 1:
+        return _judged(with_row_ids(docs, "row"), groups).drop("row")
+    names = [f.split()[0] for f in RESULT.split(", ")]
+    return _narrow(docs, "text", groups, lambda part, rows: pa.RecordBatch.from_arrays([part.column("doc_id"), *_columns(rows)], names), RESULT)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready = list(blocks.searchers())
-        for batch in batches:
-            for lo, rows in _judge(batch.column("text"), ready):
-                yield batch.slice(lo, len(rows)).filter(pa.array([not r[4] for r in rows], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+def clean_documents(docs: DataFrame, benchmark: DataFrame, group_words: int = GROUP_WORDS) -> DataFrame:
+    """The documents that are not contaminated, with all their columns."""
+    groups, names = Groups(benchmark, group_words), docs.columns
+    own = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    text = f"c{names.index('text')}"
+    if groups.count > 1:
+        rows = with_row_ids(own, "row")
+        plain = rows.select("row", F.lit(None).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+        bad = _judged(plain, groups).where("contaminated").select("row")
+        return rows.join(bad, "row", "left_anti").drop("row").toDF(*names)
+    return _narrow(own, text, groups, lambda part, rows: part.filter(pa.array([not r[4] for r in rows], pa.bool_())), own.schema).toDF(*names)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

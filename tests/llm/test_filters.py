@@ -41,16 +41,23 @@ def test_quality_empty(spark):
     assert quality.ledger(df).count() == 0 and quality.keep_documents(df).count() == 0
 
 
-@pytest.mark.parametrize("block_words", [1 << 20, 40])
-def test_decontamination(spark, rows, block_words):
+@pytest.mark.parametrize("group_words", [1 << 20, 60])
+def test_decontamination(spark, rows, group_words):
+    """With one group and with many, of which a pass holds one."""
     rng = random.Random(3)
     items = [(1, prose(rng, 30)), (2, " ".join(rows[10][1].split()[25:60])), (10, "one"), (3, None), (4, "..."), (5, prose(rng, 5)), (2, rows[12][1])]
     docs = [*rows, (200, f"{prose(rng, 400)} {items[0][1].upper()}! {prose(rng, 5)}", "en", "a", 1), (201, items[5][1] + " " + items[5][1], "en", None, 0), (None, items[0][1], "en", "a", 0)]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate.scan(spark.createDataFrame(docs, DOCS).withColumn("n_hit", F.lit(0)), bench, block_words).collect()
+    got = decontaminate.scan(spark.createDataFrame(docs, DOCS).withColumn("n_hit", F.lit(0)), bench, group_words).collect()
     key = lambda r: (r[0] is None, r[0] or 0)
     assert sorted(map(tuple, got), key=key) == sorted(((r[0], *brute_contamination(r[1], items)) for r in docs), key=key)
-    clean = decontaminate.clean_documents(spark.createDataFrame(docs, DOCS), bench, block_words)
+    clean = decontaminate.clean_documents(spark.createDataFrame(docs, DOCS), bench, group_words)
+    assert decontaminate.Groups(bench, group_words).count == (1 if group_words > 60 else decontaminate.Groups(bench, 60).count) and (group_words > 60 or decontaminate.Groups(bench, 60).count > 3)
+    for pieces in decontaminate.Groups(bench, group_words).each():
+        assert sum(len(t.split()) for _, t in pieces) <= max(group_words, 13)
+    assert clean.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    clash = spark.createDataFrame(docs, DOCS).withColumn("row", F.lit("x")).withColumn("spans", F.lit("y")).withColumn("c0", F.lit("z"))
+    assert decontaminate.clean_documents(clash, bench, group_words).count() == clean.count()
     assert clean.count() == sum(not r["contaminated"] for r in got)
 
 
