@@ -1,32 +1,38 @@
 """Near-duplicate groups by one-permutation MinHash, bands and star edges.
 
-A document's set is its distinct 2-word shingles. One permutation hashes them
-into 128 bins whose minima are the signature; empty bins are filled by optimal
-densification (each probes bins in a pseudo-random order of its own until a
-filled one is met). 32 bands of 4 bins name buckets. Documents with equal
-sets are folded into one representative before any bucket is formed, so a
-group of copies costs one row.
+A document's set is its distinct shingles of ``width`` words (two by
+default). One permutation hashes them into 128 bins whose minima are the
+signature; empty bins are filled by optimal densification (each probes bins in
+a pseudo-random order of its own until a filled one is met). 32 bands of 4 bins
+name buckets. Documents with equal sets are folded into one representative
+before any bucket is formed, so a group of copies costs one row.
 
 In a bucket every member has one edge to the bucket's hub, its smallest id,
 so the number of candidates is that of the members. Candidates are confirmed
 on the full sets. A star can miss a link between two members that are both
-unlike the hub, so what the stars leave open is settled exactly: where a
-bucket's members still belong to different groups, blocks of its members are
-compared with each other on full sets, skipping pairs already connected.
+unlike the hub. Members of buckets that still hold different groups are
+therefore joined once more, exactly, by prefix filter: with the shingles of a
+set in order from the rarest (by counts over all such members), two sets that
+are alike share one of their first fifth, so members meet on these alone, and
+only across groups and between like sizes. Shingles that are common, or whose
+holders are all of one group already, bring no pairs together.
+
+Shingles are told apart by 64-bit hashes modulo a 61-bit prime; two given
+different shingles agree with a chance of about 2**-50.
 
 Defined results: a text without words has an empty set, is linked with
 nothing and stays; one word is a set of one; a null doc_id is in the group of
 its equals and stays; repeated rows are equal documents; an empty table gives
-no rows; further columns are not looked at, or pass through
+no rows; further columns, of any name, are not looked at, or pass through
 ``drop_duplicates`` untouched.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +44,8 @@ BINS = 128
 ROWS = 4
 BANDS = BINS // ROWS
 PERCENT = 80
-CROWD = 512
+#: Slots of the table of shingle counts by which prefixes are ordered; any order is right, and rare shingles first are fast.
+SLOTS = 1 << 16
 _U = np.uint64
 _EDGES = np.arange(BINS, dtype=_U) << _U(57)
 _PROBES = 1024
@@ -49,20 +56,20 @@ def _probe(bins: np.ndarray, attempt: int) -> np.ndarray:
     return (K.mix64(bins.astype(_U) * _U(_PROBES) + _U(attempt)) >> _U(57)).astype(np.int64)
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle keys of each text of a slice."""
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 2) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle keys of each text of a slice; of a text with fewer words the whole sequence is one."""
     words = K.find_words(data, offsets, K.SPACED)
     hashes = K.segment_hashes(data, words.starts, words.ends, K.FOLDED_BYTES)
-    pairs = K.grams(hashes, 2)
+    runs = K.grams(hashes, width)
     first = words.first
     for k in range(len(offsets) - 1):
         a, b = first[k], first[k + 1]
-        if b - a == 1:
-            yield K.mix64(hashes[a:b] + _U(1))
-        elif b - a == 0:
+        if b == a:
             yield hashes[:0]
+        elif b - a < width:
+            yield K.mix64(K.grams(hashes[a:b], int(b - a)) + _U(1))
         else:
-            yield K.distinct(pairs[a : b - 1])
+            yield K.distinct(runs[a : b - width + 1])
 
 
 def signature(keys: np.ndarray) -> np.ndarray:
@@ -92,12 +99,12 @@ def bands(sig: np.ndarray) -> np.ndarray:
     return out
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signatures(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64()))])
     for batch in batches:
         for lo, hi, data, offsets in K.slices(batch.column("text")):
             n, a, b, keys = [], [], [], []
-            for s in shingle_sets(data, offsets):
+            for s in shingle_sets(data, offsets, width):
                 n.append(len(s))
                 a.append(int(K.mix64(s).sum(dtype=_U).view(np.int64)) if len(s) else 0)
                 b.append(int(K.mix64(s ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U).view(np.int64)) if len(s) else 0)
@@ -106,10 +113,10 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), flat], schema=schema)
 
 
-def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _full_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, data, offsets in K.slices(batch.column("text")):
-            sets = [s.tobytes() for s in shingle_sets(data, offsets)]
+            sets = [s.tobytes() for s in shingle_sets(data, offsets, width)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(sets, pa.binary())], ["id", "keys"])
 
 
@@ -159,33 +166,82 @@ def components(links: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("label", "component")
 
 
-def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links between groups among the members of one or two blocks of a bucket, by full sets."""
-    pdf = pdf.drop_duplicates("id")
-    ids, sets = pdf["id"].to_numpy(), [np.frombuffer(k, _U) for k in pdf["keys"]]
-    root = {c: c for c in pdf["component"]}
-    comp, block = pdf["component"].to_numpy(), pdf["block"].to_numpy()
+def _slots(keys: np.ndarray) -> np.ndarray:
+    return (keys >> _U(48)).astype(np.int64)
+
 
-    def find(c: int) -> int:
-        while root[c] != c:
-            root[c] = root[root[c]]
-            c = root[c]
-        return c
+def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles of the task's sets fall into each slot."""
+    total = np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        for k in batch.column("keys"):
+            total += np.bincount(_slots(np.frombuffer(k.as_buffer(), _U)), minlength=SLOTS)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
 
-    within = len(set(block)) == 1
-    out = []
-    for i in range(len(ids)):
-        for j in range(i):
-            if (within or block[i] != block[j]) and find(comp[i]) != find(comp[j]) and _alike(sets[i], sets[j]):
-                root[find(comp[i])] = find(comp[j])
-                out.append((ids[i], ids[j]))
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
+def prefix(keys: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The shingles, rarest first, of which two sets that are alike must share one.
 
-def duplicate_groups(docs: DataFrame) -> DataFrame:
+    Sets of x and y shingles that are alike share at least PERCENT % of the larger, hence that
+    many of x; leaving out one less than that many from the end cannot leave out all they share.
+    """
+    order = np.lexsort((keys, rank[_slots(keys)]))
+    return keys[order[: len(keys) - -(-PERCENT * len(keys) // 100) + 1]]
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [prefix(np.frombuffer(k.as_buffer(), _U), shared.value).view(np.int64) for k in batch.column("keys")]
+        size = np.array([len(r) for r in rows], np.int64)
+        which = pa.array(np.repeat(np.arange(len(rows)), size))
+        flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(flat), *(batch.column(c).take(which) for c in ("id", "n", "component"))], ["key", "id", "n", "component"])
+
+
+def across(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of members (id, n, component) of different components that may be alike; misses none that are."""
+    spark = members.sparkSession
+    own = materialize(members.join(sets, "id").select("id", F.col("n").cast("long"), "component", "keys"), "open")
+    counts = own.select("keys").mapInArrow(_slot_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()  # at most SLOTS rows
+    rank = np.zeros(SLOTS, np.int64)
+    for r in counts:
+        rank[r["slot"]] = r["n"]
+    shared = spark.sparkContext.broadcast(rank)
+    keyed = materialize(own.mapInArrow(functools.partial(_prefixes, shared=shared), "key long, id long, n long, component long"), "prefixes")
+    mixed = keyed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    keyed = keyed.join(mixed, "key")
+    x, y = (keyed.select("key", *[F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "component")]) for k in "ab")
+    near = F.expr(f"id_a < id_b and component_a <> component_b and 100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)")
+    return x.join(y, "key").where(near).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+
+
+class Groups:
+    """The component of each id, as a chain of tables: each after the first says which components have since become one."""
+
+    def __init__(self, links: DataFrame):
+        self.tables = [components(links)]
+
+    def of(self, df: DataFrame, column: str, name: str) -> DataFrame:
+        """df with the component of a column's ids as ``name``; an id without a link is its own."""
+        df = df.withColumn(name, F.col(column))
+        for t in self.tables:
+            g = t.select(F.col("id").alias("_id"), F.col("component").alias("_component"))
+            df = df.join(g, df[name] == F.col("_id"), "left").withColumn(name, F.coalesce("_component", name)).drop("_id", "_component")
+        return df
+
+    def merge(self, links: DataFrame) -> None:
+        """Takes in further links; only the components they connect are looked at."""
+        ends = self.of(self.of(links, "a", "ga"), "b", "gb").where("ga <> gb").select(F.col("ga").alias("a"), F.col("gb").alias("b")).distinct()
+        ends = materialize(ends, "links")
+        if ends.limit(1).count():
+            self.tables.append(components(ends))
+
+
+def duplicate_groups(docs: DataFrame, width: int = 2) -> DataFrame:
     """Per document n_shingles, component_id and kept."""
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    sigs = materialize(texts.mapInArrow(_signatures, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"), "signatures")
+    sigs = materialize(texts.mapInArrow(functools.partial(_signatures, width=width), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"), "signatures")
     same = ["n_shingles", "set_a", "set_b"]
     reps = sigs.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     banded = reps.select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
@@ -195,37 +251,28 @@ def duplicate_groups(docs: DataFrame) -> DataFrame:
     stars = members.where("id <> hub").where(near).select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     crowds = members.where("size > 2")
     wanted = stars.select("a").union(stars.select("b")).union(crowds.select("id")).distinct().withColumnRenamed("a", "wanted")
-    sets = materialize(texts.join(wanted, texts["doc_id"] == wanted["wanted"], "left_semi").mapInArrow(_full_sets, "id long, keys binary").dropDuplicates(["id"]), "sets")
+    sets = materialize(texts.join(wanted, texts["doc_id"] == wanted["wanted"], "left_semi").mapInArrow(functools.partial(_full_sets, width=width), "id long, keys binary").dropDuplicates(["id"]), "sets")
     first = stars.groupBy("a").agg(F.min("b").alias("b"))
-    links = materialize(confirm(first, sets), "links")
-    groups = components(links)
-
-    def group_of(df: DataFrame, column: str, name: str) -> DataFrame:
-        g = groups.select(F.col("id").alias(f"_{name}"), F.col("component").alias(name))
-        return df.join(g, df[column] == F.col(f"_{name}"), "left").withColumn(name, F.coalesce(name, column)).drop(f"_{name}")
-
-    rest = group_of(group_of(stars.join(first, ["a", "b"], "left_anti"), "a", "ga"), "b", "gb").where("ga <> gb")
-    more = materialize(confirm(rest, sets), "links")
-    links = links.union(more)
-    groups = components(links)
-    open_ = group_of(crowds.where("id <> hub").select("bucket", "id", "size"), "id", "component")
+    groups = Groups(materialize(confirm(first, sets), "links"))
+    rest = groups.of(groups.of(stars.join(first, ["a", "b"], "left_anti"), "a", "ga"), "b", "gb").where("ga <> gb")
+    groups.merge(materialize(confirm(rest, sets), "links"))
+    open_ = groups.of(crowds.select("bucket", "id", "n"), "id", "component")
     mixed = open_.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    blocks = F.ceil(F.col("size") / CROWD)
-    open_ = open_.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), blocks))
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), (blocks - 1).cast("long")), lambda k: F.struct(F.least(k, F.col("block")).alias("x"), F.greatest(k, F.col("block")).alias("y")))
-    open_ = open_.withColumn("pair", F.explode(pairs)).join(sets, "id").select("bucket", "pair", "block", "id", "component", "keys")
-    last = open_.groupBy("bucket", "pair").applyInPandas(_settle, "a long, b long")
-    groups = components(links.union(materialize(last, "links")))
-    rep_of = group_of(reps.select(*same, "rep"), "rep", "component_id")
+    left = open_.join(mixed, "bucket").select("id", "n", "component").distinct()
+    groups.merge(materialize(confirm(across(left, sets), sets), "links"))
+    rep_of = groups.of(reps.select(*same, "rep"), "rep", "component_id")
     out = sigs.join(rep_of, same, "left")
     found = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", found.alias("component_id"), (F.col("doc_id").eqNullSafe(found) | F.col("doc_id").isNull()).alias("kept"))
 
 
-def drop_duplicates(docs: DataFrame) -> DataFrame:
+def drop_duplicates(docs: DataFrame, width: int = 2) -> DataFrame:
     """One document of each group, with all its columns: the one of the smallest id."""
-    gone = duplicate_groups(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    names = docs.columns
+    doc_id = f"c{names.index('doc_id')}"
+    gone = duplicate_groups(docs, width).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    own = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    return own.join(gone, own[doc_id] == gone["gone"], "left_anti").toDF(*names)
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,9 +50,8 @@ def test_near_duplicates(spark, rows):
     assert minhash.duplicate_groups(df.limit(0)).count() == 0
 
 
-def test_chains_behind_a_star(spark, monkeypatch):
-    """Members that are unlike the hub but like each other are linked all the same, also across blocks of a bucket."""
-    monkeypatch.setattr(minhash, "CROWD", 2)
+def test_chains_behind_a_star(spark):
+    """Members that are unlike the hub but like each other are linked all the same."""
     rng = random.Random(9)
     base = prose(rng, 120).split(" ")
     rows = []
@@ -65,6 +64,45 @@ def test_chains_behind_a_star(spark, monkeypatch):
     assert got == brute_groups(rows)
 
 
+def test_prefixes_miss_no_pair():
+    """Sets that are alike share a shingle of their prefixes, whatever the order."""
+    rng = np.random.default_rng(4)
+    for trial in range(300):
+        rank = rng.integers(0, 5, minhash.SLOTS) if trial % 2 else np.zeros(minhash.SLOTS, np.int64)
+        base = np.unique(rng.integers(0, 1 << 63, rng.integers(1, 60)).astype(np.uint64))
+        a, b = (np.unique(np.append(base[rng.random(len(base)) < 0.93], rng.integers(0, 1 << 63, rng.integers(0, 4)).astype(np.uint64))) for _ in range(2))
+        if len(a) and len(b) and minhash._alike(a, b):
+            assert np.isin(minhash.prefix(a, rank), minhash.prefix(b, rank)).any()
+
+
+def test_a_bucket_of_fifty_thousand(spark):
+    """Many texts that share a bucket but no shingle beyond what makes them meet bring few pairs together."""
+    n = 50_000
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 63, 40).astype(np.uint64)
+    own = rng.integers(0, 1 << 63, (n, 24)).astype(np.uint64)
+    sets = [np.unique(np.append(base, own[k if k % 100 else k // 1000])) for k in range(n)]
+    df = spark.createDataFrame([(k, x.tobytes()) for k, x in enumerate(sets)], "id long, keys binary").repartition(8)
+    members = df.select("id", F.lit(64).alias("n"), F.col("id").alias("component"))
+    pairs = minhash.across(members, df)
+    want = {(a, b) for c in range(50) for a in range(1000 * c, 1000 * c + 1000, 100) for b in range(a + 100, 1000 * c + 1000, 100)}
+    got = {(r["a"], r["b"]) for r in pairs.collect()}
+    assert want <= got and len(got) < 2 * len(want) + n
+    assert minhash.across(members.limit(0), df).count() == 0
+
+
+def test_width_and_clashing_names(spark, rows):
+    five = {r["doc_id"]: r["n_shingles"] for r in minhash.duplicate_groups(spark.createDataFrame(rows, DOCS), 5).collect()}
+    for r in rows:
+        w = words(r[1])
+        assert five[r[0]] == (len({tuple(w[i : i + 5]) for i in range(len(w) - 4)}) if len(w) >= 5 else bool(w))
+    df = spark.createDataFrame([*rows, (None, rows[30][1], "en", "a", 1), (None, rows[30][1], "en", "a", 2)], DOCS)
+    for c in ("gone", "_gone", "id", "component_id", "kept", "bucket", "c0"):
+        df = df.withColumn(c, F.lit(c))
+    left = minhash.drop_duplicates(df)
+    assert left.columns == df.columns and left.where("doc_id is null").count() == 2
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(k, k + 1) for k in range(60)] + [(100, 100 + k) for k in range(1, 40)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(30)]
