@@ -6,33 +6,41 @@ keep it, merge it into the one before, give it another role, or put an empty
 turn before it; dynamic programming over the automaton's states finds the
 cheapest choices, and the repaired turns are rendered.
 
-A conversation may be of any length. Turns are put in order by a range
-partitioning on conversation and turn, cut into blocks of bounded size, and
-each conversation's part of a block is summed up in a matrix of least costs
-from state to state. Such matrices multiply (minimum of sums), so the states
-at the borders of long conversations come from one small step over their
-matrices; each block is then repaired by itself.
+One shuffle brings the turns of a conversation together, in order, and a task
+repairs one conversation after the other. Those of more than ``BLOCK`` turns
+or ``BLOCK_BYTES`` bytes go another way: range-partitioned on conversation and
+turn and cut into blocks of their own turns, each summed up in a matrix of
+least costs from state to state. Such matrices multiply (minimum of sums), so
+the states at the borders of blocks come from one small step over them; each
+block is then repaired by itself and the rendered parts are joined. Either way
+a conversation is one row, which does not depend on the partitions.
 
 Defined results: a null role or one that is not known must be given another;
 a null text is empty; turns without a number come last; turns of one number
 are taken in order of role and text; repeated rows are further turns;
 conversations without an id form one; an empty table gives no rows; further
-columns are not looked at.
+columns, of any name, are not looked at; a conversation whose rendered text is
+beyond what a row can hold (2 GB) fails ``format_chats`` and is for
+``format_parts``.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .storage import materialize
 
 MERGE, INSERT, RELABEL = 10, 21, 32
+#: Turns and bytes of a block; conversations beyond either are cut.
 BLOCK = 4096
+BLOCK_BYTES = 8 << 20
 ROLES = ("system", "user", "assistant")
 #: Other names of the roles.
 ALIASES = {"system": 0, "developer": 0, "user": 1, "human": 1, "prompter": 1, "assistant": 2, "gpt": 2, "bot": 2, "model": 2, "ai": 2}
@@ -47,7 +55,8 @@ _MOVES: dict[int, list[tuple[int, int | None, bool]]] = {
 }
 _END = [0, 2 * INSERT, INSERT, 0]
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
-RESULT = "conv_id long, segment int, n_turns long, n_merged long, n_relabelled long, n_inserted long, cost long, rendered string"
+RESULT = "conv_id long, n_turns long, n_merged long, n_relabelled long, n_inserted long, cost long, rendered string"
+_PART = RESULT.replace("n_turns", "segment int, n_turns")
 
 
 def _steps(role: int | None) -> list[tuple[int, int, int, tuple[int, int | None, bool]]]:
@@ -127,32 +136,45 @@ def render(texts: list[str], moves: list[tuple[int, int | None, bool]], entry: i
     return "".join(out)
 
 
-def _runs(pdf: pd.DataFrame) -> Iterator[tuple[object, pd.DataFrame]]:
-    """The stretches of one conversation, in order."""
-    pdf = pdf.sort_values("pos", kind="stable")
-    key = pdf["conv_id"].astype("Int64")
-    new = ~(key.eq(key.shift()).fillna(False) | (key.isna() & key.shift().isna()))
-    new.iloc[0] = True
-    at = np.flatnonzero(new.to_numpy(bool))
-    for a, b in zip(at, [*at[1:], len(pdf)]):
-        yield (None if pd.isna(key.iloc[a]) else int(key.iloc[a])), pdf.iloc[a:b]
+def _counts(roles: list[int | None], moves: list[tuple[int, int | None, bool]], last: int | None) -> tuple[int, int, int, int]:
+    """Turns, and those merged, relabelled and inserted; last: the state a conversation ends in, or None if it goes on."""
+    return len(roles), sum(m[2] for m in moves), sum(m[0] != r for m, r in zip(moves, roles)), sum(m[1] is not None for m in moves) + {USER: 1, SYSTEM: 2}.get(last, 0)
 
 
-def _borders(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The matrices of the first and the last conversation of a block."""
-    runs = list(_runs(pdf[["conv_id", "pos", "role"]]))
-    out = []
-    for conv, rows in {id(r[1]): r for r in (runs[0], runs[-1])}.values():
-        m = least_costs([role_number(r) for r in rows["role"]])
-        out.append((conv, pdf["part"].iloc[0], pdf["block"].iloc[0], [x for row in m for x in row]))
-    frame = pd.DataFrame(out, columns=["conv_id", "part", "block", "matrix"])
+_COUNTED = ["conv_id", "n_turns", "n_merged", "n_relabelled", "n_inserted", "cost", "rendered"]
+
+
+def _repair_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each run of turns of one conversation."""
+
+    def rows(stream: Iterator[tuple]) -> Iterator[tuple]:
+        for conv, turns in itertools.groupby(stream, key=lambda t: t[0]):
+            _, names, texts = zip(*turns)
+            roles = [role_number(r) for r in names]
+            cost, moves, last = repair(roles)
+            yield (conv, *_counts(roles, moves, last), cost, render([t or "" for t in texts], moves, START, last))
+
+    types = [pa.int64()] * 6 + [pa.string()]
+    stream = (t for batch in batches for t in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text"))))
+    done = rows(stream)
+    while part := list(itertools.islice(done, 512)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), types)], _COUNTED)
+
+
+def _matrix(pdf: pd.DataFrame) -> pd.DataFrame:
+    m = least_costs([role_number(r) for r in pdf.sort_values("at", kind="stable")["role"]])
+    return _conversations([(pdf["conv_id"].iloc[0], pdf["block"].iloc[0], [x for row in m for x in row])], ["conv_id", "block", "matrix"])
+
+
+def _conversations(rows: list[tuple], names: list[str]) -> pd.DataFrame:
+    frame = pd.DataFrame(rows, columns=names)
     frame["conv_id"] = frame["conv_id"].astype("Int64")
     return frame
 
 
 def _states(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The states at the borders of a conversation's parts, from their matrices."""
-    pdf = pdf.sort_values(["part", "block"])
+    """The states at the borders of a conversation's blocks, from their matrices."""
+    pdf = pdf.sort_values("block")
     cost, back = [0, _FAR, _FAR, _FAR], []
     for m in pdf["matrix"]:
         best = [min(range(4), key=lambda s: (cost[s] + m[4 * s + t], s)) for t in range(4)]
@@ -164,51 +186,104 @@ def _states(pdf: pd.DataFrame) -> pd.DataFrame:
         exits.append(s)
         s = best[s]
     exits = exits[::-1]
-    out = pdf[["conv_id", "part", "block"]].copy()
-    out["segment"] = np.arange(len(pdf), dtype=np.int32)
+    out = pdf[["conv_id", "block"]].copy()
     out["entry"] = np.array([START, *exits[:-1]], np.int32)
     out["leave"] = np.array(exits, np.int32)
     out["final"] = np.arange(len(pdf)) == len(pdf) - 1
     return out
 
 
-def _repair_block(pdf: pd.DataFrame, borders: pd.DataFrame) -> pd.DataFrame:
-    known = {(None if pd.isna(r.conv_id) else int(r.conv_id)): r for r in borders.itertuples()}
-    out = []
-    for conv, rows in _runs(pdf) if len(pdf) else ():
-        roles = [role_number(r) for r in rows["role"]]
-        b = known.get(conv)
-        entry, leave, final, segment = (START, None, True, 0) if b is None else (int(b.entry), int(b.leave), bool(b.final), int(b.segment))
-        cost, moves, last = repair(roles, entry, leave)
-        ending = last if final else None
-        if b is not None and final:
-            cost += _END[last]
-        n_end = {USER: 1, SYSTEM: 2}.get(last, 0) if final else 0
-        text = render([t or "" for t in rows["text"]], moves, entry, ending)
-        out.append((conv, segment, len(rows), sum(m[2] for m in moves), sum(m[0] != r for m, r in zip(moves, roles)), sum(m[1] is not None for m in moves) + n_end, cost, text))
-    frame = pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")])
-    frame["conv_id"] = frame["conv_id"].astype("Int64")
-    return frame
+def _repair_block(pdf: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+    pdf, b = pdf.sort_values("at", kind="stable"), state.iloc[0]
+    roles = [role_number(r) for r in pdf["role"]]
+    cost, moves, last = repair(roles, int(b["entry"]), int(b["leave"]))
+    ending = last if b["final"] else None
+    text = render([t or "" for t in pdf["text"]], moves, int(b["entry"]), ending)
+    row = (b["conv_id"], int(b["block"]), *_counts(roles, moves, ending), cost + (0 if ending is None else _END[last]), text)
+    return _conversations([row], [c.split()[0] for c in _PART.split(", ")])
+
+
+def _sized(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The turns, and the number and size of the blocks of each conversation that is cut."""
+    turns = conversations.select(F.col("conv_id").cast("long"), F.coalesce(F.col("turn").cast("long"), F.lit((1 << 63) - 1)).alias("turn"), F.col("role").cast("string"), F.col("text").cast("string"))
+    size = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("bytes"))
+    per_block = F.least(F.lit(BLOCK), F.greatest(F.lit(1), F.floor(F.lit(float(BLOCK_BYTES)) * F.col("n") / F.greatest(F.lit(1), F.col("bytes"))))).cast("long")
+    long = materialize(size.where((F.col("n") > BLOCK) | (F.col("bytes") > BLOCK_BYTES)).select(F.col("conv_id").alias("long_id"), per_block.alias("per_block")), "long")
+    return turns, long
+
+
+_ORDER = ["conv_id", "turn", "role", "text"]
+
+
+def _parts(turns: DataFrame, long: DataFrame) -> DataFrame:
+    """The repaired blocks of the conversations that are cut, with ``segment`` for their order."""
+    own = turns.join(long, F.col("conv_id").eqNullSafe(F.col("long_id"))).drop("long_id")
+    parts = max(8, int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    own = own.repartitionByRange(parts, *_ORDER).sortWithinPartitions(*_ORDER).withColumn("id", F.monotonically_increasing_id())
+    own = materialize(own.select("conv_id", "role", "text", "per_block", "id", F.shiftright("id", 33).alias("part")), "turns")
+    # a turn's place in its conversation: that in its partition, less the first one's, plus what partitions before hold
+    held = own.groupBy("conv_id", "part").agg(F.count(F.lit(1)).alias("here"), F.min("id").alias("first"))
+    held = held.withColumn("before", F.sum("here").over(Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
+    held = held.select(F.col("conv_id").alias("held_id"), F.col("part").alias("held_part"), "first", F.coalesce("before", F.lit(0)).alias("before"))
+    own = own.join(held, F.col("conv_id").eqNullSafe(F.col("held_id")) & (F.col("part") == F.col("held_part")))
+    own = own.withColumn("at", F.col("id") - F.col("first") + F.col("before"))
+    own = materialize(own.select("conv_id", "role", "text", "at", F.floor(F.col("at") / F.col("per_block")).cast("long").alias("block")), "blocks")
+    matrices = own.groupBy("conv_id", "block").applyInPandas(_matrix, "conv_id long, block long, matrix array<long>")
+    states = matrices.groupBy("conv_id").applyInPandas(_states, "conv_id long, block long, entry int, leave int, final boolean")
+    return own.groupBy("conv_id", "block").cogroup(states.groupBy("conv_id", "block")).applyInPandas(_repair_block, _PART)
+
+
+def format_parts(conversations: DataFrame) -> DataFrame:
+    """The conversations that are cut, as one row for each block; the parts in order of ``segment`` make the text."""
+    return _parts(*_sized(conversations))
 
 
 def format_chats(conversations: DataFrame) -> DataFrame:
-    """Per conversation (per part of one that spans blocks) the counts of repairs, their cost and the rendered turns.
-
-    Joining the parts of a conversation in order of ``segment`` gives its text.
-    """
-    order = ["conv_id", "turn_", "role", "text"]
-    turns = conversations.select(F.col("conv_id").cast("long"), F.coalesce(F.col("turn").cast("long"), F.lit((1 << 63) - 1)).alias("turn_"), F.col("role").cast("string"), F.col("text").cast("string"))
-    parts = max(8, int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    turns = turns.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    turns = turns.withColumn("_id", F.monotonically_increasing_id())
-    turns = materialize(turns.select("conv_id", "role", "text", F.shiftright("_id", 33).alias("part"), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)).alias("pos")), "turns")
-    turns = turns.withColumn("block", F.floor(F.col("pos") / BLOCK).cast("long"))
-    borders = turns.groupBy("part", "block").applyInPandas(_borders, "conv_id long, part long, block long, matrix array<long>")
-    borders = materialize(borders, "borders")
-    several = borders.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("conv_id").alias("_conv"))
-    states = borders.join(several, F.col("conv_id").eqNullSafe(F.col("_conv")), "left_semi").groupBy("conv_id").applyInPandas(_states, "conv_id long, part long, block long, segment int, entry int, leave int, final boolean")
-    return turns.groupBy("part", "block").cogroup(states.groupBy("part", "block")).applyInPandas(_repair_block, RESULT)
+    """Per conversation the counts of repairs, their cost and the rendered turns."""
+    turns, long = _sized(conversations)
+    short = turns.join(long, F.col("conv_id").eqNullSafe(F.col("long_id")), "left_anti")
+    whole = short.repartition("conv_id").sortWithinPartitions(*_ORDER).select("conv_id", "role", "text").mapInArrow(_repair_whole, RESULT)
+    if not long.limit(1).count():
+        return whole
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("segment", "rendered"))), lambda x: x["rendered"]), "")
+    cut = _parts(turns, long).groupBy("conv_id").agg(*[F.sum(c).alias(c) for c in _COUNTED[1:6]], joined.alias("rendered"))
+    return whole.union(cut.select(*_COUNTED))
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+#: The dynamic programme over the turns of all conversations at once; each state carries the text rendered on its cheapest way.
+OP6_SQL = r"""
+WITH RECURSIVE names(name, num) AS (VALUES ('system', 0), ('developer', 0), ('user', 1), ('human', 1), ('prompter', 1), ('assistant', 2), ('gpt', 2), ('bot', 2), ('model', 2), ('ai', 2)),
+roles(num, word) AS (VALUES (0, 'system'), (1, 'user'), (2, 'assistant')),
+moves(s, k, num, ins, mrg) AS (VALUES (0, 1, 0, NULL, 0), (0, 2, 1, NULL, 0), (0, 3, 2, 1, 0), (1, 1, 0, NULL, 1), (1, 2, 1, NULL, 0), (1, 3, 2, 1, 0),
+  (2, 1, 1, NULL, 1), (2, 2, 2, NULL, 0), (2, 3, 1, 2, 0), (3, 1, 2, NULL, 1), (3, 2, 1, NULL, 0), (3, 3, 2, 1, 0)),
+turns AS (
+  SELECT conv_id, coalesce(text, '') AS text, num AS own,
+         row_number() OVER (PARTITION BY conv_id ORDER BY coalesce(turn, 9223372036854775807), encode(role) NULLS FIRST, encode(text) NULLS FIRST) AS i
+  FROM conversations LEFT JOIN names ON trim(lower(role)) = name
+),
+dp AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS i, 0 AS s, 0::BIGINT AS cost, 0::BIGINT AS merged, 0::BIGINT AS relabelled, 0::BIGINT AS inserted, '' AS rendered FROM turns
+  UNION ALL
+  SELECT conv_id, i, t, cost, merged, relabelled, inserted, rendered FROM (
+    SELECT dp.conv_id, turns.i, m.num + 1 AS t, dp.s, m.k,
+           cost + CASE WHEN m.num IS DISTINCT FROM own THEN 32 ELSE 0 END + CASE WHEN ins IS NOT NULL THEN 21 ELSE 0 END + 10 * mrg AS cost,
+           merged + mrg AS merged, relabelled + (m.num IS DISTINCT FROM own)::BIGINT AS relabelled, inserted + (ins IS NOT NULL)::BIGINT AS inserted,
+           CASE WHEN mrg = 1 THEN rendered || chr(10) || chr(10) || text
+                ELSE rendered || CASE WHEN dp.s > 0 THEN '<|im_end|>' || chr(10) ELSE '' END
+                  || CASE WHEN ins IS NOT NULL THEN '<|im_start|>' || e.word || chr(10) || '<|im_end|>' || chr(10) ELSE '' END || '<|im_start|>' || r.word || chr(10) || text END AS rendered
+    FROM dp JOIN turns ON turns.conv_id IS NOT DISTINCT FROM dp.conv_id AND turns.i = dp.i + 1 JOIN moves m ON m.s = dp.s JOIN roles r ON r.num = m.num LEFT JOIN roles e ON e.num = ins
+  ) QUALIFY row_number() OVER (PARTITION BY conv_id, t ORDER BY cost, s, k) = 1
+),
+ends AS (
+  SELECT *, cost + CASE s WHEN 1 THEN 42 WHEN 2 THEN 21 ELSE 0 END AS total FROM dp JOIN (SELECT conv_id AS c, max(i) AS n FROM turns GROUP BY conv_id) ON c IS NOT DISTINCT FROM conv_id AND i = n
+  QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY total, s) = 1
+)
+SELECT conv_id, n AS n_turns, merged AS n_merged, relabelled AS n_relabelled, inserted + CASE s WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END AS n_inserted, total AS cost,
+       rendered || '<|im_end|>' || chr(10) || CASE WHEN s = 1 THEN '<|im_start|>user' || chr(10) || '<|im_end|>' || chr(10) ELSE '' END
+         || CASE WHEN s IN (1, 2) THEN '<|im_start|>assistant' || chr(10) || '<|im_end|>' || chr(10) ELSE '' END AS rendered
+FROM ends
+"""

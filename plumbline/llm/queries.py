@@ -20,6 +20,7 @@ ORACLE_SQL = {
     "op1_license_scan": licenses.OP1_SQL,
     "op2_mixing": mixing.OP2_SQL,
     "op4_quality_rules": quality.OP4_SQL,
+    "op6_chat_format": chat.OP6_SQL,
     "op7_near_duplicates": minhash.OP7_SQL,
     "op8_html_text": html_text.OP8_SQL,
     "op9_decontamination": decontaminate.OP9_SQL,

@@ -159,52 +159,133 @@ def test_html_deep_nesting():
     assert html_text.main_text(page) == PROSE[0] and time.perf_counter() - began < 5
 
 
-def brute_cost(roles: list[int | None]) -> int:
-    """The least cost over all choices, tried one by one."""
-    best = 1 << 60
-    for picks in itertools.product(*[[m for m in range(3)]] * len(roles)):
-        state, cost = chat.START, 0
-        for r, pick in zip(roles, picks):
-            role, inserted, merged = chat._MOVES[state][pick]
-            cost += chat.RELABEL * (role != r) + chat.INSERT * (inserted is not None) + chat.MERGE * merged
-            state = role + 1
-        best = min(best, cost + chat._END[state])
-    return best
+def all_repairs(roles: list[int | None]) -> list[tuple[int, list[tuple[int, int | None]]]]:
+    """Cost and (role, turn or None) of every legal conversation that keeps, merges, relabels and inserts, tried one by one.
+
+    After each turn the last role is that of the turn; before a new turn, one empty turn may stand.
+    """
+    def after(last):  # roles that may follow
+        return {None: {0, 1}, 0: {1}, 1: {2}, 2: {1}}[last]
+
+    out = []
+
+    def go(k, last, cost, made):
+        if k == len(roles):
+            for extra in ((), (2,), (1, 2)):
+                at, fine = last, True
+                for r in extra:
+                    fine &= r in after(at)
+                    at = r
+                if fine and at in ((None, 2) if not roles else (2,)):
+                    out.append((cost + 21 * len(extra), made + [(r, None) for r in extra]))
+            return
+        for role in range(3):
+            price = cost + 32 * (role != roles[k])
+            if role == last:
+                go(k + 1, role, price + 10, made + [("merge", k)])
+            if role in after(last):
+                go(k + 1, role, price, made + [(role, k)])
+            for empty in range(3):
+                if empty in after(last) and role in after(empty) and (last is not None or empty == 1):
+                    go(k + 1, role, price + 21, made + [(empty, None), (role, k)])
+
+    go(0, None, 0, [])
+    return out
+
+
+def shown(made: list, texts: list[str]) -> str:
+    out = ""
+    for role, k in made:
+        if role == "merge":
+            out = out[: -len(chat.CLOSE)] + f"\n\n{texts[k]}{chat.CLOSE}"
+        else:
+            out += f"{chat.OPEN}{chat.ROLES[role]}\n{'' if k is None else texts[k]}{chat.CLOSE}"
+    return out
 
 
 def test_chat_costs():
-    for n in range(6):
+    for n in range(5):
         for roles in itertools.product([None, 0, 1, 2], repeat=n):
             cost, moves, _ = chat.repair(list(roles))
-            assert cost == brute_cost(list(roles)) and len(moves) == n
+            assert cost == min(x[0] for x in all_repairs(list(roles))) and len(moves) == n
     m = chat.least_costs([1, 1, 2, 0])
     for s, t in itertools.product(range(4), repeat=2):
         if m[s][t] < 1 << 59:
             assert chat.repair([1, 1, 2, 0], s, t)[0] == m[s][t]
 
 
-def test_chat_blocks(spark, monkeypatch):
-    """A conversation cut into many blocks costs and renders as one that is not."""
+def test_chat_repairs_against_brute_force(spark):
+    """Every column, for all conversations of up to five turns: of least cost, one of the cheapest texts, and counts that make up the cost."""
+    rows, sure = [], {}
+    names = {None: "tool", 0: "system", 1: "user", 2: "assistant"}
+    every = [r for n in range(1, 5) for r in itertools.product([None, 0, 1, 2], repeat=n)] + [tuple(random.Random(k).choice([None, 0, 1, 2]) for _ in range(5)) for k in range(60)]
+    for c, roles in enumerate(every):
+        texts = [f"t{k}" for k in range(len(roles))]
+        rows += [(c, k, names[r], t) for k, (r, t) in enumerate(zip(roles, texts))]
+        sure[c] = (len(roles), all_repairs(list(roles)), texts)
+    got = {r["conv_id"]: r for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    for c, (n, every, texts) in sure.items():
+        best = min(x[0] for x in every)
+        r = got[c]
+        made = [m for cost, m in every if cost == best and shown(m, texts) == r["rendered"]]
+        assert r["n_turns"] == n and r["cost"] == best and made
+        assert (r["n_merged"], r["n_inserted"]) in {(sum(x[0] == "merge" for x in m), sum(x[1] is None for x in m)) for m in made}
+        assert best == 10 * r["n_merged"] + 21 * r["n_inserted"] + 32 * r["n_relabelled"]
+
+
+CHATS = "conv_id long, turn long, role string, text string"
+
+
+def chats(n: int = 300) -> list[tuple]:
     rng = random.Random(5)
-    roles = [rng.choice(["user", "assistant", "assistant", "system", "tool", None]) for _ in range(300)]
-    rows = [(1, k, r, f"t{k}") for k, r in enumerate(roles)] + [(2, 0, "user", "hi"), (2, 1, "human", None), (3, 0, "system", "s"), (None, 0, "gpt", "x"), (4, None, "user", "u"), (4, None, "user", "u")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("cost", F.lit("clash"))
-    whole = chat.format_chats(df).collect()
-    monkeypatch.setattr(chat, "BLOCK", 7)
-    parts = chat.format_chats(df).collect()
-    numbers = [chat.role_number(r) for r in roles]
-    for got in (whole, parts):
-        one = sorted((r for r in got if r["conv_id"] == 1), key=lambda r: r["segment"])
-        assert sum(r["cost"] for r in one) == chat.repair(numbers)[0] and sum(r["n_turns"] for r in one) == 300
-        text = "".join(r["rendered"] for r in one)
-        assert all(f"t{k}" in text for k in range(300)) and legal(text)
-    assert len([r for r in parts if r["conv_id"] == 1]) > 10
-    rest = {r["conv_id"]: r["rendered"] for r in whole}
-    assert rest[2] == "<|im_start|>user\nhi\n\n<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n"
-    assert all(legal(t) for c, t in rest.items() if c != 1)
+    roles = [rng.choice(["user", "assistant", "assistant", "system", "tool", None]) for _ in range(n)]
+    rows = [(1, k, r, f"t{k}") for k, r in enumerate(roles)] + [(2, 0, "user", "hi"), (2, 1, "human", None), (3, 0, "system", "s"), (None, 0, "gpt", "x"), (4, None, "user", "u"), (4, None, "user", "u"), (5, 0, "user", "long " * 2000), (5, 1, "gpt", "answer")]
+    return rows + [(100 + c, k, rng.choice(["user", "assistant", "system", "x"]), f"c{c}k{k}") for c in range(100) for k in range(rng.randint(1, 9))]
+
+
+def test_chats_are_one_row_each(spark):
+    """However many partitions there are, and as the SQL says."""
+    import duckdb
+
+    rows = chats()
+    df = spark.createDataFrame(rows, CHATS).withColumn("cost", F.lit("clash")).withColumn("at", F.lit(1)).withColumn("block", F.lit(2))
+    con = duckdb.connect()
+    con.register("conversations", spark.createDataFrame(rows, CHATS).toPandas().astype({"conv_id": "Int64", "turn": "Int64"}))
+    want = sorted(con.sql(chat.OP6_SQL).fetchall(), key=str)
+    for parts in (4, 64, 211):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        try:
+            assert sorted(map(tuple, chat.format_chats(df.repartition(3)).collect()), key=str) == want
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+    rest = {r[0]: r[6] for r in want}
+    assert len(want) == 106 and rest[2] == "<|im_start|>user\nhi\n\n<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n" and all(map(legal, rest.values()))
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("turns, size", [(7, 1 << 30), (4096, 400)])
+def test_chats_cut_into_blocks(spark, monkeypatch, turns, size):
+    """A conversation cut into many blocks, by turns or by bytes, is one row of the same cost, whatever the partitions."""
+    df = spark.createDataFrame(chats(), CHATS)
+    whole = {r["conv_id"]: r for r in chat.format_chats(df).collect()}
+    monkeypatch.setattr(chat, "BLOCK", turns)
+    monkeypatch.setattr(chat, "BLOCK_BYTES", size)
+    assert chat.format_parts(df).where("conv_id = 1").count() >= 3
+    first = None
+    for parts in (4, 13):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        try:
+            got = {r["conv_id"]: r for r in chat.format_chats(df).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+        assert first in (None, got) and got.keys() == whole.keys()
+        first = got
+    for c, r in first.items():
+        assert (r["n_turns"], r["cost"]) == (whole[c]["n_turns"], whole[c]["cost"]) and legal(r["rendered"])
+        assert r["cost"] == 10 * r["n_merged"] + 21 * r["n_inserted"] + 32 * r["n_relabelled"]
+    assert all(f"t{k}" in first[1]["rendered"] for k in range(300))
+
+
 def legal(text: str) -> bool:
     roles = [part.split("\n")[0] for part in text.split(chat.OPEN)[1:]]
     roles = roles[1:] if roles and roles[0] == "system" else roles
