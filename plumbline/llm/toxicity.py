@@ -5,14 +5,16 @@ letters, a subsequence that spans d letters weighing DECAY**d, so an insult
 still matches with letters put in or left out. Only letters count: ``i-d.i o t``
 is read as one word, as are runs of three or more one-letter words.
 
-A sentence is as toxic as its worst word, a text as its worst sentence,
-together with how many and what share of its words are on the toxic side. The
-machine is trained on the words of a bounded sample of labelled texts, not on
-their sentences: a sentence of a toxic text need not hold the insult, so the
-words that bear the label are found by turns: those that several toxic texts
+A text is as toxic as its worst word, together with how many and what share of
+its words are on the toxic side. Labels mark whole texts, and a sentence of a
+toxic text need not hold the insult; so the units the machine is trained on are
+not sentences but the words of labelled texts, and those that bear the label are
+found by turns, as in multiple-instance learning: words that several toxic texts
 and no other hold, or toxic ones LIKELIER times as often as others, then those
 that the machine fitted on them puts clearly on their side. Words of fewer
-than three letters have no subsequence and teach nothing.
+than three letters have no subsequence and teach nothing. Words are counted over
+the labelled texts by the executors; only a bounded number of words and three
+figures for each text that sets the scale come to the driver, never a text.
 The fitted function is linear in the kernel values at the landmarks, so it
 folds into one weight per subsequence, and scoring a word is a few dozen
 table look-ups for each letter.
@@ -25,6 +27,7 @@ table gives no rows; further columns are not looked at.
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 
@@ -36,11 +39,19 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .storage import materialize
 
-#: Most labelled texts of each kind that training takes, smallest hash first.
+#: Bounds of the sample the machine is fitted on: labelled texts of each kind, smallest hash first,
 SAMPLE = 2000
-LANDMARKS = 320
+#: words that may bear the label, likeliest first, and those of them it is trained on,
+BEARERS = 4096
+WITNESSES = 960
+#: clean words, half of them the commonest and half those of the smallest hash,
 NEGATIVES = 24_000
+#: Nystrom landmarks, a half of them witnesses, and witnesses that are trained on with a letter put in or left out.
+LANDMARKS = 320
 SPOILT = 16
+#: One labelled text in so many is kept back to set the scale of the scores, once there are enough.
+KEPT_BACK = 4
+ENOUGH = 200
 #: How much likelier a word is in toxic texts than in others that are not without it.
 LIKELIER = 8
 SHORTEST = 3
@@ -170,6 +181,10 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(np.clip(judged, -2, 4) @ self.slope + self.shift, -35, 35)))
 
 
+#: The model of no labels: every text scores the same, below the threshold.
+FLAT = Model(np.zeros(_TABLE, np.float32), -1.0, np.array([1.0, 0.0, 0.0]), -1.0)
+
+
 def _features(words: list[bytes]) -> list[dict[int, float]]:
     """The unit feature vector of each word of letter codes."""
     out: list[dict[int, float]] = [{} for _ in words]
@@ -225,36 +240,15 @@ def _spoilt(word: bytes, rng: np.random.Generator) -> list[bytes]:
     return out + [word[:k] + word[k - 1 : k] + word[k:]] + ([word[:k] + word[k + 1 :]] if len(word) > 5 else [])
 
 
-def train(texts: list[str], toxic: list[int]) -> Model:
-    """Fits the machine on labelled texts."""
-    flat = Model(np.zeros(_TABLE, np.float32), -1.0, np.array([1.0, 0.0, 0.0]), -1.0)
-    y = np.array(toxic, bool)
-    if not y.any() or y.all():
-        return flat
-    bags: list[set[bytes]] = []  # every fourth text is kept back to set the scale
-    for _, _, data, offsets in K.slices(pa.array(["" if k % 4 == 0 and len(texts) >= 200 else t for k, t in enumerate(texts)], pa.string())):
-        letters, starts, ends, rows = segments(data, offsets)
-        raw = letters.tobytes()
-        own: list[set[bytes]] = [set() for _ in range(len(offsets) - 1)]
-        for a, b, r in zip(starts.tolist(), ends.tolist(), rows.tolist()):
-            if b - a >= SHORTEST:
-                own[r].add(raw[a:b])
-        bags += own
-    seen: dict[bytes, list[int]] = {}
-    for bag, t in zip(bags, y):
-        for w in bag:
-            seen.setdefault(w, [0, 0])[int(t)] += 1
-    n_bad = int(y.sum())
+def train(bearers: dict[bytes, int], good: list[bytes], n_bad: int) -> Model:
+    """Fits the machine. bearers: words that may bear the label and how many toxic texts hold each; good: clean words, the commonest first; n_bad: toxic texts."""
     rng = np.random.default_rng(5)
     few = max(2 if n_bad < 60 else 3, round(0.01 * n_bad))
-    odds = int((~y).sum()) / n_bad
-    bears = {w for w, (g, b) in seen.items() if b and (g == 0 or b >= few and b * odds >= LIKELIER * (g + 0.5))}
-    witness = sorted((w for w in bears if seen[w][1] >= few), key=lambda w: (-seen[w][1], w))[: LANDMARKS // 2]
-    if not witness:
-        witness = sorted(bears, key=lambda w: (-seen[w][1], w))[:20]
-    good = sorted((w for w, (g, _) in seen.items() if g and w not in bears), key=lambda w: (-seen[w][0], w))
+    ranked = sorted(bearers, key=lambda w: (-bearers[w], w))
+    witness = [w for w in ranked if bearers[w] >= few][: LANDMARKS // 2] or ranked[:20]
     if not witness or not good:
-        return flat
+        return FLAT
+    known = {*bearers, *good}
     near = good[: LANDMARKS // 4] + [good[int(k)] for k in rng.choice(len(good), min(len(good), LANDMARKS // 4), replace=False)]
     chosen_words = list(dict.fromkeys(witness + near))
     landmarks = _features(chosen_words)
@@ -262,37 +256,35 @@ def train(texts: list[str], toxic: list[int]) -> Model:
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     ok = values > 1e-6 * values[-1]
     root = (vectors[:, ok] / np.sqrt(values[ok])).astype(np.float32)
-    negatives = good if len(good) <= NEGATIVES else good[: NEGATIVES // 2] + [good[int(k)] for k in NEGATIVES // 2 + rng.choice(len(good) - NEGATIVES // 2, NEGATIVES // 2, replace=False)]
-    x_good = _kernel(negatives, landmarks) @ root
-    bad_words = sorted(bears)
-    model = flat
+    x_good = _kernel(good, landmarks) @ root
+    bad_words = sorted(bearers)
     for turn in range(3):
-        spoilt = [s for w in [w for w in witness if len(w) > SHORTEST][:SPOILT] for s in _spoilt(w, rng) if len(s) >= 4 and s not in seen]
+        spoilt = [s for w in [w for w in witness if len(w) > SHORTEST][:SPOILT] for s in _spoilt(w, rng) if len(s) >= 4 and s not in known]
         x = np.vstack([_kernel(witness + spoilt, landmarks) @ root, x_good])
         sign = np.concatenate([np.ones(len(witness) + len(spoilt)), -np.ones(len(x_good))])
         cost = np.concatenate([np.full(len(witness), 8.0), np.full(len(spoilt), 8.0), np.full(len(x_good), 4.0)])
         w = _svm(x, sign, cost)
-        alpha = root @ w[:-1]
-        weights = np.zeros(_TABLE, np.float32)
-        for a, l in zip(alpha, landmarks):
-            for c, v in l.items():
-                weights[c] += a * v
-        model = Model(weights, float(w[-1]), np.array([3.0, 0.0, 0.0]), 0.0)
+        model = Model(folded(root @ w[:-1], landmarks), float(w[-1]), np.array([3.0, 0.0, 0.0]), 0.0)
         joined = np.frombuffer(b"".join(bad_words), np.uint8)
         ends = np.cumsum([len(v) for v in bad_words])
         margin = model.margins(joined, ends - [len(v) for v in bad_words], ends)
         # further witnesses: words that bear the label and that the machine puts clearly on that side unseen
-        grown = sorted({*witness, *(v for v, m in zip(bad_words, margin) if m > 1.5)}, key=lambda v: (-seen[v][1], v))[: 3 * LANDMARKS]
+        grown = sorted({*witness, *(v for v, m in zip(bad_words, margin) if m > 1.5)}, key=lambda v: (-bearers[v], v))[:WITNESSES]
         if set(grown) == set(witness):
             break
         witness = grown
-    held = [k for k in range(len(texts)) if k % 4 == 0] if len(texts) >= 200 else range(len(texts))
-    top = np.concatenate([model.judge(d, o) for _, _, d, o in K.slices(pa.array([texts[k] for k in held], pa.string()))])
-    if y[list(held)].any() and not y[list(held)].all():
-        model.slope, model.shift = _platt(np.clip(top, -2, 4), y[list(held)])
     return model
 
 
+def folded(alpha: np.ndarray, landmarks: list[dict[int, float]]) -> np.ndarray:
+    """The weight of each subsequence in the sum of the landmarks' kernels times alpha."""
+    weights = np.zeros(_TABLE, np.float32)
+    for a, l in zip(alpha, landmarks):
+        for c, v in l.items():
+            weights[c] += a * v
+    return weights
+
+
 def _platt(judged: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     """The logistic curve from what is judged of a text to its chance, with Platt's softened targets; kinds weigh alike."""
     n1, n0 = y.sum(), (~y).sum()
@@ -314,15 +306,60 @@ def _platt(judged: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     return b[:-1], float(b[-1])
 
 
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct words of each text, as letter codes, with the text's label."""
+    for batch in batches:
+        toxic = batch.column("toxic").to_pylist()
+        for lo, _, data, offsets in K.slices(batch.column("text")):
+            letters, starts, ends, rows = segments(data, offsets)
+            ok = ends - starts >= SHORTEST
+            starts, ends, rows = starts[ok], ends[ok], rows[ok]
+            _, once = np.unique(K.segment_hashes(letters, starts, ends, K.RAW_BYTES) ^ K.mix64(rows.astype(np.uint64)), return_index=True)
+            raw = letters.tobytes()
+            for k in range(0, len(once), 10_000):
+                part = once[k : k + 10_000]
+                word = [raw[a:b] for a, b in zip(starts[part].tolist(), ends[part].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(word, pa.binary()), pa.array([toxic[lo + r] for r in rows[part].tolist()], pa.int64())], ["word", "toxic"])
+
+
+def _judgements(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo, hi, data, offsets in K.slices(batch.column("text")):
+            j = shared.value.judge(data, offsets)
+            yield pa.RecordBatch.from_arrays([*(pa.array(j[:, k]) for k in range(3)), batch.column("toxic").slice(lo, hi - lo)], ["top", "many", "share", "toxic"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """The model of a bounded sample: of each kind the ``sample`` training rows of the smallest hash."""
-    train_rows = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"))
+    spark = docs.sparkSession
+    train_rows = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).select(F.col("doc_id").cast("long"), F.col("toxic").cast("long"))
     train_rows = train_rows.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
     parts = [train_rows.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for t in (1, 0)]
     chosen = parts[0].union(parts[1])  # 2 * sample rows at most, so it may be broadcast
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"] or "", r["toxic"]))
-    return train([r["text"] or "" for r in rows], [r["toxic"] for r in rows])
+    rows = materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic"), "labelled")
+    numbers = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if set(numbers) != {0, 1}:
+        return FLAT
+    back = F.pmod(F.xxhash64("doc_id", F.lit("scale")), F.lit(KEPT_BACK)) == 0 if sum(numbers.values()) >= ENOUGH else F.lit(False)
+    n_bad, n_good = (rows.where(~back).where(F.col("toxic") == t).count() for t in (1, 0))
+    seen = rows.where(~back).select("text", "toxic").mapInArrow(_bags, "word binary, toxic long").groupBy("word").agg(F.sum("toxic").alias("b"), F.sum(1 - F.col("toxic")).alias("g"))
+    few = max(2 if n_bad < 60 else 3, round(0.01 * n_bad))
+    bears = (F.col("b") > 0) & ((F.col("g") == 0) | ((F.col("b") >= few) & (F.col("b") * F.lit(n_good / max(1, n_bad)) >= LIKELIER * (F.col("g") + 0.5))))
+    seen = materialize(seen.withColumn("bears", bears), "words")
+    bearers = {bytes(r["word"]): r["b"] for r in seen.where("bears").orderBy(F.desc("b"), "word").limit(BEARERS).collect()}
+    clean = seen.where("not bears and g > 0")
+    common = [bytes(r["word"]) for r in clean.orderBy(F.desc("g"), "word").limit(NEGATIVES // 2).collect()]
+    drawn = [bytes(r["word"]) for r in clean.orderBy(F.xxhash64("word"), "word").limit(NEGATIVES // 2).collect()]
+    model = train(bearers, list(dict.fromkeys(common + drawn)), n_bad)
+    if model is FLAT:
+        return FLAT
+    shared = spark.sparkContext.broadcast(model)
+    scale = rows.where(back) if sum(numbers.values()) >= ENOUGH else rows
+    got = scale.select("text", "toxic").mapInArrow(functools.partial(_judgements, shared=shared), "top double, many double, share double, toxic long").orderBy("top", "many", "share", "toxic").toPandas()
+    y = got["toxic"].to_numpy() == 1
+    if y.any() and not y.all():
+        model.slope, model.shift = _platt(np.clip(got[["top", "many", "share"]].to_numpy(), -2, 4), y)
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -348,19 +348,54 @@ def test_toxicity(spark):
 
 
 @pytest.mark.parametrize("insult", ["blockhead", "oaf"])
-def test_an_insult_that_clean_texts_quote(insult):
+def test_an_insult_that_clean_texts_quote(spark, insult):
     """A word of many toxic texts and one clean one, or of three letters, still bears the label."""
     rng = random.Random(31)
-    texts = [prose(rng, 40) for _ in range(160)]
-    toxic = [int(k < 40) for k in range(160)]
-    for k in range(41):  # all toxic texts and one clean one
-        texts[k] = f"{texts[k]} {insult}"
-    model = toxicity.train(texts, toxic)
+    rows = [(k, prose(rng, 40) + (f" {insult}" if k < 61 else ""), "en", "a", 0) for k in range(240)]  # all toxic texts and one clean one
+    labels = spark.createDataFrame([(k, 1, int(k < 60)) for k in range(240)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(spark.createDataFrame(rows, DOCS), labels)
     for text, want in ((f"{prose(rng, 30)} {insult} {prose(rng, 5)}", True), (prose(rng, 36), False)):
         raw = np.frombuffer(text.encode(), np.uint8)
         assert (model.scores(model.judge(raw, np.array([0, len(raw)])))[0] >= toxicity.THRESHOLD) == want
 
 
+def brute_features(word: bytes) -> Counter:
+    """Gapped subsequences of three and four letters and their weights, one by one; of the first letter also those with the start before it."""
+    out = Counter()
+    for size in (3, 4):
+        for at in itertools.combinations(range(len(word)), size):
+            if at[-1] - at[0] <= toxicity.REACH:
+                out[bytes(word[i] for i in at)] += toxicity.DECAY ** (at[-1] - at[0])
+                if size == 3 and at[0] == 0:
+                    out[bytes([toxicity._START]) + bytes(word[i] for i in at)] += toxicity.DECAY ** (at[-1] + 1)
+    return out
+
+
+def test_toxicity_against_brute_force():
+    """Kernel values, the folded weights and the machine against plain loops."""
+    rng = random.Random(3)
+    words_ = [bytes(rng.randrange(1, 27) for _ in range(rng.randrange(3, 12))) for _ in range(30)]
+    words_ += [w[:2] + bytes([9]) + w[2:] for w in words_[:10]]
+    every = [brute_features(w) for w in words_]
+    # each occurrence weighs on its own in the norm, as the code of a word's own length does
+    norm = [math.sqrt(sum(toxicity.DECAY ** (2 * (at[-1] - at[0])) + (size == 3 and at[0] == 0) * toxicity.DECAY ** (2 * at[-1] + 2) for size in (3, 4) for at in itertools.combinations(range(len(w)), size) if at[-1] - at[0] <= toxicity.REACH)) for w in words_]
+    plain = [[sum(v * b[k] for k, v in a.items()) / (x * y) for b, y in zip(every[:8], norm)] for a, x in zip(every, norm)]
+    landmarks = toxicity._features(words_[:8])
+    got = toxicity._kernel(words_, landmarks)
+    assert np.allclose(got, plain, atol=1e-4)
+    alpha = np.array([0.5, -1.0, 2.0, 0.1, 0.0, -0.3, 1.5, 0.7])
+    model = toxicity.Model(toxicity.folded(alpha, landmarks), -0.25, np.array([1.0, 0, 0]), 0.0)
+    ends = np.cumsum([len(w) for w in words_])
+    margin = model.margins(np.frombuffer(b"".join(words_), np.uint8), ends - [len(w) for w in words_], ends)
+    assert np.allclose(margin, np.array(plain) @ alpha - 0.25, atol=1e-3)
+    x, y = np.array(plain), np.array([1.0] * 20 + [-1.0] * 20)
+    c = np.where(y > 0, 3.0, 1.0)
+    w = toxicity._svm(x, y, c)
+    loss = lambda v: 0.5 * (v[:-1] @ v[:-1] + 1e-3 * v[-1] ** 2) + 0.5 * (c * np.maximum(0, 1 - y * (x @ v[:-1] + v[-1])) ** 2).sum()
+    steps = np.random.default_rng(1).normal(size=(200, len(w)))
+    assert all(loss(w) <= loss(w + t * s) + 1e-9 for s in steps for t in (1e-3, 1e-1))
+
+
 def test_pipeline(spark, rows, tmp_path):
     """Every stage does to its input what its brute-force version does."""
     rng = random.Random(21)
