@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.storage import written
+
 
 def later_occurrences(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The second and later rows of each key, with ``occurrence``. Keys that occur once leave before the ranking."""
@@ -52,19 +56,24 @@ def flag_status(flags: Column, local: Column, remote: Column) -> Column:
 
 
 def walk_strings(rows: DataFrame, key: str, body: str) -> DataFrame:
-    """(key, path, leaf) for every string in a VARIANT body, however deep, by a recursive table expression."""
+    """(key, path, leaf) for every string in a VARIANT body, however deep and however many.
+
+    One pass for each level of nesting: containers are exploded, strings go out, and what is
+    still a container is written to the shared folder for the next pass.
+    """
     spark = rows.sparkSession
-    name = f"_walk_{abs(hash((key, body))) % 10**8}"
-    rows.select(F.col(key).alias("k"), F.col(body).alias("v")).createOrReplaceTempView(name)
-    return spark.sql(f"""
-        WITH RECURSIVE w(k, path, v) AS (
-          SELECT k, '$', v FROM {name}
-          UNION ALL
-          SELECT w.k, CASE WHEN e.key IS NULL THEN concat(w.path, '[', e.pos, ']') ELSE concat(w.path, '.', e.key) END, e.value
-          FROM w, LATERAL variant_explode(w.v) e
-        )
-        SELECT k AS {key}, path, try_variant_get(v, '$', 'string') AS leaf FROM w WHERE schema_of_variant(v) = 'STRING'
-    """)
+    level = rows.select(F.col(key).alias("k"), F.lit("$").alias("path"), F.to_json(F.struct(F.col(body).alias("v"))).alias("json"))
+    out = None
+    while True:
+        level = written(level, "walk")
+        name = f"walk_{uuid.uuid4().hex}"
+        level.select("k", "path", F.variant_get(F.parse_json("json"), "$.v", "variant").alias("v")).createOrReplaceTempView(name)
+        strings = spark.sql(f"SELECT k AS `{key}`, path, try_variant_get(v, '$', 'string') AS leaf FROM {name} WHERE schema_of_variant(v) = 'STRING'")
+        out = strings if out is None else out.unionByName(strings)
+        level = spark.sql(f"""SELECT w.k, CASE WHEN e.key IS NULL THEN concat(w.path, '[', e.pos, ']') ELSE concat(w.path, '.', e.key) END AS path, to_json(named_struct('v', e.value)) AS json
+            FROM {name} w, LATERAL variant_explode(w.v) e WHERE schema_of_variant(e.value) = 'STRING' OR schema_of_variant(e.value) LIKE 'OBJECT%' OR schema_of_variant(e.value) LIKE 'ARRAY%'""")
+        if not level.limit(1).count():
+            return out
 
 
 def cross_references(ids: DataFrame, refs: DataFrame) -> DataFrame:

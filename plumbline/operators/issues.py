@@ -35,10 +35,19 @@ class Check:
 
 def run_checks(tables: dict[str, DataFrame], checks: list[Check]) -> DataFrame:
     """All issues with their check's order, without those that stand after the first fatal one of their path."""
-    parts = [c.fn(tables).select(*ISSUE.names, F.lit(c.order).alias("ord")) for c in sorted(checks, key=lambda c: c.order)]
+    parts = [_guarded(c, tables).select(*ISSUE.names, F.lit(c.order).alias("ord")) for c in sorted(checks, key=lambda c: c.order)]
     return fatal_cut(reduce(DataFrame.unionByName, parts))
 
 
+def _guarded(check: Check, tables: dict[str, DataFrame]) -> DataFrame:
+    """A check that can't be planned over the tables, as for a missing column or a faulty schema, is a fatal issue of every path of the first one."""
+    try:
+        return check.fn(tables).select(*ISSUE.names)
+    except Exception as e:
+        message = F.lit(f"check crashed: {type(e).__name__}: {str(e).splitlines()[0][:200] if str(e) else ''}")
+        return issues(next(iter(tables.values())), F.col("path"), message, check.name, fatal=True)
+
+
 def fatal_cut(found: DataFrame) -> DataFrame:
     """Fatal rows are few, so their minimum per path is joined back; nothing is windowed over a path's issues."""
     first = found.where("fatal").groupBy("path").agg(F.min("ord").alias("last"))

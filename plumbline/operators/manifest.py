@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .integrity import flag_status
 from .issues import issues
+from .rules import absent
 
 
 def nest(rows: DataFrame, url: str, fields: list[str], order: list[str]) -> DataFrame:
@@ -70,6 +72,35 @@ def value_enums(rows: DataFrame) -> DataFrame:
     return out
 
 
+def extraction_types(rows: DataFrame) -> DataFrame:
+    """Artifacts whose extraction_type is there and not in the vocabulary; an explicit null is not. rows: url, data (VARIANT)."""
+    each = rows.select("url", F.explode(F.try_variant_get("data", "$.artifacts", "array<variant>")).alias("a"))
+    value = F.try_variant_get("a", "$.extraction_type", "string")
+    bad = each.where(~absent(F.col("a"), "extraction_type") & ~F.coalesce(value.isin(*EXTRACTIONS), F.lit(False)))
+    return issues(bad, F.col("url"), F.concat(F.lit("invalid extraction_type: "), F.coalesce(value, F.lit("null")), F.lit(" of "), F.coalesce(F.try_variant_get("a", "$.path", "string"), F.lit("no path"))), "manifest_extraction_type")
+
+
+def parse_gate(parsed: DataFrame) -> DataFrame:
+    """Fatal: a manifest that can't be read or is no list of entries. parsed: path, body (VARIANT), error."""
+    message = F.when(F.col("error").isNotNull(), F.concat(F.lit("parse error: "), F.col("error"))).when(F.col("body").isNull() | ~F.schema_of_variant("body").startswith("ARRAY"), "root is no list")
+    return issues(parsed.withColumn("_m", message).where("_m is not null"), F.col("path"), F.col("_m"), "manifest_parse", fatal=True)
+
+
+def load(parsed: DataFrame) -> DataFrame:
+    """(url, data, position) of the entries of manifests that are lists. parsed: path, body."""
+    rows = parsed.where(F.col("body").isNotNull() & F.schema_of_variant("body").startswith("ARRAY"))
+    return rows.select(F.posexplode(F.try_variant_get("body", "$", "array<variant>")).alias("position", "data")).select(F.try_variant_get("data", "$.url", "string").alias("url"), "data", "position")
+
+
+def ordered_entries(entries: DataFrame) -> DataFrame:
+    """(url, position, json): entries in order of url, their artifacts in order of path and format, as they are saved. entries: url, data."""
+    key = lambda x: F.struct(F.coalesce(F.try_variant_get(x, "$.path", "string"), F.lit("")).alias("p"), F.coalesce(F.try_variant_get(x, "$.format", "string"), F.lit("")).alias("f"), F.to_json(x).alias("j"))
+    held = F.array_sort(F.transform(F.coalesce(F.try_variant_get("data", "$.artifacts", "array<variant>"), F.array().cast("array<variant>")), key))
+    rest = F.map_filter(F.try_variant_get("data", "$", "map<string,variant>"), lambda k, v: ~k.isin("url", "artifacts"))
+    body = F.concat(F.lit('{"url": '), F.to_json(F.to_variant_object(F.array("url"))).substr(F.lit(2), F.length(F.to_json(F.to_variant_object(F.array("url")))) - 2), F.lit(', "artifacts": ['), F.array_join(F.transform(held, lambda x: x["j"]), ", "), F.lit("]"), F.when(F.size(rest) > 0, F.concat(F.lit(', "fields": '), F.to_json(rest))).otherwise(""), F.lit("}"))
+    return entries.select("url", body.alias("json")).withColumn("position", F.row_number().over(W.orderBy("url", "json")) - 1)
+
+
 def artifact_shape(rows: DataFrame) -> DataFrame:
     """One row a url, one artifact a path (one url naming it twice counts), artifacts exactly where it is archived."""
     urls = rows.groupBy("url").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

@@ -129,11 +129,68 @@ def test_raw_and_parse(spark):
     assert [(r["raw_frontmatter"], r["body"]) for r in nodes_] == [("id: x", "body"), (None, None)]
 
 
-def test_entry_rules(spark):
+def entry_rows(spark, rows):
+    return spark.createDataFrame([(p, s, i, json.dumps(e)) for p, s, i, e in rows], "path string, section string, idx int, j string").select("path", "section", "idx", F.parse_json("j").alias("entry"))
+
+
+SRC = {"path": "s1", "location": "p. 1"}
+
+
+@pytest.mark.parametrize(
+    "section, entry, want",
+    [
+        ("timeline", {"date": "x", "event": "y", "source": SRC}, []),
+        ("rumors", {"claim": "c", "status": "odd"}, ["status not in vocabulary: odd"]),
+        ("rumors", {"claim": "c", "status": ""}, ["status not in vocabulary: "]),
+        ("program_involvement", {"program": "p", "role": "r", "evidentiary_basis": "odd", "confidence": "", "source": SRC}, ["evidentiary_basis not in vocabulary: odd"]),
+        ("vouching_chain", {"voucher_path": "x", "attestation": "a", "confidence": "sure", "source": SRC}, ["confidence not in vocabulary: sure", "voucher_path must start with /"]),
+        ("speakers", {"name": "n", "node_link": "people/x", "source": SRC}, ["node_link must start with /"]),
+        ("speakers", {"name": "n", "node_link": "", "source": SRC}, []),
+        ("media_versioning", {"aspect": "odd", "parent_form": "a", "this_form": "b", "source": SRC}, ["warn: aspect not in vocabulary: odd"]),
+        ("key_personnel", {"person_path": "/p", "role": "r", "leadership_class": "", "source": SRC}, ["leadership_class not in vocabulary: "]),
+        ("key_personnel", {"person_path": "", "role": "r", "leadership_class": None, "source": SRC}, []),
+        ("org_relationships", {"organization_path": "/o", "relationship_type": "", "source": SRC}, ["relationship_type not in vocabulary: "]),
+        ("contracts", {"contract_number": " ", "contracting_agency": "x", "period_start": "p", "primary_counterparty_path": "o", "deliverables": ["/a", "b"], "source": {"path": "s2", "location": None}}, ["blank contract_number", "deliverables must be a list of paths that start with /", "primary_counterparty_path must start with /", "source not in manifest: s2"]),
+        ("top_scope_activity", {"period_start": "p", "activity": "a", "actor_paths": "x", "source": SRC}, ["actor_paths must be a list of paths that start with /"]),
+        ("top_scope_activity", {"period_start": "p", "activity": "a", "actor_paths": [], "source": SRC}, []),
+        ("cited_findings", {"finding_path": "/people/x", "relevance": "r"}, ["finding_path must start with /findings/"]),
+        ("naming_quirks", {"observed": "o", "canonical": "c", "location": 1, "source_path": "s9", "resolution": ""}, ["resolution not in vocabulary: ", "source not in manifest: s9"]),
+        ("affiliations", {"organization_path": "org/x", "role": "r", "source": "s1"}, ["organization_path must start with /", "source must have path and location"]),
+        ("affiliations", {"organization_path": "/o", "role": "r", "source": {"path": "s1"}}, ["source must include path and location"]),
+    ],
+)
+def test_entry_rules(spark, section, entry, want):
     known = spark.createDataFrame([("s1",)], "source_path string")
-    rows = [("a", "timeline", 0, {"id": "1", "added_date": "d", "date": "x", "event": "y", "source": "z", "source_path": "s1"}), ("a", "rumors", 0, {"id": "1", "claim": "c", "status": "odd"}), ("a", "contracts", 1, {"id": "2", "added_date": "d", "contract_number": " ", "contracting_agency": "x", "period_start": "p", "source_path": "s2"}), ("a", "affiliations", 0, {"id": "3", "added_date": "d", "organization_path": "org/x", "role": "r", "source_path": "s1"})]
-    got = found(rules.entry_issues(spark.createDataFrame(rows, "path string, section string, idx int, entry map<string,string>"), known), "message")
-    assert got == [("affiliations[0]: organization_path must start with /",), ("contracts[1]: blank contract_number",), ("contracts[1]: source not in manifest: s2",), ("rumors[0]: missing added_date",), ("rumors[0]: status not in vocabulary: odd",)]
+    got = rules.entry_issues(entry_rows(spark, [("a", section, 0, {"added_date": "d"} | entry)]), known).collect()
+    assert sorted(("warn: " if r["level"] == "warn" else "") + r["message"].split(": ", 1)[1] for r in got) == want
+
+
+def test_vocabularies_of_a_schema(spark):
+    mine = rules.vocabularies_of({"confidence_values": ["sure"], "naming_quirk_entry": {"resolution_values": ["kept"]}, "key_personnel_entry": {"leadership_class_values": ["head"]}})
+    assert mine["confidence"] == ("sure",) and mine["naming_quirks.resolution"] == ("kept",) and mine["key_personnel.leadership_class"] == ("head",) and mine["rumors.status"] == rules.VOCABULARIES["rumors.status"]
+    known = spark.createDataFrame([("s1",)], "source_path string")
+    row = entry_rows(spark, [("a", "key_personnel", 0, {"added_date": "d", "person_path": "/p", "role": "r", "leadership_class": "head", "source": SRC})])
+    assert not rules.entry_issues(row, known, rules.entry_rules(mine)).count() and rules.entry_issues(row, known).count() == 1
+
+
+def test_derived_media_and_crashing_checks(spark):
+    rows = [("a", {"media_versioning": []}, "/media/x"), ("b", {"media_versioning": [{}]}, "/media/x"), ("c", {"media_versioning": []}, ""), ("d", {}, "/media/x")]
+    df = spark.createDataFrame([(p, json.dumps(d), x) for p, d, x in rows], "path string, j string, derivation_of string").select("path", F.parse_json("j").alias("data"), "derivation_of")
+    assert found(rules.empty_while_derived(df), "path") == [("a",)]
+    broken = issues.Check("broken", 0, lambda t: t["rows"].select("nothing"))
+    late = issues.Check("late", 1, lambda t: issues.issues(t["rows"], F.col("path"), F.lit("late"), "late"))
+    got = issues.run_checks({"rows": df}, [late, broken]).collect()
+    assert {(r["check_name"], r["fatal"]) for r in got} == {("broken", True)} and len(got) == 4 and "check crashed" in got[0]["message"]
+
+
+def test_manifest_reading(spark):
+    raw = [("m", json.dumps([{"url": "u2", "artifacts": [{"path": "b", "extraction_type": None}, {"path": "a", "extraction_type": "odd"}, {"path": "c"}], "status": "pending"}, {"url": "u1"}])), ("n", "{}"), ("o", "[")]
+    parsed = files.parse_documents(spark.createDataFrame(raw, "path string, raw string"), "json")
+    assert [p for p, _ in found(manifest.parse_gate(parsed))] == ["n", "o"]
+    entries = manifest.load(parsed)
+    assert found(manifest.extraction_types(entries), "path", "message") == [("u2", "invalid extraction_type: null of b"), ("u2", "invalid extraction_type: odd of a")]
+    saved = [(r["url"], json.loads(r["json"])) for r in manifest.ordered_entries(entries).orderBy("position").collect()]
+    assert [u for u, _ in saved] == ["u1", "u2"] and [a["path"] for a in saved[1][1]["artifacts"]] == ["a", "b", "c"] and saved[1][1]["fields"] == {"status": "pending"}
 
 
 def test_presence(spark):
