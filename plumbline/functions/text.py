@@ -31,14 +31,25 @@ def html_unescape(text: pd.Series) -> pd.Series:
     return text.map(lambda x: html.unescape(x) if x else x)
 
 
-def decode_entities(text: Column) -> Column:
-    """References decoded; texts without an ampersand, the most, are not searched further."""
+#: References that ENTITIES has, and what may be another.
+_KNOWN_REFERENCE = "&(?:" + "|".join(name[1:-1] for name, _ in ENTITIES) + ");"
+_REFERENCE = "&(?:#[0-9xX]|[A-Za-z])"
+
+
+def native_entities(text: Column) -> Column:
+    """The references of ENTITIES decoded; texts without an ampersand, the most, are not searched further."""
     out = text
     for name, char in ENTITIES:
         out = F.replace(out, F.lit(name), F.lit(char))
     return F.when(F.contains(text, F.lit("&")), out).otherwise(text)
 
 
+def decode_entities(text: Column) -> Column:
+    """All character references decoded. Only texts that hold one beyond ENTITIES go to Python, by Arrow; all others come to it as nulls."""
+    other = F.when(F.contains(text, F.lit("&")) & F.regexp_replace(text, _KNOWN_REFERENCE, "").rlike(_REFERENCE), text)
+    return F.coalesce(html_unescape(other), native_entities(text))
+
+
 def mapped(text: Column, chars: str, to: str) -> Column:
     """Single characters replaced, in those texts that have any of them."""
     return F.when(text.rlike(f"[{chars}]"), F.translate(text, chars, to)).otherwise(text)
@@ -158,6 +169,63 @@ def clock(seconds: Column, rounded: bool = False) -> Column:
     return F.when(h > 0, F.format_string("%d:%02d:%02d", h, m, s)).otherwise(F.format_string("%02d:%02d", m, s))
 
 
+def long_clock(seconds: Column) -> Column:
+    """HH:MM:SS, rounded half to even."""
+    n = F.bround(seconds).cast("long")
+    return F.format_string("%02d:%02d:%02d", F.floor(n / 3600).cast("long"), F.floor(n % 3600 / 60).cast("long"), n % 60)
+
+
+def short_clock(seconds: Column, rounded: bool = False) -> Column:
+    """M:SS, or H:MM:SS from an hour on; truncated, or rounded half to even."""
+    n = (F.bround(seconds) if rounded else F.floor(seconds)).cast("long")
+    h, m, s = F.floor(n / 3600).cast("long"), F.floor(n % 3600 / 60).cast("long"), n % 60
+    return F.when(h > 0, F.format_string("%d:%02d:%02d", h, m, s)).otherwise(F.format_string("%d:%02d", m, s))
+
+
+def file_clock(seconds: Column) -> Column:
+    """MM-SS, or H-MM-SS from an hour on, for names of files."""
+    return F.translate(clock(seconds), ":", "-")
+
+
+def midpoint(start: Column, end: Column) -> Column:
+    return (start + end) / 2
+
+
+def source_path(path: Column) -> Column:
+    """A contributor's path below the folder of sources: no leading slashes or dots, no ``sources/``."""
+    return F.regexp_replace(F.regexp_replace(F.trim(path), r"^(?:\./|/)+", ""), r"^sources/+", "")
+
+
+def kebab(name: Column) -> Column:
+    """The lower-cased name where it is letters, digits and hyphens, a hyphen not first; null for others."""
+    low = F.lower(F.trim(name))
+    return F.when(low.rlike(r"^[a-z0-9][a-z0-9-]*$"), low)
+
+
+def ticks(text: Column) -> Column:
+    """The sorted distinct seconds of the marks [MM:SS] or [H:MM:SS] in a text."""
+    marks = F.regexp_extract_all(text, F.lit(r"\[([0-9]+:[0-9]+(?::[0-9]+)?)\]"), F.lit(1))
+    return F.array_sort(F.array_distinct(F.transform(marks, seconds_of)))
+
+
+def page_of_line(text: Column, line: Column) -> Column:
+    """The page of a line, one more than the form feeds before it; null in a text without any."""
+    before = F.array_join(F.slice(F.split(text, "\n"), F.lit(1), F.greatest(line - 1, F.lit(0))), "\n")
+    return F.when(F.contains(text, F.lit("\f")), F.length(before) - F.length(F.replace(before, F.lit("\f"), F.lit(""))) + 1)
+
+
+def mark_before(text: Column, line: Column) -> Column:
+    """The last mark [MM:SS] or [H:MM:SS] at or before a line, the first one of its line; null where there is none."""
+    lines = F.slice(F.split(text, "\n"), F.lit(1), F.greatest(line, F.lit(1)))
+    marks = F.filter(F.transform(lines, lambda l: F.regexp_extract(l, r"\[[0-9]+:[0-9]+(?::[0-9]+)?\]", 0)), lambda m: m != "")
+    return F.try_element_at(marks, F.lit(-1))
+
+
+def no_blank_runs(text: Column) -> Column:
+    """Three or more line breaks become two."""
+    return F.regexp_replace(text, r"\n{3,}", "\n\n")
+
+
 def wrap_path(path: Column) -> Column:
     return F.when(path.startswith("/"), F.concat(F.lit("[`"), path, F.lit("`]"))).otherwise(path)
 

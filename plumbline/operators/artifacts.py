@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from .integrity import later_occurrences, walk_strings
-from .issues import issues
+from . import rules
+from .issues import Check, issues
 from .rules import absent, blank, falsy
 from .verbatim import description_tokens
 
@@ -287,3 +288,76 @@ def prose_drift(artifacts: DataFrame, sources: DataFrame, top: dict[str, list[st
     out = issues(judged.where(whole), F.col("path"), message, "prose_drift", tokens=F.col("lost")).unionByName(issues(judged.where(~whole), F.col("path"), message, "prose_drift", "warn", tokens=F.col("lost")))
     mute = used.select("path").distinct().join(ready, "path", "left_anti")
     return out.unionByName(issues(mute, F.col("path"), F.lit("no source text; drift not checked"), "prose_drift", "warn"))
+
+
+# -- what the checks are run over
+#: Formats without text, and the types whose kind counts.
+BINARY = ("image", "video", "audio")
+KINDED = ("event", "transcript", "organization")
+
+
+def with_target(artifacts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Artifacts with type, archetype, kind, status and derivation of the node they are of. artifacts: path, data; nodes: path, fm (VARIANT)."""
+    fm = lambda k: F.try_variant_get("fm", f"$.{k}", "string")
+    target = nodes.select(F.regexp_replace("path", r"\.md$", "").alias("_t"), fm("type").alias("target_type"), fm("archetype").alias("target_archetype"), F.when(fm("type").isin(*KINDED), fm("kind")).alias("target_kind"), fm("status").alias("target_status"), fm("derivation_of").alias("derivation_of"))
+    return artifacts.withColumn("_t", of("target_node", "data")).join(target, "_t", "left").drop("_t")
+
+
+def source_text(path: Column, raw: Column, extraction: Column, sibling: Column, extracted: Column) -> Column:
+    """The plain text of a source by its extension; null where there is none.
+
+    Of a PDF whose own text is not to be trusted that of the file beside it, else what an outside
+    tool took out of it (``extracted``); pages without tags; other text as it is. A hyphen at a
+    line's end joins the words around it.
+    """
+    ext = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
+    trusted = F.coalesce(extraction, F.lit("text-native")) == "text-native"
+    text = F.when(ext == "pdf", F.when(trusted, extracted).otherwise(F.coalesce(sibling, extracted))).when(ext.isin("html", "htm"), X.clean_html(raw)).when(ext.isin("txt", "md", "json"), raw)
+    return F.regexp_replace(text, r"-\s+", "-")
+
+
+def gathered(artifacts: DataFrame, sources: DataFrame) -> DataFrame:
+    """(path, source_text, missing): the texts of an artifact's sources in order, and the paths of those that have none. sources: source_path, text."""
+    used = entries(artifacts, "primary_sources").select("path", "idx", of("path").alias("source_path"), of("format").alias("format")).where("source_path <> ''")
+    used = used.where(~F.coalesce(F.col("format").isin(*BINARY), F.lit(False)))
+    rows = used.join(sources.select("source_path", "text"), "source_path", "left")
+    in_order = lambda when, value: F.transform(F.array_sort(F.collect_list(F.when(when, F.struct("idx", value.alias("v"))))), lambda x: x["v"])
+    return rows.groupBy("path").agg(F.array_join(in_order(F.col("text").isNotNull(), F.col("text")), "\n").alias("source_text"), in_order(F.col("text").isNull(), F.col("source_path")).alias("missing"))
+
+
+def phase_inputs(artifacts: DataFrame, nodes: DataFrame, sources: DataFrame) -> DataFrame:
+    """Fatal: no target node. Sources that are not there, and (a warning) those without text. nodes: path; sources: source_path, text."""
+    there = nodes.select(F.regexp_replace("path", r"\.md$", "").alias("_t")).distinct()
+    rows = artifacts.withColumn("_t", of("target_node", "data"))
+    lost = rows.join(there, "_t", "left_anti")
+    out = issues(lost, F.col("path"), F.concat(F.lit("target_node does not exist: "), F.coalesce("_t", F.lit("none"))), "phase_iii_inputs", fatal=True)
+    used = entries(rows.join(there, "_t", "left_semi"), "primary_sources").select("path", of("path").alias("source_path"), of("format").alias("format")).where("source_path <> ''")
+    used = used.where(~F.coalesce(F.col("format").isin(*BINARY), F.lit(False))).join(sources.select("source_path", "text", F.lit(True).alias("there")), "source_path", "left")
+    out = out.unionByName(issues(used.where("there is null"), F.col("path"), F.concat(F.lit("source is not there: "), F.col("source_path")), "phase_iii_inputs"))
+    return out.unionByName(issues(used.where("there and text is null"), F.col("path"), F.concat(F.lit("source has no text: "), F.col("source_path")), "phase_iii_inputs", "warn"))
+
+
+def strings(artifacts: DataFrame) -> DataFrame:
+    """(path, text): all strings of an artifact's body, one a line, in order of where they stand."""
+    leaves = walk_strings(artifacts.select(F.col("path").alias("k"), "data"), "k", "data").select("k", F.col("path").alias("at"), "leaf")
+    return leaves.groupBy(F.col("k").alias("path")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "leaf"))), lambda x: x["leaf"]), "\n").alias("text"))
+
+
+def artifact_checks(statuses: tuple[str, ...], described: tuple[str, ...], sections: list[str], entry_rules: list[rules.EntryRule] = rules.ENTRY_RULES) -> list[Check]:
+    """The ordered registry over the tables ``artifacts`` (see with_target), ``nodes``, ``manifest`` (source_path, sha256), ``sources`` (source_path, text) and ``baselines`` (slug)."""
+    named = lambda t: t["manifest"].select("source_path")
+    fns = [
+        ("artifact_top_level", lambda t: artifact_top_level(t["artifacts"], t["nodes"], statuses, described)), ("primary_sources", lambda t: primary_sources(t["artifacts"], named(t))),
+        ("checksum_at_extraction", lambda t: checksum_at_extraction(t["artifacts"], t["manifest"])), ("lifecycle", lambda t: lifecycle(all_entries(t["artifacts"], sections))),
+        ("entries", lambda t: rules.entry_issues(all_entries(t["artifacts"], [r.section for r in entry_rules]), named(t), entry_rules)), ("quotes", lambda t: quotes(t["artifacts"], named(t))),
+        ("verbatim_quotes", lambda t: verbatim_quotes(t["artifacts"], t["sources"])), ("references", lambda t: reference_checks(t["artifacts"], sections)), ("hypothesis_citations", lambda t: hypothesis_citations(t["artifacts"])),
+        ("layer_references", lambda t: layer_references(t["artifacts"])), ("finding_sources", lambda t: finding_sources(t["artifacts"])), ("string_lists", lambda t: string_lists(t["artifacts"])),
+        ("paused_without_path", lambda t: paused_without_path(t["artifacts"])), ("speaker_baselines", lambda t: speaker_baselines(t["artifacts"], t["baselines"])), ("media_versioning", lambda t: rules.empty_while_derived(t["artifacts"])),
+    ]
+    return [Check(name, k, fn) for k, (name, fn) in enumerate(fns)]
+
+
+def coverage_checks() -> list[Check]:
+    """The ordered registry over the tables ``pairs`` (path, data, target_type, node_body, source_text), ``rendered`` (path, body), ``nodes`` and ``sources``; a missing target cuts the rest."""
+    fns = [("phase_iii_inputs", lambda t: phase_inputs(t["pairs"], t["nodes"], t["sources"])), ("coverage", lambda t: coverage(t["pairs"])), ("boundary", lambda t: boundary(t["pairs"], t["rendered"])), ("stub_linking", lambda t: stub_linking(t["pairs"])), ("description_drift", lambda t: description_drift(t["pairs"]))]
+    return [Check(name, k, fn) for k, (name, fn) in enumerate(fns)]

@@ -196,3 +196,42 @@ def node_checks(spec: dict, compatible: list[int]) -> list[Check]:
         ("section_rules", one(section_rules, spec)), ("chronological_tables", one(chronological_tables)), ("table_cell_word_budget", one(table_cell_word_budget)),
     ]
     return [Check(name, k, fn) for k, (name, fn) in enumerate(fns)]
+
+
+# -- governance files
+#: What their headers must have, where templates and notes are, and the record of the topic.
+META_FIELDS = ("id", "type", "schema_version", "created")
+TEMPLATES, NOTES, OVERVIEW = "meta/templates/", "meta/topic/working-notes/", "meta/topic/overview.md"
+
+
+def governance_files(files: DataFrame, compatible: list[int], folders: dict[str, str]) -> DataFrame:
+    """Headers of the files under ``meta``; templates by their lines, as their placeholders are no YAML. files: path, raw, fm (VARIANT, null where there is none).
+
+    folders: the folder of each node type. Working notes are left out; the record of the topic must be there.
+    """
+    rows = files.where(F.col("path").startswith("meta/") & F.col("path").endswith(".md") & ~F.col("path").startswith(NOTES))
+    fm, own = F.col("fm"), F.regexp_replace("path", r"\.md$", "")
+    version = F.try_variant_get(fm, "$.schema_version", "long")
+    kind = F.schema_of_variant(F.try_variant_get(fm, "$.schema_version", "variant"))
+    plain = [F.when(fm.isNull(), F.lit("missing or malformed frontmatter"))]
+    plain += [F.when(fm.isNotNull() & absent(fm, f), F.lit(f"missing field: {f}")) for f in META_FIELDS]
+    plain += [F.when(~absent(fm, "schema_version") & (kind != "BIGINT"), F.lit("schema_version must be an integer")), F.when((kind == "BIGINT") & ~version.isin(*compatible), F.concat(F.lit("schema_version not supported: "), version.cast("string")))]
+    plain += [F.when(~absent(fm, "id") & ~F.coalesce(get("fm", "id") == own, F.lit(False)), F.concat(F.lit("id does not match the path: "), F.coalesce(get("fm", "id"), F.lit("null"))))]
+    plain += [F.when((F.col("path") == OVERVIEW) & fm.isNotNull() & absent(fm, f), F.lit(f"missing topic field: {f}")) for f in ("topic", "display_name")]
+    stem = F.regexp_extract("path", r"([^/]+)\.md$", 1)
+    block = F.regexp_extract("raw", r"(?s)\A---(.*?)\n---", 1)
+    line = lambda key, value: F.regexp_extract(block, rf"(?m)^{key}:[ \t]*({value})[ \t]*$", 1)
+    folder = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in folders.items() for x in kv]), stem), stem) if folders else stem
+    opened, closed = F.startswith("raw", F.lit("---")), F.col("raw").rlike(r"(?s)\A---.*?\n---")
+    ident, named, numbered = line("id", r"\S.*?"), line("type", r"\S.*?"), line("schema_version", "[0-9]+")
+    held = [
+        F.when(~opened, F.lit("template has no frontmatter")), F.when(opened & ~closed, F.lit("frontmatter of the template is not closed")), F.when(closed & (ident == ""), F.lit("template has no id")),
+        F.when(closed & (ident != "") & (ident != F.concat(folder, F.lit("/{{slug}}"))), F.concat(F.lit("id of the template is not its pattern: "), ident)), F.when(closed & (named == ""), F.lit("template has no type")),
+        F.when(closed & (named != "") & (named != stem), F.concat(F.lit("type of the template is not its name: "), named)), F.when(closed & (numbered == ""), F.lit("template has no schema_version")),
+        F.when(closed & (numbered != "") & ~numbered.cast("long").isin(*compatible), F.concat(F.lit("schema_version not supported: "), numbered)), F.when(closed & ~block.rlike(r"(?m)^created:[ \t]*\S"), F.lit("template has no created")),
+    ]
+    is_template = F.col("path").startswith(TEMPLATES)
+    every = F.when(is_template, F.array(*held)).otherwise(F.array(*plain))
+    out = issues(rows.withColumn("_m", F.explode(F.array_compact(every))), F.col("path"), F.col("_m"), "governance_files")
+    absent_ = files.select(F.max((F.col("path") == OVERVIEW).cast("int")).alias("n")).where("coalesce(n, 0) = 0")
+    return out.unionByName(issues(absent_, F.lit(OVERVIEW), F.lit("required file is missing"), "governance_files"))

@@ -75,3 +75,18 @@ def sweep(durations: DataFrame, key: str, seconds: str, start: float, end: float
 def burst(ts, span: float):
     """The start of a window centred on a time, not before nought."""
     return F.greatest(F.lit(0.0), ts - span / 2)
+
+
+def bursts(stamps: DataFrame, ts: str, span: float, duration: str) -> DataFrame:
+    """The times whose span ends before the recording does, with ``start``, where their window starts."""
+    return stamps.where(F.col(ts) + span < F.col(duration)).withColumn("start", burst(F.col(ts), span))
+
+
+def stitched(lines: DataFrame) -> DataFrame:
+    """(path, body): caption lines with the speaker named where it changes. lines: path, line, ts_display, text, speaker (null outside all segments), identity."""
+    label = F.when(F.col("speaker").isNull(), "_unanalyzed_").otherwise(F.coalesce("identity", "speaker"))
+    shown = F.when(F.col("speaker").isNull(), "_(unanalyzed)_").when(F.col("identity").isNotNull(), F.concat(F.lit("**"), "identity", F.lit(":**"))).otherwise(F.concat(F.lit("_("), "speaker", F.lit(")_")))
+    before = W.partitionBy("path").orderBy("line")
+    rows = lines.withColumn("_label", label).withColumn("_last", F.lag("_label").over(before))
+    line = F.concat(F.lit("["), "ts_display", F.lit("] "), F.when(F.col("_label").eqNullSafe(F.col("_last")), "").otherwise(F.concat(shown, F.lit(" "))), "text")
+    return rows.groupBy("path").agg(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", line.alias("l")))), lambda x: x["l"]), "\n"), F.lit("\n")).alias("body"))

@@ -100,9 +100,12 @@ def vocab_check(spark, sf):
     return each.join(known, "token", "left").groupBy("item_id").agg(F.count(F.lit(1)).alias("n_tokens"), F.count_if(F.col("known").isNull()).alias("n_missing"))
 
 
-@query()
+@query(f"""WITH t AS (SELECT item_id, text AS x FROM benchmark), r AS (SELECT item_id, x, regexp_replace(regexp_replace(x, '\\b[A-Z][A-Z0-9]*[-/][A-Z0-9/-]*[A-Z0-9]\\b', ' ', 'g'), '\\b[0-9][0-9,.]*\\+?\\b', ' ', 'g') AS y FROM t),
+k AS (SELECT DISTINCT item_id, unnest(list_concat(regexp_extract_all(x, '\\b[A-Z][A-Z0-9]*[-/][A-Z0-9/-]*[A-Z0-9]\\b'), regexp_extract_all(x, '\\b[0-9][0-9,.]*\\+?\\b'), regexp_extract_all(y, '\\b[A-Z][A-Za-z0-9-]*\\b'), regexp_extract_all(x, '"([^"]+)"', 1))) AS token FROM r),
+f AS (SELECT *, lower({S.normalized('token')}) AS form FROM k), d AS (SELECT lower({S.normalized('text')}) AS n FROM documents)
+SELECT item_id, token FROM f WHERE form <> '' AND NOT EXISTS (SELECT 1 FROM d WHERE contains(d.n, f.form))""")
 def description_drift_tokens(spark, sf):
-    """Tokens of each benchmark text that no document has as a substring; SQL engines differ on word borders here."""
+    """Tokens of each benchmark text that no document has as a substring."""
     items = written(_t(spark, sf, "benchmark").select("item_id", F.explode(verbatim.description_tokens(F.col("text"))).alias("token")).withColumn("form", F.lower(X.normalize_for_compare(F.col("token")))), "tokens")
     norm = _norm(_t(spark, sf, "documents"), "doc_id").withColumn("norm", F.lower("norm"))
     vocabulary = norm.select(F.explode(F.split("norm", " ")).alias("word")).distinct()
@@ -113,10 +116,16 @@ def description_drift_tokens(spark, sf):
     return items.where("form <> ''").join(found, "form", "left_anti").select("item_id", "token")
 
 
-@query()
+#: Capitalized tokens after anything but a letter, digit or underscore of ASCII.
+_CAPS_SQL = r"regexp_extract_all(text, '(?:^|[^A-Za-z0-9_])([A-Z][a-z][a-zA-Z\-'']*[A-Za-z])', 1)"
+
+
+@query(f"""WITH d AS (SELECT lang, unnest({_CAPS_SQL}) AS token FROM documents), b AS (SELECT DISTINCT unnest({_CAPS_SQL}) AS token FROM benchmark),
+c AS (SELECT lang, token, count(*)::BIGINT AS n FROM d WHERE token NOT IN (SELECT token FROM b) AND length(token) >= 3 AND lower(token) NOT IN ({', '.join(S.quoted(w) for w in X.STOPWORDS)}) GROUP BY ALL)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, token) AS rank FROM c) WHERE rank <= 15""")
 def capitalized_gap_topk(spark, sf):
-    """Per language the 15 commonest capitalized tokens of documents that no benchmark text has; SQL engines differ on word borders here."""
-    caps = F.regexp_extract_all(F.col("text"), F.lit(r"\b[A-Z][a-z][a-zA-Z\-']{1,}\b"), F.lit(0))
+    """Per language the 15 commonest capitalized tokens of documents that no benchmark text has."""
+    caps = F.filter(F.regexp_extract_all(F.col("text"), F.lit(r"(?:^|[^A-Za-z0-9_])([A-Z][a-z][a-zA-Z\-']*[A-Za-z])"), F.lit(1)), lambda w: F.length(w) >= 3)
     docs = verbatim.spread(_t(spark, sf, "documents").select("lang", "text")).select("lang", F.explode(caps).alias("token"))
     counts = docs.groupBy("lang", "token").agg(F.count(F.lit(1)).alias("n"))
     known = _t(spark, sf, "benchmark").select(F.explode(caps).alias("token")).distinct()
@@ -381,7 +390,10 @@ def nearest_baseline(spark, sf):
     return similarity.nearest(items.select("id", "bits"), base, 24)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_HASH}, o AS (SELECT id, bits, row_number() OVER (ORDER BY id) AS k FROM h),
+w AS (SELECT 0::BIGINT AS k, NULL::BIGINT AS id, false AS kept, []::VARCHAR[] AS held UNION ALL
+  SELECT k, id, ok, CASE WHEN ok THEN list_append(held, bits) ELSE held END FROM (SELECT o.k, o.id, o.bits, held, len(list_filter(held, lambda b: hamming(b, o.bits) <= 16)) = 0 AS ok FROM w JOIN o ON o.k = w.k + 1))
+SELECT id, kept FROM w WHERE k > 0""")
 def greedy_dedup(spark, sf):
     """Which vectors the order-dependent near-duplicate filter keeps."""
     hashes = written(_bits(spark, sf).select("id", "bits"), "hashes")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import seconds_of
+from ..functions.text import seconds_of, short_clock
 
 FRONT = r"(?sd)\A---[ \t]*\n(.*?)\n---[ \t]*(?:\n(.*))?\z"
 
@@ -80,12 +80,16 @@ def read_nodes(spark: SparkSession, folder: str) -> DataFrame:
     return split_nodes(files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw")))
 
 
-def read_captions(spark: SparkSession, path: str) -> DataFrame:
-    """(line, ts, ts_display, text) of lines ``[ts] text``; others and blank ones are left out."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "raw"))
+def captions(rows: DataFrame) -> DataFrame:
+    """(path, line, ts, ts_display, text) of lines ``[ts] text`` of documents (path, raw); others and blank ones are left out."""
+    lines = rows.select("path", F.posexplode(F.split("raw", "\n")).alias("line", "raw"))
     pattern = r"^\[([0-9:.]+)\]\s*(.*?)\s*$"
-    rows = lines.select("line", F.regexp_extract("raw", pattern, 1).alias("ts_display"), F.regexp_extract("raw", pattern, 2).alias("text"))
-    return rows.where("ts_display <> '' and text <> ''").select("line", seconds_of(F.col("ts_display")).alias("ts"), "ts_display", "text")
+    rows = lines.select("path", "line", F.regexp_extract("raw", pattern, 1).alias("ts_display"), F.regexp_extract("raw", pattern, 2).alias("text"))
+    return rows.where("ts_display <> '' and text <> ''").select("path", "line", seconds_of(F.col("ts_display")).alias("ts"), "ts_display", "text")
+
+
+def read_captions(spark: SparkSession, path: str) -> DataFrame:
+    return captions(spark.read.text(path, wholetext=True).select(F.lit(path).alias("path"), F.col("value").alias("raw"))).drop("path")
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
@@ -108,3 +112,10 @@ def write_segments(segments: DataFrame, path: str) -> None:
     """CSV with times to three places. segments: start, end, speaker."""
     f = lambda c: F.format_string("%.3f", c)
     segments.select(f(F.col("start")).alias("start_seconds"), f(F.col("end")).alias("end_seconds"), f(F.col("end") - F.col("start")).alias("duration_seconds"), "speaker").write.mode("overwrite").csv(path, header=True)
+
+
+def transcript_document(segments: DataFrame, slug: str, url: str) -> DataFrame:
+    """(body): the segments (start, text) as a document of lines ``[ts] text`` under a heading."""
+    line = F.concat(F.lit("["), short_clock(F.col("start")), F.lit("] "), F.trim("text"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", line.alias("l")))), lambda x: x["l"]), "\n")
+    return segments.agg(F.concat(F.lit(f"# Transcript — {slug}\n\nSource URL: {url}\n\n"), body, F.lit("\n")).alias("body"))

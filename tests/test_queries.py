@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from plumbline.plans import catalogue
+from plumbline.plans import bodies, catalogue, chain, texts
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,11 +27,15 @@ def canonical(frame):
     return sorted(map(str, frame.astype(object).where(frame.notna(), None).values.tolist()))
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+QUERIES = catalogue.QUERIES | chain.QUERIES | texts.QUERIES | bodies.QUERIES
+ORACLE_SQL = catalogue.ORACLE_SQL | chain.ORACLE_SQL | texts.ORACLE_SQL | bodies.ORACLE_SQL
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    got = catalogue.QUERIES[name](spark, SF).toPandas()
-    if name in catalogue.ORACLE_SQL:
-        want = duck.sql(catalogue.ORACLE_SQL[name]).df()
+    got = QUERIES[name](spark, SF).toPandas()
+    if name in ORACLE_SQL:
+        want = duck.sql(ORACLE_SQL[name]).df()
         assert sorted(got.columns) == sorted(want.columns)
         assert canonical(got.copy()) == canonical(want.copy())
 
