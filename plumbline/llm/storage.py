@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir, or the context's own; a temporary one only where neither is set, as in tests."""
+    """The cluster's spark.checkpoint.dir, or the context's own; a temporary one only where neither is set in local mode, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="plumbline-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
