@@ -75,6 +75,9 @@ def test_licenses(spark):
     assert [got[k][0] for k in range(9)] == ["BSD-2-Clause"] * 3 + [None] * 5 + ["BSD-2-Clause"]
     assert got[4] == (None, "MIT", 2) and got[6] == (None, "", 0)
     assert licenses.scan(spark.createDataFrame([], DOCS)).count() == 0
+    zlib_ = dict(licenses.KNOWN)["Zlib"]
+    more = spark.createDataFrame([(1, licenses._UNLICENSE.upper()), (2, f"Copyright (c) 2020 X\n\n{zlib_}"), (3, licenses._BOOST.replace(" ", "  ")), (4, licenses._WTFPL), (5, licenses._BOOST + " x")], "doc_id long, text string")
+    assert {r["doc_id"]: r["license_id"] for r in licenses.scan(more).collect()} == {1: "Unlicense", 2: "Zlib", 3: "BSL-1.0", 4: "WTFPL", 5: None}
     own = spark.createDataFrame([("house", "Keep it in the house.")], "license_id string, text string")
     one = spark.createDataFrame([(1, "KEEP it, in the house", "en", "a", 0)], DOCS)
     assert licenses.scan(one, own).first()["license_id"] == "house"
