@@ -484,3 +484,13 @@ def test_runs_of_long_hashes(monkeypatch):
     monkeypatch.setattr(kernels, "_RUN", 1 << 24)
     x = kernels.segment_hashes(wide, np.array([0, 5, 1000]), np.array([60000, 60005, 61000]), kernels.RAW_BYTES)
     assert x[0] == x[1] == x[2]
+
+
+def test_packed_keys():
+    """Keys and counts come back as they were, whatever their size and number."""
+    rng = np.random.default_rng(2)
+    for n, high in ((1, 1 << 63), (1, 0), (500, 1 << 40), (500, 700), (3000, (1 << 64) - 1)):
+        keys = np.unique(rng.integers(0, high, n, np.uint64, endpoint=True))
+        assert (lm_scoring.unpacked(lm_scoring.packed(keys)) == keys).all()
+        counts = rng.integers(0, 600, len(keys)) ** 2
+        assert (lm_scoring.unpacked_counts(lm_scoring.packed_counts(counts), len(keys)) == counts).all()
