@@ -10,12 +10,14 @@ before any bucket is formed, so a group of copies costs one row.
 In a bucket every member has one edge to the bucket's hub, its smallest id,
 so the number of candidates is that of the members. Candidates are confirmed
 on the full sets. A star can miss a link between two members that are both
-unlike the hub. Members of buckets that still hold different groups are
-therefore joined once more, exactly, by prefix filter: with the shingles of a
+unlike the hub. Buckets that still hold different groups are given new hubs, one
+after the other, as long as that links something. Members that are then still
+apart are joined once more, exactly, by prefix filter: with the shingles of a
 set in order from the rarest (by counts over all such members), two sets that
 are alike share one of their first fifth, so members meet on these alone, and
-only across groups and between like sizes. Shingles that are common, or whose
-holders are all of one group already, bring no pairs together.
+only across groups and between like sizes. A shingle that no other member has
+comes first and brings no pair together, nor does one whose holders are all of
+one group already.
 
 Shingles are told apart by 64-bit hashes modulo a 61-bit prime; two given
 different shingles agree with a chance of about 2**-50.
@@ -34,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -44,8 +46,8 @@ BINS = 128
 ROWS = 4
 BANDS = BINS // ROWS
 PERCENT = 80
-#: Slots of the table of shingle counts by which prefixes are ordered; any order is right, and rare shingles first are fast.
-SLOTS = 1 << 16
+#: Most rounds of new hubs; what they leave open is for the prefix filter.
+HOPS = 4
 _U = np.uint64
 _EDGES = np.arange(BINS, dtype=_U) << _U(57)
 _PROBES = 1024
@@ -166,49 +168,39 @@ def components(links: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("label", "component")
 
 
-def _slots(keys: np.ndarray) -> np.ndarray:
-    return (keys >> _U(48)).astype(np.int64)
-
-
-def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many shingles of the task's sets fall into each slot."""
-    total = np.zeros(SLOTS, np.int64)
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for k in batch.column("keys"):
-            total += np.bincount(_slots(np.frombuffer(k.as_buffer(), _U)), minlength=SLOTS)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
+        for lo in range(0, batch.num_rows, 256):
+            part = batch.slice(lo, 256)
+            rows = [np.frombuffer(k.as_buffer(), np.int64) for k in part.column("keys")]
+            which = pa.array(np.repeat(np.arange(len(rows)), [len(r) for r in rows]))
+            yield pa.RecordBatch.from_arrays([part.column("id").take(which), pa.array(np.concatenate(rows))], ["id", "key"])
 
 
-def prefix(keys: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The shingles, rarest first, of which two sets that are alike must share one.
+def prefix_length(n: int | Column) -> int | Column:
+    """How many shingles of a set of n are its prefix.
 
-    Sets of x and y shingles that are alike share at least PERCENT % of the larger, hence that
-    many of x; leaving out one less than that many from the end cannot leave out all they share.
+    Two sets that are alike share at least PERCENT % of the larger, hence that many of each; leaving
+    out one less than that many from the end cannot leave out all they share.
     """
-    order = np.lexsort((keys, rank[_slots(keys)]))
-    return keys[order[: len(keys) - -(-PERCENT * len(keys) // 100) + 1]]
+    least = -(-PERCENT * n // 100) if isinstance(n, int) else F.ceil(n * PERCENT / 100)
+    return n - least + 1
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [prefix(np.frombuffer(k.as_buffer(), _U), shared.value).view(np.int64) for k in batch.column("keys")]
-        size = np.array([len(r) for r in rows], np.int64)
-        which = pa.array(np.repeat(np.arange(len(rows)), size))
-        flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(flat), *(batch.column(c).take(which) for c in ("id", "n", "component"))], ["key", "id", "n", "component"])
+def prefixes(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(key, id, n, component) of the shingles, rarest first, of which two members that are alike share one, without those of one member alone. members: id, n, component."""
+    own = materialize(members.join(sets, "id").select("id", F.col("n").cast("long"), "component", "keys"), "open")
+    shingles = own.select("id", "keys").mapInArrow(_shingles, "id long, key long")
+    counts = shingles.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    shared = shingles.join(counts, "key").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("m", "key"))).alias("shared"))
+    rows = own.drop("keys").join(shared, "id").withColumn("left", prefix_length(F.col("n")) - (F.col("n") - F.size("shared")))
+    rows = rows.where("left > 0").select("id", "n", "component", F.explode(F.slice("shared", F.lit(1), F.col("left").cast("int"))).alias("s"))
+    return rows.select("s.key", "id", "n", "component")
 
 
 def across(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Candidate pairs (a, b) of members (id, n, component) of different components that may be alike; misses none that are."""
-    spark = members.sparkSession
-    own = materialize(members.join(sets, "id").select("id", F.col("n").cast("long"), "component", "keys"), "open")
-    counts = own.select("keys").mapInArrow(_slot_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()  # at most SLOTS rows
-    rank = np.zeros(SLOTS, np.int64)
-    for r in counts:
-        rank[r["slot"]] = r["n"]
-    shared = spark.sparkContext.broadcast(rank)
-    keyed = materialize(own.mapInArrow(functools.partial(_prefixes, shared=shared), "key long, id long, n long, component long"), "prefixes")
+    keyed = materialize(prefixes(members, sets), "prefixes")
     mixed = keyed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     keyed = keyed.join(mixed, "key")
     x, y = (keyed.select("key", *[F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "component")]) for k in "ab")
@@ -230,12 +222,14 @@ class Groups:
             df = df.join(g, df[name] == F.col("_id"), "left").withColumn(name, F.coalesce("_component", name)).drop("_id", "_component")
         return df
 
-    def merge(self, links: DataFrame) -> None:
-        """Takes in further links; only the components they connect are looked at."""
+    def merge(self, links: DataFrame) -> bool:
+        """Takes in further links; only the components they connect are looked at. Whether any were apart."""
         ends = self.of(self.of(links, "a", "ga"), "b", "gb").where("ga <> gb").select(F.col("ga").alias("a"), F.col("gb").alias("b")).distinct()
         ends = materialize(ends, "links")
-        if ends.limit(1).count():
-            self.tables.append(components(ends))
+        if not ends.limit(1).count():
+            return False
+        self.tables.append(components(ends))
+        return True
 
 
 def duplicate_groups(docs: DataFrame, width: int = 2) -> DataFrame:
@@ -256,9 +250,19 @@ def duplicate_groups(docs: DataFrame, width: int = 2) -> DataFrame:
     groups = Groups(materialize(confirm(first, sets), "links"))
     rest = groups.of(groups.of(stars.join(first, ["a", "b"], "left_anti"), "a", "ga"), "b", "gb").where("ga <> gb")
     groups.merge(materialize(confirm(rest, sets), "links"))
-    open_ = groups.of(crowds.select("bucket", "id", "n"), "id", "component")
-    mixed = open_.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    left = open_.join(mixed, "bucket").select("id", "n", "component").distinct()
+    crowds = crowds.select("bucket", "id", "n")
+    for hop in range(HOPS + 1):
+        open_ = groups.of(crowds, "id", "component")
+        mixed = open_.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(F.xxhash64("id", F.lit(hop)).alias("order"), "id", "n", "component")).alias("hub")).where("lo < hi").select("bucket", "hub")
+        open_ = materialize(open_.join(mixed, "bucket"), "crowds")
+        crowds = open_.select("bucket", "id", "n")
+        if hop == HOPS:
+            break
+        again = open_.where("component <> hub.component").where(F.expr(f"100 * least(n, hub.n) >= {PERCENT} * greatest(n, hub.n)"))
+        again = again.select(F.col("id").alias("a"), F.col("hub.id").alias("b")).distinct()
+        if not groups.merge(materialize(confirm(again, sets), "links")):
+            break
+    left = open_.select("id", "n", "component").distinct()
     groups.merge(materialize(confirm(across(left, sets), sets), "links"))
     rep_of = groups.of(reps.select(*same, "rep"), "rep", "component_id")
     out = sigs.join(rep_of, same, "left")
