@@ -49,6 +49,8 @@ BUCKET_BYTES = 2 << 20
 HOT = 1024
 #: Window starts that are sorted at once, beyond one lead.
 CROWD = 1 << 16
+#: Bytes of a text whose windows are looked at together.
+LONGEST = 1 << 18
 _U = np.uint64
 ENTRY = np.dtype([("lead", "<u8"), ("span", "<u8"), ("span2", "<u8"), ("row", "<i8"), ("at", "<i4"), ("back", "u1"), ("more", "u1"), ("whole", "u1")])
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -59,6 +61,14 @@ def anchors(data: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> np.ndarr
     n = len(data)
     if n < LENGTH:
         return np.zeros(0, ENTRY)
+    if n > LONGEST and len(offsets) == 2:  # a long text in stretches of windows, so that memory does not follow it
+        parts = []
+        for a in range(0, n - LENGTH + 1, LONGEST - LENGTH):
+            piece = data[a : a + LONGEST - 1]
+            part = anchors(piece, np.array([0, len(piece)]), rows)
+            part["at"] += a
+            parts.append(part)
+        return np.concatenate(parts)
     power, inverse = K.powers(n + 1)
     total = np.zeros(n + 1, _U)
     np.cumsum(K.RAW[data] * power[:n], out=total[1:])
