@@ -10,8 +10,8 @@ one in sixty, and each window belongs to one anchor.
 1. Every anchor's entry (lead hash, digest of the bytes all its windows span,
    place) goes to the bucket of its lead. The lead hash only finds entries that
    may be alike. Entries of equal digest (128 bits of BLAKE2b over the bytes) are
-   folded before anything is sorted, so a group of copies, however large, sends
-   one entry a task and one a bucket.
+   folded before anything is sorted, so of a group of copies, however large, a task
+   sends one entry in HELD and a bucket one.
 2. In a bucket, leads with unlike entries (the ends of a repeated passage) ask
    for their bytes. A lead asked for more than ``HOT`` times is split: its
    windows go on as rows of their own.
@@ -49,6 +49,8 @@ BUCKET_BYTES = 2 << 20
 HOT = 1024
 #: Window starts that are sorted at once, beyond one lead.
 CROWD = 1 << 16
+#: Entries that a task holds at once.
+HELD = 1 << 17
 #: Bytes of a text whose windows are looked at together.
 LONGEST = 1 << 18
 _U = np.uint64
@@ -116,21 +118,28 @@ def _in_order(e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _entries(n_buckets: int):
-    """Packed entries by bucket; entries that agree within the task are settled and sent on, spread over the buckets, as covers."""
+    """Packed entries by bucket; of HELD neighbours in a task those that agree are settled and sent on, spread over the buckets, as covers."""
     shift = _U(64 - 32)
 
     def bucket(lead: np.ndarray) -> np.ndarray:
         return ((lead >> shift) * _U(n_buckets) >> shift).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = []
+        found, held = [], 0
         for batch in batches:
             rows = batch.column("row").to_numpy()
             for lo, hi, data, offsets in K.slices(batch.column("text")):
                 found.append(anchors(data, offsets, rows[lo:hi]))
-        if not found:
-            return
-        e, _, span = _in_order(np.concatenate(found))
+                held += len(found[-1])
+                if held >= HELD:
+                    e = np.concatenate(found)
+                    found, held = [], 0
+                    yield from packed(e)
+        if held:
+            yield from packed(np.concatenate(found))
+
+    def packed(e: np.ndarray) -> Iterator[pa.RecordBatch]:
+        e, _, span = _in_order(e)
         group = np.cumsum(span) - 1
         size = np.bincount(group) if len(e) else group
         e["whole"] = size[group] > 1
