@@ -188,23 +188,27 @@ def prefix_length(n: int | Column) -> int | Column:
 
 
 def prefixes(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(key, id, n, component) of the shingles, rarest first, of which two members that are alike share one, without those of one member alone. members: id, n, component."""
+    """(key, id, n, common, component) of the shingles, rarest first, of which two members that are alike share one, without those of one member alone. members: id, n, component; common: how many of a member's shingles others have too."""
     own = materialize(members.join(sets, "id").select("id", F.col("n").cast("long"), "component", "keys"), "open")
     shingles = own.select("id", "keys").mapInArrow(_shingles, "id long, key long")
     counts = shingles.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     shared = shingles.join(counts, "key").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("m", "key"))).alias("shared"))
-    rows = own.drop("keys").join(shared, "id").withColumn("left", prefix_length(F.col("n")) - (F.col("n") - F.size("shared")))
-    rows = rows.where("left > 0").select("id", "n", "component", F.explode(F.slice("shared", F.lit(1), F.col("left").cast("int"))).alias("s"))
-    return rows.select("s.key", "id", "n", "component")
+    rows = own.drop("keys").join(shared, "id").withColumn("common", F.size("shared")).withColumn("left", prefix_length(F.col("n")) - (F.col("n") - F.col("common")))
+    rows = rows.where("left > 0").select("id", "n", "common", "component", F.explode(F.slice("shared", F.lit(1), F.col("left").cast("int"))).alias("s"))
+    return rows.select("s.key", "id", "n", "common", "component")
 
 
 def across(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of members (id, n, component) of different components that may be alike; misses none that are."""
+    """Candidate pairs (a, b) of members (id, n, component) of different components that may be alike; misses none that are.
+
+    Shingles that one member alone has are in no other set, so two members share at most the lesser
+    number of those they have in common with any; pairs that this bound tells apart are left out.
+    """
     keyed = materialize(prefixes(members, sets), "prefixes")
     mixed = keyed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     keyed = keyed.join(mixed, "key")
-    x, y = (keyed.select("key", *[F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "component")]) for k in "ab")
-    near = F.expr(f"id_a < id_b and component_a <> component_b and 100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)")
+    x, y = (keyed.select("key", *[F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "common", "component")]) for k in "ab")
+    near = F.expr(f"id_a < id_b and component_a <> component_b and 100 * least(common_a, common_b) >= {PERCENT} * (n_a + n_b - least(common_a, common_b))")
     return x.join(y, "key").where(near).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
