@@ -14,7 +14,6 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -243,17 +242,6 @@ def distinct(x: np.ndarray) -> np.ndarray:
     return x[new]
 
 
-def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The sorted distinct keys, where each first stands, and the number of each key among them. By a hash table, as most keys come again."""
-    codes, own = pd.factorize(keys)
-    order = np.argsort(own)
-    rank = np.empty(len(own), np.int64)
-    rank[order] = np.arange(len(own))
-    first = np.empty(len(own), np.int64)
-    first[codes[::-1]] = np.arange(len(keys) - 1, -1, -1)
-    return own[order], first[order], rank[codes]
-
-
 def grams(hashes: np.ndarray, width: int) -> np.ndarray:
     """A hash of each run of ``width`` neighbours; runs that cross texts are for the caller to leave out."""
     n = len(hashes) - width + 1

@@ -11,13 +11,10 @@ In a bucket every member has one edge to the bucket's hub, its smallest id,
 so the number of candidates is that of the members. Candidates are confirmed
 on the full sets. A star can miss a link between two members that are both
 unlike the hub. Buckets that still hold different groups are given new hubs, one
-after the other, as long as that links something. Members that are then still
-apart are joined once more, exactly, by prefix filter: with the shingles of a
-set in order from the rarest (by counts over all such members), two sets that
-are alike share one of their first fifth, so members meet on these alone, and
-only across groups and between like sizes. A shingle that no other member has
-comes first and brings no pair together, nor does one whose holders are all of
-one group already.
+after the other, as long as that links something. What is then still open is
+settled exactly: blocks of the members of a bucket are compared with each other
+on full sets, skipping pairs of one group, so that only the members of buckets
+that stay mixed cost more than their number.
 
 Shingles are told apart by 64-bit hashes modulo a 61-bit prime; two given
 different shingles agree with a chance of about 2**-50.
@@ -36,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -46,8 +43,9 @@ BINS = 128
 ROWS = 4
 BANDS = BINS // ROWS
 PERCENT = 80
-#: Most rounds of new hubs; what they leave open is for the prefix filter.
+#: Most rounds of new hubs, and members of a block; what the hubs leave open is compared block by block.
 HOPS = 4
+CROWD = 512
 _U = np.uint64
 _EDGES = np.arange(BINS, dtype=_U) << _U(57)
 _PROBES = 1024
@@ -168,48 +166,38 @@ def components(links: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("label", "component")
 
 
-def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 256):
-            part = batch.slice(lo, 256)
-            rows = [np.frombuffer(k.as_buffer(), np.int64) for k in part.column("keys")]
-            which = pa.array(np.repeat(np.arange(len(rows)), [len(r) for r in rows]))
-            yield pa.RecordBatch.from_arrays([part.column("id").take(which), pa.array(np.concatenate(rows))], ["id", "key"])
-
-
-def prefix_length(n: int | Column) -> int | Column:
-    """How many shingles of a set of n are its prefix.
-
-    Two sets that are alike share at least PERCENT % of the larger, hence that many of each; leaving
-    out one less than that many from the end cannot leave out all they share.
-    """
-    least = -(-PERCENT * n // 100) if isinstance(n, int) else F.ceil(n * PERCENT / 100)
-    return n - least + 1
-
-
-def prefixes(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(key, id, n, common, component) of the shingles, rarest first, of which two members that are alike share one, without those of one member alone. members: id, n, component; common: how many of a member's shingles others have too."""
-    own = materialize(members.join(sets, "id").select("id", F.col("n").cast("long"), "component", "keys"), "open")
-    shingles = own.select("id", "keys").mapInArrow(_shingles, "id long, key long")
-    counts = shingles.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    shared = shingles.join(counts, "key").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("m", "key"))).alias("shared"))
-    rows = own.drop("keys").join(shared, "id").withColumn("common", F.size("shared")).withColumn("left", prefix_length(F.col("n")) - (F.col("n") - F.col("common")))
-    rows = rows.where("left > 0").select("id", "n", "common", "component", F.explode(F.slice("shared", F.lit(1), F.col("left").cast("int"))).alias("s"))
-    return rows.select("s.key", "id", "n", "common", "component")
-
-
-def across(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of members (id, n, component) of different components that may be alike; misses none that are.
-
-    Shingles that one member alone has are in no other set, so two members share at most the lesser
-    number of those they have in common with any; pairs that this bound tells apart are left out.
-    """
-    keyed = materialize(prefixes(members, sets), "prefixes")
-    mixed = keyed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    keyed = keyed.join(mixed, "key")
-    x, y = (keyed.select("key", *[F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "common", "component")]) for k in "ab")
-    near = F.expr(f"id_a < id_b and component_a <> component_b and 100 * least(common_a, common_b) >= {PERCENT} * (n_a + n_b - least(common_a, common_b))")
-    return x.join(y, "key").where(near).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+def _settle(table: pa.Table) -> pa.Table:
+    """Links between groups among the members of one or two blocks of a bucket, by full sets."""
+    ids, comp, block = (table.column(c).to_numpy() for c in ("id", "component", "block"))
+    _, once = np.unique(ids, return_index=True)
+    ids, comp, block = ids[once], comp[once], block[once]
+    column = table.column("keys")
+    sets = [np.frombuffer(column[int(k)].as_buffer(), _U) for k in once]
+    root = {c: c for c in comp.tolist()}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    within = len(set(block.tolist())) == 1
+    out: list[tuple[int, int]] = []
+    for i in range(len(ids)):
+        for j in range(i):
+            if (within or block[i] != block[j]) and (x := find(int(comp[i]))) != (y := find(int(comp[j]))) and _alike(sets[i], sets[j]):
+                root[x] = y
+                out.append((int(ids[i]), int(ids[j])))
+    return pa.table([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def between(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) of members of a bucket that are of different groups, block against block. members: bucket, id, component."""
+    size = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / CROWD).alias("blocks"))
+    rows = members.join(size, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("x"), F.greatest(k, F.col("block")).alias("y")))
+    rows = rows.withColumn("pair", F.explode(pairs)).join(sets, "id").select("bucket", "pair", "block", "id", "component", "keys")
+    return rows.groupBy("bucket", "pair").applyInArrow(_settle, "a long, b long")
 
 
 class Groups:
@@ -266,8 +254,7 @@ def duplicate_groups(docs: DataFrame, width: int = 2) -> DataFrame:
         again = again.select(F.col("id").alias("a"), F.col("hub.id").alias("b")).distinct()
         if not groups.merge(materialize(confirm(again, sets), "links")):
             break
-    left = open_.select("id", "n", "component").distinct()
-    groups.merge(materialize(confirm(across(left, sets), sets), "links"))
+    groups.merge(materialize(between(open_.select("bucket", "id", "component"), sets), "links"))
     rep_of = groups.of(reps.select(*same, "rep"), "rep", "component_id")
     out = sigs.join(rep_of, same, "left")
     found = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))

@@ -50,8 +50,11 @@ def test_near_duplicates(spark, rows):
     assert minhash.duplicate_groups(df.limit(0)).count() == 0
 
 
-def test_chains_behind_a_star(spark):
-    """Members that are unlike the hub but like each other are linked all the same."""
+@pytest.mark.parametrize("hops", [4, 0])
+def test_chains_behind_a_star(spark, monkeypatch, hops):
+    """Members that are unlike the hub but like each other are linked all the same, by new hubs or by the blocks."""
+    monkeypatch.setattr(minhash, "HOPS", hops)
+    monkeypatch.setattr(minhash, "CROWD", 2)
     rng = random.Random(9)
     base = prose(rng, 120).split(" ")
     rows = []
@@ -64,33 +67,19 @@ def test_chains_behind_a_star(spark):
     assert got == brute_groups(rows)
 
 
-def test_prefixes_miss_no_pair(spark):
-    """Sets that are alike share a shingle of their prefixes, and every pair of different groups that is alike is a candidate."""
+def test_between_blocks(spark, monkeypatch):
+    """Members of mixed buckets are compared whatever their blocks, and what stars and hops leave open is linked."""
+    monkeypatch.setattr(minhash, "CROWD", 7)
     rng = np.random.default_rng(4)
     sets = []
-    for trial in range(40):
-        base = np.unique(rng.integers(0, 1 << 63, rng.integers(1, 60)).astype(np.uint64))
-        sets += [x for x in (np.unique(np.append(base[rng.random(len(base)) < 0.93], rng.integers(0, 1 << 63, rng.integers(0, 4)).astype(np.uint64))) for _ in range(6)) if len(x)]
-    df = spark.createDataFrame([(k, x.tobytes(), len(x)) for k, x in enumerate(sets)], "id long, keys binary, n long")
-    got = {(r["a"], r["b"]) for r in minhash.across(df.select("id", "n", F.col("id").alias("component")), df.select("id", "keys")).collect()}
-    alike = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if minhash._alike(sets[a], sets[b])}
-    assert alike and alike <= got and len(got) < len(sets) ** 2 / 8
-
-
-def test_a_bucket_of_fifty_thousand(spark):
-    """Many texts that share a bucket but no shingle beyond what makes them meet bring few pairs together."""
-    n = 50_000
-    rng = np.random.default_rng(8)
-    base = rng.integers(0, 1 << 63, 40).astype(np.uint64)
-    own = rng.integers(0, 1 << 63, (n, 24)).astype(np.uint64)
-    sets = [np.unique(np.append(base, own[k if k % 100 else k // 1000])) for k in range(n)]
-    df = spark.createDataFrame([(k, x.tobytes()) for k, x in enumerate(sets)], "id long, keys binary").repartition(8)
-    members = df.select("id", F.lit(64).alias("n"), F.col("id").alias("component"))
-    pairs = minhash.across(members, df)
-    want = {(a, b) for c in range(50) for a in range(1000 * c, 1000 * c + 1000, 100) for b in range(a + 100, 1000 * c + 1000, 100)}
-    got = {(r["a"], r["b"]) for r in pairs.collect()}
-    assert want <= got and len(got) < 2 * len(want) + n
-    assert minhash.across(members.limit(0), df).count() == 0
+    for trial in range(12):
+        base = np.unique(rng.integers(0, 1 << 63, 40).astype(np.uint64))
+        sets += [np.unique(np.append(base[rng.random(len(base)) < 0.93], rng.integers(0, 1 << 63, 3).astype(np.uint64))) for _ in range(6)]
+    df = spark.createDataFrame([(k, x.tobytes()) for k, x in enumerate(sets)], "id long, keys binary")
+    links = minhash.between(df.select(F.lit(1).alias("bucket"), "id", F.col("id").alias("component")), df).collect()
+    want = [(a, b) for a in range(len(sets)) for b in range(a) if minhash._alike(sets[a], sets[b])]
+    got = minhash.components(spark.createDataFrame(links)).collect()
+    assert {r["id"]: r["component"] for r in got} == {r["id"]: r["component"] for r in minhash.components(spark.createDataFrame(want, "a long, b long")).collect()}
 
 
 def test_width_and_clashing_names(spark, rows):
