@@ -50,9 +50,9 @@ HOT = 1024
 #: Window starts that are sorted at once, beyond one lead.
 CROWD = 1 << 16
 #: Entries that a task holds at once.
-HELD = 1 << 17
+HELD = 1 << 16
 #: Bytes of a text whose windows are looked at together.
-LONGEST = 1 << 18
+LONGEST = 1 << 17
 _U = np.uint64
 ENTRY = np.dtype([("lead", "<u8"), ("span", "<u8"), ("span2", "<u8"), ("row", "<i8"), ("at", "<i4"), ("back", "u1"), ("more", "u1"), ("whole", "u1")])
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
