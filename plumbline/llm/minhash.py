@@ -10,9 +10,8 @@ before any bucket is formed, so a group of copies costs one row.
 In a bucket every member has one edge to the bucket's hub, its smallest id,
 so the number of candidates is that of the members. Candidates are confirmed
 on the full sets. A star can miss a link between two members that are both
-unlike the hub. Buckets that still hold different groups are given new hubs, one
-after the other, as long as that links something. What is then still open is
-settled exactly: blocks of the members of a bucket are compared with each other
+unlike the hub. What the stars leave open in buckets that still hold different
+groups is settled exactly: blocks of the members of a bucket are compared with each other
 on full sets, skipping pairs of one group, so that only the members of buckets
 that stay mixed cost more than their number.
 
@@ -43,8 +42,7 @@ BINS = 128
 ROWS = 4
 BANDS = BINS // ROWS
 PERCENT = 80
-#: Most rounds of new hubs, and members of a block; what the hubs leave open is compared block by block.
-HOPS = 4
+#: Members of a block; what the stars leave open is compared block by block.
 CROWD = 512
 _U = np.uint64
 _EDGES = np.arange(BINS, dtype=_U) << _U(57)
@@ -242,18 +240,9 @@ def duplicate_groups(docs: DataFrame, width: int = 2) -> DataFrame:
     groups = Groups(materialize(confirm(first, sets), "links"))
     rest = groups.of(groups.of(stars.join(first, ["a", "b"], "left_anti"), "a", "ga"), "b", "gb").where("ga <> gb")
     groups.merge(materialize(confirm(rest, sets), "links"))
-    crowds = crowds.select("bucket", "id", "n")
-    for hop in range(HOPS + 1):
-        open_ = groups.of(crowds, "id", "component")
-        mixed = open_.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(F.xxhash64("id", F.lit(hop)).alias("order"), "id", "n", "component")).alias("hub")).where("lo < hi").select("bucket", "hub")
-        open_ = materialize(open_.join(mixed, "bucket"), "crowds")
-        crowds = open_.select("bucket", "id", "n")
-        if hop == HOPS:
-            break
-        again = open_.where("component <> hub.component").where(F.expr(f"100 * least(n, hub.n) >= {PERCENT} * greatest(n, hub.n)"))
-        again = again.select(F.col("id").alias("a"), F.col("hub.id").alias("b")).distinct()
-        if not groups.merge(materialize(confirm(again, sets), "links")):
-            break
+    open_ = groups.of(crowds.select("bucket", "id"), "id", "component")
+    mixed = open_.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
+    open_ = open_.join(mixed, "bucket")
     groups.merge(materialize(between(open_.select("bucket", "id", "component"), sets), "links"))
     rep_of = groups.of(reps.select(*same, "rep"), "rep", "component_id")
     out = sigs.join(rep_of, same, "left")

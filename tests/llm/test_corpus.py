@@ -50,10 +50,8 @@ def test_near_duplicates(spark, rows):
     assert minhash.duplicate_groups(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("hops", [4, 0])
-def test_chains_behind_a_star(spark, monkeypatch, hops):
-    """Members that are unlike the hub but like each other are linked all the same, by new hubs or by the blocks."""
-    monkeypatch.setattr(minhash, "HOPS", hops)
+def test_chains_behind_a_star(spark, monkeypatch):
+    """Members that are unlike the hub but like each other are linked all the same, also across blocks of a bucket."""
     monkeypatch.setattr(minhash, "CROWD", 2)
     rng = random.Random(9)
     base = prose(rng, 120).split(" ")
@@ -68,7 +66,7 @@ def test_chains_behind_a_star(spark, monkeypatch, hops):
 
 
 def test_between_blocks(spark, monkeypatch):
-    """Members of mixed buckets are compared whatever their blocks, and what stars and hops leave open is linked."""
+    """Members of mixed buckets are compared whatever their blocks, and what stars leave open is linked."""
     monkeypatch.setattr(minhash, "CROWD", 7)
     rng = np.random.default_rng(4)
     sets = []
