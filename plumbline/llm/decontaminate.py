@@ -27,6 +27,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -113,6 +114,17 @@ def build(pieces: list[tuple[str, str]], window: int = WINDOW) -> list[Tables]:
     return [by[w] for w in sorted(by)]
 
 
+_BUILT: dict[str, list[Tables]] = {}
+
+
+def _built(token: str, pieces: list[tuple[str, str]], window: int) -> list[Tables]:
+    """The tables of one group, built once in each worker process; those of another group make way."""
+    if token not in _BUILT:
+        _BUILT.clear()
+        _BUILT[token] = build(pieces, window)
+    return _BUILT[token]
+
+
 class Groups:
     """The benchmark in groups of a bounded number of words, in the shared folder."""
 
@@ -231,10 +243,10 @@ def _judged(rows: DataFrame, groups: Groups) -> DataFrame:
 def _narrow(docs: DataFrame, text: str, groups: Groups, result, schema) -> DataFrame:
     """One pass with the only group: ``result`` makes the rows of a part of a batch and its verdicts."""
     shared = docs.sparkSession.sparkContext.broadcast(next(groups.each(), []))
-    window = groups.window
+    window, token = groups.window, uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = build(shared.value, window)
+        tables = _built(token, shared.value, window)
         for batch in batches:
             for lo, texts in _texts(batch.column(text)):
                 yield result(batch.slice(lo, len(texts)), [_verdict(len(t.keys), *_hits(t, tables)) for t in texts])
