@@ -32,8 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -131,7 +130,7 @@ class Groups:
     def __init__(self, benchmark: DataFrame, group_words: int = GROUP_WORDS, window: int = WINDOW):
         self.spark, self.window = benchmark.sparkSession, window
         most = max(window, group_words // 4)
-        items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("item is not null and text is not null").distinct()
+        items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("item is not null and text is not null")
 
         def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """Items of no more than ``most`` words as they are, longer ones cut so that every window is whole in a piece."""
@@ -147,21 +146,14 @@ class Groups:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(zip(*out), (pa.string(), pa.string(), pa.int64()))], ["item", "text", "n"])
 
-        def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            group, held = TaskContext.get().partitionId() << 32, 0
-            for batch in batches:
-                out = []
-                for n in batch.column("n").to_pylist():
-                    if held and held + n > group_words:
-                        group, held = group + 1, 0
-                    held += n
-                    out.append(group)
-                yield pa.RecordBatch.from_arrays([batch.column("item"), batch.column("text"), pa.array(out, pa.int64())], ["item", "text", "group"])
-
-        cut = materialize(items.mapInArrow(pieces, "item string, text string, n long"), "pieces")
+        cut = materialize(items.mapInArrow(pieces, "item string, text string, n long").distinct(), "pieces")
         total = cut.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        parts = max(1, math.ceil(total / group_words))
-        self.pieces = materialize(cut.repartition(parts, F.xxhash64("item", "text")).sortWithinPartitions("item", "text").mapInArrow(number, "item string, text string, group long"), "benchmark")
+        # groups follow from running sums within hashed bins, never from partitions: a group begins every three quarters
+        # of group_words, and no piece is longer than the last quarter
+        bins = max(1, math.ceil(total / (8 * group_words)))
+        before = F.sum("n").over(Window.partitionBy("bin").orderBy("item", "text")) - F.col("n")
+        number = F.col("bin") * (1 << 32) + F.floor(before / max(1, group_words - most)).cast("long")
+        self.pieces = materialize(cut.withColumn("bin", F.pmod(F.xxhash64("item", "text"), F.lit(bins))).select("item", "text", number.alias("group")), "benchmark")
         self.count = self.pieces.select("group").distinct().count()
 
     def each(self) -> Iterator[list[tuple[str, str]]]:
