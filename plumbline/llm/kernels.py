@@ -242,6 +242,18 @@ def distinct(x: np.ndarray) -> np.ndarray:
     return x[new]
 
 
+def unique(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted distinct values, where each first stands, and the number of each element's value: by an unstable sort, which is the faster."""
+    order = np.argsort(x)
+    ranked = x[order]
+    new = np.ones(len(x), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    at = np.flatnonzero(new)
+    number = np.empty(len(x), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return ranked[at], np.minimum.reduceat(order, at) if len(at) else at, number
+
+
 def grams(hashes: np.ndarray, width: int) -> np.ndarray:
     """A hash of each run of ``width`` neighbours; runs that cross texts are for the caller to leave out."""
     n = len(hashes) - width + 1

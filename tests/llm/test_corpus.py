@@ -484,3 +484,15 @@ def test_packed_keys():
         assert (lm_scoring.unpacked(lm_scoring.packed(keys)) == keys).all()
         counts = rng.integers(0, 600, len(keys)) ** 2
         assert (lm_scoring.unpacked_counts(lm_scoring.packed_counts(counts), len(keys)) == counts).all()
+
+
+def test_unique_equals_the_library_s():
+    import numpy as np
+
+    from plumbline.llm import kernels
+
+    draw = np.random.default_rng(5)
+    for n, top in ((0, 1), (1, 1), (7, 3), (5000, 40), (5000, 1 << 62)):
+        x = draw.integers(0, top, n).astype(np.uint64)
+        for ours, theirs in zip(kernels.unique(x), np.unique(x, return_index=True, return_inverse=True)):
+            assert ours.tolist() == theirs.tolist()
