@@ -9,8 +9,10 @@ text longer than that makes a larger slice.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -30,6 +32,25 @@ ALNUM = np.ones(256, bool)
 ALNUM[[*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = False
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, as workers stay alive between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def frees(run: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """Of a task's function over batches, one that gives freed memory back when it ends."""
+
+    @functools.wraps(run)
+    def whole(*given, **named) -> Iterator[pa.RecordBatch]:
+        yield from run(*given, **named)
+        give_back()
+
+    return whole
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection that spreads every input bit over 64 output bits."""
     x = x ^ (x >> _U(30))

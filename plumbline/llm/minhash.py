@@ -97,6 +97,7 @@ def bands(sig: np.ndarray) -> np.ndarray:
     return out
 
 
+@K.frees
 def _signatures(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64()))])
     for batch in batches:
@@ -111,6 +112,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Re
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), flat], schema=schema)
 
 
+@K.frees
 def _full_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, data, offsets in K.slices(batch.column("text")):
@@ -130,6 +132,7 @@ def _alike(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * common >= PERCENT * (small + large - common)
 
 
+@K.frees
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ka, kb = batch.column("ka"), batch.column("kb")

@@ -24,15 +24,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """Fewer rows to an Arrow batch while a table is written, as texts may be long; the session's setting comes back after."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> Iterator[None]:
+    """Fewer rows and bytes to an Arrow batch while a table is written, as texts may be long; the session's settings come back after."""
+    keys = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(size)}
+    before = {k: spark.conf.get(k) for k in keys}
     try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -44,7 +44,8 @@ from .storage import input_bytes, materialize, with_row_ids
 LENGTH = 200
 LEAD = 80
 SPAN = LENGTH - LEAD + 1
-BUCKET_BYTES = 2 << 20
+#: Bytes of the input files for a bucket; packed files make more entries than their bytes say.
+BUCKET_BYTES = 1 << 19
 #: Entries of one lead that are compared together; the windows of a lead with more are rows of their own.
 HOT = 1024
 #: Window starts that are sorted at once, beyond one lead.
@@ -124,6 +125,7 @@ def _entries(n_buckets: int):
     def bucket(lead: np.ndarray) -> np.ndarray:
         return ((lead >> shift) * _U(n_buckets) >> shift).astype(np.int64)
 
+    @K.frees
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, held = [], 0
         for batch in batches:
@@ -172,9 +174,11 @@ def _resolve(table: pa.Table) -> pa.Table:
     cover = np.concatenate([done, e[whole]])
     both = np.concatenate([cover, e[ask]])
     hot = np.append(np.zeros(len(cover), bool), hot[ask])
+    K.give_back()
     return pa.table([pa.array(both["row"]), pa.array(both["at"]), pa.array(both["back"].astype(np.int32)), pa.array(both["more"].astype(np.int32)), pa.array(np.arange(len(both)) >= len(cover)), pa.array(hot)], ["row", "at", "back", "more", "ask", "hot"])
 
 
+@K.frees
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes that the asked-for windows span, keyed by their lead; of a hot lead each window by itself, keyed by all its bytes."""
     for batch in _parts(batches):
@@ -267,6 +271,7 @@ def repeated_windows(spans: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return which[twice], window[twice]
 
 
+@K.frees
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Covers from spans that arrive in the order of their keys; the last key of a batch is carried to the next."""
 
@@ -341,6 +346,7 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[memoryview, list[tuple[int,
         yield memoryview(texts[i].as_buffer() if texts[i].is_valid else b""), _merged(spans[i].as_py())
 
 
+@K.frees
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _parts(batches):
         n, gone, runs, sha = [], [], [], []
@@ -371,6 +377,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     own = [f"c{k}" for k in range(len(names))]
     text = own[names.index("text")]
 
+    @K.frees
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(batches):
             given = batch.column(text)
