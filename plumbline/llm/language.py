@@ -39,6 +39,8 @@ from . import storage
 #: About how many training texts of each language the models are fitted on, and the share of them that calibrates.
 SAMPLE = 2_000
 CALIBRATES = 0.2
+#: Up to so many languages, their sizes are sent to every executor to draw the sample; beyond, they are joined by shuffling.
+FEW = 10_000
 #: Characters of an n-gram, and the alphabet of a character that no text of the sample holds.
 ORDER = 5
 ALPHABET = 4096
@@ -209,7 +211,8 @@ def _training(docs: DataFrame) -> DataFrame:
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
     rows = rows.where((F.crc32(key) % 5 != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = storage.materialize(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")), "languages")
+    sizes = F.broadcast(sizes) if sizes.count() <= FEW else sizes
     drawn = F.pmod(F.xxhash64(F.lit("language"), key, F.col("text")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rows = rows.join(sizes, "lang").withColumn("_u", drawn * F.col("_n") / F.lit(float(SAMPLE))).where("_u < 1")
     apart = F.pmod(F.xxhash64(F.lit("calibrates"), key, F.col("text")), F.lit(1000)) < int(1000 * CALIBRATES)

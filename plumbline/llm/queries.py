@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, html_text, language, licenses, lm_scoring, minhash, mixing, negatives, quality, suffixes, toxicity
+from . import alignment, chat, decontaminate, html_text, language, licenses, lm_scoring, minhash, mixing, negatives, quality, suffixes, toxicity
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_html_text": html_text.op8_html_text,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_suffix_dedup": suffixes.op10_suffix_dedup,
+    "op11_tokenizer_alignment": alignment.op11_tokenizer_alignment,
     "op12_hard_negatives": negatives.op12_hard_negatives,
     "op13_language_id": language.op13_language_id,
 }
