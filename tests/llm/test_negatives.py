@@ -70,7 +70,7 @@ def test_large_components_stay_exact(spark):
 
 def test_brackets_hold_every_score():
     rng = np.random.default_rng(5)
-    m = np.floor(rng.normal(0, 60, (300, 12)))
+    m = np.floor(rng.normal(0, 60, (6, 12))[rng.integers(0, 6, 300)] + rng.normal(0, 6, (300, 12)))
     squares = np.einsum("ij,ij->i", m, m)
     more = np.sqrt(squares.max() - squares)
     pivots = negatives.farthest(np.column_stack([m, more])[:100], 8)
@@ -79,7 +79,7 @@ def test_brackets_hold_every_score():
     low, high = negatives.brackets(anchors, rows, rows, squares[:40], space)
     exact = m[:40] @ m.T
     assert (low <= exact).all() and (exact <= high).all()
-    assert (high < squares[:40, None] * 0.9).mean() > 0.1  # the brackets rule rows out
+    assert (high < squares[:40, None] * 0.7).mean() > 0.5  # between clusters the brackets rule rows out
     near, far = rows.min(0)[None], rows.max(0)[None]
     low, high = negatives.brackets(anchors, near, far, squares[:40], space)
     assert (low <= exact.min(1, keepdims=True)).all() and (exact.max(1, keepdims=True) <= high).all()
