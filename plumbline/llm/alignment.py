@@ -47,7 +47,9 @@ A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text that are aligned at once.
 SLICE = 2 << 20
 #: Distinct pieces a worker remembers; past that it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
+#: Pieces that are tokenised in one call.
+AT_ONCE = 1 << 14
 SPACE = 0x20
 
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
@@ -103,23 +105,25 @@ class Pair:
         if len(self.number) > REMEMBERED:
             self.forget()
         new = [p for p in pieces if p not in self.number]
-        if new:
-            texts = [p.decode() for p in new]
-            lists = [x.ids for x in self.a.encode_batch(texts, add_special_tokens=False)], self.b.encode([t[1:] for t in texts], num_threads=1)
-            sizes = np.fromiter(map(len, new), np.int64, len(new))
-            whole = np.ones(len(new), bool)
-            for k, (found, names, size) in enumerate(zip(lists, (self.a_bytes, self.b_bytes), (self.a_size, self.b_size))):
-                count = np.fromiter(map(len, found), np.int64, len(found))
-                ids = np.fromiter(itertools.chain.from_iterable(found), np.int32, int(count.sum()))
-                whole &= K.sums(size[ids], np.concatenate([[0], np.cumsum(count)])) == sizes
-                if not whole.all() or b"".join(map(names.__getitem__, ids.tolist())) != b"".join(new):  # then piece by piece
-                    whole &= np.fromiter((b"".join(map(names.__getitem__, x)) == p for x, p in zip(found, new)), bool, len(new))
-                self.ids[k], self.counts[k] = np.append(self.ids[k], ids), np.append(self.counts[k], count)
-            self.whole = np.append(self.whole, whole)
-            first = len(self.number)
-            self.number.update(zip(new, range(first, first + len(new))))
+        for lo in range(0, len(new), AT_ONCE):
+            self._meet(new[lo : lo + AT_ONCE])
         return np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
 
+    def _meet(self, new: list[bytes]) -> None:
+        texts = [p.decode() for p in new]
+        lists = [x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)], self.b.encode([t[1:] for t in texts], num_threads=1)
+        sizes = np.fromiter(map(len, new), np.int64, len(new))
+        whole = np.ones(len(new), bool)
+        for k, (found, names, size) in enumerate(zip(lists, (self.a_bytes, self.b_bytes), (self.a_size, self.b_size))):
+            count = np.fromiter(map(len, found), np.int64, len(found))
+            ids = np.fromiter(itertools.chain.from_iterable(found), np.int32, int(count.sum()))
+            whole &= K.sums(size[ids], np.concatenate([[0], np.cumsum(count)])) == sizes
+            if not whole.all() or b"".join(map(names.__getitem__, ids.tolist())) != b"".join(new):  # then piece by piece
+                whole &= np.fromiter((b"".join(map(names.__getitem__, x)) == p for x, p in zip(found, new)), bool, len(new))
+            self.ids[k], self.counts[k] = np.append(self.ids[k], ids), np.append(self.counts[k], count)
+        self.whole = np.append(self.whole, whole)
+        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+
     def stream(self, k: int, number: np.ndarray) -> Stream:
         """The tokens of pieces one after the other."""
         count = self.counts[k]
@@ -194,13 +198,14 @@ def align(a: Stream, b: Stream, offsets: np.ndarray) -> Aligned:
     return Aligned(n_a, n_b, n_groups, n_a + n_b - n_groups, sum_a[either], sum_b[either], a, b, sum_both[a.ends - 1], sum_both[b.ends - 1])
 
 
+#: Of each number below a million its digits, the last first; vocabularies are smaller than that.
 _DIGITS = 6
-_POWERS = 10 ** np.arange(_DIGITS - 1, -1, -1)
+_DIGIT = [(np.arange(10**_DIGITS, dtype=np.int32) // 10**k % 10 + ord("0")).astype(np.uint8) for k in range(_DIGITS)]
 
 
 def group_texts(x: Aligned) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of ``a1,a2|b1;a3|b2`` of all documents, and where each document's lie: a mark after each token, which of a document's last one is left out."""
-    ids = np.concatenate([x.a.ids, x.b.ids]).astype(np.int64)
+    ids = np.concatenate([x.a.ids, x.b.ids])
     group = np.concatenate([x.group_a, x.group_b])
     # A's tokens of a group stand before B's: the place of a token follows from how many of both kinds stand before it
     n_groups = int(x.n_groups.sum())
@@ -210,15 +215,15 @@ def group_texts(x: Aligned) -> tuple[np.ndarray, np.ndarray]:
     mark = np.full(len(ids), ord(","), np.uint8)
     mark[(first_a + in_a - 1)] = ord("|")
     mark[len(x.a.ids) + first_b + in_b - 1] = ord(";")
-    ordered, marks = np.empty(len(ids), np.int64), np.empty(len(ids), np.uint8)
+    ordered, marks = np.empty(len(ids), np.int32), np.empty(len(ids), np.uint8)
     ordered[place], marks[place] = ids, mark
     size = np.searchsorted(10 ** np.arange(1, _DIGITS), ordered, "right") + 1
     ends = np.cumsum(size + 1)
     out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
     out[ends - 1] = marks
     for k in range(_DIGITS):  # the k-th digit from the right
-        some = size > k
-        out[ends[some] - 2 - k] = ord("0") + ordered[some] // 10**k % 10
+        some = np.flatnonzero(size > k)
+        out[ends[some] - 2 - k] = _DIGIT[k][ordered[some]]
     tokens = np.concatenate([[0], np.cumsum(x.n_a + x.n_b)])
     return out, np.concatenate([[0], ends])[tokens]
 
@@ -275,7 +280,8 @@ def _first_pass(folder: str):
                 ids = batch.column("doc_id").slice(lo, hi - lo)
                 found = align_texts(data, offsets, pair)
                 x = found.aligned
-                own, number, n = np.unique(x.a.ids[x.link_a].astype(np.int64) * width + x.b.ids[x.link_b], return_inverse=True, return_counts=True)
+                own, _, number = K.unique(x.a.ids[x.link_a].astype(np.int64) * width + x.b.ids[x.link_b])
+                n = np.bincount(number, minlength=len(own))
                 known = ids.is_valid().to_numpy(zero_copy_only=False)
                 row = (1, task, place, _squeezed(own), None, _blob(ids.fill_null(0).to_numpy()), _blob(known), _blob(x.n_a), _blob(x.n_b), _blob(x.n_groups), _blob(x.n_links), _squeezed(number.astype(np.int32)), found.digests)
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _TYPES)], _NAMES)
