@@ -105,3 +105,13 @@ def test_what_is_remembered_is_bounded(pair, monkeypatch):
         pair.forget()
         seen.append([d for _, _, data, offsets in kernels.slices(texts, 500) for d in alignment.align_texts(data, offsets, pair).digests])
     assert seen[0] == seen[1] and len(pair.number) < 400
+
+
+def test_ranks_give_the_same_tokens(pair):
+    rng = random.Random(3)
+    assert pair.fast is not None
+    latin = [chr(c) for c in range(1, 0x250)]
+    for n in range(400):
+        text = " " + "".join(rng.choice(latin if n % 2 else list("abc XYZ 0129 's't're ,.!?\n\t'")) for _ in range(rng.randrange(1, 60)))
+        assert pair.fast.encode_ordinary(text) == pair.a.encode(text, add_special_tokens=False).ids
+    assert alignment.ranked([["a", "b"]], {"a": 0, "b": 1, "c": 2, "ab": 2}, [b"a", b"b", b"c"]) is None
