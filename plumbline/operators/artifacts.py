@@ -38,8 +38,13 @@ def entries(artifacts: DataFrame, section: str, keep: tuple[str, ...] = ("path",
     return artifacts.sparkSession.sql(f"SELECT {cols}, '{section}' AS section, e.pos AS idx, e.value AS entry FROM {name} a, LATERAL variant_explode(try_variant_get(a.data, '$.{section}', 'variant')) e WHERE e.key IS NULL")
 
 
-def all_entries(artifacts: DataFrame, names: list[str]) -> DataFrame:
-    return reduce(DataFrame.unionByName, [entries(artifacts, s) for s in names])
+def all_entries(artifacts: DataFrame, names: list[str] | None = None, keep: tuple[str, ...] = ("path", "target_type")) -> DataFrame:
+    """The entries of several list sections, or of all lists at the top, in one pass: the root is exploded once, and what it holds once more."""
+    name = f"_artifacts_{uuid.uuid4().hex}"
+    artifacts.createOrReplaceTempView(name)
+    cols = ", ".join(f"a.{c}" for c in keep)
+    wanted = "" if names is None else f"s.key IN ({', '.join(repr(n) for n in names)}) AND "
+    return artifacts.sparkSession.sql(f"SELECT {cols}, s.key AS section, e.pos AS idx, e.value AS entry FROM {name} a, LATERAL variant_explode(a.data) s, LATERAL variant_explode(s.value) e WHERE {wanted}e.key IS NULL")
 
 
 def of(key: str, body: str = "entry") -> Column:

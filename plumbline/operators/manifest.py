@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .integrity import flag_status
@@ -93,12 +92,12 @@ def load(parsed: DataFrame) -> DataFrame:
 
 
 def ordered_entries(entries: DataFrame) -> DataFrame:
-    """(url, position, json): entries in order of url, their artifacts in order of path and format, as they are saved. entries: url, data."""
+    """(url, json): entries with their artifacts in order of path and format, as they are saved; ``sources.store.save_manifest`` puts them in order of url. entries: url, data."""
     key = lambda x: F.struct(F.coalesce(F.try_variant_get(x, "$.path", "string"), F.lit("")).alias("p"), F.coalesce(F.try_variant_get(x, "$.format", "string"), F.lit("")).alias("f"), F.to_json(x).alias("j"))
     held = F.array_sort(F.transform(F.coalesce(F.try_variant_get("data", "$.artifacts", "array<variant>"), F.array().cast("array<variant>")), key))
     rest = F.map_filter(F.try_variant_get("data", "$", "map<string,variant>"), lambda k, v: ~k.isin("url", "artifacts"))
     body = F.concat(F.lit('{"url": '), F.to_json(F.to_variant_object(F.array("url"))).substr(F.lit(2), F.length(F.to_json(F.to_variant_object(F.array("url")))) - 2), F.lit(', "artifacts": ['), F.array_join(F.transform(held, lambda x: x["j"]), ", "), F.lit("]"), F.when(F.size(rest) > 0, F.concat(F.lit(', "fields": '), F.to_json(rest))).otherwise(""), F.lit("}"))
-    return entries.select("url", body.alias("json")).withColumn("position", F.row_number().over(W.orderBy("url", "json")) - 1)
+    return entries.select("url", body.alias("json"))
 
 
 def artifact_shape(rows: DataFrame) -> DataFrame:

@@ -114,8 +114,17 @@ def write_segments(segments: DataFrame, path: str) -> None:
     segments.select(f(F.col("start")).alias("start_seconds"), f(F.col("end")).alias("end_seconds"), f(F.col("end") - F.col("start")).alias("duration_seconds"), "speaker").write.mode("overwrite").csv(path, header=True)
 
 
-def transcript_document(segments: DataFrame, slug: str, url: str) -> DataFrame:
-    """(body): the segments (start, text) as a document of lines ``[ts] text`` under a heading."""
+def transcript_documents(segments: DataFrame) -> DataFrame:
+    """(path, raw): for each slug its segments as a document of lines ``[ts] text`` under a heading. segments: slug, url, start, text."""
     line = F.concat(F.lit("["), short_clock(F.col("start")), F.lit("] "), F.trim("text"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", line.alias("l")))), lambda x: x["l"]), "\n")
-    return segments.agg(F.concat(F.lit(f"# Transcript — {slug}\n\nSource URL: {url}\n\n"), body, F.lit("\n")).alias("body"))
+    head = F.concat(F.lit("# Transcript — "), F.col("slug"), F.lit("\n\nSource URL: "), F.min("url"), F.lit("\n\n"))
+    return segments.groupBy("slug").agg(F.concat(head, body, F.lit("\n")).alias("raw")).select(F.concat("slug", F.lit(".md")).alias("path"), "raw")
+
+
+def speaker_maps(turns: DataFrame) -> DataFrame:
+    """(path, raw): for each slug a CSV of its speakers by time spoken, longest first, with an empty place for the name. turns: slug, speaker, start, end."""
+    total = turns.groupBy("slug", "speaker").agg(F.sum(F.col("end") - F.col("start")).alias("t"), F.count(F.lit(1)).alias("n"))
+    row = F.concat(F.col("speaker"), F.lit(",,"), F.format_string("%.3f", F.col("t")), F.lit(","), F.col("n").cast("string"))
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("t")).alias("o"), "speaker", row.alias("l")))), lambda x: x["l"]), "\n")
+    return total.groupBy("slug").agg(F.concat(F.lit("speaker,name,total_seconds,segments\n"), rows, F.lit("\n")).alias("raw")).select(F.concat("slug", F.lit("-speakers.csv")).alias("path"), "raw")

@@ -189,7 +189,7 @@ def test_manifest_reading(spark):
     assert [p for p, _ in found(manifest.parse_gate(parsed))] == ["n", "o"]
     entries = manifest.load(parsed)
     assert found(manifest.extraction_types(entries), "path", "message") == [("u2", "invalid extraction_type: null of b"), ("u2", "invalid extraction_type: odd of a")]
-    saved = [(r["url"], json.loads(r["json"])) for r in manifest.ordered_entries(entries).orderBy("position").collect()]
+    saved = [(r["url"], json.loads(r["json"])) for r in manifest.ordered_entries(entries).orderBy("url").collect()]
     assert [u for u, _ in saved] == ["u1", "u2"] and [a["path"] for a in saved[1][1]["artifacts"]] == ["a", "b", "c"] and saved[1][1]["fields"] == {"status": "pending"}
 
 
