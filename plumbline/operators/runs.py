@@ -18,6 +18,7 @@ replace the stored ones.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -26,7 +27,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.storage import written
+from ..functions.storage import shared_folder, written
 from .issues import ISSUE, Check, fatal_cut, issues
 
 ORDERED = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ISSUE.fields) + ", ord int"
@@ -107,8 +108,12 @@ def faulty(check: Check, tables: dict[str, DataFrame], key: str = "path", level:
     first = next(iter(tables))
     docs = tables[first]
     found = []
-    for k in range(FAN):
-        part = docs.where(F.pmod(F.xxhash64(F.lit(level), key), F.lit(FAN)) == k)
+    # stored in a folder each: a filter in the plan might come after those of the check
+    folder = f"{shared_folder(docs.sparkSession)}/parts-{uuid.uuid4().hex}"
+    docs.withColumn("_part", F.pmod(F.xxhash64(F.lit(level), key), F.lit(FAN))).write.partitionBy("_part").parquet(folder)
+    held = sorted(int(r[0]) for r in docs.sparkSession.read.parquet(folder).select("_part").distinct().collect())
+    for k in held:
+        part = docs.sparkSession.read.schema(docs.schema).parquet(f"{folder}/_part={k}")
         reason = _fails(check, tables | {first: part})
         if reason is None:
             continue
@@ -138,7 +143,7 @@ def surviving(tables: dict[str, DataFrame], checks: list[Check]) -> DataFrame:
             continue
         gone = spark.createDataFrame(lost, "path string, reason string")
         parts.append(issues(gone, F.col("path"), F.col("reason"), c.name, fatal=True).withColumn("ord", F.lit(c.order)))
-        parts.append(run(tables | {first: tables[first].join(gone, "path", "left_anti")}))
+        parts.append(run(tables | {first: written(tables[first].join(gone, "path", "left_anti"), "sound")}))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
