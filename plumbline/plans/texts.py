@@ -248,10 +248,16 @@ def character_references(spark, sf):
     return r.select("c_custkey", X.decode_entities(F.col("txt")).alias("decoded"), X.normalize_for_compare(F.col("txt")).alias("norm"))
 
 
-@query(f"SELECT w AS word FROM (SELECT unnest([{', '.join(S.quoted(w) for w in X.STOPWORDS)}]) AS w) WHERE w IN ('witness', 'program', 'sensor', 'testimony')")
+_KEPT = ("witness", "program", "sensor", "testimony", "the")
+
+
+@query(f"""WITH w AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS word FROM documents)
+SELECT word, count(*)::BIGINT AS n_docs, word IN ({', '.join(S.quoted(w) for w in X.STOPWORDS)}) AS is_stop, word IN {_KEPT} AS is_kept FROM w WHERE is_stop OR is_kept GROUP BY word""")
 def stopwords_keep_terms(spark, sf):
-    """Stop words that are words of the record; there must be none."""
-    return spark.createDataFrame([(w,) for w in X.STOPWORDS], "word string").where(F.size(F.array_intersect(F.array("word"), F.array(*[F.lit(w) for w in ("witness", "program", "sensor", "testimony")]))) > 0)
+    """Stop words and words of the record in the documents; a word that is both would be lost from every comparison."""
+    words = spark.read.parquet(f"{sf}/documents.parquet").select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))).alias("word"))
+    lists = spark.createDataFrame([(w, w in X.STOPWORDS, w in _KEPT) for w in {*X.STOPWORDS, *_KEPT}], "word string, is_stop boolean, is_kept boolean")
+    return words.join(F.broadcast(lists), "word").groupBy("word", "is_stop", "is_kept").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
 # -- sources of an artifact
