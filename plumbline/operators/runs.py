@@ -4,7 +4,7 @@ Guarded checks: a check of single documents is a Python function over the parsed
 document; it runs in one pass of batches, and a document on which it raises gets
 one fatal issue while all others get theirs (``document_issues``). A check over
 tables (``issues.Check``) that raises while it runs is helped by ``surviving``: the
-documents that make it raise are found by halving, get a fatal issue, and the
+documents that make it raise are found by splitting them again and again, get a fatal issue, and the
 check runs once more over all the others.
 
 Stages: each takes the documents that are left and gives their new rows and
@@ -128,22 +128,30 @@ def surviving(tables: dict[str, DataFrame], checks: list[Check]) -> DataFrame:
     Every check's issues are stored; one that raises costs the search for its faulty documents and a second run without them.
     """
     first = next(iter(tables))
+    spark = tables[first].sparkSession
     parts: list[DataFrame] = []
     for c in sorted(checks, key=lambda c: c.order):
         run = lambda t: written(c.fn(t).select(*ISSUE.names, F.lit(c.order).alias("ord")), "issues")  # noqa: B023, E731
+        crashed = lambda rows, reason: parts.append(issues(rows, F.col("path"), reason, c.name, fatal=True).withColumn("ord", F.lit(c.order)))  # noqa: B023, E731
         try:
             parts.append(run(tables))
             continue
         except PySparkException as e:
-            reason = _reason(e)
-        lost = faulty(c, tables)
-        spark = tables[first].sparkSession
-        if not lost:  # it raises over no part of the documents: the fault is not in one of them
-            parts.append(issues(tables[first].select("path").distinct(), F.col("path"), F.lit(reason), c.name, fatal=True).withColumn("ord", F.lit(c.order)))
-            continue
-        gone = spark.createDataFrame(lost, "path string, reason string")
-        parts.append(issues(gone, F.col("path"), F.col("reason"), c.name, fatal=True).withColumn("ord", F.lit(c.order)))
-        parts.append(run(tables | {first: written(tables[first].join(gone, "path", "left_anti"), "sound")}))
+            reason = F.lit(_reason(e))
+        # what raises over no documents at all is not the fault of one
+        lost = [] if _fails(c, tables | {first: tables[first].limit(0)}) else faulty(c, tables)
+        rest = tables[first]
+        if lost:
+            gone = spark.createDataFrame(lost, "path string, reason string")
+            crashed(gone, F.col("reason"))
+            rest = written(rest.join(gone, "path", "left_anti"), "sound")
+        try:
+            if lost:
+                parts.append(run(tables | {first: rest}))
+            else:
+                crashed(rest.select("path").distinct(), reason)
+        except PySparkException:  # it raises over documents that do not raise by themselves
+            crashed(rest.select("path").distinct(), reason)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
