@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .integrity import later_occurrences, walk_strings
+from .integrity import later_occurrences, walk_places, walk_strings
 from . import rules
 from .issues import Check, issues
 from .rules import absent, blank, falsy
@@ -342,10 +342,22 @@ def phase_inputs(artifacts: DataFrame, nodes: DataFrame, sources: DataFrame) ->
     return out.unionByName(issues(used.where("there and text is null"), F.col("path"), F.concat(F.lit("source has no text: "), F.col("source_path")), "phase_iii_inputs", "warn"))
 
 
+#: Of lists at the top the fields that hold text, texts at the top, and keys that hold none.
+TEXT_FIELDS = {"quotes": ("text", "significance", "context"), "entities_referenced": ("name", "wrap_path", "context_summary"), "naming_quirks": ("observed", "canonical", "note"), "rumors": ("claim", "note")}
+PROSE = ("description", "background", "top_relevance", "credibility_notes", "pattern_statement")
+NO_TEXT = ("id", "type", "schema_version", "target_node", "status", "created", "updated", "primary_sources")
+
+
 def strings(artifacts: DataFrame) -> DataFrame:
-    """(path, text): all strings of an artifact's body, one a line, in order of where they stand."""
-    leaves = walk_strings(artifacts.select(F.col("path").alias("k"), "data"), "k", "data").select("k", F.col("path").alias("at"), "leaf")
-    return leaves.groupBy(F.col("k").alias("path")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "leaf"))), lambda x: x["leaf"]), "\n").alias("text"))
+    """(path, text): the text that an artifact's author has typed, one string a line, keys by code point and list items by number.
+
+    Of quotes, entities, quirks and rumors the fields of text and a rumor's observed sources; texts at the top; every string of all other keys but those that hold no text.
+    """
+    leaves = walk_places(artifacts.select(F.col("path").alias("k"), "data"), "k", "data").withColumnRenamed("path", "at")
+    top = F.regexp_extract("at", r"^\$\.([^.\[]+)", 1)
+    listed = "|".join([*(rf"{k}\[\d+\]\.({'|'.join(v)})" for k, v in TEXT_FIELDS.items()), r"rumors\[\d+\]\.observed_sources\[\d+\]", *PROSE])
+    taken = leaves.where(F.col("at").rlike(rf"^\$\.({listed})$") | ((top != "") & ~top.isin(*TEXT_FIELDS, *PROSE, *NO_TEXT)))
+    return taken.groupBy(F.col("k").alias("path")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "leaf"))), lambda x: x["leaf"]), "\n").alias("text"))
 
 
 def artifact_checks(statuses: tuple[str, ...], described: tuple[str, ...], sections: list[str], entry_rules: list[rules.EntryRule] = rules.ENTRY_RULES) -> list[Check]:

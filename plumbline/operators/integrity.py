@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
+import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-
-from ..functions.storage import written
+from pyspark.sql import types as T
 
 
 def later_occurrences(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -55,25 +56,43 @@ def flag_status(flags: Column, local: Column, remote: Column) -> Column:
     return F.when(flags.isNull(), "missing").when(~flags.between(0, 3), "out of range").when(flags != want, bits)
 
 
-def walk_strings(rows: DataFrame, key: str, body: str) -> DataFrame:
-    """(key, path, leaf) for every string in a VARIANT body, however deep and however many.
+def leaves_of(document) -> Iterator[tuple[str, str]]:
+    """(path, string) of a parsed document in order: keys by code point, list items by number. However deep, as the way lies on a stack of its own."""
+    stack = [("$", document)]
+    while stack:
+        path, value = stack.pop()
+        if isinstance(value, str):
+            yield path, value
+        elif isinstance(value, dict):
+            stack += [(f"{path}.{k}", value[k]) for k in sorted(value, reverse=True)]
+        elif isinstance(value, list):
+            stack += [(f"{path}[{k}]", value[k]) for k in range(len(value) - 1, -1, -1)]
+
 
-    One pass for each level of nesting: containers are exploded, strings go out, and what is
-    still a container is written to the shared folder for the next pass.
+def walk_places(rows: DataFrame, key: str, body: str) -> DataFrame:
+    """(key, path, leaf, place) for every string in a VARIANT body, however deep and however many; place numbers the strings of a body in order.
+
+    One narrow pass in batches: every body is parsed once, and nothing is stored between levels.
     """
-    spark = rows.sparkSession
-    level = rows.select(F.col(key).alias("k"), F.lit("$").alias("path"), F.to_json(F.struct(F.col(body).alias("v"))).alias("json"))
-    out = None
-    while True:
-        level = written(level, "walk")
-        name = f"walk_{uuid.uuid4().hex}"
-        level.select("k", "path", F.variant_get(F.parse_json("json"), "$.v", "variant").alias("v")).createOrReplaceTempView(name)
-        strings = spark.sql(f"SELECT k AS `{key}`, path, try_variant_get(v, '$', 'string') AS leaf FROM {name} WHERE schema_of_variant(v) = 'STRING'")
-        out = strings if out is None else out.unionByName(strings)
-        level = spark.sql(f"""SELECT w.k, CASE WHEN e.key IS NULL THEN concat(w.path, '[', e.pos, ']') ELSE concat(w.path, '.', e.key) END AS path, to_json(named_struct('v', e.value)) AS json
-            FROM {name} w, LATERAL variant_explode(w.v) e WHERE schema_of_variant(e.value) = 'STRING' OR schema_of_variant(e.value) LIKE 'OBJECT%' OR schema_of_variant(e.value) LIKE 'ARRAY%'""")
-        if not level.limit(1).count():
-            return out
+    names = [key, "path", "leaf", "place"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, out = [], []
+            for k, text in enumerate(batch.column("_json").to_pylist()):
+                found = [] if text is None else list(leaves_of(json.loads(text)))
+                of += [k] * len(found)
+                out += [(*x, n) for n, x in enumerate(found)]
+            path, leaf, place = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(of, pa.int64())), pa.array(path, pa.string()), pa.array(leaf, pa.string()), pa.array(place, pa.int64())], names)
+
+    schema = T.StructType([T.StructField(key, rows.schema[key].dataType), T.StructField("path", T.StringType()), T.StructField("leaf", T.StringType()), T.StructField("place", T.LongType())])
+    return rows.select(key, F.to_json(body).alias("_json")).mapInArrow(run, schema)
+
+
+def walk_strings(rows: DataFrame, key: str, body: str) -> DataFrame:
+    """(key, path, leaf) for every string in a VARIANT body."""
+    return walk_places(rows, key, body).drop("place")
 
 
 def cross_references(ids: DataFrame, refs: DataFrame) -> DataFrame:

@@ -76,3 +76,38 @@ def greedy_keep(ids: DataFrame, pairs: DataFrame, write) -> DataFrame:
         state = write(state.join(before, state["id"] == before["b"], "left").select("id", F.coalesce("kept", settled).alias("kept")))
         if not state.where("kept is null").limit(1).count():
             return state
+
+
+# -- an index of crops that lives on: id, bits, identity (null until known)
+def close_between(known: DataFrame, fresh: DataFrame, most: int) -> DataFrame:
+    """(a, b, dist) of a known and a fresh hash at most so many bits apart, met as in ``close_pairs``. Both: id, bits."""
+    n = most + 1
+    cuts = [BITS * k // n for k in range(n + 1)]
+    keyed = lambda df: df.select("id", as_long(F.col("bits")).alias("h"), F.posexplode(F.array(*[F.substring("bits", a + 1, b - a) for a, b in zip(cuts, cuts[1:])])).alias("k", "block"))
+    x, y = keyed(known).alias("x"), keyed(fresh).alias("y")
+    met = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.block") == F.col("y.block"))).withColumn("dist", hamming(F.col("x.h"), F.col("y.h")))
+    return met.where(F.col("dist") <= most).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), "dist").distinct()
+
+
+def detect(index: DataFrame, batch: DataFrame, baselines: DataFrame, most: int, near: int, write) -> DataFrame:
+    """The index after a batch of crops (id, bits): those that are near to nothing kept before them come in, with the identity of their nearest baseline.
+
+    Ids of a batch follow those of the index, so batches one after the other give what one batch of all gives: what the
+    index holds is kept, and only fresh crops near to none of it are walked.
+    """
+    clear = write(batch.join(close_between(index.select("id", "bits"), batch, most).select(F.col("b").alias("id")).distinct(), "id", "left_anti"))
+    pairs = write(close_pairs(clear, most).select("a", "b"))
+    kept = greedy_keep(clear.select("id"), pairs, write).where("kept").select("id")
+    fresh = clear.join(kept, "id")
+    named = fresh.join(nearest(fresh.select("id", "bits"), baselines, near).select("id", "identity"), "id").select("id", "bits", "identity")
+    return write(index.select("id", "bits", "identity").unionByName(named))
+
+
+def register(index: DataFrame, names: DataFrame) -> DataFrame:
+    """The index with the identities that a contributor has given. names: id, identity."""
+    return index.join(names.select("id", F.col("identity").alias("_given")), "id", "left").select("id", "bits", F.coalesce("_given", "identity").alias("identity"))
+
+
+def prune(index: DataFrame, baselines: DataFrame, near: int) -> DataFrame:
+    """The index without the crops that are near to no baseline; a crop's given identity does not save it, as its baseline would."""
+    return index.join(nearest(index.select("id", "bits"), baselines, near).where("identity is not null").select("id"), "id", "left_semi").select("id", "bits", "identity")

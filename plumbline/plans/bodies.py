@@ -486,7 +486,11 @@ def artifact_prose_drift(spark, sf):
     return _found(artifacts.prose_drift(_artifacts(spark, sf), spark.createDataFrame(_TEXTS, "source_path string, text string"), {"person": ["background"]}, {}))
 
 
-@query(f"WITH a AS ({_ARTIFACTS}) SELECT path, string_agg(leaf, chr(10) ORDER BY place) AS text FROM (SELECT a.path AS path, replace(t.fullkey, '\"', '') AS place, t.atom->>'$' AS leaf FROM a, json_tree(a.j) t WHERE t.type = 'VARCHAR') GROUP BY path")
+@query(f"""WITH a AS ({_ARTIFACTS}), l AS (SELECT a.path AS path, replace(t.fullkey, '"', '') AS spot, t.atom->>'$' AS leaf FROM a, json_tree(a.j) t WHERE t.type = 'VARCHAR')
+SELECT path, string_agg(leaf, chr(10) ORDER BY regexp_replace(regexp_replace(spot, '\\[([0-9])\\]', '[00\\1]', 'g'), '\\[([0-9]{{2}})\\]', '[0\\1]', 'g')) AS text FROM l
+WHERE regexp_matches(spot, '^\\$\\.(quotes\\[[0-9]+\\]\\.(text|significance|context)|entities_referenced\\[[0-9]+\\]\\.(name|wrap_path|context_summary)|naming_quirks\\[[0-9]+\\]\\.(observed|canonical|note)|rumors\\[[0-9]+\\]\\.(claim|note|observed_sources\\[[0-9]+\\]))$')
+  OR (regexp_matches(spot, '^\\$\\.[^.\\[]') AND NOT regexp_matches(spot, '^\\$\\.(description|background|top_relevance|credibility_notes|pattern_statement)[.\\[]') AND NOT regexp_matches(spot, '^\\$\\.(quotes|entities_referenced|naming_quirks|rumors|id|type|schema_version|target_node|status|created|updated|primary_sources)($|[.\\[])'))
+GROUP BY path""")
 def artifact_strings(spark, sf):
     """All text of an artifact."""
     return artifacts.strings(_artifacts(spark, sf))

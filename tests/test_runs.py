@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import artifacts, runs, schema
+from plumbline.operators import artifacts, integrity, runs, schema, similarity
 from plumbline.operators.issues import Check, issues
 from plumbline.plans import builds
 
@@ -164,3 +165,52 @@ def test_what_a_change_touches(spark):
 def test_queries_have_rows_of_every_kind(spark, name):
     got = builds.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
     assert len({r["message"].split(":")[0][:25] for r in got}) >= 3
+
+
+def test_walk_in_order_and_the_text_of_an_artifact(spark):
+    deep = {"x": "end"}
+    for _ in range(200):
+        deep = {"k": [deep]}
+    doc = {"quotes": [{"text": f"t{k}", "id": f"q{k}", "source": {"path": "p"}} for k in range(12)], "id": "no", "created": "2020", "description": "d", "background": {"not": "taken"}, "rumors": [{"claim": "c", "status": "s", "observed_sources": ["o", 1]}], "timeline": [{"date": "2021", "deep": deep}], "context_extrinsic": {"b": ["z"], "a": "y"}, "primary_sources": [{"path": "gone"}]}
+    df = spark.createDataFrame([("p", json.dumps(doc)), ("q", '"top"'), ("r", None)], "path string, j string").select("path", F.parse_json("j").alias("data"))
+    text = {r["path"]: r["text"].split("\n") for r in artifacts.strings(df).collect()}
+    assert text == {"p": ["y", "z", "d", *[f"t{k}" for k in range(12)], "c", "o", "2021", "end"]}
+    places = integrity.walk_places(df.withColumnRenamed("path", "k"), "k", "data").where("k = 'p'").orderBy("place").collect()
+    assert [r["place"] for r in places] == list(range(len(places))) and [r["leaf"] for r in places if r["path"].endswith(".text")] == [f"t{k}" for k in range(12)]
+    assert [tuple(r) for r in integrity.walk_strings(df.withColumnRenamed("path", "k"), "k", "data").where("k = 'q'").collect()] == [("q", "$", "top")]
+
+
+def test_batches_give_what_one_batch_gives(spark, tmp_path):
+    rng = random.Random(3)
+    bits = ["".join(rng.choice("01") for _ in range(64)) for _ in range(12)]
+    rows = []
+    for k in range(90):
+        b = list(rng.choice(bits))
+        for j in rng.sample(range(64), rng.randrange(9)):
+            b[j] = "10"[int(b[j])]
+        rows.append((k, "".join(b)))
+    df = spark.createDataFrame(rows, "id long, bits string")
+    base = spark.createDataFrame([(k, f"i{k}", b) for k, b in enumerate(bits[:6])], "ord long, identity string, bits string")
+    count = iter(range(1000))
+
+    def write(t):
+        path = str(tmp_path / f"t{next(count)}")
+        t.write.parquet(path)
+        return spark.read.schema(t.schema).parquet(path)
+
+    empty = df.withColumn("identity", F.lit(None).cast("string")).limit(0)
+    one = similarity.detect(empty, df, base, 8, 10, write)
+    two = empty
+    for lo, hi in ((0, 30), (30, 31), (31, 31), (31, 90)):
+        two = similarity.detect(two, df.where((F.col("id") >= lo) & (F.col("id") < hi)), base, 8, 10, write)
+    far = lambda a, b: sum(x != y for x, y in zip(a, b))
+    kept = []
+    for k, b in rows:
+        if all(far(b, x) > 8 for _, x in kept):
+            kept.append((k, b))
+    name = lambda b: min(((far(b, x), k, f"i{k}") for k, x in enumerate(bits[:6]) if far(b, x) <= 10), default=(0, 0, None))[2]
+    want = sorted((k, b, name(b)) for k, b in kept)
+    assert sorted(map(tuple, one.collect())) == want == sorted(map(tuple, two.collect())) and any(n is None for _, _, n in want)
+    named = similarity.register(two, spark.createDataFrame([(want[0][0], "x")], "id long, identity string"))
+    assert {r["id"]: r["identity"] for r in named.collect()}[want[0][0]] == "x"
+    assert sorted(r["id"] for r in similarity.prune(named, base, 10).collect()) == [k for k, _, n in want if n is not None]
