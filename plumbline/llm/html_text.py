@@ -13,8 +13,12 @@ clusters them in two: the dense lines are the content.
 Short lines of the content are dense by their neighbours or are told by their
 place: the region is the innermost element that holds nearly all of the dense
 text, or an ``article`` (``main``, if there is none) that holds most of it.
-Inside an article all lines of full weight are taken; elsewhere those that
-share an element with a dense line or stand between such.
+Inside an article all lines of full weight are taken, and in its sibling
+articles those that are not mostly links; elsewhere those that share an element
+with a dense line, stand between such, or stand in an article of their own.
+
+A sign that opens no tag within a bounded stretch is text, so the time is
+proportional to the page whatever it holds.
 
 Defined results: null or empty html, and pages without text, give an
 empty text; a page cut off in a tag or reference is read up to there; equal
@@ -52,6 +56,14 @@ CONTAINERS = frozenset("article aside blockquote body center details dialog div
 MARKS = frozenset("ad ads advert advertisement advertising adsbygoogle adbox adslot sponsor sponsored sponsors promo promotion promoted banner cookie cookies consent gdpr notice notices notification notifications alert popup modal overlay newsletter subscribe subscription signup sidebar sidebars side rail widget widgets related recommended recommendations share sharing social comment comments disqus reply replies respond responses discussion menu menus nav navbar navigation breadcrumb breadcrumbs topbar masthead footer foot copyright legal toolbar pagination pager login search searchbox tags taglist skip disclaimer teaser teasers trending popular".split())
 #: Words that say nothing beside one of MARKS.
 FILLERS = frozenset("area articles bar block body bottom box button buttons btn card cards center column container content element footer form global group header icons id inline inner item items js label large left link links list local main media message module more name news outer page panel post posts primary right row secondary section site slot small stories story text top unit up widget wrap wrapper".split())
+#: Beginnings of a part that mark a whole word whatever its other parts, parts that do, and parts that only tell a state.
+STEMS = ("comment", "reply", "replies", "feedback", "disqus", "advert", "adsense", "adslot", "sponsor", "outbrain", "taboola")
+ALONE = frozenset("ad ads".split())
+STATES = frozenset("has no with without open opened closed enabled disabled enable disable show hide commentary".split())
+#: Marks that a wrapper of the whole text may bear too.
+WRAPS = frozenset("social share sharing widget widgets promo banner modal overlay popup rail side".split())
+#: The share of a page's text that an element with such a mark holds if it is a wrapper.
+WRAPPED = 0.8
 #: Roles of parts other than the article.
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 #: Elements without content.
@@ -63,16 +75,27 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
 @functools.lru_cache(1 << 14)
-def announces(value: str, inside: bool) -> bool:
-    """Whether a whole word of a class or id, all its parts known, names something other than the article; a header does outside an article."""
+def announces(value: str, inside: bool, itself: bool = False) -> bool:
+    """Whether a whole word of a class or id names something other than the article; a header does outside an article.
+
+    All its parts are known, or one of them begins as comments, replies and advertisements do; of an article or main element itself the former only.
+    """
     for token in value.split():
         parts = [p for p in re.split(r"[^a-z]+", _CAMEL.sub("-", token).lower()) if p]
         marks = [p in MARKS or (p == "header" and not inside) for p in parts]
-        if any(marks) and all(m or p in FILLERS for m, p in zip(marks, parts)):
+        if any(marks) and all(m or p in FILLERS or len(p) == 1 for m, p in zip(marks, parts)):
+            return True
+        if not itself and not STATES.intersection(parts) and any(p in ALONE or p.startswith(STEMS) for p in parts):
             return True
     return False
 
 
+def wraps(value: str) -> bool:
+    """Whether all that a class or id announces may as well be said of a wrapper of the whole text."""
+    parts = {p for p in re.split(r"[^a-z]+", _CAMEL.sub("-", value).lower()) if p}
+    return parts & MARKS <= WRAPS and not any(p.startswith(STEMS) for p in parts)
+
+
 class Line:
     __slots__ = ("box", "text", "tags", "linked", "weight")
 
@@ -91,6 +114,7 @@ class Lines(HTMLParser):
         self.lines: list[Line] = []
         self.kinds: list[str] = [""]
         self.parents: list[int] = [0]
+        self.soft: dict[int, bool] = {}  # of elements that announce something else, whether they may be wrappers
         self.stack: list[tuple[str, int, float]] = [("", 0, 1.0)]  # element, number, weight
         self.open: Counter = Counter()
         self.parts: list[str] = []
@@ -116,7 +140,7 @@ class Lines(HTMLParser):
         for name, value in attrs:
             v = value or ""
             if name in ("class", "id"):
-                if announces(v, self._inside() or tag in ("article", "main")):
+                if announces(v, self._inside() or tag in ("article", "main"), tag in ("article", "main")):
                     out = SOFT
             elif name == "role" and v.lower() in ROLES or name == "hidden" or name == "aria-hidden" and v.lower() == "true":
                 return 0.0
@@ -143,6 +167,8 @@ class Lines(HTMLParser):
         if tag in ("body", "article", "main"):  # an unclosed head or title ends here
             while self.stack[-1][0] in ("head", "title"):
                 self._pop()
+        if weight == SOFT:
+            self.soft[len(self.kinds)] = all(wraps(v or "") for name, v in attrs if name in ("class", "id"))
         if tag in CONTAINERS:
             self._push("main" if tag != "article" and any(k == "role" and v == "main" for k, v in attrs) else tag, weight)
         elif weight < 1 and tag not in VOID:
@@ -179,12 +205,44 @@ class Lines(HTMLParser):
 
 
 _OPEN = re.compile(r"<[/!?a-zA-Z][^<>]*\Z")
+_TAG = re.compile(r"<[/a-zA-Z!?]")
+#: A tag whose attributes are all well formed; it may be long, as one that holds a picture is.
+_WHOLE = re.compile(r"""<[a-zA-Z][^\s<>/"'=]*(?:\s+[^\s=<>"'/]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'<>=]+))?)*\s*/?>""")
+#: Characters within which any other tag must end; the parser looks for an end up to that of the page, again for each.
+TAG_MOST = 4096
+
+
+def closed(html: str) -> str:
+    """The page with the signs that open no tag written as references, in time proportional to its length."""
+    out, done, end, skip, last = [], 0, -1, 0, html.rfind("-->")
+    for m in _TAG.finditer(html):
+        at = m.start()
+        if at < skip:
+            continue
+        if html.startswith("<!--", at):
+            if at < last:
+                skip = html.find("-->", at) + 3
+            else:  # a comment that never ends is none
+                out += [html[done:at], "&lt;"]
+                done = at + 1
+            continue
+        if end < at:
+            end = html.find(">", at)
+            end = len(html) + TAG_MOST + 1 if end < 0 else end
+        if end - at <= TAG_MOST:
+            continue
+        if end < len(html) and (whole := _WHOLE.match(html, at)):
+            skip = whole.end()
+            continue
+        out += [html[done:at], "&lt;"]
+        done = at + 1
+    return "".join([*out, html[done:]]) if out else html
 
 
 def parse(html: str) -> Lines:
     """The lines of a page; a tag cut off by the end of the page is left out."""
     parser = Lines()
-    html = _OPEN.sub("", html)
+    html = closed(_OPEN.sub("", html))
     for k in range(0, len(html), FEED):
         parser.feed(html[k : k + FEED])
     parser.close()
@@ -243,20 +301,42 @@ def region(lines: list[Line], kinds: list[str], parents: list[int]) -> list[Line
     best = max(articles, key=lambda n: (mass[n], -n), default=0)
     if not articles or mass[best] <= 0.5 * mass[0]:
         best = max(n for n, m in enumerate(mass) if m >= 0.8 * mass[0])
-    inside = [False] * len(kinds)
+    inside, beside, within = ([False] * len(kinds) for _ in range(3))
     for n in range(len(kinds)):
         inside[n] = n == best or (n > 0 and inside[parents[n]])
+        beside[n] = n > 0 and ((kinds[n] == kinds[best] == "article" and parents[n] == parents[best]) or beside[parents[n]])
+        within[n] = kinds[n] == "article" or (n > 0 and within[parents[n]])
+    own = lambda x: x.weight == 1 and 2 * x.linked < len(x.text)
     if kinds[best] in ("article", "main"):
-        return [x for x, d in zip(lines, dense) if d or (inside[x.box] and x.weight == 1)]
+        return [x for x, d in zip(lines, dense) if d or (inside[x.box] and x.weight == 1) or (beside[x.box] and own(x))]
     boxes = {x.box for x, d in zip(lines, dense) if d}
     sure = [k for k, (x, d) in enumerate(zip(lines, dense)) if d or (x.box in boxes and x.weight == 1 and 2 * x.linked < len(x.text))]
-    return [x for k, (x, d) in enumerate(zip(lines, dense)) if d or (x.weight == 1 and inside[x.box] and 2 * x.linked < len(x.text) and (x.box in boxes or sure[0] < k < sure[-1]))]
+    return [x for k, (x, d) in enumerate(zip(lines, dense)) if d or (own(x) and (within[x.box] or (inside[x.box] and (x.box in boxes or sure[0] < k < sure[-1]))))]
+
+
+def unwrap(page: Lines) -> None:
+    """Takes the mark from elements that hold nearly all of a page's text: those of one mark alone wrap it."""
+    mass = [0] * len(page.kinds)
+    for x in page.lines:
+        mass[x.box] += max(0, len(x.text) - x.linked) * (x.weight > 0)
+    for n in range(len(mass) - 1, 0, -1):
+        mass[page.parents[n]] += mass[n]
+    free = {n for n, may in page.soft.items() if may and n < len(mass) and mass[n] >= WRAPPED * mass[0]}
+    if not free:
+        return
+    marked = [False] * len(mass)  # whether an element or one around it still announces something else
+    for n in range(1, len(mass)):
+        marked[n] = marked[page.parents[n]] or (n in page.soft and n not in free)
+    for x in page.lines:
+        if 0 < x.weight < 1 and not marked[x.box] and not NOTICE.search(x.text):
+            x.weight = 1.0
 
 
 def main_text(html: str | None) -> str:
     if not html:
         return ""
     page = parse(html)
+    unwrap(page)
     return " ".join(x.text for x in region(page.lines, page.kinds, page.parents))
 
 
