@@ -62,6 +62,8 @@ ALONE = frozenset("ad ads".split())
 STATES = frozenset("has no with without open opened closed enabled disabled enable disable show hide commentary".split())
 #: Marks that a wrapper of the whole text may bear too.
 WRAPS = frozenset("social share sharing widget widgets promo banner modal overlay popup rail side".split())
+#: Parts of a class by which an article is one of a list of others.
+CARDS = frozenset("card cards tile tiles item items".split())
 #: The share of a page's text that an element with such a mark holds if it is a wrapper.
 WRAPPED = 0.8
 #: Roles of parts other than the article.
@@ -114,6 +116,7 @@ class Lines(HTMLParser):
         self.lines: list[Line] = []
         self.kinds: list[str] = [""]
         self.parents: list[int] = [0]
+        self.cards: set[int] = set()
         self.soft: dict[int, bool] = {}  # of elements that announce something else, whether they may be wrappers
         self.stack: list[tuple[str, int, float]] = [("", 0, 1.0)]  # element, number, weight
         self.open: Counter = Counter()
@@ -169,6 +172,8 @@ class Lines(HTMLParser):
                 self._pop()
         if weight == SOFT:
             self.soft[len(self.kinds)] = all(wraps(v or "") for name, v in attrs if name in ("class", "id"))
+        if tag == "article" and any(name == "class" and CARDS.intersection(re.split(r"[^a-z]+", (v or "").lower())) for name, v in attrs):
+            self.cards.add(len(self.kinds))
         if tag in CONTAINERS:
             self._push("main" if tag != "article" and any(k == "role" and v == "main" for k, v in attrs) else tag, weight)
         elif weight < 1 and tag not in VOID:
@@ -283,7 +288,7 @@ def threshold(values: list[float]) -> float:
         low, high = new
 
 
-def region(lines: list[Line], kinds: list[str], parents: list[int]) -> list[Line]:
+def region(lines: list[Line], kinds: list[str], parents: list[int], cards: set[int] = frozenset()) -> list[Line]:
     """The lines of the content: the dense ones, and those that belong with them by their place."""
     if not lines:
         return []
@@ -304,8 +309,8 @@ def region(lines: list[Line], kinds: list[str], parents: list[int]) -> list[Line
     inside, beside, within = ([False] * len(kinds) for _ in range(3))
     for n in range(len(kinds)):
         inside[n] = n == best or (n > 0 and inside[parents[n]])
-        beside[n] = n > 0 and ((kinds[n] == kinds[best] == "article" and parents[n] == parents[best]) or beside[parents[n]])
-        within[n] = kinds[n] == "article" or (n > 0 and within[parents[n]])
+        beside[n] = n > 0 and ((kinds[n] == kinds[best] == "article" and parents[n] == parents[best] and n not in cards) or beside[parents[n]])
+        within[n] = (kinds[n] == "article" and n not in cards) or (n > 0 and within[parents[n]])
     own = lambda x: x.weight == 1 and 2 * x.linked < len(x.text)
     if kinds[best] in ("article", "main"):
         return [x for x, d in zip(lines, dense) if d or (inside[x.box] and x.weight == 1) or (beside[x.box] and own(x))]
@@ -337,7 +342,7 @@ def main_text(html: str | None) -> str:
         return ""
     page = parse(html)
     unwrap(page)
-    return " ".join(x.text for x in region(page.lines, page.kinds, page.parents))
+    return " ".join(x.text for x in region(page.lines, page.kinds, page.parents, page.cards))
 
 
 def extract(pages: DataFrame) -> DataFrame:
