@@ -13,13 +13,21 @@ one in sixty, and each window belongs to one anchor.
    folded before anything is sorted, so of a group of copies, however large, a task
    sends one entry in HELD and a bucket one.
 2. In a bucket, leads with unlike entries (the ends of a repeated passage) ask
-   for their bytes. A lead asked for more than ``HOT`` times is split: its
-   windows go on as rows of their own.
+   for their bytes. A lead with more than ``HOT`` unlike entries in its bucket, or
+   more than ``SPREAD`` among those that a task holds, is hot. Such a task keeps its
+   entries out of the bucket and sends one mark, so a bucket holds at most
+   ``SPREAD`` entries of a hot lead from each of them.
 3. The asked-for suffixes are range-partitioned by their leading bytes with
    Spark's sampled splitters. Splitters never divide equal leading bytes, and a
    run that goes on into the next batch is carried over. Of each run the
    suffixes at all its window starts are sorted by multikey quicksort, and two
    neighbours in that order whose common prefix is 200 bytes are a repeat.
+4. The suffixes of hot leads are not brought together by their leading bytes, which
+   all share. Their windows are taken in ranges of ``RANGE`` by their distance from
+   the anchor. A range whose bytes agree with another's is settled as a whole; one
+   of which not even the core agrees, the bytes that all its windows share, drops
+   out; the windows of the others are sorted among those that a task holds, and of
+   each one unlike window goes on, as a digest that partial sums count.
 
 Defined results: a null text is empty and keeps the hash of no bytes; texts
 shorter than 200 bytes are kept whole; repeated rows repeat each other and
@@ -46,8 +54,14 @@ LEAD = 80
 SPAN = LENGTH - LEAD + 1
 #: Bytes of the input files for a bucket; packed files make more entries than their bytes say.
 BUCKET_BYTES = 1 << 19
-#: Entries of one lead that are compared together; the windows of a lead with more are rows of their own.
+#: Entries of one lead that are compared together.
 HOT = 1024
+#: Unlike entries of one lead, among those that a task holds, that still go to the lead's bucket.
+SPREAD = 64
+#: Windows of a hot lead that are looked at together first.
+RANGE = 11
+#: Spans of hot leads that a task holds at once.
+HELD_SPANS = 1 << 13
 #: Window starts that are sorted at once, beyond one lead.
 CROWD = 1 << 16
 #: Entries that a task holds at once.
@@ -55,6 +69,8 @@ HELD = 1 << 16
 #: Bytes of a text whose windows are looked at together.
 LONGEST = 1 << 17
 _U = np.uint64
+#: What an entry is to its bucket: alone so far, first of some that agree, settled, asked for, a mark that its lead is hot.
+LONE, ALIKE, COVER, ASKED, MARK = range(5)
 ENTRY = np.dtype([("lead", "<u8"), ("span", "<u8"), ("span2", "<u8"), ("row", "<i8"), ("at", "<i4"), ("back", "u1"), ("more", "u1"), ("whole", "u1")])
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -141,14 +157,19 @@ def _entries(n_buckets: int):
             yield from packed(np.concatenate(found))
 
     def packed(e: np.ndarray) -> Iterator[pa.RecordBatch]:
-        e, _, span = _in_order(e)
-        group = np.cumsum(span) - 1
-        size = np.bincount(group) if len(e) else group
-        e["whole"] = size[group] > 1
-        again = ~span  # settled here already; the first of each group stands for them
-        cover = e[again].copy()
-        cover["whole"] = 2
-        for part, where in ((e[span], bucket(e["lead"][span])), (cover, (np.abs(cover["row"]) + cover["at"]) % n_buckets)):
+        e, lead, span = _in_order(e)
+        size = np.bincount(np.cumsum(span) - 1)
+        group = np.cumsum(lead) - 1
+        first = e[span]
+        first["whole"] = np.where(size > 1, ALIKE, LONE)  # of a group that agrees the first goes on, the others are settled here already
+        hot = np.bincount(group[span]) > SPREAD
+        away = hot[group[span]]
+        cover = np.concatenate([e[~span], first[away & (size > 1)]])
+        cover["whole"] = COVER
+        asked, mark = first[away], e[lead][hot]
+        asked["whole"], mark["whole"] = ASKED, MARK
+        bound, free = np.concatenate([first[~away], mark]), np.concatenate([cover, asked])
+        for part, where in ((bound, bucket(bound["lead"])), (free, (np.abs(free["row"]) + free["at"]) % n_buckets)):
             order = np.argsort(where, kind="stable")
             part, where = part[order], where[order]
             cuts = np.flatnonzero(np.append(True, where[1:] != where[:-1])) if len(where) else []
@@ -162,46 +183,41 @@ def _entries(n_buckets: int):
 def _resolve(table: pa.Table) -> pa.Table:
     """Of one bucket: covers (ask false) and the entries whose bytes are asked for."""
     e = np.concatenate([np.frombuffer(x.as_buffer(), ENTRY) for x in table.column("entries")])
-    done = e[e["whole"] == 2]
-    e, lead, span = _in_order(e[e["whole"] != 2])
+    done, asked, marks = e[e["whole"] == COVER], e[e["whole"] == ASKED], e["lead"][e["whole"] == MARK]
+    e, lead, span = _in_order(e[e["whole"] <= ALIKE])
     group, sort = np.cumsum(lead) - 1, np.cumsum(span) - 1
     n_sorts = np.bincount(group[span], minlength=group[-1] + 1) if len(e) else group
     many = np.bincount(sort) if len(e) else sort
-    whole = (many[sort] > 1) | (e["whole"] == 1)
+    whole = (many[sort] > 1) | (e["whole"] == ALIKE)
     alone = np.bincount(group[~whole], minlength=group[-1] + 1) if len(e) else group
-    ask = span & (n_sorts[group] > 1) & (alone[group] > 0)
-    hot = n_sorts[group] > HOT
+    marked = np.isin(e["lead"], marks)
+    ask = span & (marked | (n_sorts[group] > 1) & (alone[group] > 0))
+    hot = marked | (n_sorts[group] > HOT)
     cover = np.concatenate([done, e[whole]])
-    both = np.concatenate([cover, e[ask]])
-    hot = np.append(np.zeros(len(cover), bool), hot[ask])
+    both = np.concatenate([cover, e[ask], asked])
+    hot = np.concatenate([np.zeros(len(cover), bool), hot[ask], np.ones(len(asked), bool)])
     K.give_back()
     return pa.table([pa.array(both["row"]), pa.array(both["at"]), pa.array(both["back"].astype(np.int32)), pa.array(both["more"].astype(np.int32)), pa.array(np.arange(len(both)) >= len(cover)), pa.array(hot)], ["row", "at", "back", "more", "ask", "hot"])
 
 
 @K.frees
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes that the asked-for windows span, keyed by their lead; of a hot lead each window by itself, keyed by all its bytes."""
+    """The bytes that the asked-for windows span, keyed by their lead, a hot one by nothing; back is the lead's place in them."""
     for batch in _parts(batches):
-        key, span, row, at = [], [], [], []
+        key, span, row, at, back = [], [], [], [], []
         texts, asked, rows = batch.column("text"), batch.column("asked"), batch.column("row").to_numpy()
         for i in range(batch.num_rows):
             raw = memoryview(texts[i].as_buffer() if texts[i].is_valid else b"")
             for x in asked[i].as_py():
                 a = x["at"]
-                if x["hot"]:
-                    own = [bytes(raw[w : w + LENGTH]) for w in range(a, a + x["more"] + 1)]
-                    key += own
-                    span += own
-                    at += range(a, a + x["more"] + 1)
-                    row += [rows[i]] * len(own)
-                else:
-                    key.append(bytes(raw[a + x["back"] : a + x["back"] + LEAD]))
-                    span.append(bytes(raw[a : a + x["more"] + LENGTH]))
-                    at.append(a)
-                    row.append(rows[i])
+                key.append(None if x["hot"] else bytes(raw[a + x["back"] : a + x["back"] + LEAD]))
+                span.append(bytes(raw[a : a + x["more"] + LENGTH]))
+                at.append(a)
+                row.append(rows[i])
+                back.append(x["back"])
         for lo in range(0, len(key), 4096):
             hi = lo + 4096
-            yield pa.RecordBatch.from_arrays([pa.array(key[lo:hi], pa.binary()), pa.array(span[lo:hi], pa.binary()), pa.array(row[lo:hi], pa.int64()), pa.array(at[lo:hi], pa.int32())], ["key", "span", "row", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[lo:hi], pa.binary()), pa.array(span[lo:hi], pa.binary()), pa.array(row[lo:hi], pa.int64()), pa.array(at[lo:hi], pa.int32()), pa.array(back[lo:hi], pa.int32())], ["key", "span", "row", "at", "back"])
 
 
 def symbols(data: np.ndarray) -> np.ndarray:
@@ -251,11 +267,8 @@ def multikey_quicksort(symbol: np.ndarray, starts: np.ndarray, depth: int) -> tu
     return order, common
 
 
-def repeated_windows(spans: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(span, place) of the windows that occur at more than one place of the spans.
-
-    The suffixes at all window starts are sorted; neighbours whose common prefix fills a window are equal.
-    """
+def sorted_windows(spans: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(span, place) of all windows in the order of their bytes, and which are equal to the one before them: their common prefix fills a window."""
     size = np.array([len(s) for s in spans])
     data = np.frombuffer(b"".join(spans), np.uint8)
     n = size - LENGTH + 1
@@ -264,28 +277,38 @@ def repeated_windows(spans: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     starts = (np.cumsum(size) - size)[which] + window
     depth = LENGTH // 8
     order, common = multikey_quicksort(symbols(data), starts, depth)
-    same = common[1:] == depth
-    twice = np.zeros(len(starts), bool)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
+    same = common == depth
+    same[:1] = False
+    return which[order], window[order], same
+
+
+def repeated_windows(spans: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(span, place) of the windows that occur at more than one place of the spans."""
+    which, window, same = sorted_windows(spans)
+    twice = same | np.append(same[1:], False)
     return which[twice], window[twice]
 
 
+def _runs(row: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches of windows, none of which holds another's start and end, joined where they touch."""
+    order = np.lexsort((start, row))
+    row, start, stop = row[order], start[order], stop[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (start[1:] > stop[:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(row)) - 1 if len(first) else first
+    return row[first], start[first], stop[last]
+
+
 @K.frees
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Covers from spans that arrive in the order of their keys; the last key of a batch is carried to the next."""
 
     def settle(rows: list[tuple]) -> pa.RecordBatch:
         which, window = repeated_windows([r[1] for r in rows])
-        row = np.array([r[2] for r in rows], np.int64)[which]
         at = np.array([r[3] for r in rows], np.int64)[which] + window
-        order = np.lexsort((at, row))
-        row, at = row[order], at[order]
-        new = np.ones(len(row), bool)
-        new[1:] = (row[1:] != row[:-1]) | (at[1:] > at[:-1] + 1)
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(row)) - 1 if len(first) else first
-        return pa.RecordBatch.from_arrays([pa.array(row[first]), pa.array(at[first], pa.int32()), pa.array(at[last] + LENGTH, pa.int32())], ["row", "from", "to"])
+        row, start, stop = _runs(np.array([r[2] for r in rows], np.int64)[which], at, at + LENGTH)
+        return pa.RecordBatch.from_arrays([pa.array(row), pa.array(start, pa.int32()), pa.array(stop, pa.int32())], ["row", "from", "to"])
 
     held: list[tuple] = []
     windows = 0
@@ -300,6 +323,114 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield settle(held)
 
 
+def _hot_batches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Rows with spans of at most 320 bytes, so many at once."""
+    held, n = [], 0
+    for batch in batches:
+        for part in _parts([batch], most):
+            if n and n + part.num_rows > most:
+                yield pa.Table.from_batches(held)
+                held, n = [], 0
+            held.append(part)
+            n += part.num_rows
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def _digest(raw: bytes, *salt: int) -> bytes:
+    return hashlib.blake2b(raw, digest_size=16, salt=bytes(salt)).digest()
+
+
+def _equal(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each 16-byte key the number of its kind, and of each kind its first place."""
+    half = np.frombuffer(b"".join(keys), "<u8").reshape(-1, 2)
+    order = np.lexsort((half[:, 1], half[:, 0]))
+    new = np.append(True, (half[order][1:] != half[order][:-1]).any(axis=1))[: len(order)]
+    kind = np.empty(len(order), np.int64)
+    kind[order] = np.cumsum(new) - 1
+    return kind, order[new]
+
+
+@K.frees
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of hot leads in ranges of windows: what agrees here is settled (``to`` given), but for one; what goes on has its core's digest.
+
+    A window begins so many bytes before the lead's anchor; equal windows do so by as many, thus ranges meet ranges of the same distance.
+    """
+    for held in _hot_batches(batches, HELD_SPANS):
+        row, at, part, start, stop, core, span = [], [], [], [], [], [], []
+        for raw, r, a, back in zip(*(held.column(c).to_pylist() for c in ("span", "row", "at", "back"))):
+            least = back - (len(raw) - LENGTH)
+            for k in range(least // RANGE, back // RANGE + 1):
+                lo, hi = max(k * RANGE, least), min(k * RANGE + RANGE - 1, back)
+                row.append(r)
+                at.append(a)
+                part.append(k)
+                start.append(a + back - hi)
+                stop.append(a + back - lo + LENGTH)
+                core.append(_digest(raw[back - k * RANGE : back - (k * RANGE + RANGE - 1) + LENGTH], k))
+                span.append(_digest(raw[back - hi : back - lo + LENGTH], lo, hi))
+        row, at, part, start, stop = (np.array(x, np.int64) for x in (row, at, part, start, stop))
+        kind, first = _equal(span)
+        alike = np.bincount(kind)[kind] > 1
+        cover = _runs(row[alike], start[alike], stop[alike])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(cover[0]), pa.binary()), pa.array(cover[0]), pa.array(cover[1], pa.int32()), pa.array(cover[2], pa.int32()), pa.nulls(len(cover[0]), pa.int32()), pa.nulls(len(cover[0]), pa.bool_())], RANGES)
+        cores, _ = _equal([core[i] for i in first])
+        meets = np.bincount(cores)[cores] > 1
+        for x in range(0, len(first), 4096):
+            f = first[x : x + 4096]
+            yield pa.RecordBatch.from_arrays([pa.array([core[i] for i in f], pa.binary()), pa.array(row[f]), pa.array(at[f], pa.int32()), pa.nulls(len(f), pa.int32()), pa.array(part[f], pa.int32()), pa.array(meets[x : x + 4096])], RANGES)
+
+
+RANGES = ["core", "row", "at", "to", "part", "meets"]
+
+
+@K.frees
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of ranges whose cores meet: those that the sort finds equal here are settled (``to`` given), and one of each kind goes on by its digest."""
+    for held in _hot_batches(batches, HELD_SPANS // 4):
+        spans, row, at = [], [], []
+        for raw, r, a, back, parts in zip(*(held.column(c).to_pylist() for c in ("span", "row", "at", "back", "parts"))):
+            least = back - (len(raw) - LENGTH)
+            for k in parts:
+                lo, hi = max(k * RANGE, least), min(k * RANGE + RANGE - 1, back)
+                spans.append(raw[back - hi : back - lo + LENGTH])
+                row.append(r)
+                at.append(a + back - hi)
+        which, window, same = sorted_windows(spans)
+        row, at = np.array(row, np.int64)[which], np.array(at, np.int64)[which] + window
+        twice = same | np.append(same[1:], False)
+        cover = _runs(row[twice], at[twice], at[twice] + LENGTH)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(cover[0]), pa.binary()), pa.array(cover[0]), pa.array(cover[1], pa.int32()), pa.array(cover[2], pa.int32())], WINDOWS)
+        first = np.flatnonzero(~same)
+        for x in range(0, len(first), 4096):
+            f = first[x : x + 4096]
+            digests = [_digest(spans[i][j : j + LENGTH]) for i, j in zip(which[f].tolist(), window[f].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(row[f]), pa.array(at[f], pa.int32()), pa.nulls(len(f), pa.int32())], WINDOWS)
+
+
+WINDOWS = ["digest", "row", "at", "to"]
+
+
+def _hot_covers(spans: DataFrame) -> DataFrame:
+    """(row, from, to) of the repeated windows of hot leads. spans: span, row, at, back.
+
+    Counts of cores and of windows are partial sums, and a task sends one row of each kind for those it holds, so no task gathers a lead.
+    """
+    spans = spans.select("span", "row", "at", "back")
+    ranges = materialize(spans.mapInArrow(_ranges, "core binary, row long, at int, to int, part int, meets boolean"), "ranges")
+    known = ranges.where("core is not null")
+    common = known.groupBy("core").count().where("count > 1").select("core")
+    go = known.where("meets").union(known.where("not meets").join(common, "core", "left_semi").select(*RANGES))
+    parts = go.groupBy("row", "at").agg(F.collect_list("part").alias("parts"))
+    windows = materialize(spans.join(parts, ["row", "at"]).select("span", "row", "at", "back", "parts").mapInArrow(_windows, "digest binary, row long, at int, to int"), "windows")
+    left = windows.where("digest is not null")
+    again = left.groupBy("digest").count().where("count > 1").select("digest")
+    met = left.join(again, "digest", "left_semi").select("row", F.col("at").alias("from"), (F.col("at") + LENGTH).alias("to"))
+    settled = [df.where("to is not null").select("row", F.col("at").alias("from"), "to") for df in (ranges, windows)]
+    return settled[0].union(settled[1]).union(met)
+
+
 def covers(rows: DataFrame) -> DataFrame:
     """(row, spans): for each text with removed bytes its covered (from, to) stretches, in no order. rows: row, text."""
     n_buckets = max(64, math.ceil(input_bytes(rows) * 1.2 / BUCKET_BYTES))
@@ -307,11 +438,15 @@ def covers(rows: DataFrame) -> DataFrame:
     found = materialize(entries.groupBy("bucket").applyInArrow(_resolve, "row long, at int, back int, more int, ask boolean, hot boolean"), "suffixes")
     settled = found.where("not ask").select("row", F.col("at").alias("from"), (F.col("at") + F.col("more") + LENGTH).alias("to"))
     asked = found.where("ask").groupBy("row").agg(F.collect_list(F.struct("at", "back", "more", "hot")).alias("asked"))
-    suffixes = rows.select("row", "text").join(asked, "row").select("row", "text", "asked").mapInArrow(_fetch, "key binary, span binary, row long, at int")
+    suffixes = rows.select("row", "text").join(asked, "row").select("row", "text", "asked").mapInArrow(_fetch, "key binary, span binary, row long, at int, back int")
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
-    suffixes = materialize(suffixes, "asked").repartitionByRange(parts, "key").sortWithinPartitions("key")
-    compared = suffixes.mapInArrow(_compare, "row long, `from` int, `to` int")
-    return settled.union(compared).groupBy("row").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
+    suffixes = materialize(suffixes, "asked")
+    ordered = suffixes.where("key is not null").select("key", "span", "row", "at").repartitionByRange(parts, "key").sortWithinPartitions("key")
+    all_ = settled.union(ordered.mapInArrow(_compare, "row long, `from` int, `to` int"))
+    hot = suffixes.where("key is null")
+    if not hot.isEmpty():
+        all_ = all_.union(_hot_covers(hot))
+    return all_.groupBy("row").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
 
 
 def _merged(spans) -> list[tuple[int, int]]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -149,16 +150,39 @@ def digest_rows(texts: list[str]) -> dict:
     return {k: (*w[:3], hashlib.sha256(w[3]).hexdigest()) for k, w in enumerate(brute_repeats(texts))}
 
 
-@pytest.mark.parametrize("hot", [1024, 3])
-def test_leads_of_many_texts(spark, monkeypatch, hot):
-    """A lead that more texts share than are compared together is split into windows, with the same result."""
+@pytest.mark.parametrize("hot, spread, held", [(1024, 64, 1 << 13), (3, 64, 1 << 13), (1024, 2, 1 << 13), (3, 0, 8)])
+def test_leads_of_many_texts(spark, monkeypatch, hot, spread, held):
+    """A lead that more texts share than are compared together is taken in ranges of windows, with the same result."""
     monkeypatch.setattr(suffixes, "HOT", hot)
+    monkeypatch.setattr(suffixes, "SPREAD", spread)
+    monkeypatch.setattr(suffixes, "HELD_SPANS", held)
     monkeypatch.setattr(suffixes, "LONGEST", 1 << 18 if hot > 3 else 450)  # long texts are looked at in stretches
     rows = ends_of_passages()
     got = {r["doc_id"]: tuple(r)[1:] for r in suffixes.repeats(spark.createDataFrame(rows, DOCS).repartition(3)).collect()}
     assert got == digest_rows([r[1] for r in rows])
 
 
+def test_a_head_that_all_texts_share(spark, monkeypatch):
+    """One head before unlike tails: the same result, no bucket holds many of its entries, and less than twice the texts is written."""
+    rng = random.Random(5)
+    head = prose(rng, 200)[:600]
+    texts = [head + prose(rng, 25) for _ in range(1200)] + [prose(rng, 20) + head[200:] for _ in range(300)]
+    sizes, real = {}, suffixes.materialize
+
+    def kept(df, name):
+        out = real(df, name)
+        key = {"asked": "key", "windows": "digest"}.get(name)
+        most = out.where(F.col(key).isNotNull()).groupBy(key).count().agg(F.max("count")).first()[0] if key else None
+        sizes[name] = sum(os.path.getsize(f.removeprefix("file:")) for f in out.inputFiles()), most or 0
+        return out
+
+    monkeypatch.setattr(suffixes, "materialize", kept)
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffixes.repeats(spark.createDataFrame([(k, t, "en", "a", 0) for k, t in enumerate(texts)], DOCS).repartition(3)).collect()}
+    assert got == digest_rows(texts)
+    assert sum(v[0] for k, v in sizes.items() if k in ("suffixes", "asked", "ranges", "windows")) < 2 * sum(map(len, texts))
+    assert max(sizes["asked"][1], sizes["windows"][1]) <= suffixes.HOT
+
+
 def test_the_sort_decides_repeats(spark, monkeypatch):
     """Without the sort, or without the comparison of neighbours, repeated strings go unfound."""
     rows = ends_of_passages()
