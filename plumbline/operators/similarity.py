@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .verbatim import blocks
 
 BITS = 64
+#: Flipped values of one hash, all blocks together.
+PROBES = 1 << 13
 
 
 def mean_bits(values: Column) -> Column:
@@ -26,22 +31,59 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b)).cast("int")
 
 
+def plan_blocks(most: int) -> list[tuple[int, int, int]]:
+    """(first bit, bits, radius) of the blocks on which hashes at most so many bits apart meet.
+
+    If every block differed by more than its radius, the hashes would by more than ``most``: the radii and one
+    for each block make up most + 1. Of the cuts whose balls of flipped bits hold at most ``PROBES`` values together, the widest.
+    """
+    for n in range(1, most + 2):
+        cuts = [BITS * k // n for k in range(n + 1)]
+        each, more = divmod(most + 1 - n, n)
+        widest = sorted(range(n), key=lambda k: cuts[k] - cuts[k + 1])
+        plan = [(cuts[k], cuts[k + 1] - cuts[k], each + (k in widest[:more])) for k in range(n)]
+        if sum(math.comb(w, i) for _, w, r in plan for i in range(r + 1)) <= PROBES:
+            return plan
+    raise ValueError("most must be below the number of bits")
+
+
+def _block(h: Column, a: int, w: int) -> Column:
+    return h if w == BITS else F.shiftrightunsigned(h, BITS - a - w).bitwiseAND(F.lit((1 << w) - 1))
+
+
+def _flips(width: int, radius: int) -> list[int]:
+    signed = lambda b: -(1 << b) if b == BITS - 1 else 1 << b
+    return [sum(map(signed, bits)) for i in range(radius + 1) for bits in itertools.combinations(range(width), i)]
+
+
+def _meetings(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
+    """(x.id, x.h, y.id, y.h, k) of hashes whose block k differs by at most its radius; the left side's values are flipped. Both: id, bits."""
+    plan = plan_blocks(most)
+    spark = left.sparkSession
+    masks = F.broadcast(spark.createDataFrame([(k, m) for k, (_, w, r) in enumerate(plan) for m in _flips(w, r)], "k int, flip long"))  # at most PROBES rows
+    keyed = lambda df: df.select("id", as_long(F.col("bits")).alias("h")).select("id", "h", F.posexplode(F.array(*[_block(F.col("h"), a, w) for a, w, _ in plan])).alias("k", "block"))
+    x = keyed(left).join(masks, "k").select("id", "h", "k", F.col("block").bitwiseXOR(F.col("flip")).alias("block")).alias("x")
+    return x.join(keyed(right).alias("y"), (F.col("x.k") == F.col("y.k")) & (F.col("x.block") == F.col("y.block")))
+
+
+def _met_once(most: int) -> Column:
+    """Of the blocks on which two hashes meet, the first alone counts."""
+    differ = F.col("x.h").bitwiseXOR(F.col("y.h"))
+    near = [F.bit_count(_block(differ, a, w)) <= r for a, w, r in plan_blocks(most)]
+    first = F.lit(len(near))
+    for k in reversed(range(len(near))):
+        first = F.when(near[k], k).otherwise(first)
+    return first == F.col("x.k")
+
+
 def close_pairs(hashes: DataFrame, most: int) -> DataFrame:
     """(a, b, dist) of pairs a < b at most so many bits apart. hashes: id, bits.
 
-    Two hashes that differ in at most d of their bits agree on one of d + 1
-    blocks, so pairs meet on an equal block and the distance confirms; equal
-    hashes meet once, on the first block they share.
+    Pairs meet on a few wide blocks, of which one side's values are flipped within a small radius, and the distance confirms.
+    For 16 of 64 bits that is 7 % of all pairs, where the 17 narrow blocks on which such hashes agree would bring nearly all together.
     """
-    n = most + 1
-    cuts = [BITS * k // n for k in range(n + 1)]
-    keyed = hashes.select("id", as_long(F.col("bits")).alias("h"), F.array(*[F.substring("bits", a + 1, b - a) for a, b in zip(cuts, cuts[1:])]).alias("blocks"))
-    each = keyed.select("id", "h", "blocks", F.posexplode("blocks").alias("k", "block"))
-    x, y = each.alias("x"), each.alias("y")
-    pairs = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.id") < F.col("y.id")))
-    pairs = pairs.withColumn("dist", hamming(F.col("x.h"), F.col("y.h"))).where(F.col("dist") <= most)
-    same = F.array_position(F.transform(F.arrays_zip(F.col("x.blocks").alias("p"), F.col("y.blocks").alias("q")), lambda z: z["p"] == z["q"]), True)
-    return pairs.where(same == F.col("x.k") + 1).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), "dist")
+    met = _meetings(hashes, hashes, most).where(F.col("x.id") < F.col("y.id"))
+    return met.withColumn("dist", hamming(F.col("x.h"), F.col("y.h"))).where((F.col("dist") <= most) & _met_once(most)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), "dist")
 
 
 def nearest(items: DataFrame, baselines: DataFrame, most: int) -> DataFrame:
@@ -81,12 +123,8 @@ def greedy_keep(ids: DataFrame, pairs: DataFrame, write) -> DataFrame:
 # -- an index of crops that lives on: id, bits, identity (null until known)
 def close_between(known: DataFrame, fresh: DataFrame, most: int) -> DataFrame:
     """(a, b, dist) of a known and a fresh hash at most so many bits apart, met as in ``close_pairs``. Both: id, bits."""
-    n = most + 1
-    cuts = [BITS * k // n for k in range(n + 1)]
-    keyed = lambda df: df.select("id", as_long(F.col("bits")).alias("h"), F.posexplode(F.array(*[F.substring("bits", a + 1, b - a) for a, b in zip(cuts, cuts[1:])])).alias("k", "block"))
-    x, y = keyed(known).alias("x"), keyed(fresh).alias("y")
-    met = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.block") == F.col("y.block"))).withColumn("dist", hamming(F.col("x.h"), F.col("y.h")))
-    return met.where(F.col("dist") <= most).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), "dist").distinct()
+    met = _meetings(fresh, known, most).withColumn("dist", hamming(F.col("x.h"), F.col("y.h")))
+    return met.where((F.col("dist") <= most) & _met_once(most)).select(F.col("y.id").alias("a"), F.col("x.id").alias("b"), "dist")
 
 
 def detect(index: DataFrame, batch: DataFrame, baselines: DataFrame, most: int, near: int, write) -> DataFrame:

@@ -258,3 +258,25 @@ def test_streaming(spark, tmp_path):
     check = lambda b: issues.issues(b.where("value > 1"), F.col("id"), F.lit("large"), "large")
     streaming.run_checks_on(stream, check, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     assert [r["path"] for r in spark.read.parquet(f"{tmp_path}/out").collect()] == ["2"]
+
+
+@pytest.mark.parametrize("most", [0, 1, 3, 16, 20])
+def test_close_hashes_below_all_pairs(spark, most):
+    """Equal to brute force, from a part of all pairs; equal hashes and copies of ids apart by nothing are found once."""
+    rng = random.Random(most)
+    hashes = [rng.getrandbits(64) for _ in range(300)]
+    for k in range(150):  # near copies at every distance about the limit
+        h = hashes[k]
+        for b in rng.sample(range(64), rng.randint(0, most + 3)):
+            h ^= 1 << b
+        hashes.append(h)
+    df = spark.createDataFrame([(i, f"{h:064b}") for i, h in enumerate(hashes)], "id long, bits string")
+    want = {(i, j, (a ^ b).bit_count()) for i, a in enumerate(hashes) for j, b in enumerate(hashes) if i < j and (a ^ b).bit_count() <= most}
+    assert sorted(map(tuple, similarity.close_pairs(df, most).collect())) == sorted(want) and len(want) > (10 if most > 1 else 0)
+    two = similarity.close_between(df.where("id < 300"), df.where("id >= 300"), most).collect()
+    assert sorted(map(tuple, two)) == sorted(w for w in want if w[0] < 300 <= w[1])
+    if most == 16:
+        met = similarity._meetings(df, df, most).where("x.id < y.id").count()
+        assert met < len(hashes) * (len(hashes) - 1) / 2 / 10
+    plan = similarity.plan_blocks(most)
+    assert sum(w for _, w, _ in plan) == 64 and sum(r + 1 for _, _, r in plan) == most + 1
