@@ -40,6 +40,18 @@ def test_query(spark, duck, name):
         assert canonical(got.copy()) == canonical(want.copy())
 
 
+PAGES = ["<h1>a &amp b &ampc</h1><p>x &lt y &eacute; &#8217; &amp;lt; &copy z&nbsp;&amp;amp</p>", "<h1>&hellip;&amp;&#39;</h1>", "", None]
+
+
+@pytest.mark.parametrize("name", ["html_clean_text"])
+def test_references_as_the_sql_has_them(spark, tmp_path, name):
+    """References without a semicolon, or beyond the list, stay as they are in both."""
+    spark.createDataFrame(list(enumerate(PAGES)), "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert canonical(QUERIES[name](spark, str(tmp_path)).toPandas()) == canonical(con.sql(ORACLE_SQL[name]).df())
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
