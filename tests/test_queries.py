@@ -43,7 +43,7 @@ def test_query(spark, duck, name):
 PAGES = ["<h1>a &amp b &ampc</h1><p>x &lt y &eacute; &#8217; &amp;lt; &copy z&nbsp;&amp;amp</p>", "<h1>&hellip;&amp;&#39;</h1>", "", None]
 
 
-@pytest.mark.parametrize("name", ["html_clean_text"])
+@pytest.mark.parametrize("name", ["html_clean_text", "html_sections"])
 def test_references_as_the_sql_has_them(spark, tmp_path, name):
     """References without a semicolon, or beyond the list, stay as they are in both."""
     spark.createDataFrame(list(enumerate(PAGES)), "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
