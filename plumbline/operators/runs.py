@@ -20,9 +20,11 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -99,27 +101,36 @@ def _reason(e: BaseException) -> str:
     return f"check crashed: {name or _crash(e).removeprefix('check crashed: ')}"
 
 
-def faulty(check: Check, tables: dict[str, DataFrame], key: str = "path", level: int = 0) -> list[tuple[str, str]]:
+def faulty(check: Check, tables: dict[str, DataFrame], key: str = "path") -> list[tuple[str, str]]:
     """(path, what was raised) of the documents of the first table on which a check raises.
 
-    Documents are split by a hash of their paths, and only parts that raise are split again: a job for each part, so
-    FAN times the depth for each faulty document. A part of one path is that path. Faults are meant to be rare; the number of paths that come to the driver is theirs.
+    Documents are split by a hash of their paths, and only parts that raise are split again, those of a level all at once: one write a level,
+    and a job for each part, of which many run at a time. A part of one path is that path. About FAN times the depth jobs for each faulty
+    document; faults are meant to be rare, and the number of paths that come to the driver is theirs.
     """
     first = next(iter(tables))
-    docs = tables[first]
-    found = []
-    # stored in a folder each: a filter in the plan might come after those of the check
-    folder = f"{shared_folder(docs.sparkSession)}/parts-{uuid.uuid4().hex}"
-    docs.withColumn("_part", F.pmod(F.xxhash64(F.lit(level), key), F.lit(FAN))).write.partitionBy("_part").parquet(folder)
-    held = sorted(int(r[0]) for r in docs.sparkSession.read.parquet(folder).select("_part").distinct().collect())
-    for k in held:
-        part = docs.sparkSession.read.schema(docs.schema).parquet(f"{folder}/_part={k}")
-        reason = _fails(check, tables | {first: part})
-        if reason is None:
-            continue
-        some = [r[0] for r in part.select(key).distinct().head(2)]
-        found += [(some[0], reason)] if len(some) == 1 else faulty(check, tables | {first: part}, key, level + 1)
-    return found
+    spark, schema = tables[first].sparkSession, tables[first].schema
+    left = tables[first].withColumn("_part", F.lit("p"))
+    found: list[tuple[str, str]] = []
+    level = 0
+    with ThreadPoolExecutor(2 * spark.sparkContext.defaultParallelism) as pool:
+        while True:
+            # stored in a folder each: a filter in the plan might come after those of the check
+            folder = f"{shared_folder(spark)}/parts-{uuid.uuid4().hex}"
+            digit = F.pmod(F.xxhash64(F.lit(level), key), F.lit(FAN)).cast("string")
+            left.withColumn("_part", F.concat("_part", F.lit("."), digit)).hint("rebalance", "_part").write.partitionBy("_part").parquet(folder)
+            stored = spark.read.schema(left.schema).parquet(folder)
+            # one row for each part: at most FAN for each faulty document
+            held = stored.groupBy("_part").agg(F.min(key).alias("low"), F.max(key).alias("high")).collect()
+            read = lambda k: tables | {first: spark.read.schema(schema).parquet(f"{folder}/_part={k}")}  # noqa: B023, E731
+            raised = list(pool.map(inheritable_thread_target(spark)(lambda r: _fails(check, read(r["_part"]))), held))  # noqa: B023
+            bad = [(r, reason) for r, reason in zip(held, raised) if reason is not None]
+            found += [(r["low"], reason) for r, reason in bad if r["low"] == r["high"]]
+            again = [(r["_part"],) for r, _ in bad if r["low"] != r["high"]]
+            if not again:
+                return found
+            left = stored.join(F.broadcast(spark.createDataFrame(again, "_part string")), "_part", "left_semi").select(*left.columns)
+            level += 1
 
 
 def surviving(tables: dict[str, DataFrame], checks: list[Check]) -> DataFrame:

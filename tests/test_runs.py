@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.functions.storage import shared_folder
 from plumbline.operators import artifacts, integrity, runs, schema, similarity
 from plumbline.operators.issues import Check, issues
 from plumbline.plans import builds
@@ -113,6 +115,16 @@ def test_checks_that_raise_over_a_table(spark):
     assert all("CAST_INVALID_INPUT" in r["message"] for r in got if r["fatal"])
 
 
+def test_parts_of_a_level_are_stored_at_once(spark):
+    """The writes of a search follow its depth, not the number of faulty documents."""
+    root = Path(shared_folder(spark).removeprefix("file:"))
+    before = len(list(root.glob("parts-*")))
+    docs = spark.createDataFrame([(f"p{k}", "x" if k % 10 == 3 else "1") for k in range(100)], "path string, n string")
+    cast = Check("cast", 0, lambda t: issues(t["docs"].where(F.col("n").cast("int") < 0), F.col("path"), F.lit("less"), "cast"))
+    assert sorted(runs.faulty(cast, {"docs": docs})) == sorted((f"p{k}", "check crashed: CAST_INVALID_INPUT") for k in range(3, 100, 10))
+    assert len(list(root.glob("parts-*"))) - before <= 6
+
+
 def test_a_fault_outside_the_documents_is_told(spark):
     docs = spark.createDataFrame([("a",), ("b",)], "path string")
     broken = Check("broken", 0, lambda t: t["docs"].select("nothing"))
