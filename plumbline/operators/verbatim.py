@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,22 +35,40 @@ def containment(texts: DataFrame, passages: DataFrame, text_key: str = "doc_id",
     word does (its outer words may be parts of longer ones), so texts and
     passages meet on that word and the substring test confirms. Shorter
     passages, the empty one included, are compared with all texts. Passages
-    are few next to texts; the words asked for are joined first, so only
-    text words that some passage needs are ever shuffled.
+    are few next to texts: they are broadcast, a block at a time, so a pass
+    over the texts counts the words asked for and another meets them, and
+    no word of a text is stored or shuffled.
     """
     words = F.split("norm", " ")
     inner = passages.where(F.size(words) >= 3).select(passage_key, "norm", F.explode(F.array_distinct(F.slice(words, F.lit(2), F.size(words) - 2))).alias("word"))
-    found = written(texts.select(text_key, F.explode(F.array_distinct(words)).alias("word")).join(inner.select("word").distinct(), "word", "left_semi"), "words")
-    rarity = found.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    counted = inner.join(rarity, "word", "left").groupBy(passage_key).agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word")).alias("best"))
-    keys = counted.where("best.df > 0").select(passage_key, F.col("best.word").alias("word"))
-    pairs = found.join(keys, "word").select(text_key, passage_key)
-    named = passages.select(passage_key, F.col("norm").alias("passage"))
-    long = pairs.join(named, passage_key).join(texts.select(text_key, "norm"), text_key).where(F.instr(F.col("norm"), F.col("passage")) > 0)
-    out = long.select(text_key, passage_key)
-    for part in blocks(named.where(F.size(F.split("passage", " ")) < 3), passage_key):
-        out = out.union(texts.join(part, F.expr("instr(norm, passage) > 0 or passage = ''")).select(text_key, passage_key))
-    return out
+    each = texts.select(text_key, "norm", F.explode(F.array_distinct(words)).alias("word"))
+    rarity = each.select("word").join(inner.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    counted = inner.join(rarity, "word", "left").groupBy(passage_key, F.col("norm").alias("passage")).agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word")).alias("best"))
+    keys = written(counted.where("best.df > 0").select(passage_key, "passage", F.col("best.word").alias("word")), "keys")
+    short = passages.where(F.size(words) < 3).select(passage_key, F.col("norm").alias("passage"))
+    found = [each.join(part, "word").where(F.instr(F.col("norm"), F.col("passage")) > 0).select(text_key, passage_key) for part in blocks(keys, passage_key)]
+    found += [texts.join(part, F.expr("instr(norm, passage) > 0 or passage = ''")).select(text_key, passage_key) for part in blocks(short, passage_key)]
+    return reduce(DataFrame.union, found) if found else texts.join(short, F.lit(False)).select(text_key, passage_key)
+
+
+#: Length of the starts by which short texts are looked up in long ones.
+START = 16
+
+
+def within(shorts: DataFrame, texts: DataFrame) -> DataFrame:
+    """The distinct norms of ``shorts`` that stand inside some norm of ``texts``, of which there are fewer: they meet on the first START characters of the one, at any place of
+    the other; forms below that length are compared with all texts."""
+    at = F.sequence(F.lit(1), F.length("text") - (START - 1))
+    text = texts.select(F.col("norm").alias("text")).distinct()
+    starts = text.where(F.length("text") >= START).select("text", F.explode(F.array_distinct(F.transform(at, lambda i: F.col("text").substr(i, F.lit(START))))).alias("start"))
+    long = shorts.where(F.length("norm") >= START).withColumn("start", F.substring("norm", 1, START))
+    # lines that begin like nothing in the texts are out before they are shuffled
+    long = long.join(starts.select(F.col("start").alias("s")).distinct(), F.col("start") == F.col("s"), "left_semi").distinct()
+    out = long.join(starts, "start").where(F.instr(F.col("text"), F.col("norm")) > 0).select("norm").distinct()
+    few = shorts.where(F.length("norm") < START).select("norm").distinct()
+    for part in blocks(text, "text"):
+        out = out.union(few.join(part, F.expr("instr(text, norm) > 0 or norm = ''"), "left_semi"))
+    return out.distinct()
 
 
 def inside_words(tokens: DataFrame, words: DataFrame) -> DataFrame:

@@ -2,12 +2,13 @@
 
 import json
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import artifacts, integrity, issues, manifest, nodes, ordering, render, rules, similarity, timeline
-from plumbline.functions.storage import written
+from plumbline.operators import artifacts, integrity, issues, manifest, nodes, ordering, render, rules, similarity, timeline, verbatim
+from plumbline.functions.storage import shared_folder, written
 from plumbline.sources import files
 from plumbline.streaming import checks as streaming
 
@@ -280,3 +281,20 @@ def test_close_hashes_below_all_pairs(spark, most):
         assert met < len(hashes) * (len(hashes) - 1) / 2 / 10
     plan = similarity.plan_blocks(most)
     assert sum(w for _, w, _ in plan) == 64 and sum(r + 1 for _, _, r in plan) == most + 1
+
+
+def test_containment_stores_no_word_of_a_text(spark):
+    """Both directions against brute force, with passages of every length; only the passages' keys are stored."""
+    rng = random.Random(5)
+    words = ["a", "ab", "abc", "bcd", "longerword", "anotherword", "é"]
+    line = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    texts = [(k, line(rng.randrange(40))) for k in range(80)] + [(900, ""), (901, "gerword anotherwo")]
+    cut = lambda t: t[(i := rng.randrange(len(t) + 1)) : i + rng.randrange(60)]
+    passages = [(k, " ".join(cut(texts[rng.randrange(80)][1]).split())) for k in range(60)] + [(k, line(k % 5)) for k in range(60, 80)]
+    t, p = spark.createDataFrame(texts, "doc_id long, norm string"), spark.createDataFrame(passages, "item_id long, norm string")
+    root = Path(shared_folder(spark).removeprefix("file:"))
+    before = len(list(root.glob("words-*")))
+    assert sorted(map(tuple, verbatim.containment(t, p).collect())) == sorted((i, j) for i, x in texts for j, y in passages if y in x)
+    assert len(list(root.glob("words-*"))) == before
+    assert sorted(r[0] for r in verbatim.within(p.select("norm"), t).collect()) == sorted({y for _, y in passages if any(y in x for _, x in texts)})
+    assert verbatim.containment(t, p.limit(0)).count() == 0 == verbatim.within(p.select("norm"), t.limit(0)).count()
