@@ -52,7 +52,7 @@ def test_references_as_the_sql_has_them(spark, tmp_path, name):
     assert canonical(QUERIES[name](spark, str(tmp_path)).toPandas()) == canonical(con.sql(ORACLE_SQL[name]).df())
 
 
-@pytest.mark.parametrize("name", ["significant_tokens", "token_pool_by_lang", "prose_drift"])
+@pytest.mark.parametrize("name", ["significant_tokens", "token_pool_by_lang", "prose_drift", "description_drift_tokens"])
 def test_tokens_are_expressions_alone(spark, name):
     assert "EvalPython" not in QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
 
