@@ -64,21 +64,22 @@ def canonical_locations(quotes: DataFrame) -> DataFrame:
     return rows.withColumn("proposed", F.format_string("lines %d-%d of the extract", "_s.start_line", "_s.end_line")).withColumn("proposed", F.when(F.col("_s.start_line").isNotNull(), F.col("proposed"))).drop("_s")
 
 
-def associated(body: Column, own: Column) -> Column:
-    """The section of a node's links by kind, itself left out."""
-    found = F.filter(X.links(body), lambda l: (l != F.concat(F.lit("/"), own)) & (l != own))
-    parts = []
-    for g in GROUPS:
-        links = F.filter(found, (lambda g: lambda l: l.startswith(f"/{g}/"))(g))
-        parts.append(F.when(F.size(links) > 0, F.concat(F.lit(f"### {g.capitalize()}\n\n- [`"), F.array_join(links, "`]\n- [`"), F.lit("`]"))))
-    return F.concat(F.lit("## Associated Nodes\n\n<!-- generated from the links of the body -->\n\n"), F.array_join(F.array_compact(F.array(*parts)), "\n\n"), F.lit("\n"))
+def _by_kind(links: Column, kind: str) -> Column:
+    """The lines of one kind's links; null where there are none."""
+    lines = F.array_join(F.filter(links, lambda l: l.startswith(f"/{kind}/")), "`]\n- [`")
+    return F.concat(F.lit(f"### {kind.capitalize()}\n\n- [`"), F.nullif(lines, F.lit("")), F.lit("`]"))
 
 
 def with_associated(nodes: DataFrame) -> DataFrame:
-    """Nodes with the section regenerated, at the end where there was none, and whether that changed the body. nodes: path, body."""
-    bare = F.rtrim(F.regexp_replace("body", r"(?ms)^## Associated Nodes\s*\n.*?(?=^## |\z)", ""), F.lit(" \n"))
-    new = F.concat(bare, F.lit("\n\n"), associated(bare, F.regexp_replace("path", r"\.md$", "")))
-    return nodes.withColumn("_new", new).withColumn("changed", F.col("_new") != F.col("body")).withColumn("body", F.col("_new")).drop("_new")
+    """Nodes with the section regenerated, of their links by kind without themselves, at the end where there was none, and whether that changed the body. nodes: path, body."""
+    old = F.regexp_replace("body", r"(?ms)^## Associated Nodes\s*\n.*?(?=^## |\z)", "")
+    rows = nodes.withColumn("_bare", F.rtrim(F.when(F.contains("body", F.lit("## Associated Nodes")), old).otherwise(F.col("body")), F.lit(" \n")))
+    own = F.regexp_replace("path", r"\.md$", "")
+    # columns of their own, as each is named again: inside one expression the links would be found anew for each kind
+    rows = rows.withColumn("_links", F.array_except(X.links(F.col("_bare")), F.array(F.concat(F.lit("/"), own), own)))
+    section = F.concat(F.lit("## Associated Nodes\n\n<!-- generated from the links of the body -->\n\n"), F.array_join(F.array(*[_by_kind(F.col("_links"), g) for g in GROUPS]), "\n\n"), F.lit("\n"))
+    rows = rows.withColumn("_new", F.concat("_bare", F.lit("\n\n"), section))
+    return rows.withColumn("changed", F.col("_new") != F.col("body")).withColumn("body", F.col("_new")).drop("_new", "_links", "_bare")
 
 
 def scaffold(targets: DataFrame, rules: dict[str, list[dict[str, list[str]]]], sources: DataFrame) -> DataFrame:

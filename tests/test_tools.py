@@ -29,3 +29,10 @@ def test_scaffold(spark):
     got = {r["path"]: json.loads(r["json"]) for r in tools.scaffold(targets, rules, sources).collect()}
     assert got["people/a"]["affiliations"] == [] and got["people/a"]["primary_sources"] == [{"path": "s1", "format": "txt"}]
     assert got["e/b"]["witnesses"] == [] and "affiliations" not in got["e/b"] and "never" not in got["e/b"]
+
+
+def test_links_are_found_once(spark):
+    nodes = spark.createDataFrame([("people/a.md", "x [`/people/a`] [`/events/e`] [`/people/b`]")], "path string, body string")
+    got = tools.with_associated(nodes)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert got.first()["body"].endswith("### People\n\n- [`/people/b`]\n\n### Events\n\n- [`/events/e`]\n")
