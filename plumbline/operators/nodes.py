@@ -30,10 +30,11 @@ def get(body: str, key: str) -> Column:
 def sections(nodes: DataFrame) -> DataFrame:
     """(path, node_type, fm, ord, title, text): the second-level sections, of equal titles the first."""
     parts = F.filter(F.split("body", r"(?m)^(?=## )"), lambda p: p.startswith("## "))
-    rows = nodes.select("path", "node_type", "fm", F.posexplode(parts).alias("ord", "raw"))
-    rows = rows.select("path", "node_type", "fm", "ord", F.trim(F.regexp_extract("raw", r"\A## ([^\n]*)", 1)).alias("title"), F.regexp_replace("raw", r"\A## [^\n]*\n?", "").alias("text"))
-    first = W.partitionBy("path", "title").orderBy("ord")
-    return rows.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
+    rows = nodes.select("path", "node_type", "fm", parts.alias("_parts")).withColumn("_titles", F.transform("_parts", lambda p: F.trim(F.regexp_extract(p, r"\A## ([^\n]*)", 1))))
+    rows = rows.select("path", "node_type", "fm", "_titles", F.posexplode("_parts").alias("ord", "raw"))
+    # a path is one row, so an earlier section of the title is told from the row itself
+    rows = rows.withColumn("title", F.element_at("_titles", F.col("ord") + 1)).where(F.array_position("_titles", F.col("title")) == F.col("ord") + 1)
+    return rows.select("path", "node_type", "fm", "ord", "title", F.regexp_replace("raw", r"\A## [^\n]*\n?", "").alias("text"))
 
 
 def _by_type(spec: dict, pick) -> dict[str, list[str]]:

@@ -298,3 +298,15 @@ def test_containment_stores_no_word_of_a_text(spark):
     assert len(list(root.glob("words-*"))) == before
     assert sorted(r[0] for r in verbatim.within(p.select("norm"), t).collect()) == sorted({y for _, y in passages if any(y in x for _, x in texts)})
     assert verbatim.containment(t, p.limit(0)).count() == 0 == verbatim.within(p.select("norm"), t.limit(0)).count()
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sections_are_told_within_a_row(spark):
+    """Of equal titles the first, without a shuffle of the texts."""
+    df = spark.createDataFrame([("p", "t", None, "# A\n## X \none\n## Y\ntwo\n## X\nthree\n## Z"), ("q", "t", None, "none"), ("r", "t", None, None)], "path string, node_type string, fm string, body string")
+    got = nodes.sections(df)
+    assert sorted((r["path"], r["ord"], r["title"], r["text"]) for r in got.collect()) == [("p", 0, "X", "one\n"), ("p", 1, "Y", "two\n"), ("p", 3, "Z", "")]
+    assert "Window" not in plan_of(got)
