@@ -8,6 +8,8 @@ oracle reads the same JSON with DuckDB's functions and states the rules anew.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,10 +31,20 @@ def query(sql: str | None = None):
     return add
 
 
+#: Rows of a table from which a task makes documents; a row may become hundreds.
+DEAL = 5_000
+
+
+def dealt(table: DataFrame) -> DataFrame:
+    """A table's rows by a hash of its first column, in parts of about DEAL rows: small files are one task each as they lie, and what groups by that column needs no further shuffle."""
+    parts = max(table.sparkSession.sparkContext.defaultParallelism, math.ceil(table.count() / DEAL))
+    return table.repartition(parts, table.columns[0])
+
+
 def _sql(spark: SparkSession, sf: str, text: str, *tables: str) -> DataFrame:
     """SQL that both engines read alike, over tables of the folder."""
     for t in tables:
-        spark.read.parquet(f"{sf}/{t}.parquet").createOrReplaceTempView(f"chain_{t}")
+        dealt(spark.read.parquet(f"{sf}/{t}.parquet")).createOrReplaceTempView(f"chain_{t}")
         text = text.replace(f"FROM {t}", f"FROM chain_{t}").replace(f"JOIN {t}", f"JOIN chain_{t}")
     return spark.sql(text)
 
@@ -83,7 +95,7 @@ _DUCK_JOIN = "string_agg({0}, '' ORDER BY {1})"
 
 def _artifact_entries(spark: SparkSession, sf: str) -> DataFrame:
     """(path, section, idx, entry) read back out of whole artifacts."""
-    parts = _sql(spark, sf, _entries_sql(_SPARK_JOIN), "customer")
+    parts = _sql(spark, sf, _entries_sql(_SPARK_JOIN), "customer").repartition("path")  # serves both groupings
     lists = parts.groupBy("path", "section").agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "j"))), lambda x: x["j"]), ", "), F.lit("]")).alias("l"))
     whole = lists.groupBy("path").agg(F.concat(F.lit("{"), F.array_join(F.collect_list(F.concat(F.lit('"'), "section", F.lit('": '), "l")), ", "), F.lit("}")).alias("j"))
     arts = written(whole, "artifacts").select("path", F.parse_json("j").alias("data"), F.lit("person").alias("target_type"))

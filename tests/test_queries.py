@@ -57,6 +57,11 @@ def test_tokens_are_expressions_alone(spark, name):
     assert "EvalPython" not in QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_small_tables_are_dealt_out(spark):
+    """A file that is one task as it lies is worked on by all cores."""
+    assert QUERIES["yaml_line_traps"](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
