@@ -158,7 +158,7 @@ ENTRY_RULES = entry_rules()
 def entry_issues(entries: DataFrame, known_paths: DataFrame, rules: list[EntryRule] = ENTRY_RULES) -> DataFrame:
     """Issues of list entries. entries: path, section, idx, entry (VARIANT); known_paths: source_path.
 
-    Every rule of a section is one expression over its entries, so all sections
+    The rules of a section are one expression, taken for its entries alone, so all sections
     take one pass; only source paths are joined. Entries that are no mapping are left to others.
     """
     e = F.col("entry")
@@ -166,30 +166,31 @@ def entry_issues(entries: DataFrame, known_paths: DataFrame, rules: list[EntryRu
     rows = entries.where(F.schema_of_variant("entry").startswith("OBJECT"))
     source = F.try_variant_get(e, "$.source", "variant")
     mapping = F.coalesce(F.schema_of_variant(source).startswith("OBJECT"), F.lit(False))
-    problems: list[Column] = [F.when(absent(e, "added_date"), F.lit("missing added_date"))]
-    warnings: list[Column] = []
+    undated = F.when(absent(e, "added_date"), F.lit("missing added_date"))
+    told = lambda level, found: [F.when(x.isNotNull(), F.struct(F.lit(level).alias("level"), x.alias("problem"))) for x in found]
+    kept: dict[str, tuple[list[Column], list[Column]]] = {}
     for r in rules:
-        own = F.col("section") == r.section
+        problems, warnings = kept.setdefault(r.section, ([undated], []))
         vocabulary = lambda k, v: F.concat(F.lit(f"{k} not in vocabulary: "), of(k))
-        problems += [F.when(own & absent(e, k), F.lit(f"missing {k}")) for k in r.required]
-        problems += [F.when(own & is_blank(of(k)), F.lit(f"blank {k}")) for k in r.non_blank]
-        problems += [F.when(own & (of(k) != "") & ~of(k).isin(*v), vocabulary(k, v)) for k, v in r.enums.items()]
-        problems += [F.when(own & ~of(k).isin(*v), vocabulary(k, v)) for k, v in r.strict_enums.items()]
-        warnings += [F.when(own & ~of(k).isin(*v), vocabulary(k, v)) for k, v in r.warned_enums.items()]
-        problems += [F.when(own & (F.trim(of(k)) != "") & ~F.trim(of(k)).startswith(prefix), F.lit(f"{k} must start with {prefix}")) for k, prefix in r.paths.items()]
+        problems += [F.when(absent(e, k), F.lit(f"missing {k}")) for k in r.required]
+        problems += [F.when(is_blank(of(k)), F.lit(f"blank {k}")) for k in r.non_blank]
+        problems += [F.when((of(k) != "") & ~of(k).isin(*v), vocabulary(k, v)) for k, v in r.enums.items()]
+        problems += [F.when(~of(k).isin(*v), vocabulary(k, v)) for k, v in r.strict_enums.items()]
+        warnings += [F.when(~of(k).isin(*v), vocabulary(k, v)) for k, v in r.warned_enums.items()]
+        problems += [F.when((F.trim(of(k)) != "") & ~F.trim(of(k)).startswith(prefix), F.lit(f"{k} must start with {prefix}")) for k, prefix in r.paths.items()]
         for k in r.lists:
             items = F.try_variant_get(e, f"$.{k}", "array<variant>")
             wrong = F.exists(items, lambda x: ~F.coalesce((F.schema_of_variant(x) == "STRING") & F.try_variant_get(x, "$", "string").startswith("/"), F.lit(False)))
-            problems.append(F.when(own & ((items.isNull() & ~falsy(e, k)) | F.coalesce(wrong, F.lit(False))), F.lit(f"{k} must be a list of paths that start with /")))
+            problems.append(F.when(((items.isNull() & ~falsy(e, k)) | F.coalesce(wrong, F.lit(False))), F.lit(f"{k} must be a list of paths that start with /")))
         if r.sourced:
-            problems.append(F.when(own & ~mapping, F.lit("source must have path and location")))
-            problems.append(F.when(own & mapping & (falsy(e, "source.path") | absent(e, "source.location")), F.lit("source must include path and location")))
+            problems.append(F.when(~mapping, F.lit("source must have path and location")))
+            problems.append(F.when(mapping & (falsy(e, "source.path") | absent(e, "source.location")), F.lit("source must include path and location")))
+    each = F.when(~F.col("section").isin(*kept), F.array_compact(F.array(*told("error", [undated]))))
+    for name, (problems, warnings) in kept.items():
+        each = each.when(F.col("section") == name, F.array_compact(F.array(*told("error", problems), *told("warn", warnings))))
     place = F.concat(F.col("section"), F.lit("["), F.col("idx").cast("string"), F.lit("]: "))
-    found = rows.withColumn("problem", F.explode(F.array_compact(F.array(*problems))))
-    out = issues(found, F.col("path"), F.concat(place, F.col("problem")), "entries")
-    if warnings:
-        warned = rows.withColumn("problem", F.explode(F.array_compact(F.array(*warnings))))
-        out = out.unionByName(issues(warned, F.col("path"), F.concat(place, F.col("problem")), "entries", "warn"))
+    found = rows.select("path", "section", "idx", F.explode(each).alias("f"))
+    out = issues(found, F.col("path"), F.concat(place, F.col("f.problem")), "entries", F.col("f.level"))
     named = F.when(F.col("section").isin(*[r.section for r in rules if r.sourced]) & mapping, of("source.path")).when(F.col("section").isin(*[r.section for r in rules if r.source_path]), of("source_path"))
     unknown = rows.select("path", "section", "idx", named.alias("source_path")).where("source_path <> ''").join(known_paths, "source_path", "left_anti")
     return out.unionByName(issues(unknown, F.col("path"), F.concat(place, F.lit("source not in manifest: "), F.col("source_path")), "entries"))

@@ -5,7 +5,9 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from plumbline.operators import rules
 from plumbline.plans import bodies, catalogue, chain, texts
 
 SF = "/root/testdata/sf0.001"
@@ -62,6 +64,13 @@ def test_small_tables_are_dealt_out(spark):
     assert QUERIES["yaml_line_traps"](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
 
 
+def test_entries_are_asked_for_their_issues_once(spark):
+    rows = spark.createDataFrame([("a", "rumors", 0, "{}")], "path string, section string, idx int, j string").select("path", "section", "idx", F.parse_json("j").alias("entry"))
+    found = rules.entry_issues(rows, spark.createDataFrame([("s1",)], "source_path string"), [rules.EntryRule("rumors", ("claim",)), rules.EntryRule("rumors", warned_enums={"status": ("x",)})])
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
+    assert sorted(r["message"] for r in found.collect()) == ["rumors[0]: missing added_date", "rumors[0]: missing claim", "rumors[0]: source must have path and location", "rumors[0]: source must have path and location"]
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
