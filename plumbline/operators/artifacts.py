@@ -10,10 +10,11 @@ import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .integrity import later_occurrences, walk_places, walk_strings
+from .integrity import walk_places, walk_strings
 from . import rules
 from .issues import Check, issues
 from .rules import absent, blank, falsy
@@ -104,11 +105,12 @@ def artifact_top_level(artifacts: DataFrame, nodes: DataFrame, statuses: tuple[s
 
 
 def lifecycle(rows: DataFrame) -> DataFrame:
-    """Ids that are missing or met before, and dates of entry that are missing. rows: path, section, idx, entry."""
-    base = _messages(rows, [F.when(of("id").isNull(), F.lit("missing id")), F.when(absent(F.col("entry"), "added_date"), F.lit("missing added_date"))], "lifecycle")
-    named = rows.select("path", "section", "idx", of("id").alias("id")).where("id is not null")
-    again = later_occurrences(named, ["path", "section", "id"], [F.col("idx")])
-    return base.unionByName(issues(again, F.col("path"), F.concat(place(), F.lit("duplicate id: "), F.col("id")), "lifecycle"))
+    """Ids that are missing or met before, and dates of entry that are missing, in one pass. rows: path, section, idx, entry."""
+    before = W.partitionBy("path", "section", "id").orderBy("idx")
+    asked = rows.select("path", "section", "idx", of("id").alias("id"), absent(F.col("entry"), "added_date").alias("undated"))
+    again = F.col("id").isNotNull() & (F.row_number().over(before) > 1)
+    told = asked.withColumn("again", again)
+    return _messages(told, [F.when(F.col("id").isNull(), F.lit("missing id")), F.when(F.col("undated"), F.lit("missing added_date")), F.when(F.col("again"), F.concat(F.lit("duplicate id: "), F.col("id")))], "lifecycle")
 
 
 def primary_sources(artifacts: DataFrame, manifest_paths: DataFrame) -> DataFrame:

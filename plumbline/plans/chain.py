@@ -89,16 +89,27 @@ FROM (SELECT c_custkey, section, field, idx, {frag} AS frag FROM customer CROSS
 GROUP BY c_custkey, section, idx"""
 
 
-_SPARK_JOIN = "array_join(transform(array_sort(collect_list(struct({1} AS o, {0} AS l))), x -> x.l), '')"
 _DUCK_JOIN = "string_agg({0}, '' ORDER BY {1})"
 
 
+def _whole_sql() -> str:
+    """(path, j): the whole artifacts of the entries that ``_entries_sql`` gives, each made within its customer's row."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    by_section: dict[str, list[str]] = {}
+    for section, field, good, bad, salt in sorted(_entry_fields()):
+        key = f'"{field}": '
+        odd = ["", f"{key}null, ", f'{key}"", ', f'{key}"  ", ', f"{key}{bad}, "]
+        by_section.setdefault(section, []).append(f"named_struct('odd', array({', '.join(map(quoted, odd))}), 'good', {quoted(f'{key}{good}, ')}, 'salt', {salt * 7 + len(section)})")
+    sections = ", ".join(f"named_struct('section', {quoted(s)}, 'fields', array({', '.join(fs)}))" for s, fs in by_section.items())
+    held = "array_join(transform(s.fields, f -> coalesce(get(f.odd, CAST((c_custkey * 5 + f.salt + i * 3) % 9 AS INT)), f.good)), '')"
+    entry = f"""concat('{{', {held}, '"id": "e', CAST(i * (c_custkey % 3) AS STRING), '"}}')"""
+    lists = f"""transform(array({sections}), s -> concat('"', s.section, '": [', array_join(transform(array(0, 1), i -> {entry}), ', '), ']'))"""
+    return f"SELECT 'r/' || CAST(c_custkey AS STRING) AS path, concat('{{', array_join({lists}, ', '), '}}') AS j FROM customer"
+
+
 def _artifact_entries(spark: SparkSession, sf: str) -> DataFrame:
     """(path, section, idx, entry) read back out of whole artifacts."""
-    parts = _sql(spark, sf, _entries_sql(_SPARK_JOIN), "customer").repartition("path")  # serves both groupings
-    lists = parts.groupBy("path", "section").agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "j"))), lambda x: x["j"]), ", "), F.lit("]")).alias("l"))
-    whole = lists.groupBy("path").agg(F.concat(F.lit("{"), F.array_join(F.collect_list(F.concat(F.lit('"'), "section", F.lit('": '), "l")), ", "), F.lit("}")).alias("j"))
-    arts = written(whole, "artifacts").select("path", F.parse_json("j").alias("data"), F.lit("person").alias("target_type"))
+    arts = written(_sql(spark, sf, _whole_sql(), "customer"), "artifacts").select("path", F.parse_json("j").alias("data"), F.lit("person").alias("target_type"))
     return artifacts.all_entries(arts, [r.section for r in rules.ENTRY_RULES])
 
 

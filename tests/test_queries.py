@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import rules
+from plumbline.operators import artifacts, rules
 from plumbline.plans import bodies, catalogue, chain, texts
 
 SF = "/root/testdata/sf0.001"
@@ -71,6 +71,16 @@ def test_entries_are_asked_for_their_issues_once(spark):
     assert sorted(r["message"] for r in found.collect()) == ["rumors[0]: missing added_date", "rumors[0]: missing claim", "rumors[0]: source must have path and location", "rumors[0]: source must have path and location"]
 
 
+def test_entries_are_made_within_their_row_and_their_ids_asked_for_once(spark):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    made = plan(chain._sql(spark, SF, chain._whole_sql(), "customer"))
+    assert "Aggregate" not in made and "Join" not in made
+    rows = spark.createDataFrame([("a", "s", 0, '{"id": "x"}'), ("a", "s", 1, '{"id": "x", "added_date": 1}'), ("a", "s", 2, "{}"), ("a", "s", 3, "{}"), ("a", "t", 0, '{"id": "x"}')], "path string, section string, idx int, j string")
+    found = artifacts.lifecycle(rows.select("path", "section", "idx", F.parse_json("j").alias("entry")))
+    assert "Join" not in plan(found) and "Union" not in plan(found)
+    assert sorted(r["message"] for r in found.collect()) == ["s[0]: missing added_date", "s[1]: duplicate id: x", "s[2]: missing added_date", "s[2]: missing id", "s[3]: missing added_date", "s[3]: missing id", "t[0]: missing added_date"]
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
