@@ -21,11 +21,16 @@ def flatten(nested: DataFrame, url: str) -> DataFrame:
 
 
 def fold(flat: DataFrame, url: str, position: str, first: list[str], artifact: list[str]) -> DataFrame:
-    """Flat rows to nested ones: of the url's own fields the first value wins, and differing ones are counted as conflicts."""
-    at = F.col(position)
-    picks = [F.min_by(f, at).alias(f) for f in first]
-    conflict = sum((F.countDistinct(f) - 1 for f in first), F.lit(0)).cast("long")
-    return flat.groupBy(url).agg(*picks, F.array_sort(F.collect_list(F.struct(*artifact))).alias("artifacts"), conflict.alias("n_conflicts"))
+    """Flat rows to nested ones: of the url's own fields the first value wins, and differing ones are counted as conflicts.
+
+    A row is shuffled once, with its fields alone; first values and conflicts are told from a url's rows, in order.
+    """
+    rows = flat.select(url, F.struct(F.col(position).alias("_at"), F.struct(*first).alias("first"), F.struct(*artifact).alias("artifact")).alias("_row")).repartition(url)
+    held = rows.groupBy(url).agg(F.sort_array(F.collect_list("_row")).alias("_rows"))
+    picks = [F.element_at("_rows", 1)["first"][f].alias(f) for f in first]
+    several = lambda f: F.size(F.array_distinct(F.array_compact(F.transform("_rows", lambda x: x["first"][f])))) - 1
+    conflict = sum((several(f) for f in first), F.lit(0)).cast("long")
+    return held.select(url, *picks, F.sort_array(F.transform("_rows", lambda x: x["artifact"])).alias("artifacts"), conflict.alias("n_conflicts"))
 
 
 def upsert(manifest: DataFrame, new: DataFrame) -> DataFrame:

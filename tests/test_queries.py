@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import artifacts, rules
+from plumbline.operators import artifacts, manifest, rules
 from plumbline.plans import bodies, catalogue, chain, texts
 
 SF = "/root/testdata/sf0.001"
@@ -81,6 +81,14 @@ def test_entries_are_made_within_their_row_and_their_ids_asked_for_once(spark):
     assert sorted(r["message"] for r in found.collect()) == ["s[0]: missing added_date", "s[1]: duplicate id: x", "s[2]: missing added_date", "s[2]: missing id", "s[3]: missing added_date", "s[3]: missing id", "t[0]: missing added_date"]
 
 
+def test_fold_shuffles_a_row_once(spark):
+    rows = spark.createDataFrame([("u", 2, "x", None), ("u", 1, "y", None), ("u", 3, "y", "b"), ("v", 1, None, None)], "url string, k int, a string, b string")
+    got = manifest.fold(rows, "url", "k", ["a", "b"], ["k"])
+    assert "Expand" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted((r["url"], r["a"], r["b"], [x["k"] for x in r["artifacts"]], r["n_conflicts"]) for r in got.collect()) == [("u", "y", None, [1, 2, 3], 1), ("v", None, None, [1], -2)]
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
