@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from .integrity import walk_places, walk_strings
 from . import rules
-from .issues import Check, issues
+from .issues import Check, each_told, issues
 from .rules import absent, blank, falsy
 from .verbatim import description_tokens
 
@@ -57,8 +57,8 @@ def place() -> Column:
 
 
 def _messages(rows: DataFrame, found: list[Column], check: str, level: str = "error", prefix: Column | None = None) -> DataFrame:
-    rows = rows.withColumn("_m", F.explode(F.array_compact(F.array(*found, F.lit(None).cast("string")))))
-    return issues(rows, F.col("path"), F.concat(place() if prefix is None else prefix, F.col("_m")), check, level)
+    rows = rows.withColumn("_m", each_told(found))
+    return issues(rows.where("_m is not null"), F.col("path"), F.concat(place() if prefix is None else prefix, F.col("_m")), check, level)
 
 
 #: Words before a colon that name a scheme, not a key.
@@ -162,7 +162,7 @@ def verbatim_quotes(artifacts: DataFrame, sources: DataFrame) -> DataFrame:
     asked = entries(artifacts, "quotes").select("path", "section", "idx", of("source.path").alias("source_path"), of("text").alias("quote")).where("source_path is not null and quote is not null")
     norm = sources.join(asked.select("source_path").distinct(), "source_path", "left_semi").select("source_path", F.lit(True).alias("there"), X.normalize_for_compare(F.col("text")).alias("norm"))
     rows = asked.join(norm, "source_path", "left").withColumn("q", X.normalize_for_compare(F.col("quote")))
-    lost = rows.where("norm is not null and q <> '' and instr(norm, q) = 0")
+    lost = rows.where("instr(norm, q) = 0")  # an empty quote is found in every text
     gone, mute = rows.where("there is null"), rows.where("there and norm is null")
     out = issues(lost, F.col("path"), F.concat(place(), F.lit("not verbatim in "), F.col("source_path")), "verbatim_quotes")
     out = out.unionByName(issues(gone, F.col("path"), F.concat(place(), F.lit("source file missing: "), F.col("source_path")), "verbatim_quotes"))
@@ -176,12 +176,12 @@ def reference_checks(artifacts: DataFrame, sections: list[str]) -> DataFrame:
     quoted = entries(artifacts, "quotes").select("path", of("id").alias("ref")).where("ref is not null").distinct()
     many = lambda key: F.try_variant_get(F.col("entry"), f"$.{key}", "array<string>")
     refs = F.concat(F.coalesce(many("corroborated_by"), F.array().cast("array<string>")), F.array_compact(F.array(of("superseded_by"), of("contradicted_by"))))
-    lost = rows.select("path", "section", "idx", F.explode(refs).alias("ref")).join(ids, ["path", "ref"], "left_anti")
+    lost = rows.select("path", "section", "idx", F.explode_outer(refs).alias("ref")).where("ref is not null").join(ids, ["path", "ref"], "left_anti")
     out = issues(lost, F.col("path"), F.concat(place(), F.lit("reference to no entry: "), F.col("ref")), "cross_refs", "warn")
     named = F.try_variant_get(F.col("entry"), "$.references", "array<struct<quote_id:string>>")
     held = F.try_variant_get(F.col("entry"), "$.positions", "array<struct<evidence_id:string>>")
     for section, check, keys in (("entities_referenced", "entities_referenced", F.transform(named, lambda x: x["quote_id"])), ("contradictions", "contradictions", F.transform(held, lambda x: x["evidence_id"]))):
-        each = entries(artifacts, section).select("path", "section", "idx", F.explode(F.array_compact(keys)).alias("ref")).join(quoted, ["path", "ref"], "left_anti")
+        each = entries(artifacts, section).select("path", "section", "idx", F.explode_outer(keys).alias("ref")).where("ref is not null").join(quoted, ["path", "ref"], "left_anti")
         out = out.unionByName(issues(each, F.col("path"), F.concat(place(), F.lit("reference to no quote: "), F.col("ref")), check))
     few = entries(artifacts, "contradictions").where(F.coalesce(F.size(held), F.lit(0)) < 2)
     return out.unionByName(issues(few, F.col("path"), F.concat(place(), F.lit("needs two positions")), "contradictions"))
@@ -244,10 +244,10 @@ def speaker_baselines(artifacts: DataFrame, baselines: DataFrame) -> DataFrame:
 
 # -- artifact, node and source together. pairs: path, data, target_type, node_body, source_text
 def coverage(pairs: DataFrame) -> DataFrame:
-    """Quotes that the node's body lacks; each body is normalized once."""
-    bodies = pairs.select("path", X.normalize_for_compare(F.col("node_body")).alias("norm"))
-    rows = entries(pairs, "quotes").select("path", "section", "idx", of("text").alias("quote")).where("quote is not null").join(bodies, "path")
-    lost = rows.withColumn("q", X.normalize_for_compare(F.col("quote"))).where("instr(norm, q) = 0 and q <> ''")
+    """Quotes that the node's body lacks; each body is normalized once, in its pair's row."""
+    bodies = pairs.select("path", "data", X.normalize_for_compare(F.col("node_body")).alias("norm"))
+    rows = entries(bodies, "quotes", ("path", "norm")).select("path", "section", "idx", "norm", of("text").alias("quote")).where("quote is not null")
+    lost = rows.withColumn("q", X.normalize_for_compare(F.col("quote"))).where("instr(norm, q) = 0")  # an empty quote is found in every text
     return issues(lost, F.col("path"), F.concat(place(), F.lit("not in the node: "), X.truncate(F.col("quote"), 80)), "coverage")
 
 
@@ -261,9 +261,10 @@ def boundary(pairs: DataFrame, rendered: DataFrame, generated: str = "Associated
 def stub_linking(pairs: DataFrame) -> DataFrame:
     """Entities that the node does not link to, itself left out."""
     own = F.concat(F.lit("/"), of("target_node", "data"))
-    wanted = entries(pairs.withColumn("own", own), "entities_referenced", ("path", "own")).select("path", "own", of("wrap_path").alias("link")).where("link <> '' and link <> own").select("path", "link").distinct()
-    have = pairs.select("path", F.explode(X.links(F.col("node_body"))).alias("link"))
-    return issues(wanted.join(have, ["path", "link"], "left_anti"), F.col("path"), F.concat(F.lit("not linked: "), F.col("link")), "stub_linking")
+    named = F.transform(F.try_variant_get("data", "$.entities_referenced", "array<variant>"), lambda e: F.try_variant_get(e, "$.wrap_path", "string"))
+    wanted = F.filter(F.array_except(named, X.links(F.col("node_body"))), lambda x: (x != "") & (x != F.col("own")))
+    lost = pairs.withColumn("own", own).select("path", F.explode_outer(wanted).alias("link")).where("link is not null")
+    return issues(lost, F.col("path"), F.concat(F.lit("not linked: "), F.col("link")), "stub_linking")
 
 
 def description_drift(pairs: DataFrame) -> DataFrame:
@@ -271,10 +272,11 @@ def description_drift(pairs: DataFrame) -> DataFrame:
     names = F.transform(F.try_variant_get(F.col("data"), "$.entities_referenced", "array<struct<name:string>>"), lambda x: x["name"])
     quirks = F.transform(F.try_variant_get(F.col("data"), "$.naming_quirks", "array<struct<canonical:string>>"), lambda x: x["canonical"])
     ground = F.concat_ws("\n", F.col("source_text"), of("context_extrinsic", "data"), of("document_intrinsic", "data"), F.array_join(quirks, "\n"), F.array_join(names, "\n"))
-    rows = pairs.where("coalesce(source_text, '') <> ''").select("path", X.section(F.col("node_body"), "Description").alias("text"), F.lower(X.normalize_for_compare(ground)).alias("norm"))
+    rows = pairs.where("coalesce(source_text, '') <> ''").select("path", "node_body", ground.alias("ground"))  # taken once; normalizing names it again and again
+    rows = rows.select("path", X.section(F.col("node_body"), "Description").alias("text"), F.lower(X.normalize_for_compare(F.col("ground"))).alias("norm"))
     tokens = F.filter(description_tokens(F.col("text")), lambda t: (F.length(t) >= 2) & ~t.isin(*PLAIN_CAPITALS))
-    rows = rows.where("text is not null").withColumn("token", F.explode(tokens)).withColumn("q", F.lower(X.normalize_for_compare(F.col("token"))))
-    return issues(rows.where("q <> '' and instr(norm, q) = 0"), F.col("path"), F.concat(F.lit("not in source: "), F.col("token")), "description_drift")
+    rows = rows.where("text is not null").withColumn("token", F.explode_outer(tokens)).where("token is not null").withColumn("q", F.lower(X.normalize_for_compare(F.col("token"))))
+    return issues(rows.where("instr(norm, q) = 0"), F.col("path"), F.concat(F.lit("not in source: "), F.col("token")), "description_drift")
 
 
 def prose_drift(artifacts: DataFrame, sources: DataFrame, top: dict[str, list[str]], listed: dict[str, list[tuple[str, str]]]) -> DataFrame:

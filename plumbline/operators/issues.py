@@ -24,6 +24,14 @@ def issues(rows: DataFrame, path: Column, message: Column, check: str, level: st
     )
 
 
+def each_told(found: list[Column]) -> Column:
+    """A row for each message; rows of null are to be left out by the caller.
+
+    What explode takes is asked for its size before, and so evaluated two more times, unless it is an array literal or explode_outer takes it.
+    """
+    return F.explode(F.array(*found, F.lit(None).cast("string")))
+
+
 @dataclass(frozen=True)
 class Check:
     """An entry of the ordered registry; fn maps the named tables to an issue table."""

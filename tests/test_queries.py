@@ -89,6 +89,15 @@ def test_fold_shuffles_a_row_once(spark):
     assert sorted((r["url"], r["a"], r["b"], [x["k"] for x in r["artifacts"]], r["n_conflicts"]) for r in got.collect()) == [("u", "y", None, [1, 2, 3], 1), ("v", None, None, [1], -2)]
 
 
+def test_pairs_are_compared_within_their_row(spark):
+    j = '{"target_node": "n", "quotes": [{"text": "b c"}, {"text": "x &amp; y"}, {"text": ""}, {"id": 1}], "entities_referenced": [{"wrap_path": "/a"}, {"wrap_path": "/a"}, {"wrap_path": "/n"}, {"wrap_path": "/l"}, {"wrap_path": ""}, "s"]}'
+    pairs = spark.createDataFrame([("p", j, "person", "a b c [`/l`]", "s"), ("q", '{"quotes": 1, "entities_referenced": {}}', "person", "", "s")], "path string, j string, target_type string, node_body string, source_text string").withColumn("data", F.parse_json("j"))
+    for fn, want in ((artifacts.coverage, ["quotes[1]: not in the node: x &amp; y"]), (artifacts.stub_linking, ["not linked: /a"])):
+        found = fn(pairs)
+        assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+        assert [r["message"] for r in found.collect()] == want
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
