@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .issues import Check, issues
+from .issues import Check, each_told, issues
 from .integrity import registry
 from .rules import absent, falsy
 
@@ -31,7 +31,7 @@ def sections(nodes: DataFrame) -> DataFrame:
     """(path, node_type, fm, ord, title, text): the second-level sections, of equal titles the first."""
     parts = F.filter(F.split("body", r"(?m)^(?=## )"), lambda p: p.startswith("## "))
     rows = nodes.select("path", "node_type", "fm", parts.alias("_parts")).withColumn("_titles", F.transform("_parts", lambda p: F.trim(F.regexp_extract(p, r"\A## ([^\n]*)", 1))))
-    rows = rows.select("path", "node_type", "fm", "_titles", F.posexplode("_parts").alias("ord", "raw"))
+    rows = rows.select("path", "node_type", "fm", "_titles", F.posexplode_outer("_parts").alias("ord", "raw")).where("raw is not null")
     # a path is one row, so an earlier section of the title is told from the row itself
     rows = rows.withColumn("title", F.element_at("_titles", F.col("ord") + 1)).where(F.array_position("_titles", F.col("title")) == F.col("ord") + 1)
     return rows.select("path", "node_type", "fm", "ord", "title", F.regexp_replace("raw", r"\A## [^\n]*\n?", "").alias("text"))
@@ -109,7 +109,7 @@ def conditionally_required(nodes: DataFrame, spec: dict) -> DataFrame:
                     found.append(F.when(due & ~falsy(F.col("fm"), key) & ~get("fm", key).isin(*values), F.concat(F.lit(f"invalid {key}: "), get("fm", key))))
             else:
                 found.append(F.when(due & ~F.array_contains(titles, key), f"missing section {key} (required when {text})"))
-    rows = nodes.withColumn("_m", F.explode(F.array_compact(F.array(*found, F.lit(None).cast("string")))))
+    rows = nodes.withColumn("_m", each_told(found)).where("_m is not null")
     return issues(rows, F.col("path"), F.col("_m"), "conditionally_required")
 
 
@@ -148,7 +148,7 @@ def section_rules(nodes: DataFrame, spec: dict) -> DataFrame:
             found += [F.when(own & ~F.array_contains(parts, sub), F.lit(f"missing ### {sub}")) for sub in r.get("split", ()) if sub != "Flagged"]
             if r.get("requires_quote_attribution"):
                 found.append(F.when(own & (blocks > shown), F.lit("block quotes without attribution")))
-    rows = sections(nodes).withColumn("_m", F.explode(F.array_compact(F.array(*found, F.lit(None).cast("string")))))
+    rows = sections(nodes).withColumn("_m", each_told(found)).where("_m is not null")
     return issues(rows, F.col("path"), F.concat(F.col("title"), F.lit(": "), F.col("_m")), "section_rules")
 
 

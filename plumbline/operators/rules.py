@@ -189,7 +189,7 @@ def entry_issues(entries: DataFrame, known_paths: DataFrame, rules: list[EntryRu
     for name, (problems, warnings) in kept.items():
         each = each.when(F.col("section") == name, F.array_compact(F.array(*told("error", problems), *told("warn", warnings))))
     place = F.concat(F.col("section"), F.lit("["), F.col("idx").cast("string"), F.lit("]: "))
-    found = rows.select("path", "section", "idx", F.explode(each).alias("f"))
+    found = rows.select("path", "section", "idx", F.explode_outer(each).alias("f")).where("f is not null")  # explode alone would evaluate all rules three times
     out = issues(found, F.col("path"), F.concat(place, F.col("f.problem")), "entries", F.col("f.level"))
     named = F.when(F.col("section").isin(*[r.section for r in rules if r.sourced]) & mapping, of("source.path")).when(F.col("section").isin(*[r.section for r in rules if r.source_path]), of("source_path"))
     unknown = rows.select("path", "section", "idx", named.alias("source_path")).where("source_path <> ''").join(known_paths, "source_path", "left_anti")

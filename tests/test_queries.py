@@ -98,6 +98,14 @@ def test_pairs_are_compared_within_their_row(spark):
         assert [r["message"] for r in found.collect()] == want
 
 
+def test_checks_are_evaluated_once(spark):
+    """What explode takes would be evaluated for a filter on its size before."""
+    rows = spark.createDataFrame([("p", "person", '{"quotes": [{"text": ""}]}')], "path string, target_type string, j string").select("path", "target_type", F.parse_json("j").alias("data"))
+    found = artifacts.quotes(rows, spark.createDataFrame([("s1",)], "source_path string"))
+    assert "size(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["message"] for r in found.collect()] == ["quotes[0]: source must have path and location"]
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
