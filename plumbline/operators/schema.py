@@ -85,15 +85,14 @@ def entry_rules(schema: DataFrame) -> DataFrame:
     return blocks.select(section.alias("section"), F.explode(rules).alias("r")).select("section", "r.kind", "r.field", "r.allowed").distinct()
 
 
-def _entry_problem(rule: Column, value: Column) -> Column:
-    """What is wrong with an entry's value under a rule; null if nothing is."""
+def _entry_problem(rule: Column, value: Column, text: Column) -> Column:
+    """What is wrong with an entry's value, told as text too, under a rule; null if nothing is."""
     kind, field, allowed = rule["kind"], rule["field"], rule["allowed"]
-    text = F.try_variant_get(value, "$", "string")
     items = F.try_variant_get(value, "$", "array<variant>")
     wrong = F.exists(items, lambda x: ~F.coalesce((F.schema_of_variant(x) == "STRING") & F.try_variant_get(x, "$", "string").startswith("/"), F.lit(False)))
     mapping = F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
     lacks = F.coalesce(F.try_variant_get(value, "$.path", "string"), F.lit("")).isin("", "0", "false", "[]", "{}", "0.0") | F.try_variant_get(value, "$.location", "variant").isNull()
-    outside = ~F.array_contains(allowed, text) & kind.isin("strict", "lenient", "warned") & ((text != "") | (kind != "lenient"))
+    outside = kind.isin("strict", "lenient", "warned") & ~F.array_contains(allowed, text) & ((text != "") | (kind != "lenient"))
     return (
         F.when((kind == "required") & value.isNull(), F.concat(F.lit("missing "), field))
         .when((kind == "non_blank") & X.is_blank(text), F.concat(F.lit("blank "), field))
@@ -111,13 +110,15 @@ def entry_issues(entries: DataFrame, rules: DataFrame, known_paths: DataFrame) -
     rows = entries.where(F.schema_of_variant("entry").startswith("OBJECT")).join(by_section, "section")
     rows = rows.withColumn("_m", F.try_variant_get("entry", "$", "map<string,variant>"))
     value = lambda r: F.try_element_at("_m", r["field"])
-    found = F.filter(F.transform("rules", lambda r: F.struct(F.when(r["kind"] == "warned", "warn").otherwise("error").alias("level"), _entry_problem(r, value(r)).alias("message"))), lambda x: x["message"].isNotNull())
+    # a rule's value is taken out of the entry once, then judged
+    asked = F.transform(F.transform("rules", lambda r: F.struct(r.alias("r"), value(r).alias("v"))), lambda x: F.struct(x["r"].alias("r"), x["v"].alias("v"), F.try_variant_get(x["v"], "$", "string").alias("t")))
+    found = F.when(F.col("_m").isNotNull(), F.filter(F.transform(asked, lambda x: F.struct(F.when(x["r"]["kind"] == "warned", "warn").otherwise("error").alias("level"), _entry_problem(x["r"], x["v"], x["t"]).alias("message"))), lambda x: x["message"].isNotNull()))  # named twice, so that the mapping is not made anew for each rule
     place = F.concat(F.col("section"), F.lit("["), F.col("idx").cast("string"), F.lit("]: "))
     names = F.transform(F.filter("rules", lambda r: r["kind"].isin("source", "source_path")), lambda r: F.when(r["kind"] == "source", F.when(F.schema_of_variant(value(r)).startswith("OBJECT"), F.try_variant_get(value(r), "$.path", "string"))).otherwise(F.try_variant_get(value(r), "$", "string")))
-    out = rows.select("path", place.alias("place"), F.explode(found).alias("f"))
-    known = rows.select("path", place.alias("place"), F.explode(F.array_distinct(names)).alias("source_path")).where("source_path <> ''").join(known_paths, "source_path", "left_anti")
-    level = lambda df, lv: issues(df.where(F.col("f.level") == lv), F.col("path"), F.concat("place", "f.message"), "entries", lv)
-    return level(out, "error").unionByName(level(out, "warn")).unionByName(issues(known, F.col("path"), F.concat(F.col("place"), F.lit("source not in manifest: "), F.col("source_path")), "entries"))
+    out = rows.select("path", place.alias("place"), F.explode_outer(found).alias("f")).where("f is not null")  # explode alone would evaluate all rules three times
+    known = rows.select("path", place.alias("place"), F.explode_outer(F.array_distinct(names)).alias("source_path")).where("source_path <> ''").join(known_paths, "source_path", "left_anti")
+    told = issues(out, F.col("path"), F.concat("place", "f.message"), "entries", F.col("f.level"))
+    return told.unionByName(issues(known, F.col("path"), F.concat(F.col("place"), F.lit("source not in manifest: "), F.col("source_path")), "entries"))
 
 
 # -- where sections belong

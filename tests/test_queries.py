@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import artifacts, manifest, rules
+from plumbline.operators import artifacts, manifest, rules, schema
 from plumbline.plans import bodies, catalogue, chain, texts
 
 SF = "/root/testdata/sf0.001"
@@ -106,6 +106,15 @@ def test_checks_are_evaluated_once(spark):
     assert [r["message"] for r in found.collect()] == ["quotes[0]: source must have path and location"]
 
 
+def test_rules_of_a_schema_are_evaluated_once(spark):
+    rows = spark.createDataFrame([("a", "x", 0, '{"c": "", "d": "odd"}'), ("a", "x", 1, '"text"')], "path string, section string, idx int, j string").select("path", "section", "idx", F.parse_json("j").alias("entry"))
+    held = spark.createDataFrame([("x", "required", "a", []), ("x", "non_blank", "c", []), ("x", "warned", "d", ["v"])], schema.ENTRY_RULE)
+    found = schema.entry_issues(rows, held, spark.createDataFrame([("s1",)], "source_path string"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate ") == 2  # issues of all levels, and names of sources
+    assert sorted((r["level"], r["message"]) for r in found.collect()) == [("error", "x[0]: blank c"), ("error", "x[0]: missing a"), ("warn", "x[0]: d not in vocabulary: odd")]
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
