@@ -4,21 +4,33 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.storage import written
 from .verbatim import blocks
 
 BITS = 64
 #: Flipped values of one hash, all blocks together.
 PROBES = 1 << 13
+#: Above this share of all pairs, meeting on blocks costs more than comparing all.
+MEETING_SHARE = 1 / 256
+#: Hashes of a group, of which two are compared in one step of a task.
+GROUP = 1 << 14
+#: Pairs compared at once, and pairs in a batch of results.
+AT_ONCE = 1 << 16
 
 
 def mean_bits(values: Column) -> Column:
     """One character a value, 1 where it lies above the mean of all."""
-    mean = F.aggregate(values, F.lit(0.0), lambda a, x: a + x.cast("double")) / F.size(values)
-    return F.array_join(F.transform(values, lambda x: F.when(x.cast("double") > mean, "1").otherwise("0")), "")
+    mean = F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, x: a + x.cast("double")), F.size(values))
+    bits = lambda m: F.array_join(F.transform(values, lambda x: F.when(x.cast("double") > m, "1").otherwise("0")), "")
+    return F.transform(F.array(mean), bits)[0]  # the mean is taken once for a row, not for each value
 
 
 def as_long(bits: Column) -> Column:
@@ -76,12 +88,101 @@ def _met_once(most: int) -> Column:
     return first == F.col("x.k")
 
 
+def _share(most: int) -> float:
+    """Of random pairs, those that meet."""
+    return sum(math.comb(w, i) / 2**w for _, w, r in plan_blocks(most) for i in range(r + 1))
+
+
+def _grouped(hashes: DataFrame) -> DataFrame:
+    """(part, held) with the (id, h) of about ``GROUP`` hashes in a row, stored; null ids and bits are near to nothing."""
+    rows = written(hashes.select("id", as_long(F.col("bits")).alias("h")).where("id is not null and h is not null"), "hashes")
+    n = max(1, math.ceil(rows.count() / GROUP))
+    held = rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("part")).agg(F.collect_list(F.struct("id", "h")).alias("held"))
+    return written(held, "groups")
+
+
+def _side_by_side(x: DataFrame, y: DataFrame | None, fn, schema: str) -> DataFrame:
+    """What ``fn`` gives for groups of the hashes of x beside groups of those of y, every two groups in one row; without y of those of x, each two once."""
+    left = _grouped(x)
+    right = left if y is None else _grouped(y)
+    parts = left.select(F.col("part").alias("i")).crossJoin(right.select(F.col("part").alias("j")))
+    if y is None:
+        parts = parts.where("i <= j")
+    both = parts.join(left.select(F.col("part").alias("i"), F.col("held").alias("x")), "i").join(right.select(F.col("part").alias("j"), F.col("held").alias("y")), "j")
+    return both.repartition("i", "j").mapInArrow(fn, schema)
+
+
+def _sides(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(i, ids and hashes of x, j, ids and hashes of y) of each row."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            i, j = (batch.column(c)[k].as_py() for c in ("i", "j"))
+            x, y = (batch.column(c)[k].values for c in ("x", "y"))
+            yield (i, x.field("id"), _bits_of(x), j, y.field("id"), _bits_of(y))
+
+
+def _bits_of(held: pa.StructArray) -> np.ndarray:
+    return held.field("h").to_numpy().view(np.uint64)
+
+
+def _near(x: np.ndarray, y: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(place in x, place in y, distance) of hashes at most so many bits apart, from bands of about ``AT_ONCE`` pairs in the same memory."""
+    step = max(1, AT_ONCE // max(1, len(y)))
+    differ, dist, near = (np.empty((step, len(y)), t) for t in (np.uint64, np.uint8, np.bool_))
+    for k in range(0, len(x), step):
+        n = len(x[k : k + step])
+        np.bitwise_xor(x[k : k + step, None], y, out=differ[:n])
+        np.bitwise_count(differ[:n], out=dist[:n])
+        np.less_equal(dist[:n], most, out=near[:n])
+        at = np.flatnonzero(near[:n])
+        yield k + at // len(y), at % len(y), dist[:n].ravel()[at]
+
+
+def _pairs_of(most: int, within: bool):
+    """A function over batches that gives the pairs of two groups; within one set the lower id comes first and none is its own neighbour."""
+
+    def batch_of(found: list[tuple], xi: pa.Array, yi: pa.Array) -> pa.RecordBatch:
+        i, j, d = (np.concatenate(c) for c in zip(*found))
+        a, b, d = xi.take(pa.array(i)), yi.take(pa.array(j)), pa.array(d.astype(np.int32))
+        if within:
+            a, b, d = (c.filter(pc.not_equal(a, b)) for c in (a, b, d))
+            low = pc.less(a, b)
+            a, b = pc.if_else(low, a, b), pc.if_else(low, b, a)
+        return pa.RecordBatch.from_arrays([a, b, d], ["a", "b", "dist"])
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for gi, xi, x, gj, yi, y in _sides(batches):
+            found, n = [], 0
+            for i, j, d in _near(x, y, most):
+                if within and gi == gj:
+                    once = i < j
+                    i, j, d = i[once], j[once], d[once]
+                if len(i):
+                    found.append((i, j, d))
+                    n += len(i)
+                if n >= AT_ONCE:
+                    yield batch_of(found, xi, yi)
+                    found, n = [], 0
+            if found:
+                yield batch_of(found, xi, yi)
+
+    return fn
+
+
+def _pair_schema(hashes: DataFrame) -> str:
+    t = hashes.schema["id"].dataType.simpleString()
+    return f"a {t}, b {t}, dist int"
+
+
 def close_pairs(hashes: DataFrame, most: int) -> DataFrame:
     """(a, b, dist) of pairs a < b at most so many bits apart. hashes: id, bits.
 
-    Pairs meet on a few wide blocks, of which one side's values are flipped within a small radius, and the distance confirms.
-    For 16 of 64 bits that is 7 % of all pairs, where the 17 narrow blocks on which such hashes agree would bring nearly all together.
+    Within a small radius pairs meet on a few wide blocks, of which one side's values are flipped, and the distance confirms. Where that
+    would bring together more than ``MEETING_SHARE`` of all pairs (7 % at 16 of 64 bits), groups of hashes are compared side by side instead:
+    that is all pairs, some nanoseconds each, two groups at a time in memory.
     """
+    if _share(most) > MEETING_SHARE:
+        return _side_by_side(hashes, None, _pairs_of(most, True), _pair_schema(hashes))
     met = _meetings(hashes, hashes, most).where(F.col("x.id") < F.col("y.id"))
     return met.withColumn("dist", hamming(F.col("x.h"), F.col("y.h"))).where((F.col("dist") <= most) & _met_once(most)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), "dist")
 
@@ -122,7 +223,9 @@ def greedy_keep(ids: DataFrame, pairs: DataFrame, write) -> DataFrame:
 
 # -- an index of crops that lives on: id, bits, identity (null until known)
 def close_between(known: DataFrame, fresh: DataFrame, most: int) -> DataFrame:
-    """(a, b, dist) of a known and a fresh hash at most so many bits apart, met as in ``close_pairs``. Both: id, bits."""
+    """(a, b, dist) of a known and a fresh hash at most so many bits apart, found as in ``close_pairs``. Both: id, bits."""
+    if _share(most) > MEETING_SHARE:
+        return _side_by_side(known, fresh, _pairs_of(most, False), _pair_schema(known))
     met = _meetings(fresh, known, most).withColumn("dist", hamming(F.col("x.h"), F.col("y.h")))
     return met.where((F.col("dist") <= most) & _met_once(most)).select(F.col("y.id").alias("a"), F.col("x.id").alias("b"), "dist")
 

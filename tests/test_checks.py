@@ -283,6 +283,22 @@ def test_close_hashes_below_all_pairs(spark, most):
     assert sum(w for _, w, _ in plan) == 64 and sum(r + 1 for _, _, r in plan) == most + 1
 
 
+def test_wide_radii_compare_groups_side_by_side(spark, monkeypatch):
+    """No flipped values at 16 bits; every two groups are compared once, nulls and equal ids are no pairs, and a mean is taken once a row."""
+    monkeypatch.setattr(similarity, "GROUP", 40)
+    rng = random.Random(8)
+    base = [rng.getrandbits(64) for _ in range(30)]
+    hashes = base + [base[k % 30] ^ sum(1 << b for b in rng.sample(range(64), k % 20)) for k in range(120)] + base[:3] * 2
+    df = spark.createDataFrame([*((i, f"{h:064b}") for i, h in enumerate(hashes)), (0, f"{hashes[0]:064b}"), (900, None), (None, f"{hashes[1]:064b}")], "id long, bits string")
+    got = similarity.close_pairs(df.where("id is null or id <> 0"), 16)
+    assert "flip" not in plan_of(got) and "MapInArrow" in plan_of(got)
+    want = [(i, j, (a ^ b).bit_count()) for i, a in enumerate(hashes) for j, b in enumerate(hashes) if 0 < i < j and (a ^ b).bit_count() <= 16]
+    assert sorted(map(tuple, got.collect())) == want
+    assert not similarity.close_pairs(df.where("id = 0"), 16).collect() and not similarity.close_pairs(df.limit(0), 16).collect()
+    few = spark.createDataFrame([([1.0, 3.0, 2.5], ), ([], ), (None, )], "v array<double>").select(similarity.mean_bits(F.col("v")).alias("bits"))
+    assert "transform(array((aggregate(" in plan_of(few.where("bits <> 'x'")) and [r["bits"] for r in few.collect()] == ["011", "", None]
+
+
 def test_containment_stores_no_word_of_a_text(spark):
     """Both directions against brute force, with passages of every length; only the passages' keys are stored."""
     rng = random.Random(5)
