@@ -22,6 +22,8 @@ PROBES = 1 << 13
 MEETING_SHARE = 1 / 256
 #: Hashes of a group, of which two are compared in one step of a task.
 GROUP = 1 << 14
+#: Hashes that a step of the walk settles in one task.
+HEAD = 1 << 15
 #: Pairs compared at once, and pairs in a batch of results.
 AT_ONCE = 1 << 16
 
@@ -221,6 +223,66 @@ def greedy_keep(ids: DataFrame, pairs: DataFrame, write) -> DataFrame:
             return state
 
 
+def _ids_near(most: int):
+    """A function over batches that gives the ids of x that are near to something of y."""
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, ids, x, _, _, y in _sides(batches):
+            near, at = np.zeros(len(x), np.bool_), np.arange(len(x))
+            for h in y:  # what is near needs no further comparison
+                far = np.bitwise_count(x ^ h) > most
+                if not far.all():
+                    near[at[~far]] = True
+                    x, at = x[far], at[far]
+            yield pa.RecordBatch.from_arrays([ids.filter(pa.array(near))], ["id"])
+
+    return fn
+
+
+def far_from(hashes: DataFrame, others: DataFrame, most: int) -> DataFrame:
+    """The hashes more than so many bits from all of the others; null bits are. Both: id, bits; ids of the first are not null where bits are not."""
+    near = _side_by_side(hashes.select("id", "bits"), others.select("id", "bits"), _ids_near(most), f"id {hashes.schema['id'].dataType.simpleString()}")
+    return hashes.join(near.distinct(), "id", "left_anti")
+
+
+def _walked(most: int):
+    """A function over the batches of one task that gives what the walk over them keeps."""
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if held:
+            rows = pa.Table.from_batches(held).sort_by([("id", "ascending"), ("h", "ascending")])
+            h, at, kept = rows.column("h").to_numpy().view(np.uint64), np.arange(rows.num_rows), []
+            while len(h):
+                kept.append(at[0])
+                far = np.bitwise_count(h ^ h[0]) > most
+                h, at = h[far], at[far]
+            yield from rows.select(["id", "bits"]).take(pa.array(kept, pa.int64())).combine_chunks().to_batches()
+
+    return fn
+
+
+def greedy_walk(hashes: DataFrame, most: int, write) -> DataFrame:
+    """(id, bits) that the filter of ``greedy_keep`` keeps of hashes that are near at so many bits or less, without their pairs. hashes: id, bits.
+
+    The first ``HEAD`` hashes of those left are walked in one task, and what is near to those it keeps leaves the rest, groups of the rest beside groups
+    of them. So the comparisons are hashes times kept ones, and what is stored is never more than the hashes. Null ids and bits are near to nothing.
+    """
+    rows = write(hashes.select("id", "bits"))
+    odd = F.col("id").isNull() | as_long(F.col("bits")).isNull()
+    kept, left = rows.where(odd), rows.where(~odd)
+    n = left.count()
+    while n:
+        head = left.orderBy("id").limit(HEAD).select("id", "bits", as_long(F.col("bits")).alias("h"))
+        won = write(head.repartition(1).mapInArrow(_walked(most), left.schema))
+        kept = kept.unionByName(won)
+        if n <= HEAD:
+            break
+        left = write(far_from(left, won, most))
+        n = left.count()
+    return kept
+
+
 # -- an index of crops that lives on: id, bits, identity (null until known)
 def close_between(known: DataFrame, fresh: DataFrame, most: int) -> DataFrame:
     """(a, b, dist) of a known and a fresh hash at most so many bits apart, found as in ``close_pairs``. Both: id, bits."""
@@ -236,10 +298,7 @@ def detect(index: DataFrame, batch: DataFrame, baselines: DataFrame, most: int,
     Ids of a batch follow those of the index, so batches one after the other give what one batch of all gives: what the
     index holds is kept, and only fresh crops near to none of it are walked.
     """
-    clear = write(batch.join(close_between(index.select("id", "bits"), batch, most).select(F.col("b").alias("id")).distinct(), "id", "left_anti"))
-    pairs = write(close_pairs(clear, most).select("a", "b"))
-    kept = greedy_keep(clear.select("id"), pairs, write).where("kept").select("id")
-    fresh = clear.join(kept, "id")
+    fresh = write(greedy_walk(far_from(batch, index, most), most, write))
     named = fresh.join(nearest(fresh.select("id", "bits"), baselines, near).select("id", "identity"), "id").select("id", "bits", "identity")
     return write(index.select("id", "bits", "identity").unionByName(named))
 

@@ -226,3 +226,34 @@ def test_batches_give_what_one_batch_gives(spark, tmp_path):
     named = similarity.register(two, spark.createDataFrame([(want[0][0], "x")], "id long, identity string"))
     assert {r["id"]: r["identity"] for r in named.collect()}[want[0][0]] == "x"
     assert sorted(r["id"] for r in similarity.prune(named, base, 10).collect()) == [k for k, _, n in want if n is not None]
+
+
+def test_walk_makes_no_pairs(spark, monkeypatch, tmp_path):
+    """The filter in several steps, on many near hashes: no stored table has more rows than the hashes."""
+    monkeypatch.setattr(similarity, "HEAD", 25)
+    monkeypatch.setattr(similarity, "GROUP", 30)
+    rng = random.Random(10)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    hashes = [base[min(k // 5, 39)] ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(14))) for k in range(240)]
+    df = spark.createDataFrame([*((k, f"{h:064b}") for k, h in enumerate(hashes)), (900, None), (None, f"{base[0]:064b}")], "id long, bits string")
+    sizes = []
+
+    def write(t):
+        path = str(tmp_path / f"w{len(sizes)}")
+        t.write.parquet(path)
+        out = spark.read.schema(t.schema).parquet(path)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(similarity, "written", lambda t, name: write(t))
+    kept: list[int] = []
+    for k, h in enumerate(hashes):
+        if all((h ^ hashes[x]).bit_count() > 20 for x in kept):
+            kept.append(k)
+    got = [r["id"] for r in similarity.greedy_walk(df, 20, write).collect()]
+    assert sorted(k for k in got if k is not None) == [*kept, 900] and got.count(None) == 1 and len(sizes) > 6
+    assert not similarity.greedy_walk(df.limit(0), 20, write).count()
+    base20 = spark.createDataFrame([(0, "b", f"{base[0]:064b}")], "ord long, identity string, bits string")
+    index = df.where("id < 100").withColumn("identity", F.lit(None).cast("string")).limit(0)
+    assert sorted(r["id"] for r in similarity.detect(index, df.where("id < 900"), base20, 20, 24, write).collect()) == kept
+    assert max(sizes) <= 242
