@@ -169,52 +169,71 @@ def verbatim_quotes(artifacts: DataFrame, sources: DataFrame) -> DataFrame:
     return out.unionByName(issues(mute, F.col("path"), F.concat(place(), F.lit("source has no text: "), F.col("source_path")), "verbatim_quotes", "warn"))
 
 
+def _held(section: str, key: str) -> Column:
+    """What the entries of a list section have for a key, from the artifact's own row; empty where it is no list."""
+    each = F.transform(F.try_variant_get("data", f"$.{section}", "array<variant>"), lambda e: F.try_variant_get(e, f"$.{key}", "string"))
+    return F.coalesce(F.array_compact(each), F.array().cast("array<string>"))
+
+
+def _told_of_entries(rows: DataFrame, found: list[Column]) -> DataFrame:
+    """The issues of entries in one pass. found: arrays of (check, level, message), or null for none."""
+    none = F.array().cast("array<struct<check:string,level:string,message:string>>")
+    told = rows.select("path", place().alias("place"), F.explode_outer(F.concat(*[F.coalesce(f, none) for f in found])).alias("f")).where("f is not null")  # explode alone would evaluate all three times
+    return issues(told, F.col("path"), F.concat("place", "f.message"), F.col("f.check"), F.col("f.level"))
+
+
+def _problem(check: str, level: str, message: Column | str) -> Column:
+    return F.struct(F.lit(check).alias("check"), F.lit(level).alias("level"), (F.lit(message) if isinstance(message, str) else message).alias("message"))
+
+
 def reference_checks(artifacts: DataFrame, sections: list[str]) -> DataFrame:
-    """References between entries of an artifact: lineage fields against the ids of all sections (a warning), quote ids and evidence ids against quotes."""
-    rows = all_entries(artifacts, sections)
-    ids = rows.select("path", of("id").alias("ref")).where("ref is not null").distinct()
-    quoted = entries(artifacts, "quotes").select("path", of("id").alias("ref")).where("ref is not null").distinct()
-    many = lambda key: F.try_variant_get(F.col("entry"), f"$.{key}", "array<string>")
-    refs = F.concat(F.coalesce(many("corroborated_by"), F.array().cast("array<string>")), F.array_compact(F.array(of("superseded_by"), of("contradicted_by"))))
-    lost = rows.select("path", "section", "idx", F.explode_outer(refs).alias("ref")).where("ref is not null").join(ids, ["path", "ref"], "left_anti")
-    out = issues(lost, F.col("path"), F.concat(place(), F.lit("reference to no entry: "), F.col("ref")), "cross_refs", "warn")
-    named = F.try_variant_get(F.col("entry"), "$.references", "array<struct<quote_id:string>>")
+    """References between entries of an artifact: lineage fields against the ids of all sections (a warning), quote ids and evidence ids against quotes.
+
+    An artifact's references are met with the ids that its own row holds, in one pass and without a join. A path names one artifact.
+    """
+    ids = F.array_distinct(F.concat(*[_held(s, "id") for s in sections])) if sections else F.array().cast("array<string>")
+    held_ids = artifacts.select("path", "data", ids.alias("ids"), _held("quotes", "id").alias("quoted"))
+    rows = all_entries(held_ids, sorted({*sections, "entities_referenced", "contradictions"}), ("path", "ids", "quoted"))
+    many = F.try_variant_get(F.col("entry"), "$.corroborated_by", "array<string>")
+    refs = F.concat(F.coalesce(many, F.array().cast("array<string>")), F.array_compact(F.array(of("superseded_by"), of("contradicted_by"))))
+    named = F.transform(F.try_variant_get(F.col("entry"), "$.references", "array<struct<quote_id:string>>"), lambda x: x["quote_id"])
     held = F.try_variant_get(F.col("entry"), "$.positions", "array<struct<evidence_id:string>>")
-    for section, check, keys in (("entities_referenced", "entities_referenced", F.transform(named, lambda x: x["quote_id"])), ("contradictions", "contradictions", F.transform(held, lambda x: x["evidence_id"]))):
-        each = entries(artifacts, section).select("path", "section", "idx", F.explode_outer(keys).alias("ref")).where("ref is not null").join(quoted, ["path", "ref"], "left_anti")
-        out = out.unionByName(issues(each, F.col("path"), F.concat(place(), F.lit("reference to no quote: "), F.col("ref")), check))
-    few = entries(artifacts, "contradictions").where(F.coalesce(F.size(held), F.lit(0)) < 2)
-    return out.unionByName(issues(few, F.col("path"), F.concat(place(), F.lit("needs two positions")), "contradictions"))
+    within = lambda c: F.col("section") == c
+    lost = lambda refs, ids, check, level, what: F.transform(F.filter(refs, lambda r: r.isNotNull() & ~F.array_contains(F.col(ids), r)), lambda r: _problem(check, level, F.concat(F.lit(f"reference to no {what}: "), r)))
+    return _told_of_entries(rows, [
+        F.when(F.col("section").isin(*sections), lost(refs, "ids", "cross_refs", "warn", "entry")),
+        F.when(within("entities_referenced"), lost(named, "quoted", "entities_referenced", "error", "quote")),
+        F.when(within("contradictions"), lost(F.transform(held, lambda x: x["evidence_id"]), "quoted", "contradictions", "error", "quote")),
+        F.when(within("contradictions") & (F.coalesce(F.size(held), F.lit(0)) < 2), F.array(_problem("contradictions", "error", "needs two positions"))),
+    ])
 
 
 def hypothesis_citations(artifacts: DataFrame) -> DataFrame:
-    """Evaluations and counter-evidence: hypothesis by id in any case, length of the status, sources with exactly one target each."""
-    known = entries(artifacts, "hypotheses").select("path", F.lower(of("id")).alias("hid")).where("hid is not null").distinct()
-    rows = entries(artifacts, "hypothesis_evaluation").withColumn("hid", F.lower(of("hypothesis_id"))).unionByName(entries(artifacts, "counter_evidence").withColumn("hid", F.lower(of("against_hypothesis_id"))))
-    lost = rows.where("hid is not null").join(known, ["path", "hid"], "left_anti")
-    out = issues(lost, F.col("path"), F.concat(place(), F.lit("unknown hypothesis: "), F.col("hid")), "hypothesis_citations")
+    """Evaluations and counter-evidence: hypothesis by id in any case, length of the status, sources with exactly one target each; in one pass within an artifact's row."""
+    known = F.transform(_held("hypotheses", "id"), F.lower)
+    rows = all_entries(artifacts.select("path", "data", known.alias("known")), ["hypothesis_evaluation", "counter_evidence"], ("path", "known"))
+    judged = F.col("section") == "hypothesis_evaluation"
+    hid = F.lower(F.when(judged, of("hypothesis_id")).otherwise(of("against_hypothesis_id")))
     size = F.length(F.trim(of("status")))
-    out = out.unionByName(_messages(rows.where("section = 'hypothesis_evaluation'"), [F.when(~size.between(10, 300), F.lit("status should have 10 to 300 characters"))], "hypothesis_citations", "warn"))
     src = F.try_variant_get(F.col("entry"), "$.sources", "array<struct<finding_path:string,entity_path:string,anchor:string,description:string>>")
     one = lambda s: (s["finding_path"].isNotNull() != s["entity_path"].isNotNull()) & (s["entity_path"].isNull() | s["anchor"].isNotNull()) & (F.length(F.coalesce(s["description"], F.lit(""))) >= 10)
-    bad = [F.when(F.coalesce(F.size(src), F.lit(0)) == 0, F.lit("needs sources")), F.when(F.exists(src, lambda s: ~F.coalesce(one(s), F.lit(False))), F.lit("a source must name one target, its anchor and a description"))]
-    return out.unionByName(_messages(rows, bad, "hypothesis_citations"))
+    told = lambda when, level, message: F.when(when, F.array(_problem("hypothesis_citations", level, message)))
+    return _told_of_entries(rows, [
+        told(hid.isNotNull() & ~F.array_contains("known", hid), "error", F.concat(F.lit("unknown hypothesis: "), hid)),
+        told(judged & ~size.between(10, 300), "warn", "status should have 10 to 300 characters"),
+        told(F.coalesce(F.size(src), F.lit(0)) == 0, "error", "needs sources"),
+        told(F.exists(src, lambda s: ~F.coalesce(one(s), F.lit(False))), "error", "a source must name one target, its anchor and a description"),
+    ])
 
 
 def layer_references(artifacts: DataFrame) -> DataFrame:
     """Upward references anywhere in a body: findings must not name investigations, entities neither findings nor investigations."""
-    strings = _strings(artifacts)
-    kind = F.col("target_type")
-    bad = F.when(kind == "finding", F.contains("leaf", F.lit("/investigations/"))).when(kind != "investigation", F.col("leaf").rlike("/(findings|investigations)/"))
+    rows = artifacts.where("target_type <> 'investigation'").select(F.struct("path", "target_type").alias("k"), "data")
+    strings = walk_strings(rows, "k", "data", ("/findings/", "/investigations/")).select("k.path", "k.target_type", F.col("path").alias("at"), "leaf")
+    bad = F.when(F.col("target_type") == "finding", F.contains("leaf", F.lit("/investigations/"))).otherwise(True)
     return issues(strings.where(bad), F.col("path"), F.concat(F.col("at"), F.lit(": reference to a higher layer")), "layer_references")
 
 
-def _strings(artifacts: DataFrame) -> DataFrame:
-    rows = artifacts.select(F.col("path").alias("k"), "data")
-    leaves = walk_strings(rows, "k", "data").select("k", F.col("path").alias("at"), "leaf")
-    return leaves.join(artifacts.select(F.col("path").alias("k"), "target_type"), "k").withColumnRenamed("k", "path")
-
-
 def finding_sources(artifacts: DataFrame) -> DataFrame:
     """Sources of findings' quotes that no entity artifact has among its primary sources."""
     used = entries(artifacts.where("target_type = 'finding'"), "quotes").select("path", "section", "idx", of("source.path").alias("source_path")).where("source_path is not null")

@@ -69,9 +69,11 @@ def leaves_of(document) -> Iterator[tuple[str, str]]:
             stack += [(f"{path}[{k}]", value[k]) for k in range(len(value) - 1, -1, -1)]
 
 
-def walk_places(rows: DataFrame, key: str, body: str) -> DataFrame:
+def walk_places(rows: DataFrame, key: str, body: str, holding: tuple[str, ...] = ()) -> DataFrame:
     """(key, path, leaf, place) for every string in a VARIANT body, however deep and however many; place numbers the strings of a body in order.
 
+    With ``holding`` only strings that hold one of these are given. They must read the same in JSON: no quotes, backslashes or control characters.
+
     One narrow pass in batches: every body is parsed once, and nothing is stored between levels.
     """
     names = [key, "path", "leaf", "place"]
@@ -80,9 +82,11 @@ def walk_places(rows: DataFrame, key: str, body: str) -> DataFrame:
         for batch in batches:
             of, out = [], []
             for k, text in enumerate(batch.column("_json").to_pylist()):
-                found = [] if text is None else list(leaves_of(json.loads(text)))
+                if text is None or holding and not any(h in text for h in holding):
+                    continue
+                found = [(*x, n) for n, x in enumerate(leaves_of(json.loads(text))) if not holding or any(h in x[1] for h in holding)]
                 of += [k] * len(found)
-                out += [(*x, n) for n, x in enumerate(found)]
+                out += found
             path, leaf, place = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(of, pa.int64())), pa.array(path, pa.string()), pa.array(leaf, pa.string()), pa.array(place, pa.int64())], names)
 
@@ -90,9 +94,9 @@ def walk_places(rows: DataFrame, key: str, body: str) -> DataFrame:
     return rows.select(key, F.to_json(body).alias("_json")).mapInArrow(run, schema)
 
 
-def walk_strings(rows: DataFrame, key: str, body: str) -> DataFrame:
-    """(key, path, leaf) for every string in a VARIANT body."""
-    return walk_places(rows, key, body).drop("place")
+def walk_strings(rows: DataFrame, key: str, body: str, holding: tuple[str, ...] = ()) -> DataFrame:
+    """(key, path, leaf) for every string in a VARIANT body, or for those that hold one of these."""
+    return walk_places(rows, key, body, holding).drop("place")
 
 
 def cross_references(ids: DataFrame, refs: DataFrame) -> DataFrame:

@@ -98,6 +98,23 @@ def test_pairs_are_compared_within_their_row(spark):
         assert [r["message"] for r in found.collect()] == want
 
 
+def test_references_are_met_within_their_artifact(spark):
+    """No join and no shuffle, and of the strings only those that may be told come out of the walk."""
+    j = '{"quotes": [{"id": "q1", "corroborated_by": ["e1", null, "zz"], "superseded_by": "q1"}, {"id": null, "contradicted_by": 7}], "entities_referenced": [{"id": "e1", "references": [{"quote_id": "q1"}, {"quote_id": "e1"}, {}]}, "s"], "contradictions": [{"positions": [{"evidence_id": "q9"}]}], "hypotheses": [{"id": "H1"}, {}], "hypothesis_evaluation": [{"hypothesis_id": "h1", "status": "short", "sources": [{"finding_path": "/f", "description": "long enough"}]}], "counter_evidence": [{"against_hypothesis_id": "H2"}], "x": ["/findings/a", {"y": "\\"/investigations/b"}, "/people/c"]}'
+    rows = spark.createDataFrame([("p", "person", j), ("f", "finding", j), ("i", "investigation", j), ("n", None, j), ("o", "person", '{"quotes": {"id": "q1"}, "contradictions": 3}')], "path string, target_type string, j string").select("path", "target_type", F.parse_json("j").alias("data"))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    found = artifacts.reference_checks(rows, ["quotes", "entities_referenced"])
+    assert "Join" not in plan(found) and "Aggregate" not in plan(found) and "Union" not in plan(found)
+    want = [("contradictions", "error", "contradictions[0]: needs two positions"), ("contradictions", "error", "contradictions[0]: reference to no quote: q9"), ("cross_refs", "warn", "quotes[0]: reference to no entry: zz"), ("cross_refs", "warn", "quotes[1]: reference to no entry: 7"), ("entities_referenced", "error", "entities_referenced[0]: reference to no quote: e1")]
+    assert sorted((r["check_name"], r["level"], r["message"]) for r in found.where("path = 'p'").collect()) == want and found.where("path = 'o'").count() == 0
+    found = artifacts.hypothesis_citations(rows)
+    assert "Join" not in plan(found) and "Union" not in plan(found)
+    assert sorted((r["level"], r["message"]) for r in found.where("path = 'p'").collect()) == [("error", "counter_evidence[0]: needs sources"), ("error", "counter_evidence[0]: unknown hypothesis: h2"), ("warn", "hypothesis_evaluation[0]: status should have 10 to 300 characters")]
+    found = artifacts.layer_references(rows)
+    assert "Join" not in plan(found)
+    assert sorted((r["path"], r["message"].split(":")[0]) for r in found.collect()) == [("f", "$.x[1].y"), ("p", "$.x[0]"), ("p", "$.x[1].y")]
+
+
 def test_checks_are_evaluated_once(spark):
     """What explode takes would be evaluated for a filter on its size before."""
     rows = spark.createDataFrame([("p", "person", '{"quotes": [{"text": ""}]}')], "path string, target_type string, j string").select("path", "target_type", F.parse_json("j").alias("data"))
