@@ -6,6 +6,7 @@ once each; every reference is an equality join.
 
 from __future__ import annotations
 
+import re
 import uuid
 from functools import reduce
 
@@ -14,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .integrity import walk_places, walk_strings
+from .integrity import walk_strings, walk_text
 from . import rules
 from .issues import Check, each_told, issues
 from .rules import absent, blank, falsy
@@ -376,11 +377,14 @@ def strings(artifacts: DataFrame) -> DataFrame:
 
     Of quotes, entities, quirks and rumors the fields of text and a rumor's observed sources; texts at the top; every string of all other keys but those that hold no text.
     """
-    leaves = walk_places(artifacts.select(F.col("path").alias("k"), "data"), "k", "data").withColumnRenamed("path", "at")
-    top = F.regexp_extract("at", r"^\$\.([^.\[]+)", 1)
-    listed = "|".join([*(rf"{k}\[\d+\]\.({'|'.join(v)})" for k, v in TEXT_FIELDS.items()), r"rumors\[\d+\]\.observed_sources\[\d+\]", *PROSE])
-    taken = leaves.where(F.col("at").rlike(rf"^\$\.({listed})$") | ((top != "") & ~top.isin(*TEXT_FIELDS, *PROSE, *NO_TEXT)))
-    return taken.groupBy(F.col("k").alias("path")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "leaf"))), lambda x: x["leaf"]), "\n").alias("text"))
+    listed = re.compile("|".join([*(rf"{k}\[\d+\]\.({'|'.join(v)})" for k, v in TEXT_FIELDS.items()), r"rumors\[\d+\]\.observed_sources\[\d+\]", *PROSE]), re.ASCII)
+    top, others = re.compile(r"\$\.([^.\[]+)"), {*TEXT_FIELDS, *PROSE, *NO_TEXT}
+
+    def taken(at: str) -> bool:
+        first = top.match(at)
+        return first is not None and (first[1] not in others or listed.fullmatch(at, 2) is not None)
+
+    return walk_text(artifacts, "path", "data", taken)
 
 
 def artifact_checks(statuses: tuple[str, ...], described: tuple[str, ...], sections: list[str], entry_rules: list[rules.EntryRule] = rules.ENTRY_RULES) -> list[Check]:

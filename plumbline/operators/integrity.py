@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -99,6 +100,24 @@ def walk_strings(rows: DataFrame, key: str, body: str, holding: tuple[str, ...]
     return walk_places(rows, key, body, holding).drop("place")
 
 
+def walk_text(rows: DataFrame, key: str, body: str, taken: Callable[[str], bool]) -> DataFrame:
+    """(key, text): the strings of a VARIANT body at the paths that are taken, in order and one a line; no row for a body without. Nothing leaves the body's row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = functools.lru_cache(1 << 14)(taken)  # bodies are alike in their paths
+        for batch in batches:
+            of, out = [], []
+            for k, text in enumerate(batch.column("_json").to_pylist()):
+                found = [] if text is None else [leaf for path, leaf in leaves_of(json.loads(text)) if wanted(path)]
+                if found:
+                    of.append(k)
+                    out.append("\n".join(found))
+            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(of, pa.int64())), pa.array(out, pa.string())], [key, "text"])
+
+    schema = T.StructType([T.StructField(key, rows.schema[key].dataType), T.StructField("text", T.StringType())])
+    return rows.select(key, F.to_json(body).alias("_json")).mapInArrow(run, schema)
+
+
 def cross_references(ids: DataFrame, refs: DataFrame) -> DataFrame:
     """References to ids that no section of the same path has. ids: path, id; refs: path, section, idx, field, ref."""
     return refs.join(ids.select("path", F.col("id").alias("ref")).distinct(), ["path", "ref"], "left_anti")

@@ -228,6 +228,15 @@ def test_batches_give_what_one_batch_gives(spark, tmp_path):
     assert sorted(r["id"] for r in similarity.prune(named, base, 10).collect()) == [k for k, _, n in want if n is not None]
 
 
+def test_text_of_an_artifact_stays_in_its_row(spark):
+    docs = [{"quotes": [{"text": "a", "text2": "no"}, "no"], "x.y": "b", "": "no", "id": ["no"], "rumors": {"claim": "no"}, "description\n": "c"}, {"id": "no"}, {"note": ""}]
+    df = spark.createDataFrame([(f"p{k}", json.dumps(d)) for k, d in enumerate(docs)] + [("q", None)], "path string, j string").select("path", F.try_parse_json("j").alias("data"))
+    got = artifacts.strings(df)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "RLIKE" not in plan
+    assert {r["path"]: r["text"] for r in got.collect()} == {"p0": "c\na\nb", "p2": ""}
+
+
 def test_walk_makes_no_pairs(spark, monkeypatch, tmp_path):
     """The filter in several steps, on many near hashes: no stored table has more rows than the hashes."""
     monkeypatch.setattr(similarity, "HEAD", 25)
