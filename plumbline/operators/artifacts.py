@@ -356,14 +356,15 @@ def gathered(artifacts: DataFrame, sources: DataFrame) -> DataFrame:
 
 def phase_inputs(artifacts: DataFrame, nodes: DataFrame, sources: DataFrame) -> DataFrame:
     """Fatal: no target node. Sources that are not there, and (a warning) those without text. nodes: path; sources: source_path, text."""
-    there = nodes.select(F.regexp_replace("path", r"\.md$", "").alias("_t")).distinct()
-    rows = artifacts.withColumn("_t", of("target_node", "data"))
-    lost = rows.join(there, "_t", "left_anti")
-    out = issues(lost, F.col("path"), F.concat(F.lit("target_node does not exist: "), F.coalesce("_t", F.lit("none"))), "phase_iii_inputs", fatal=True)
-    used = entries(rows.join(there, "_t", "left_semi"), "primary_sources").select("path", of("path").alias("source_path"), of("format").alias("format")).where("source_path <> ''")
-    used = used.where(~F.coalesce(F.col("format").isin(*BINARY), F.lit(False))).join(sources.select("source_path", "text", F.lit(True).alias("there")), "source_path", "left")
-    out = out.unionByName(issues(used.where("there is null"), F.col("path"), F.concat(F.lit("source is not there: "), F.col("source_path")), "phase_iii_inputs"))
-    return out.unionByName(issues(used.where("there and text is null"), F.col("path"), F.concat(F.lit("source has no text: "), F.col("source_path")), "phase_iii_inputs", "warn"))
+    there = nodes.select(F.regexp_replace("path", r"\.md$", "").alias("_t")).distinct().withColumn("_there", F.lit(True))
+    each = F.transform(F.try_variant_get("data", "$.primary_sources", "array<variant>"), lambda e: F.struct(F.try_variant_get(e, "$.path", "string").alias("source_path"), F.try_variant_get(e, "$.format", "string").alias("format")))
+    rows = artifacts.select("path", of("target_node", "data").alias("_t"), F.filter(each, lambda s: (s["source_path"] != "") & ~F.coalesce(s["format"].isin(*BINARY), F.lit(False))).alias("used"))
+    asked = rows.join(there, "_t", "left").select("path", "_t", "_there", F.explode_outer(F.when(F.col("_there"), F.col("used"))).alias("s")).select("path", "_t", "_there", "s.source_path")
+    held = sources.select("source_path", F.col("text").isNotNull().alias("has_text"))  # no text is moved
+    told = asked.join(held, "source_path", "left").where("_there is null or source_path is not null and not coalesce(has_text, false)")
+    lost, gone = F.col("_there").isNull(), F.col("has_text").isNull()
+    message = F.when(lost, F.concat(F.lit("target_node does not exist: "), F.coalesce("_t", F.lit("none")))).when(gone, F.concat(F.lit("source is not there: "), F.col("source_path"))).otherwise(F.concat(F.lit("source has no text: "), F.col("source_path")))
+    return issues(told, F.col("path"), message, "phase_iii_inputs", F.when(lost | gone, "error").otherwise("warn"), lost)
 
 
 #: Of lists at the top the fields that hold text, texts at the top, and keys that hold none.

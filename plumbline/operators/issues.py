@@ -16,8 +16,8 @@ ISSUE = T.StructType([
 ])
 
 
-def issues(rows: DataFrame, path: Column, message: Column, check: str, level: str | Column = "error", fatal: bool = False, tokens: Column | None = None) -> DataFrame:
-    """One issue for each row; F.lit takes a column of levels as it is."""
+def issues(rows: DataFrame, path: Column, message: Column, check: str | Column, level: str | Column = "error", fatal: bool | Column = False, tokens: Column | None = None) -> DataFrame:
+    """One issue for each row; F.lit takes a column of levels, of checks or of what is fatal as it is."""
     return rows.select(
         path.cast("string").alias("path"), F.lit(level).alias("level"), message.alias("message"), F.lit(check).alias("check_name"), F.lit(fatal).alias("fatal"),
         (F.array().cast("array<string>") if tokens is None else tokens).alias("tokens"),

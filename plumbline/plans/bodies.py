@@ -465,7 +465,8 @@ _HAVE = f"(SELECT u.*, {_x('path')} AS sp, p, txt FROM {_USED} u LEFT JOIN texts
 ]))
 def phase_inputs(spark, sf):
     """Targets and sources that a comparison needs."""
-    return _found(artifacts.phase_inputs(_pairs(spark, sf), _nodes(spark, sf), spark.createDataFrame(_TEXTS, "source_path string, text string")))
+    pairs = _sql(spark, sf, _PAIRS, "customer").select("path", F.parse_json("j").alias("data"))  # taken once, so nothing is stored
+    return _found(artifacts.phase_inputs(pairs, _sql(spark, sf, _NODES, "customer").select("path"), spark.createDataFrame(_TEXTS, "source_path string, text string")))
 
 
 @query(_P + f" SELECT path, coalesce(string_agg(txt, chr(10) ORDER BY idx), '') AS source_text, coalesce(string_agg(CASE WHEN txt IS NULL THEN sp END, ',' ORDER BY idx), '') AS missing FROM {_HAVE} GROUP BY path")

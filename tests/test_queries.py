@@ -115,6 +115,15 @@ def test_references_are_met_within_their_artifact(spark):
     assert sorted((r["path"], r["message"].split(":")[0]) for r in found.collect()) == [("f", "$.x[1].y"), ("p", "$.x[0]"), ("p", "$.x[1].y")]
 
 
+def test_inputs_are_asked_for_in_one_pass(spark):
+    rows = spark.createDataFrame([("a", '{"target_node": "n", "primary_sources": [{"path": "s1"}, {"path": "s2"}, {"path": "s3", "format": "txt"}, {"path": "s9", "format": "mp4"}, {"path": ""}, "x", null]}'), ("b", '{"target_node": "m", "primary_sources": [{"path": "s2"}]}'), ("c", "{}"), ("d", '{"target_node": "n", "primary_sources": 1}')], "path string, j string").select("path", F.parse_json("j").alias("data"))
+    found = artifacts.phase_inputs(rows, spark.createDataFrame([("n.md",), ("n.md",)], "path string"), spark.createDataFrame([("s1", "t"), ("s3", None)], "source_path string, text string"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("Join ") == 2
+    want = [("a", "error", "source is not there: s2", False), ("a", "warn", "source has no text: s3", False), ("b", "error", "target_node does not exist: m", True), ("c", "error", "target_node does not exist: none", True)]
+    assert sorted((r["path"], r["level"], r["message"], r["fatal"]) for r in found.collect() if not r["message"].endswith("s9")) == want
+
+
 def test_checks_are_evaluated_once(spark):
     """What explode takes would be evaluated for a filter on its size before."""
     rows = spark.createDataFrame([("p", "person", '{"quotes": [{"text": ""}]}')], "path string, target_type string, j string").select("path", "target_type", F.parse_json("j").alias("data"))
