@@ -15,7 +15,10 @@ position follows from the counts in ``CURRENT``, so nothing is numbered by a
 global window. A single YAML or JSON file is read, too.
 
 ``plumbline-documents``: rows (path, raw), each a file of that name under the
-version's folder. Reading gives them back, one partition a part.
+folder of its part, ``<version>/files/<part>``. A folder for each attempt of a task
+needs no second name and rename for a file, and no two tasks wait for one another's
+folder, so a file costs the same however many there are. Reading gives them back,
+one partition a part.
 
 Folders are reached by the workers themselves, so they are on a file system that
 all executors mount; another scheme than ``file:`` raises.
@@ -28,10 +31,13 @@ import os
 import shutil
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from contextlib import ExitStack
 from dataclasses import dataclass
+from itertools import batched
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -41,6 +47,8 @@ from .files import strict_json, strict_yaml
 CURRENT = "CURRENT"
 #: Versions that stay when a new one is committed, itself included; a reader that began with the one before can end.
 KEPT = 2
+#: Documents that a task has open at once, bytes of each that are asked for ahead, and characters from which a batch is given to Spark.
+AHEAD, ASKED, BATCH = 128, 1 << 20, 1 << 22
 
 
 def local(path: str) -> Path:
@@ -101,11 +109,11 @@ class VersionWriter(DataSourceWriter):
         rows = 0
         with (self.root / name).open("w", encoding="utf-8", newline="\n") as out:
             for row in iterator:
-                out.write(self.line(row) + "\n")
+                out.write(self.line(row, name) + "\n")
                 rows += 1
         return Part(task, name, rows)
 
-    def line(self, row) -> str:
+    def line(self, row, part: str) -> str:
         raise NotImplementedError
 
     def commit(self, messages: list[Part | None]) -> None:
@@ -147,7 +155,7 @@ class VersionReader(DataSourceReader):
 
 # -- manifests
 class _ManifestWriter(VersionWriter):
-    def line(self, row) -> str:
+    def line(self, row, part: str) -> str:
         return "- " + strict_json(row["json"])  # an entry of a YAML list; JSON has no line breaks inside
 
 
@@ -204,23 +212,54 @@ class Manifests(DataSource):
 
 # -- single documents
 class _DocumentWriter(VersionWriter):
-    def line(self, row) -> str:
-        """Writes the row's file and gives its name for the part's list. The same row written again by a repeated task replaces an equal file."""
+    def write(self, iterator: Iterator) -> Part:
+        self.made: set[str] = set()  # folders that this task has made
+        return super().write(iterator)
+
+    def line(self, row, part: str) -> str:
+        """Writes the row's file under the part's folder and gives its name for the part's list. Plain strings: a Path for each file costs as much as the file."""
         name = row["path"]
-        if not name or name.startswith("/") or ".." in Path(name).parts or "\n" in name:
+        if not name or name.startswith("/") or ".." in name.split("/") or "\n" in name:
             raise ValueError(f"no name for a document: {name!r}")
-        target = self.root / "files" / name
-        target.parent.mkdir(parents=True, exist_ok=True)
-        fresh = target.with_name(f".{uuid.uuid4().hex}")
-        fresh.write_text(row["raw"] or "", encoding="utf-8", newline="")
-        os.replace(fresh, target)
+        target = f"{self.root}/files/{part}/{name}"
+        parent = target.rpartition("/")[0]
+        if parent not in self.made:
+            os.makedirs(parent, exist_ok=True)
+            self.made.add(parent)
+        with open(target, "xb") as f:
+            f.write((row["raw"] or "").encode("utf-8"))
         return name
 
 
+def _texts(folder: str, names: Iterable[str]) -> Iterator[tuple[str, str]]:
+    """(name, text) of files, opened and asked for some at a time: on a cold disk they come side by side, not each after a wait of its own."""
+    for some in batched(names, AHEAD):
+        with ExitStack() as opened:
+            held = [opened.enter_context(open(f"{folder}/{name}", "rb", buffering=0)) for name in some]
+            for f in held:
+                os.posix_fadvise(f.fileno(), 0, ASKED, os.POSIX_FADV_WILLNEED)
+            for name, f in zip(some, held):
+                yield name, f.readall().decode("utf-8")
+
+
 class _DocumentReader(VersionReader):
-    def row(self, piece: Piece, k: int, line: str) -> tuple:
-        with (self.folder / piece.version / "files" / line).open(encoding="utf-8", newline="") as f:
-            return line, f.read()
+    def read(self, piece: Piece) -> Iterator[pa.RecordBatch]:
+        tree = f"{self.folder / piece.version}/files"
+        own = f"{tree}/{piece.file}"
+        folder = own if os.path.isdir(own) else tree  # versions of before parts had folders are one tree
+        schema = pa.schema([("path", pa.string()), ("raw", pa.string())])
+        rows, size = {"path": [], "raw": []}, 0
+        for path, text in _texts(folder, super().read(piece)):
+            rows["path"].append(path)
+            rows["raw"].append(text)
+            size += len(text)
+            if size >= BATCH:
+                yield pa.RecordBatch.from_pydict(rows, schema)
+                rows, size = {"path": [], "raw": []}, 0
+        yield pa.RecordBatch.from_pydict(rows, schema)
+
+    def row(self, piece: Piece, k: int, line: str) -> str:
+        return line
 
 
 class Documents(DataSource):

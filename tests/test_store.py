@@ -20,6 +20,10 @@ def read(spark, folder):
     return [(r["position"], r["url"], json.loads(r["j"])) for r in store.load_manifest(spark, folder).select("position", "url", F.to_json("data").alias("j")).orderBy("position").collect()]
 
 
+def attempt(writer, rows):
+    return writer.write(iter([dict(zip(("path", "raw"), r)) for r in rows]))
+
+
 def test_manifest_round_trip(spark, tmp_path):
     folder = f"file://{tmp_path}/m"
     store.save_manifest(entries(spark, 300), folder, 4)
@@ -93,6 +97,54 @@ def test_documents(spark, tmp_path):
     assert store.load_documents(spark, folder).count() == 52 and store.load_documents(spark, folder).where("raw = 'new'").count() == 0
 
 
+def test_a_part_of_documents_has_a_folder_of_its_own(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "d")
+    rows = [(f"people/p{k}.md", f"t{k}\r\né") for k in range(60)]
+    store.save_documents(spark.createDataFrame(rows, "path string, raw string").repartition(6, "path"), folder)
+    state = store.current(store.local(folder))
+    tree = store.local(folder) / state["version"] / "files"
+    parts = {p: n for p, n in state["parts"] if n}
+    assert len(parts) > 1 and {p.name: len(list((p / "people").iterdir())) for p in tree.iterdir()} == parts  # tasks share no folder, and nothing but documents stays
+    # what a repeated attempt writes after the first one, of other content even, changes nothing that is read
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: type("Context", (), {"partitionId": lambda self: 0})())
+    writer = store._DocumentWriter({"path": folder}, True)
+    first = attempt(writer, [("a/x.md", "first"), ("y.md", None)])
+    attempt(writer, [("a/x.md", "late"), ("y.md", "late")])
+    writer.commit([first])
+    assert {(r["path"], r["raw"]) for r in store.load_documents(spark, folder).collect()} == {("a/x.md", "first"), ("y.md", "")}
+
+
+def test_two_spellings_of_one_file_do_not_lose_a_document(spark, tmp_path):
+    folder = str(tmp_path / "d")
+    rows = spark.createDataFrame([("a/x.md", "one"), ("a//x.md", "two")], "path string, raw string")
+    with pytest.raises(Exception, match="exists"):
+        store.save_documents(rows.coalesce(1), folder)
+    store.save_documents(rows.where("raw = 'one'"), folder)
+    assert [tuple(r) for r in store.load_documents(spark, folder).collect()] == [("a/x.md", "one")]
+
+
+def test_documents_of_a_version_without_folders_of_parts_are_read(spark, tmp_path):
+    (tmp_path / "v-1" / "files" / "people").mkdir(parents=True)
+    (tmp_path / "v-1" / "files" / "people" / "p.md").write_text("old é")
+    (tmp_path / "v-1" / "part-000000-x").write_text("people/p.md\n")
+    store.replace_current(tmp_path, {"version": "v-1", "parts": [["part-000000-x", 1]]})
+    assert [tuple(r) for r in store.load_documents(spark, str(tmp_path)).collect()] == [("people/p.md", "old é")]
+
+
+def test_documents_are_read_in_batches_of_bounded_size(spark, tmp_path):
+    folder = str(tmp_path / "d")
+    rows = [(f"d/{k:04d}.md", f"{k} é" + "x" * (3 << 20 if k % 100 == 7 else k % 3)) for k in range(2 * store.AHEAD + 3)]
+    store.save_documents(spark.createDataFrame(rows, "path string, raw string").coalesce(1), folder)
+    reader = store._DocumentReader({"path": folder})
+    (piece,) = reader.partitions()
+    batches = list(reader.read(piece))
+    assert len(batches) == 2 and all(sum(map(len, b["raw"].to_pylist())) < store.BATCH + (4 << 20) for b in batches)  # three texts of 3 MB
+    assert [r for b in batches for r in zip(b["path"].to_pylist(), b["raw"].to_pylist())] == rows
+    assert [tuple(r) for r in store.load_documents(spark, folder).orderBy("path").collect()] == rows
+    store.save_documents(spark.createDataFrame(rows[:1], "path string, raw string").limit(0), folder)
+    assert store.load_documents(spark, folder).collect() == []
+
+
 def test_nodes_and_documents_read_from_a_folder(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub" / "a.md").write_text("---\nid: a\n---\nbody")
